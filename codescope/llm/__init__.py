@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output
+from . import packing, quality, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_output": token_output.op2_token_output}
+    return {
+        "op2_token_output": token_output.op2_token_output,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op9_quality_classifier": quality.op9_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
