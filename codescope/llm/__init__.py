@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_output
+from . import packing, quality, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": token_output.op2_token_output,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op9_quality_classifier": quality.op9_quality_classifier,
     }

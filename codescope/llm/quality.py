@@ -24,6 +24,8 @@ from . import common
 BITS = 18
 MAX_TRAIN = 12_000
 THRESHOLD = 0.3
+#: What a pair of equal words hashes to, whatever the word.
+REPEATED = np.uint64(0x5BD1E9955BD1E995)
 
 _CLASS = np.full(256, 2, dtype=np.uint8)  # 0: white space, 1: letters, digits and all beyond ASCII, 2: signs
 _CLASS[[0, 9, 10, 11, 12, 13, 32]] = 0
@@ -44,6 +46,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = common.mix64(common.PrefixHash(_LOWER[data]).spans(start, end) + (end - start).astype(np.uint64))
     doc = np.searchsorted(ends, start, side="right")
     pair = common.mix64(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])
+    pair[word[:-1] == word[1:]] = REPEATED
     same = doc[:-1] == doc[1:]
     shift = np.uint64(64 - BITS)
     index = np.concatenate([word >> shift, pair[same] >> shift]).astype(np.int64)
