@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, suffix_dedup, token_output
+from . import jaccard_join, packing, quality, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": token_output.op2_token_output,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op9_quality_classifier": quality.op9_quality_classifier,
     }
 
