@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, quality, suffix_dedup, token_output
+from . import chat, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op6_url_filter": url_filter.op6_url_filter,
+        "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_quality_classifier": quality.op9_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_formatting": chat.ORACLE}

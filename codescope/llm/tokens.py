@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -54,7 +55,7 @@ class WordTokenizer:
 
     def _pieces(self, word: str) -> list[str]:
         """Parts of a word that are tokenised on their own in any text."""
-        if word[-1].isalpha() and "\n" not in word or "'" in word:
+        if "'" in word or word[-1].isalpha() and "\n" not in word:
             return [word]
         out = []
         for part in _BREAKS.split(word) if "\n" in word else (word,):
@@ -84,7 +85,7 @@ class WordTokenizer:
         self.words += n
 
     def _learn(self, words: list[str]) -> None:
-        split = [self._pieces(w) for w in words]
+        split = [[w] if w.isalpha() else self._pieces(w) for w in words]
         new = list(dict.fromkeys(p for s in split for p in s if p not in self.index))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
@@ -134,12 +135,13 @@ class WordTokenizer:
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]) if rest else (), strict=True):
             out[i] = np.array(ids, dtype=np.uint32)
         plain = [i for i, s in enumerate(split) if s is not None]
-        words = [w for i in plain for w in split[i]]
-        found = list(map(self.index.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)))
-            found = list(map(self.index.get, words))
-        k = np.array(found, dtype=np.int64)
+        words = list(chain.from_iterable(split[i] for i in plain))
+        k = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(k < 0).tolist()
+        if missing:
+            unknown = [words[i] for i in missing]
+            self._learn(list(dict.fromkeys(unknown)))
+            k[missing] = np.fromiter(map(self.index.__getitem__, unknown), dtype=np.int64, count=len(unknown))
         flat = self._gather(k)
         cum = np.concatenate([[0], np.cumsum(self.size[k], dtype=np.int64)])
         ends = cum[np.cumsum([len(split[i]) for i in plain], dtype=np.int64)]
