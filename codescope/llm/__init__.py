@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
+from . import chat, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_html_extraction": html_text.op8_html_extraction,
         "op9_quality_classifier": quality.op9_quality_classifier,
     }
 
