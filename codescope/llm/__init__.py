@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
+from . import chat, decontaminate, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": token_output.op2_token_output,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op6_url_filter": url_filter.op6_url_filter,
