@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
+from . import chat, decontaminate, fingerprint, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
         "op2_token_output": token_output.op2_token_output,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
