@@ -23,7 +23,7 @@ from . import common
 #: Cells in each of the three subtables of a fingerprint.
 CELLS = 8
 #: Digests per block of a larger sketch, and its first cells per subtable.
-BLOCK_ITEMS = 24
+BLOCK_ITEMS = 20
 BLOCK_CELLS = 16
 ROUNDS = 6
 #: A paragraph, or a part of one: to the first end of a sentence after 60 characters, 200 at most.
@@ -37,6 +37,11 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not wherever it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def check(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(1000 + seed))
 
@@ -49,16 +54,15 @@ def places(key: Column, width: int, seed: int) -> list[Column]:
 def sketch(keys: Column, width: int, seed: int = 0) -> Column:
     """Cells (n, k, c) of all three subtables in a row."""
     units = F.transform(keys, lambda k: F.struct(k.alias("k"), check(k, seed).alias("c"), *[p.alias(f"p{i}") for i, p in enumerate(places(k, width, seed))]))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
-    def table(i: int) -> Column:
-        def cell(at: Column) -> Column:
-            mine = F.filter(units, lambda u: u[f"p{i}"] == at)
-            zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-            return F.aggregate(mine, zero, lambda a, u: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(u["k"]).alias("k"), a["c"].bitwiseXOR(u["c"]).alias("c")))
+    def add(a: Column, u: Column) -> Column:
+        return F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(u["k"]).alias("k"), a["c"].bitwiseXOR(u["c"]).alias("c"))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+    def table(units: Column, i: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda at: F.aggregate(F.filter(units, lambda u: u[f"p{i}"] == at), zero, add))
 
-    return F.concat(table(0), table(1), table(2))
+    return let(units, lambda u: F.concat(table(u, 0), table(u, 1), table(u, 2)))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -69,21 +73,27 @@ def peeled(cells: Column, width: int, seed: int = 0) -> Column:
     """Struct of ``got`` (array of n: 1 only in a, -1 only in b; k: digest) and ``ok``."""
     none = F.array().cast("array<struct<n:int,k:bigint,c:bigint>>")
 
+    def taken(cells: Column, placed: Column) -> Column:
+        def less(x: Column, at: Column) -> Column:
+            here = F.filter(placed, lambda p: (p["p0"] == at) | (p["p1"] == at) | (p["p2"] == at))
+            return F.aggregate(here, x, lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["c"].bitwiseXOR(p["c"]).alias("c")))
+
+        return F.transform(cells, less)
+
     def step(state: Column, turn: Column) -> Column:
         # subtables take turns, so that no digest is found in two cells at once
         mine = F.pmod(turn, F.lit(3)).cast("int")
         pure = F.filter(F.slice(state["t"], mine * width + 1, F.lit(width)), lambda x: (F.abs(x["n"]) == 1) & (check(x["k"], seed) == x["c"]))
         placed = F.transform(pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c"), *[(q + i * width).alias(f"p{i}") for i, q in enumerate(places(p["k"], width, seed))]))
 
-        def less(x: Column, at: Column) -> Column:
-            here = F.filter(placed, lambda p: (p["p0"] == at) | (p["p1"] == at) | (p["p2"] == at))
-            return F.aggregate(here, x, lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["c"].bitwiseXOR(p["c"]).alias("c")))
+        def moved(placed: Column) -> Column:
+            found = F.transform(placed, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c")))
+            return F.when(F.size(placed) > 0, F.struct(taken(state["t"], placed).alias("t"), F.concat(state["got"], found).alias("got"))).otherwise(state)
 
-        moved = F.struct(F.transform(state["t"], less).alias("t"), F.concat(state["got"], pure).alias("got"))
-        return F.when(F.size(pure) > 0, moved).otherwise(state)
+        return let(placed, moved)
 
     end = F.aggregate(F.sequence(F.lit(0), F.lit(3 * ROUNDS - 1)), F.struct(cells.alias("t"), none.alias("got")), step)
-    return F.transform(F.array(end), lambda s: F.struct(s["got"].alias("got"), F.forall(s["t"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)).alias("ok")))[0]
+    return let(end, lambda s: F.struct(s["got"].alias("got"), F.forall(s["t"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)).alias("ok")))
 
 
 def as_text(cells: Column) -> Column:
@@ -93,7 +103,7 @@ def as_text(cells: Column) -> Column:
 
 
 def counted(peel: Column) -> Column:
-    return F.struct(peel["ok"].alias("ok"), F.size(F.filter(peel["got"], lambda x: x["n"] > 0)).alias("a"), F.size(F.filter(peel["got"], lambda x: x["n"] < 0)).alias("b"))
+    return let(peel, lambda p: F.struct(p["ok"].alias("ok"), F.size(F.filter(p["got"], lambda x: x["n"] > 0)).alias("a"), F.size(F.filter(p["got"], lambda x: x["n"] < 0)).alias("b")))
 
 
 def differences(pairs: DataFrame) -> DataFrame:
