@@ -16,9 +16,10 @@ cut down first, without loss:
    and one distance to it, a mergesort compares suffixes by binary search on
    prefix polynomial hashes, and neighbours with a common prefix of ``min_len``
    bytes are repeats, once their bytes have been compared.
-4. An anchor with very many distinct runs is dealt over several tasks. Windows
-   that stay single in their task are then counted by 128-bit digests over all
-   tasks.
+4. An anchor with very many distinct runs is dealt over several tasks. What stays
+   single in its task is passed on in blocks of BLOCK windows, each known by the
+   bytes that all its windows hold. Blocks that meet an equal one are then taken
+   apart, and their windows counted over all tasks, both by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from . import common
 
 MIN_LEN = 400
 GROUP = 1024
+BLOCK = 16
 _NONE = np.uint64(2**64 - 1)
 ANCHORS = "k long, lo int, n int, a int, g long, s long"
 
@@ -221,7 +223,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
 
 def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
     """Sort the windows of each (anchor, salt): repeated stretches, and single windows of anchors dealt over tasks."""
-    schema = "k long, start int, end int, x long, y long"
+    schema = "k long, start int, end int, x long, y long, mask int, ctx binary"
 
     def flush(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
         n, a = np.array(rows["n"], np.int64), np.array(rows["a"], np.int64)
@@ -238,18 +240,27 @@ def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
         last = cuts[1:][use[cuts[:-1]]] - 1 if len(cuts) > 1 else first
         o = owner[first]
         zero = np.zeros(len(first), np.int64)
-        yield _batch({"k": k[o], "start": lo[o] + window[first], "end": lo[o] + window[last] + min_len, "x": zero, "y": zero}, schema)
+        yield _batch({"k": k[o], "start": lo[o] + window[first], "end": lo[o] + window[last] + min_len, "x": zero, "y": zero, "mask": zero, "ctx": [None] * len(o)}, schema)
         if hot.any():
             i = np.flatnonzero(hot[owner])
-            h1, h2 = (common.mix64(common.PrefixHash(data, s).spans(where[i], where[i] + min_len)).view(np.int64) for s in (1, 2))
-            settled = found[i] | ~single[owner[i]]
-            # of what is settled here, one row for each content tells the other tasks; end 0: it needs no answer
-            keep = ~settled
-            _, one = np.unique(h1[settled], return_index=True)
-            keep[np.flatnonzero(settled)[one]] = True
-            i, h1, h2, settled = i[keep], h1[keep], h2[keep], settled[keep]
-            start = lo[owner[i]] + window[i]
-            yield _batch({"k": k[owner[i]], "start": start, "end": np.where(settled, 0, start + min_len), "x": h1, "y": h2}, schema)
+            single_here = ~found[i] & single[owner[i]]
+            away = a[owner[i]] - window[i]
+            block = owner[i] * 65536 + away // BLOCK
+            f = np.flatnonzero(np.diff(block, prepend=-1))
+            e = np.append(f[1:], len(i)) - 1
+            bit = np.where(single_here, 1 << (np.arange(len(i)) - np.repeat(f, e - f + 1)), 0)
+            mask = np.add.reduceat(bit, f)
+            begin, end = where[i[f]], where[i[e]] + min_len
+            core = begin + away[f] % BLOCK  # to where the block's last window could start
+            hashes = [common.PrefixHash(data, s) for s in (1, 2)]
+            x, y = (common.mix64(h.spans(core, core - (BLOCK - 1) + min_len)).view(np.int64) for h in hashes)
+            # of blocks that need no answer, one for each content tells the other tasks
+            keep = mask > 0
+            _, one = np.unique(hashes[0].spans(begin, end)[~keep], return_index=True)
+            keep[np.flatnonzero(~keep)[one]] = True
+            o, start = owner[i[f]][keep], window[i[f]][keep]
+            ctx = [data[s:t].tobytes() for s, t in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)]
+            yield _batch({"k": k[o], "start": lo[o] + start, "end": lo[o] + start + (end - begin)[keep], "x": x[keep], "y": y[keep], "mask": mask[keep], "ctx": ctx}, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g", "salt", "hot", "single", "k", "lo", "n", "a", "ctx"]
@@ -272,20 +283,43 @@ def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
     return contexts.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(work, schema)
 
 
+def _windows(blocks: DataFrame, min_len: int) -> DataFrame:
+    """The windows of blocks: their digests, and where they are if they need an answer (else end is 0)."""
+    schema = "k long, start int, end int, x long, y long"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, begin, end = common.joined(batch.column("ctx").to_pylist())
+            n = end - begin - min_len + 1
+            o = np.repeat(np.arange(len(n)), n)
+            w = np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n)
+            at = begin[o] + w
+            x, y = (common.mix64(common.PrefixHash(data, s).spans(at, at + min_len)).view(np.int64) for s in (1, 2))
+            start = batch.column("start").to_numpy()[o] + w
+            asks = batch.column("mask").to_numpy()[o] >> w & 1
+            yield _batch({"k": batch.column("k").to_numpy()[o], "start": start, "end": np.where(asks, start + min_len, 0), "x": x, "y": y}, schema)
+
+    return blocks.select("k", "start", "mask", "ctx").mapInArrow(work, schema)
+
+
 def repeated_spans(keyed: DataFrame, min_len: int) -> DataFrame:
     """``k`` and ``spans`` (array of start, end in bytes; they may overlap) of the keyed rows that have any."""
     rows = _anchor_rows(keyed, min_len)
-    twice = rows.groupBy("g").count().filter("count > 1").select("g")
+    # written first: a join with a table, not with an aggregate, can split a hot anchor's rows
+    twice = common.materialize(rows.groupBy("g").count().filter("count > 1").select("g"))
     rows = common.materialize(rows.join(twice, "g", "left_semi"))
     runs = rows.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("k", "lo", "n", "a")).alias("r"))
     runs = common.materialize(runs.select("g", "s", "c", "r.*"))
+    # likewise no aggregate stands above this join
     whole = rows.join(runs.filter("c > 1").select("g", "s"), ["g", "s"], "left_semi").select("k", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + min_len).alias("end"))
-    mixed = runs.groupBy("g").agg(F.count("*").alias("many")).filter("many > 1")
+    mixed = common.materialize(runs.groupBy("g").agg(F.count("*").alias("many")).filter("many > 1"))
     parts = F.ceil(F.col("many") / GROUP).cast("int")
     wanted = runs.join(mixed, "g").select("g", F.pmod(F.hash("k", "lo"), parts).alias("salt"), (parts > 1).alias("hot"), (F.col("c") == 1).alias("single"), "k", "lo", "n", "a")
     found = common.materialize(_compare(_contexts(keyed, wanted, min_len), min_len))
-    local = found.filter("x = 0 and y = 0").select("k", "start", "end")
-    opened = found.filter("x <> 0 or y <> 0")
+    local = found.filter("ctx is null").select("k", "start", "end")
+    blocks = found.filter("ctx is not null")
+    met = blocks.groupBy("x", "y").count().filter("count > 1").select("x", "y")
+    opened = common.materialize(_windows(blocks.join(met, ["x", "y"], "left_semi"), min_len))
     again = opened.groupBy("x", "y").count().filter("count > 1").select("x", "y")
     wide = opened.filter("end > 0").join(again, ["x", "y"], "left_semi").select("k", "start", "end")
     spans = whole.unionByName(local).unionByName(wide)
