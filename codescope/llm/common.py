@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -29,11 +30,28 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage with files that survive the loss of any executor.
+    Shuffles that nothing refers to any longer are let go first.
     """
     spark = df.sparkSession
+    release(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of finished, unreachable queries."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of :func:`materialize` that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.written)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

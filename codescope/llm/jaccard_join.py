@@ -29,8 +29,8 @@ from .components import components
 
 WORDS = 5
 #: The order of shingles knows at most so many frequent ones; it changes the work, not the result.
-FREQUENT = 1 << 19
-FREQUENT_AT = 48
+FREQUENT = 1 << 20
+FREQUENT_AT = 6
 STAR = 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -78,7 +78,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Frequent shingle hashes, rarest first: at most FREQUENT, whatever the input.
 
     Counted over all texts. Each task counts its own and passes on what it met
-    four times or more, so a shingle's count is a lower bound.
+    more than once, so a shingle's count is a lower bound.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c >= 4], c[c >= 4]
+            h, c = h[c > 1], c[c > 1]
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for _, sets in _sets(batches):
@@ -168,8 +168,13 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(verify, "a long, b long")
 
 
-def near_sizes(m: str, n: str):
-    return 4 * F.least(m, n) >= 3 * F.greatest(m, n)
+def reachable(m: str, i: str, n: str, j: str):
+    """Whether sets of sizes m and n whose first common shingle, in the common order, is at i and j can be near.
+
+    A near pair passes in the row of its first common shingle, so no near pair is lost.
+    """
+    most = 1 + F.least(F.col(m) - F.col(i), F.col(n) - F.col(j)) - 1
+    return (4 * F.least(m, n) >= 3 * F.greatest(m, n)) & (7 * most >= 3 * (F.col(m) + F.col(n)))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -182,36 +187,39 @@ def join(docs: DataFrame) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
     text = common.text_or_empty(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), text).alias("_k"))
-    signed = common.materialize(signatures(keyed, frequent_shingles(keyed)))
+    wide = common.materialize(signatures(keyed, frequent_shingles(keyed)))
+    signed = common.materialize(wide.select("k", "n", "c", "g"))
     # classes of equal sets, each known by the smallest key of its rows; groups of equal size and prefix likewise
-    classes = signed.filter("n > 0").groupBy("n", "c", "g").agg(F.min(F.struct("k", "prefix")).alias("r")).select("n", "c", "g", "r.k", "r.prefix")
-    classes = common.materialize(classes)
-    groups = classes.groupBy("n", "g").agg(F.min(F.struct("k", "prefix")).alias("r"), F.count("*").alias("members")).select("n", "g", "r.k", "r.prefix", "members")
-    posted = groups.select(F.col("k").alias("gk"), "n", "members", F.explode("prefix").alias("h"))
+    classes = common.materialize(signed.filter("n > 0").groupBy("n", "c", "g").agg(F.min("k").alias("k")))
+    groups = common.materialize(classes.groupBy("n", "g").agg(F.min("k").alias("gk"), F.count("*").alias("members")))
+    prefixes = wide.join(groups.select(F.col("gk").alias("k"), "members"), "k").dropDuplicates(["k"])
+    posted = prefixes.select(F.col("k").alias("gk"), "n", "members", F.posexplode("prefix").alias("i", "h"))
     w = Window.partitionBy("h")
     # one shuffle of the prefixes: how many groups a shingle has, and the one to compare the rest with
-    lists = posted.select("h", "gk", "n", F.sum("members").over(w).alias("many"), F.min(F.struct("gk", "n")).over(w).alias("pivot"))
-    lists = common.materialize(lists.filter("many > 1").select("h", "gk", "n", F.col("pivot.gk").alias("pk"), F.col("pivot.n").alias("pn")))
-    heads = groups.filter("members > 1").select("n", "g", F.col("k").alias("a"))
+    lists = posted.select("h", "gk", "n", "i", F.sum("members").over(w).alias("many"), F.min(F.struct("gk", "n", "i")).over(w).alias("pivot"))
+    lists = common.materialize(lists.filter("many > 1").select("h", "gk", "n", "i", F.col("pivot.gk").alias("pk"), F.col("pivot.n").alias("pn"), F.col("pivot.i").alias("pi")))
+    del prefixes, posted
+    common.discard(wide)
+    heads = groups.filter("members > 1").select("n", "g", F.col("gk").alias("a"))
     inside = classes.join(heads, ["n", "g"]).filter("k <> a").select("a", F.col("k").alias("b"))
-    star = lists.filter((F.col("gk") != F.col("pk")) & near_sizes("n", "pn")).select(F.col("pk").alias("a"), F.col("gk").alias("b")).union(inside).distinct()
+    star = lists.filter((F.col("gk") != F.col("pk")) & reachable("n", "i", "pn", "pi")).select(F.col("pk").alias("a"), F.col("gk").alias("b")).union(inside).distinct()
     star = common.materialize(star)
-    # the texts that any pair can need
-    used = lists.select(F.col("gk").alias("k")).distinct()
-    members = classes.join(groups.select("n", "g", F.col("k").alias("gk")), ["n", "g"]).select("k", "gk", "n")
-    members = common.materialize(members.join(used.withColumnRenamed("k", "gk"), "gk", "left_semi").union(members.join(heads.select(F.col("a").alias("gk")), "gk", "left_semi")).distinct())
-    texts = common.materialize(keyed.select(F.col("_k").alias("k"), "_text").join(members.select("k"), "k", "left_semi").dropDuplicates(["k"]))
+    # members of the groups that share a shingle with another one, or have several
+    used = lists.filter(F.col("gk") != F.col("pk")).select("gk").union(lists.filter(F.col("gk") != F.col("pk")).select("pk")).union(heads.select("a")).distinct()
+    members = classes.join(groups.select("n", "g", "gk"), ["n", "g"]).join(used, "gk", "left_semi").select("k", "gk", "n")
+    members = common.materialize(members)
+    texts = keyed.select(F.col("_k").alias("k"), "_text")
     edges = common.materialize(linked(star, texts))
     labels = components(edges)
     named = members.join(labels, F.col("k") == F.col("v"), "left").select("gk", "k", "n", F.coalesce("comp", "k").alias("comp"))
     named = common.materialize(named)
     # what the star left open: shingles, and groups, that still span several components
-    rows = lists.select("h", "gk").union(heads.select(F.col("a").alias("h"), F.col("a").alias("gk")))
+    rows = lists.select("h", "gk", "i").union(heads.select(F.col("a").alias("h"), F.col("a").alias("gk"), F.lit(0)))
     open_rows = rows.join(named, "gk")
     mixed = open_rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-    open_rows = common.materialize(open_rows.join(mixed, "h", "left_semi").select("h", "k", "n", "comp"))
+    open_rows = common.materialize(open_rows.join(mixed, "h", "left_semi").select("h", "k", "n", "i", "comp"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & near_sizes("x.n", "y.n"))
+    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & reachable("x.n", "x.i", "y.n", "y.i"))
     cross = cross.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     settled = star.union(star.select("b", "a"))
     cross = common.materialize(cross.join(settled, ["a", "b"], "left_anti"))
