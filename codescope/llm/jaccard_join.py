@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -177,16 +177,19 @@ def reachable(m: str, i: str, n: str, j: str):
     return (4 * F.least(m, n) >= 3 * F.greatest(m, n)) & (7 * most >= 3 * (F.col(m) + F.col(n)))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = common.text_or_empty(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), row_key(docs).alias("_k"))
 
-    Null and empty texts have no shingles and are components of their own, named
-    by their doc_id. Rows with one doc_id are rows of their own. A null doc_id
-    names a component only if it has no other.
-    """
+
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), common.text_or_empty(docs))
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, _k (key of the row), n (set size) and comp, null for empty sets."""
     common.bounded_batches(docs.sparkSession)
-    text = common.text_or_empty(docs)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), text).alias("_k"))
+    keyed = _keyed(docs)
     wide = common.materialize(signatures(keyed, frequent_shingles(keyed)))
     signed = common.materialize(wide.select("k", "n", "c", "g"))
     # classes of equal sets, each known by the smallest key of its rows; groups of equal size and prefix likewise
@@ -230,10 +233,36 @@ def join(docs: DataFrame) -> DataFrame:
     # back to the rows: key -> class -> component
     of_class = classes.join(labels, F.col("k") == F.col("v"), "left").select("n", "c", "g", F.coalesce("comp", "k").alias("comp"))
     of_row = keyed.select("doc_id", "_k").join(signed.select("k", "n", "c", "g").dropDuplicates(["k"]), F.col("_k") == F.col("k"))
-    whole = common.materialize(of_row.join(of_class, ["n", "c", "g"], "left").select("doc_id", "n", F.col("comp")))
+    return common.materialize(of_row.join(of_class, ["n", "c", "g"], "left").select("doc_id", "_k", "n", "comp"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
+
+    Null and empty texts have no shingles and are components of their own, named
+    by their doc_id. Rows with one doc_id are rows of their own. A null doc_id
+    names a component only if it has no other. Extra columns are left out; an
+    empty table gives no rows.
+    """
+    whole = components_of(docs)
     least = whole.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
+
+    Rows without words all stay. Columns are as they were.
+    """
+    whole = components_of(docs)
+    best = whole.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "_k")).alias("b")).select("b._k")
+    stay = common.materialize(best.union(whole.filter("comp is null").select("_k")).distinct())
+    rows = docs.withColumn("_k", row_key(docs)).join(stay, "_k", "left_semi")
+    if not whole.filter("comp is not null").groupBy("_k").count().filter("count > 1").isEmpty():
+        words = F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
+        rows = rows.filter(words).dropDuplicates(["_k"]).union(rows.filter(~words))
+    return rows.select(*docs.columns)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))

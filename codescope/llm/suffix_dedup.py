@@ -385,5 +385,35 @@ def removal(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     return joined.mapInArrow(cut, schema)
 
 
+def strip_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+    """``docs`` with the repeated strings taken out of text, and n_chars (if it is a column) of what is left.
+
+    No row goes, not even one whose text is all repeats. Spans are cut at code points.
+    """
+    from pyspark.sql.types import StructType
+
+    common.bounded_batches(docs.sparkSession)
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, min_len)
+    names = docs.columns
+    schema = StructType([docs.schema[c] for c in names])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[str | None] = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                if found and text:
+                    raw = text.encode()
+                    text = _without(raw, _whole_characters(raw, _merged(found))).decode()
+                out.append(text)
+            new = {"text": pa.array(out, batch.schema.field("text").type)}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    joined = keyed.join(spans, F.col("_k") == F.col("k"), "left").select(*[keyed[c] for c in names], "spans")
+    return joined.mapInArrow(cut, schema)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal(common.table(spark, sf_dir, "documents")).drop("kept_text")
