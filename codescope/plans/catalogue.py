@@ -1,11 +1,458 @@
-"""All registered queries and their oracles."""
+"""All registered queries over the driver's tables, each beside its SQL oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from codescope import functions as fn
+from codescope.operators import rules, tables
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+WORDS, SIGNS, NUMBERS = r"\p{L}+", r"[^\p{L}\p{N}\s]", r"[0-9]+(?:\.[0-9]+)?"
+
+
+def _found(pattern: str, column: str = "text"):
+    return F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))
+
+
+_SHAPED = r"SELECT doc_id, substr(sha1(regexp_replace(regexp_replace(text, '\p{L}+', 'w', 'g'), '[0-9]+', 'n', 'g')), 1, 12) AS fingerprint FROM documents"
+
+
+def _shaped(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", fn.fingerprint(fn.text_shape(F.col("text"))).alias("fingerprint"))
+
+
+@query(f"SELECT fingerprint, count(*) AS size, min(doc_id) AS first_member FROM ({_SHAPED}) GROUP BY fingerprint HAVING count(*) >= 2")
+def clone_clusters(spark, sf_dir):
+    return tables.clusters(_shaped(spark, sf_dir), "fingerprint", "doc_id")
+
+
+@query(f"SELECT sum(n) FILTER (WHERE n >= 2)::BIGINT AS clustered, sum(n)::BIGINT AS analyzed, round(sum(n) FILTER (WHERE n >= 2) / sum(n), 6)::DOUBLE AS fraction FROM (SELECT count(*) AS n FROM ({_SHAPED}) GROUP BY fingerprint)")
+def clone_density(spark, sf_dir):
+    sizes = _shaped(spark, sf_dir).groupBy("fingerprint").agg(F.count("*").alias("n"))
+    both = F.sum(F.when(F.col("n") >= 2, F.col("n")))
+    return sizes.agg(both.alias("clustered"), F.sum("n").alias("analyzed"), F.round(both / F.sum("n"), 6).alias("fraction"))
+
+
+@query("SELECT sha1(text) AS fingerprint, count(*) AS size, min(doc_id) AS first_member FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def exact_duplicates(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("fingerprint"))
+    return tables.clusters(docs, "fingerprint", "doc_id")
+
+
+_HALSTEAD = r"""
+SELECT doc_id, n1, n2, total_operators, total_operands, n1 + n2 AS vocabulary, total_operators + total_operands AS length,
+  CASE WHEN n1 + n2 > 0 THEN (total_operators + total_operands) * log2(n1 + n2) ELSE 0.0 END AS volume,
+  CASE WHEN n2 > 0 THEN n1 / 2.0::DOUBLE * (total_operands::DOUBLE / n2) ELSE 0.0 END AS difficulty
+FROM (SELECT doc_id, len(list_distinct(o))::BIGINT AS n1, len(list_distinct(d))::BIGINT AS n2, len(o)::BIGINT AS total_operators, len(d)::BIGINT AS total_operands
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\p{L}\p{N}\s]') AS o, regexp_extract_all(text, '\p{L}+') AS d FROM documents))
+"""
+
+
+def _halstead(spark, sf_dir):
+    return tables.halstead(read(spark, sf_dir, "documents"), _found(SIGNS), _found(WORDS), ["doc_id"])
+
+
+@query(f"SELECT doc_id, n1, n2, total_operators, total_operands, vocabulary, length, round(volume, 2) AS volume, round(difficulty, 2) AS difficulty, round(volume * difficulty, 0) AS effort FROM ({_HALSTEAD})")
+def halstead_documents(spark, sf_dir):
+    return _halstead(spark, sf_dir).withColumns({"volume": F.round("volume", 2), "difficulty": F.round("difficulty", 2), "effort": F.round("effort", 0)})
+
+
+_LENGTHS = r"SELECT doc_id, avg(length(w)) AS mean_tokens FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents) GROUP BY doc_id"
+
+
+@query(f"SELECT doc_id, round(volume * (1 + 0.5 * greatest(0.0, 4 - coalesce(mean_tokens, 4.0))), 2) AS adjusted FROM ({_HALSTEAD}) LEFT JOIN ({_LENGTHS}) USING (doc_id) WHERE volume * (1 + 0.5 * greatest(0.0, 4 - coalesce(mean_tokens, 4.0))) > 1500")
+def halstead_violations(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found(WORDS)).alias("w"))
+    means = words.groupBy("doc_id").agg(F.avg(F.length("w")).alias("mean_tokens"))
+    both = _halstead(spark, sf_dir).join(means, "doc_id", "left")
+    adjusted = F.col("volume") * fn.terse_penalty(F.coalesce("mean_tokens", F.lit(4.0)) - 2, 0.5)
+    return both.filter(adjusted > 1500).select("doc_id", F.round(adjusted, 2).alias("adjusted"))
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({c}, '([a-z])([A-Z])', '\1_\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '[_\s\d#]+'), lambda t: t <> '')"
+
+
+@query(f"SELECT p_partkey, array_to_string({_SPLIT.format(c='p_name')}, '|') AS tokens, len({_SPLIT.format(c='p_name')})::BIGINT AS n FROM part UNION ALL SELECT c_custkey, array_to_string({_SPLIT.format(c='c_name')}, '|'), len({_SPLIT.format(c='c_name')})::BIGINT FROM customer")
+def identifier_split(spark, sf_dir):
+    def tokens(name, key, column):
+        t = fn.split_identifier(F.col(column))
+        return read(spark, sf_dir, name).select(F.col(key).alias("p_partkey"), F.array_join(t, "|").alias("tokens"), F.size(t).cast("long").alias("n"))
+
+    return tokens("part", "p_partkey", "p_name").unionByName(tokens("customer", "c_custkey", "c_name"))
+
+
+@query(rf"""SELECT doc_id, count(*) AS identifiers, sum(n)::BIGINT AS total_tokens, round(sum(n) / count(*), 3)::DOUBLE AS mean_tokens
+FROM (SELECT doc_id, greatest(1, len({_SPLIT.format(c='w')})) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS w FROM documents)) GROUP BY doc_id HAVING count(*) >= 5 AND sum(n) / count(*) >= 1""")
+def verbosity(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found("[A-Za-z_]+")).alias("w"))
+    n = F.greatest(F.lit(1), F.size(fn.split_identifier(F.col("w"))))
+    means = words.groupBy("doc_id").agg(F.count("*").alias("identifiers"), F.sum(n).alias("total_tokens"))
+    mean = F.col("total_tokens") / F.col("identifiers")
+    return means.filter((F.col("identifiers") >= 5) & (mean >= 1)).withColumn("mean_tokens", F.round(mean, 3))
+
+
+@query(r"""SELECT doc_id, count(*) FILTER (WHERE length(w) <= 2 AND lower(w) NOT IN ('of','to','in','de','is')) AS short, count(*) AS total,
+round(count(*) FILTER (WHERE length(w) <= 2 AND lower(w) NOT IN ('of','to','in','de','is')) / count(*), 4)::DOUBLE AS density
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents) GROUP BY doc_id HAVING count(*) >= 5 AND density > 0.1""")
+def tersity(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found(WORDS)).alias("w"))
+    short = (F.length("w") <= 2) & ~F.lower("w").isin("of", "to", "in", "de", "is")
+    out = words.groupBy("doc_id").agg(F.count_if(short).alias("short"), F.count("*").alias("total")).filter("total >= 5")
+    return out.withColumn("density", F.round(F.col("short") / F.col("total"), 4)).filter("density > 0.1")
+
+
+_TRIVIAL = "(CASE WHEN n NOT LIKE '%.%' AND try_cast(n AS BIGINT) IS NOT NULL THEN try_cast(n AS BIGINT) IN (0, 1, -1, 2) ELSE coalesce(try_cast(n AS DOUBLE) IN (0.0, 1.0, -1.0, 0.5, 2.0, 100.0), false) END)"
+
+
+@query(rf"SELECT doc_id, count(DISTINCT n) AS distinct_count, string_agg(DISTINCT n, '|' ORDER BY n) AS literals FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS n FROM documents) WHERE NOT {_TRIVIAL} GROUP BY doc_id HAVING count(DISTINCT n) > 3")
+def magic_literals(spark, sf_dir):
+    numbers = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found(NUMBERS)).alias("n")).filter(~fn.is_trivial_number(F.col("n")))
+    out = numbers.groupBy("doc_id").agg(F.sort_array(F.collect_set("n")).alias("l"))
+    return out.filter(F.size("l") > 3).select("doc_id", F.size("l").cast("long").alias("distinct_count"), F.array_join("l", "|").alias("literals"))
+
+
+_LINES = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents"
+
+
+def _lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content")).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), "content")
+
+
+@query(rf"SELECT doc_id, line, content FROM ({_LINES}) WHERE regexp_matches(content, '\bthe\b.*\bof\b') AND NOT contains(content, '|')")
+def text_search(spark, sf_dir):
+    return _lines(spark, sf_dir).filter(F.col("content").rlike(r"\bthe\b.*\bof\b") & ~F.col("content").contains("|")).select("doc_id", "line", "content")
+
+
+@query(rf"""WITH l AS ({_LINES}), spans AS (SELECT doc_id, min(line) AS first, max(line) AS last, (line - 1) // 5 AS span FROM l GROUP BY doc_id, (line - 1) // 5)
+SELECT doc_id, span::BIGINT AS span, count(*) AS dividers, string_agg(l.line::VARCHAR, '|' ORDER BY l.line) AS divider_lines
+FROM spans JOIN l USING (doc_id) WHERE l.line BETWEEN first AND last AND length(content) < 40 GROUP BY doc_id, span HAVING count(*) > 2""")
+def section_lines(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    spans = lines.groupBy("doc_id", F.floor((F.col("line") - 1) / 5).alias("span")).agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    hits = lines.filter(F.length("content") < 40).join(spans, "doc_id").filter("line between first and last")
+    out = hits.groupBy("doc_id", "span").agg(F.sort_array(F.collect_list("line")).alias("l"))
+    return out.filter(F.size("l") > 2).select("doc_id", "span", F.size("l").cast("long").alias("dividers"), F.array_join(F.col("l").cast("array<string>"), "|").alias("divider_lines"))
+
+
+@query(rf"SELECT doc_id, count(*) FILTER (WHERE regexp_matches(content, '[!|$#]')) AS escapes, count(*) FILTER (WHERE regexp_matches(content, '\p{{L}}')) AS total, round(count(*) FILTER (WHERE regexp_matches(content, '[!|$#]')) / count(*) FILTER (WHERE regexp_matches(content, '\p{{L}}')), 4)::DOUBLE AS density FROM ({_LINES}) GROUP BY doc_id HAVING total >= 5")
+def escape_density(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    out = lines.groupBy("doc_id").agg(F.count_if(F.col("content").rlike(r"[!|$#]")).alias("escapes"), F.count_if(F.col("content").rlike(r"\p{L}")).alias("total")).filter("total >= 5")
+    return out.withColumn("density", F.round(F.try_divide("escapes", "total"), 4))
+
+
+@query(r"SELECT doc_id, count(*) FILTER (WHERE regexp_matches(content, '^[A-Z]')) AS definitions, any_value(loc)::BIGINT AS loc FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS loc FROM documents) GROUP BY doc_id HAVING definitions > 3")
+def top_level_count(spark, sf_dir):
+    loc = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + F.when((F.col("text") == "") | F.col("text").endswith("\n"), 0).otherwise(1)
+    definitions = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("^[A-Z]")))
+    return read(spark, sf_dir, "documents").select("doc_id", definitions.cast("long").alias("definitions"), loc.cast("long").alias("loc")).filter("definitions > 3")
+
+
+_CHURN = "SELECT l_partkey, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS insertions, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS deletions, count(*) AS commit_count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_partkey"
+
+
+def _churned(spark, sf_dir):
+    quantity, back = F.col("l_quantity").cast("long"), F.col("l_returnflag") == "R"
+    return tables.churn(read(spark, sf_dir, "lineitem"), "l_partkey", F.when(~back, quantity).otherwise(0), F.when(back, quantity).otherwise(0), "l_shipdate")
+
+
+@query(f"SELECT l_partkey, insertions, deletions, commit_count, strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM ({_CHURN})")
+def churn_per_entity(spark, sf_dir):
+    return _churned(spark, sf_dir).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_seen", "last_seen")})
+
+
+_JOINED = f"""SELECT coalesce(p_partkey, l_partkey) AS key, p_size::BIGINT AS sum_ccx, insertions, deletions, commit_count,
+CASE WHEN commit_count IS NULL THEN 'no_churn' WHEN p_size IS NULL THEN 'no_functions' WHEN commit_count < 20 THEN 'below_min_commits' END AS reject
+FROM (SELECT * FROM part WHERE p_size > 5) FULL OUTER JOIN ({_CHURN}) ON p_partkey = l_partkey"""
+
+
+def _joined(spark, sf_dir):
+    ccx = read(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("long").alias("sum_ccx"))
+    return tables.hotspot_join(ccx, _churned(spark, sf_dir).withColumnRenamed("l_partkey", "key").drop("first_seen", "last_seen"), "key", 20)
+
+
+@query(_JOINED)
+def hotspot_join(spark, sf_dir):
+    return _joined(spark, sf_dir)
+
+
+_QUAD = f"""WITH j AS (SELECT key, sum_ccx, insertions - deletions AS loc_delta, commit_count FROM ({_JOINED}) WHERE reject IS NULL),
+c AS (SELECT quantile_disc(sum_ccx, 0.75) AS cx, quantile_disc(loc_delta, 0.75) AS cy, count(*) AS n FROM j)
+SELECT key, sum_ccx, loc_delta, sum_ccx * greatest(0, loc_delta) AS score,
+CASE WHEN n < 8 THEN 'insufficient_data' WHEN sum_ccx >= cx AND loc_delta >= cy THEN 'hotspot' WHEN sum_ccx >= cx THEN 'complex_stable' WHEN loc_delta >= cy THEN 'simple_churning' ELSE 'calm' END AS quadrant FROM j, c"""
+
+
+def _quadrants(spark, sf_dir):
+    rows = _joined(spark, sf_dir).filter("reject is null").select("key", "sum_ccx", (F.col("insertions") - F.col("deletions")).alias("loc_delta"))
+    return tables.quadrants(rows.withColumn("score", F.col("sum_ccx") * F.greatest(F.lit(0), "loc_delta")), "sum_ccx", "loc_delta")
+
+
+@query(f"SELECT key, sum_ccx, loc_delta, score, quadrant, CASE WHEN max(score) OVER () > 0 THEN round(score / max(score) OVER () * 100, 2)::DOUBLE END AS normalized FROM ({_QUAD})")
+def hotspot_quadrants(spark, sf_dir):
+    rows = _quadrants(spark, sf_dir)
+    top = rows.agg(F.max("score").alias("top"))  # one row
+    return rows.crossJoin(F.broadcast(top)).withColumn("normalized", F.when(F.col("top") > 0, F.round(F.col("score") / F.col("top") * 100, 2))).drop("top")
+
+
+@query(f"SELECT q.quadrant, count(x.key) AS n FROM (VALUES ('hotspot'), ('complex_stable'), ('simple_churning'), ('calm'), ('insufficient_data')) q(quadrant) LEFT JOIN ({_QUAD}) x USING (quadrant) GROUP BY 1")
+def quadrant_histogram(spark, sf_dir):
+    return tables.histogram(_quadrants(spark, sf_dir).select("quadrant"), "quadrant", ["hotspot", "complex_stable", "simple_churning", "calm", "insufficient_data"])
+
+
+@query("SELECT o_custkey, count(*) AS function_count, max(round(o_totalprice)::BIGINT) AS max_ccx, round(sum(round(o_totalprice)::BIGINT) / count(*), 2)::DOUBLE AS mean_ccx, sum(round(o_totalprice)::BIGINT)::BIGINT AS sum_ccx, count(*) FILTER (WHERE o_totalprice > 300000) AS untestable_count FROM orders GROUP BY o_custkey")
+def file_rollup(spark, sf_dir):
+    p = F.round("o_totalprice").cast("long")
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("function_count"), F.max(p).alias("max_ccx"), F.round(F.sum(p) / F.count("*"), 2).alias("mean_ccx"), F.sum(p).alias("sum_ccx"), F.count_if(F.col("o_totalprice") > 300000).alias("untestable_count"))
+
+
+@query("""WITH s AS (SELECT event_id AS span_id, user_id, ts AS t0, ts + CASE event_type WHEN 'click' THEN INTERVAL 6 HOUR ELSE INTERVAL 30 HOUR END AS t1 FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT event_id, arg_min(span_id, (epoch_us(t1) - epoch_us(t0)) * 1000000 + span_id) AS span_id FROM events e JOIN s ON e.user_id = s.user_id AND e.ts BETWEEN t0 AND t1 GROUP BY event_id""")
+def innermost_container(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    long = F.when(F.col("event_type") == "click", F.expr("interval 6 hours")).otherwise(F.expr("interval 30 hours"))
+    spans = events.filter("event_type in ('click', 'purchase')").select(F.col("event_id").alias("span_id"), "user_id", F.col("ts").alias("t0"), (F.col("ts") + long).alias("t1"))
+    return tables.innermost(events, spans, "user_id", "ts", "t0", "t1", "event_id", "span_id")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey AS unit, l_partkey % 40 AS item FROM lineitem), z AS (SELECT grp, unit, count(*) AS size FROM u GROUP BY 1, 2),
+p AS (SELECT a.grp, a.unit AS unit_a, b.unit AS unit_b, count(*) AS shared FROM u a JOIN u b ON a.grp = b.grp AND a.item = b.item AND a.unit < b.unit GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT p.grp, unit_a, unit_b, shared, round(shared / greatest(x.size, y.size), 3)::DOUBLE AS score FROM p JOIN z x ON p.grp = x.grp AND unit_a = x.unit JOIN z y ON p.grp = y.grp AND unit_b = y.unit WHERE round(shared / greatest(x.size, y.size), 3) >= 0.5""")
+def sibling_overlap(spark, sf_dir):
+    uses = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_orderkey").alias("unit"), (F.col("l_partkey") % 40).alias("item"))
+    return tables.sibling_overlap(uses, "grp", "unit", "item", 2, 0.5)
+
+
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '://[^/]+/([^?#]*)', 1) AS path FROM pages),
+refs AS (SELECT DISTINCT page_id AS src, lower(rtrim(ltrim(h, '/'), '/.,')) AS module FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)),
+names AS (SELECT lower(regexp_extract(path, '^([^/]*)', 1)) AS stem, min(page_id) AS page FROM p GROUP BY 1)
+SELECT src, module, page AS dst, CASE WHEN page IS NULL THEN 'external' ELSE 'stem' END AS kind FROM refs LEFT JOIN names ON module = stem WHERE page IS NULL OR page <> src""")
+def edge_resolution(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    refs = pages.select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    refs = refs.select("src", F.lower(F.regexp_replace(F.regexp_replace("h", "^/+", ""), r"[/.,]+$", "")).alias("module")).distinct()
+    path = F.regexp_extract("url", "://[^/]+/([^?#]*)", 1)
+    names = pages.groupBy(F.lower(F.regexp_extract(path, "^([^/]*)", 1)).alias("stem")).agg(F.min("page_id").alias("dst"))
+    out = refs.join(names, refs["module"] == names["stem"], "left").filter("dst is null or dst <> src")
+    return out.select("src", "module", "dst", F.when(F.col("dst").isNull(), "external").otherwise("stem").alias("kind"))
+
+
+_EDGES = "SELECT DISTINCT 'u' || (user_id % 40) AS src, 'u' || (lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) % 40) AS dst FROM events WHERE event_type = 'error' QUALIFY dst IS NOT NULL"
+
+
+def _edges(spark, sf_dir):
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").filter("event_type = 'error'").select((F.col("user_id") % 40).alias("a"), (F.lead("user_id").over(w) % 40).alias("b"))
+    return e.filter("b is not null").select(F.concat(F.lit("u"), F.col("a")).alias("src"), F.concat(F.lit("u"), F.col("b")).alias("dst")).distinct()
+
+
+@query(f"WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS ca, (SELECT count(*) FROM e WHERE src = node) AS ce FROM n) SELECT node, ca, ce, ce::DOUBLE / (ca + ce) AS instability FROM d")
+def dep_degrees(spark, sf_dir):
+    return tables.degrees(_edges(spark, sf_dir))
+
+
+_FREQUENT = "SELECT src, dst FROM (SELECT event_type || (user_id % 7) AS src, lead(event_type || (user_id % 7)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2 HAVING count(*) >= (SELECT count(*) // 260 FROM events)"
+
+
+@query(f"""WITH RECURSIVE e AS ({_FREQUENT}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1""")
+def dep_cycles(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    name = F.concat("event_type", F.col("user_id") % 7)
+    events = read(spark, sf_dir, "events")
+    pairs = events.select(name.alias("src"), F.lead(name).over(w).alias("dst")).filter("dst is not null and src <> dst").groupBy("src", "dst").count()
+    return tables.cycles(pairs.filter(F.col("count") >= events.count() // 260).select("src", "dst"))
+
+
+_PACKAGES = """WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND l_quantity > 45),
+t AS (SELECT c_nationkey AS node, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal < 0) AS na, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal >= 0) AS nc FROM customer GROUP BY 1),
+d AS (SELECT n_nationkey AS node, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS ca, (SELECT count(*) FROM e WHERE src = n_nationkey) AS ce FROM nation),
+m AS (SELECT node, ca, ce, coalesce(na, 0) AS na, coalesce(nc, 0) AS nc, CASE WHEN ca + ce > 0 THEN ce::DOUBLE / (ca + ce) END AS i, CASE WHEN coalesce(na, 0) + coalesce(nc, 0) > 0 THEN na::DOUBLE / (na + nc) END AS a FROM d LEFT JOIN t USING (node))
+SELECT node, ca, ce, na, nc, round(i, 6) AS instability, round(a, 6) AS abstractness, round(abs(a + i - 1), 6) AS distance,
+CASE WHEN i IS NULL OR a IS NULL THEN 'unknown' WHEN i < 0.3 AND a < 0.3 THEN 'pain' WHEN i > 0.7 AND a > 0.7 THEN 'uselessness' WHEN abs(a + i - 1) >= 0.5 THEN 'warning' WHEN abs(a + i - 1) < 0.2 THEN 'clean' ELSE 'ok' END AS zone FROM m"""
+
+
+@query(_PACKAGES)
+def package_distance(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer")
+    lines = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_suppkey")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer.select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
+    edges = edges.join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey")).filter("src <> dst")
+    kinds = customer.groupBy(F.col("c_nationkey").alias("node")).agg(F.count_distinct(F.when(F.col("c_acctbal") < 0, F.col("c_custkey"))).alias("na"), F.count_distinct(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey"))).alias("nc"))
+    nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    m = nodes.join(tables.degrees(edges), "node", "left").join(kinds, "node", "left").na.fill(0, ["ca", "ce", "na", "nc"])
+    i, a = fn.instability(F.col("ca"), F.col("ce")), fn.abstractness(F.col("na"), F.col("nc"))
+    d = F.abs(a + i - 1)
+    return m.select("node", "ca", "ce", "na", "nc", F.round(i, 6).alias("instability"), F.round(a, 6).alias("abstractness"), F.round(d, 6).alias("distance"), fn.package_zone(i, a, d).alias("zone"))
+
+
+@query("SELECT conv_id || ':' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations")
+def inheritance_depth(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    name = F.concat_ws(":", "conv_id", "turn")
+    rows = read(spark, sf_dir, "conversations").select(name.alias("id"), F.lag(name).over(w).alias("parent"))
+    return tables.depth(rows)
+
+
+@query("SELECT r_name AS parent, count(*) AS noc FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def inheritance_children(spark, sf_dir):
+    return read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("parent")).agg(F.count("*").alias("noc"))
+
+
+@query("SELECT o_orderkey, count(DISTINCT s_nationkey) AS cbo FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) > 6")
+def coupling(spark, sf_dir):
+    own = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    used = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    both = own.join(used, F.col("o_orderkey") == F.col("l_orderkey")).filter("s_nationkey <> c_nationkey")
+    return both.groupBy("o_orderkey").agg(F.count_distinct("s_nationkey").alias("cbo")).filter("cbo > 6")
+
+
+@query("SELECT role AS name, sum(length(text))::BIGINT AS wmc, count(*) AS method_count, max(turn) AS max_turn, min(conv_id) AS first_file, (arg_min(turn, conv_id * 1000 + turn))::BIGINT AS first_line FROM conversations GROUP BY 1")
+def open_class_merge(spark, sf_dir):
+    place = F.struct("conv_id", "turn")
+    rows = read(spark, sf_dir, "conversations").groupBy(F.col("role").alias("name")).agg(F.sum(F.length("text")).alias("wmc"), F.count("*").alias("method_count"), F.max("turn").alias("max_turn"), F.min(place).alias("p"))
+    return rows.select("name", "wmc", "method_count", "max_turn", F.col("p.conv_id").alias("first_file"), F.col("p.turn").alias("first_line"))
+
+
+@query("""SELECT p_partkey, p_name AS symbol, 0::BIGINT AS refs, CASE WHEN s >= 3 THEN 'high' WHEN s >= 1 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT *, 3 - CASE WHEN length(p_name) <= 4 THEN 2 WHEN length(p_name) <= 7 THEN 1 ELSE 0 END - CASE WHEN p_type = 'ECONOMY' THEN 2 ELSE 0 END - CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS s FROM part)
+WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-07-01' AND l_shipdate < TIMESTAMP '2000-09-01')""")
+def orphan_symbols(spark, sf_dir):
+    refs = read(spark, sf_dir, "lineitem").filter("l_shipdate >= timestamp'2000-07-01' and l_shipdate < timestamp'2000-09-01'").select(F.col("l_partkey").alias("p_partkey"))
+    out = tables.orphans(read(spark, sf_dir, "part"), refs, "p_partkey")
+    return out.select("p_partkey", F.col("p_name").alias("symbol"), "refs", fn.confidence(F.col("p_name"), F.col("p_size") > 40, F.col("p_type") == "ECONOMY").alias("confidence"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS cardinality, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS literals FROM events WHERE value > 60 GROUP BY 1 HAVING count(DISTINCT event_type) <= 4")
+def sentinel_columns(spark, sf_dir):
+    out = read(spark, sf_dir, "events").filter("value > 60").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("l"))
+    return out.filter(F.size("l") <= 4).select("user_id", F.size("l").cast("long").alias("cardinality"), F.array_join("l", "|").alias("literals"))
+
+
+@query("""WITH s AS (SELECT 1 AS depth, 'small red ring' AS scope UNION ALL SELECT 2, 'blue small widget')
+SELECT p_partkey, arg_max(scope, depth) AS scope FROM part, s WHERE len(list_intersect(string_split(p_name, ' '), string_split(scope, ' '))) >= 2 GROUP BY 1""")
+def stutter_overlap(spark, sf_dir):
+    scopes = spark.createDataFrame([(1, "small red ring"), (2, "blue small widget")], "depth int, scope string")
+    near = read(spark, sf_dir, "part").crossJoin(F.broadcast(scopes)).filter(F.size(F.array_intersect(F.split("p_name", " "), F.split("scope", " "))) >= 2)
+    return near.groupBy("p_partkey").agg(F.max_by("scope", "depth").alias("scope"))
+
+
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS enclosing,
+count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS nested FROM conversations""")
+def local_nested(spark, sf_dir):
+    by = Window.partitionBy("conv_id")
+    so_far = by.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(so_far).alias("enclosing"), F.count_if(F.col("role") == "assistant").over(by).alias("nested"))
+
+
+@query("""SELECT user_id, count(*) FILTER (WHERE inside) AS inside, count(*) AS total FROM (SELECT user_id, coalesce(sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS inside FROM events) GROUP BY 1""")
+def block_state(spark, sf_dir):
+    rows = tables.block_state(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "error")
+    return rows.groupBy("user_id").agg(F.count_if("inside").alias("inside"), F.count("*").alias("total"))
+
+
+RULES = [("documents.length", "error"), ("documents.lines", "warning"), ("orders.price", "error")]
+WAIVERS = [
+    {"id": "w1", "path": "doc/1*", "rule": "documents.length", "reason": "old", "allow_up_to": 20000},
+    {"id": "w2", "path": "doc/*5", "rule": "documents.*", "reason": "all", "expires": "2026-01-31"},
+    {"id": "w3", "path": "doc/*7", "rule": "documents.*", "reason": "gone", "expires": "2025-12-31"},
+    {"id": "w4", "path": "*/2?", "rule": "*", "reason": "short"},
+]
+TODAY = "2026-01-15"
+
+_FOUND = r"""SELECT 'documents.length' AS rule, 'doc/' || doc_id AS file, 'error' AS severity, length(text)::DOUBLE AS value, 8000.0::DOUBLE AS threshold FROM documents WHERE length(text) > 8000
+UNION ALL SELECT 'documents.lines', 'doc/' || doc_id, 'warning', (length(text) - length(replace(text, chr(10), '')))::DOUBLE, 15.0 FROM documents WHERE length(text) - length(replace(text, chr(10), '')) > 15
+UNION ALL SELECT 'orders.price', 'order/' || o_orderkey, 'error', o_totalprice, 495000.0 FROM orders WHERE o_totalprice > 495000"""
+_WAIVED = f"""SELECT *, CASE WHEN rule = 'documents.length' AND file LIKE 'doc/1%' AND value <= 20000 THEN 'w1' WHEN rule LIKE 'documents.%' AND file LIKE 'doc/%5' THEN 'w2' WHEN regexp_matches(file, '^.*/2.$') THEN 'w4' END AS waiver FROM ({_FOUND})"""
+
+
+def _violations(spark, sf_dir):
+    docs, orders = read(spark, sf_dir, "documents"), read(spark, sf_dir, "orders")
+    file = F.concat(F.lit("doc/"), F.col("doc_id"))
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    found = [
+        rules.violations(docs, "documents.length", file, F.length("text"), 8000), rules.violations(docs, "documents.lines", file, lines, 15, "warning"),
+        rules.violations(orders, "orders.price", F.concat(F.lit("order/"), F.col("o_orderkey")), F.col("o_totalprice"), 495000),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).drop("line", "symbol")
+
+
+@query(_FOUND)
+def lint_union(spark, sf_dir):
+    return _violations(spark, sf_dir)
+
+
+@query(_WAIVED)
+def waivers_applied(spark, sf_dir):
+    return rules.waived(_violations(spark, sf_dir), WAIVERS, TODAY)
+
+
+_PER_RULE = f"SELECT r.rule, r.severity, count(x.rule) FILTER (WHERE waiver IS NULL) AS violations, count(waiver) AS waived, CASE WHEN count(x.rule) FILTER (WHERE waiver IS NULL) > 0 THEN 'fail' ELSE 'pass' END AS status FROM (VALUES ('documents.length', 'error'), ('documents.lines', 'warning'), ('orders.price', 'error')) r(rule, severity) LEFT JOIN ({_WAIVED}) x USING (rule) GROUP BY 1, 2"
+
+
+@query(_PER_RULE)
+def rule_verdicts(spark, sf_dir):
+    return rules.verdicts(waivers_applied(spark, sf_dir), RULES)
+
+
+@query(f"SELECT sum(violations) FILTER (WHERE severity = 'error')::BIGINT AS violations, sum(violations) FILTER (WHERE severity <> 'error')::BIGINT AS advisories, sum(waived)::BIGINT AS waived, CASE WHEN sum(violations) FILTER (WHERE severity = 'error') > 0 THEN 'fail' ELSE 'pass' END AS result FROM ({_PER_RULE})")
+def verdict(spark, sf_dir):
+    return rules.run_verdict(rule_verdicts(spark, sf_dir))
+
+
+@query(f"SELECT rule, file, value, nth::INTEGER AS nth, greatest(total - 5, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY value DESC, file) AS nth, count(*) OVER (PARTITION BY rule) AS total FROM ({_FOUND})) WHERE nth <= 5")
+def top_n_report(spark, sf_dir):
+    return rules.top_n(_violations(spark, sf_dir)).select("rule", "file", "value", "nth", "more")
+
+
+@query("SELECT * FROM (VALUES ('a.b.c', true, 'warning'), ('a.b.d', false, 'error'), ('a.e', false, 'warning'), ('f', true, 'error')) t(rule, enabled, severity)")
+def config_layers(spark, sf_dir):
+    base = {r: {"enabled": True, "severity": "error", "threshold": 1} for r in ("a.b.c", "a.b.d", "a.e", "f")}
+    over = {"a": {"enabled": False, "severity": "warning", "threshold": 9}, "a.b": {"severity": "error"}, "a.b.c": {"enabled": True, "severity": "warning"}}
+    return rules.config_rows(spark, rules.effective(base, over))
+
+
+@query("SELECT event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def counts_by_kind(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query(r"""WITH defs AS (SELECT doc_id, min(line) AS line, regexp_extract(content, '^(\p{L}+)', 1) AS symbol FROM (""" + _LINES + r""") WHERE regexp_matches(content, '^\p{L}{9,}') GROUP BY doc_id, symbol),
+uses AS (SELECT doc_id, line, unnest(list_distinct(regexp_extract_all(content, '\p{L}{9,}'))) AS symbol FROM (""" + _LINES + r"""))
+SELECT u.symbol, u.doc_id, u.line, CASE WHEN d.symbol IS NULL THEN 'reference' ELSE 'definition' END AS kind FROM uses u LEFT JOIN defs d ON u.symbol = d.symbol AND u.doc_id = d.doc_id AND u.line = d.line WHERE u.symbol IN (SELECT symbol FROM defs)""")
+def usages(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    defs = lines.select("doc_id", "line", F.regexp_extract("content", r"^(\p{L}{9,})", 1).alias("symbol")).filter("symbol <> ''").groupBy("doc_id", "symbol").agg(F.min("line").alias("line"))
+    uses = lines.select("doc_id", "line", F.explode(F.array_distinct(_found(r"\p{L}{9,}", "content"))).alias("symbol")).join(defs.select("symbol"), "symbol", "left_semi")
+    return uses.join(defs.withColumn("kind", F.lit("definition")), ["symbol", "doc_id", "line"], "left").select("symbol", "doc_id", "line", F.coalesce("kind", F.lit("reference")).alias("kind"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
