@@ -127,7 +127,7 @@ def differences(pairs: DataFrame) -> DataFrame:
             return done
         if width > 1 << 12:
             raise RuntimeError("sketches don't peel")
-        rows = common.materialize(rows.join(stuck, "id", "left_semi"))
+        rows = common.materialize(rows.join(stuck.hint("merge"), "id", "left_semi"))
         width, seed = width * 2, seed + 1
 
 
@@ -176,16 +176,19 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = rows.select("id", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("u"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("v"))
     rows = common.materialize(rows)
     own, edited, after = (sketch(F.col(c), CELLS) for c in "uev")
-    tables = rows.select("id", "u", "e", "v", own.alias("su"), edited.alias("se"), after.alias("sv"))
-    first = tables.select("id", "u", "e", "v", counted(peeled(subtracted(F.col("su"), F.col("se")), CELLS)).alias("re"), counted(peeled(subtracted(F.col("su"), F.col("sv")), CELLS)).alias("rv"))
-    tried = common.materialize(first.select("id", "re", "rv"))
-    again = rows.join(tried, "id").select("u", F.explode(F.array(F.struct((F.col("id") * 2).alias("id"), F.col("e").alias("y"), F.col("re.ok").alias("ok")), F.struct((F.col("id") * 2 + 1).alias("id"), F.col("v").alias("y"), F.col("rv.ok").alias("ok")))).alias("p"))
-    more = differences(common.materialize(again.filter("not p.ok").select("p.id", F.col("u").alias("x"), "p.y")))
+    keep = ["id", "doc_id", "n_chars", "edited_sha256", "u", "e", "v"]
+    tables = rows.select(*keep, own.alias("su"), edited.alias("se"), after.alias("sv"))
+    tried = common.materialize(tables.select(*keep, counted(peeled(subtracted(F.col("su"), F.col("se")), CELLS)).alias("re"), counted(peeled(subtracted(F.col("su"), F.col("sv")), CELLS)).alias("rv")))
+    common.discard(rows)
+    sides = [F.struct((F.col("id") * 2 + i).alias("id"), F.col(y).alias("y"), F.col(r).alias("r")) for i, (y, r) in enumerate((("e", "re"), ("v", "rv")))]
+    again = tried.select("u", F.explode(F.array(*sides)).alias("p")).filter("not p.r.ok").select("p.id", F.col("u").alias("x"), "p.y")
+    # peeling is the work here: many small parts, whatever the size of a file
+    more = differences(common.materialize(again.repartition(4 * common.shuffle_parts(docs.sparkSession), "id")))
     flat = tried.select(F.explode(F.array(F.struct((F.col("id") * 2).alias("id"), F.col("re").alias("r")), F.struct((F.col("id") * 2 + 1).alias("id"), F.col("rv").alias("r")))).alias("p"))
     every = flat.filter("p.r.ok").select("p.id", F.col("p.r.a").cast("long").alias("a"), F.col("p.r.b").cast("long").alias("b")).union(more)
     odd = F.pmod(F.col("id"), F.lit(2)) == 1
     wide = every.groupBy(F.floor(F.col("id") / 2).cast("long").alias("id")).agg(*[F.max(F.when(odd if s == "v" else ~odd, F.col(c))).alias(c + s) for s in "ev" for c in "ab"])
-    out = rows.join(wide, "id").withColumn("size", F.size("u"))
+    out = tried.drop("v", "re", "rv").join(wide.hint("merge"), "id").withColumn("size", F.size("u"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(sketch(F.col("u"), CELLS)).alias("fingerprint"), as_text(sketch(F.col("e"), CELLS)).alias("edited_fingerprint"),
         likeness(F.col("size"), F.col("ae"), F.col("be")).alias("near_edited"), likeness(F.col("size"), F.col("av"), F.col("bv")).alias("near_next"),
