@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import uuid
 
 import numpy as np
@@ -67,6 +68,13 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def lean() -> None:
+    """Drop what earlier work left in this Python worker: Spark reuses workers from stage to stage."""
+    tokens = sys.modules.get("codescope.llm.tokens")
+    if tokens is not None:
+        tokens.loaded.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser that spreads entropy over all 64 bits."""
     x = x ^ (x >> U64(32))

@@ -67,6 +67,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    common.lean()
     for batch in batches:
         sets: list[np.ndarray] = []
         for _, part in common.chunks_of(batch.column("_text").cast(pa.binary()).to_pylist(), 1 << 20):
@@ -92,7 +93,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         for _, sets in _sets(batches):
             held += sets
             size += sum(map(len, sets))
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield flush()
                 held, size = [], 0
         if held:

@@ -110,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.nd
     sample = texts.join(F.broadcast(use), "doc_id").select(order.alias("o"), "label", F.encode("text", "UTF-8").alias("b"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean()
         rows = ((t, y) for batch in batches for t, y in zip(batch.column("b").to_pylist(), batch.column("label").to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
 
@@ -129,6 +130,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     raw = weights.tobytes()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean()
         w = np.frombuffer(raw, dtype=np.float32)
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]

@@ -192,6 +192,7 @@ def _batch(columns: dict, schema: str) -> pa.RecordBatch:
 
 def _anchor_rows(docs: DataFrame, min_len: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean()
         for batch in batches:
             ids = batch.column("_k").to_numpy()
             for at, part in common.chunks_of(batch.column("_text").cast(pa.binary()).to_pylist(), 1 << 20):

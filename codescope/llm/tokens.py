@@ -16,13 +16,15 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .common import PrefixHash
+
 _ODD = re.compile(r"[\x00\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]|<\|")
 #: Runs of white space with a blank, and white space at either end.
 _EDGE = re.compile(r"\A\s|\s\Z|\s | \s")
 _BREAKS = re.compile(r"(?<=\S)(\n)(?=\S)")
 #: Words kept per worker. Beyond it, words are learned for one batch only, which
 #: bounds memory; the words met first are the common ones.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 700_000
 
 
 class WordTokenizer:
@@ -152,11 +154,13 @@ class WordTokenizer:
         return np.concatenate(out), np.array([len(x) for x in out], dtype=np.int64)
 
 
-_loaded: dict[tuple[str, str], WordTokenizer] = {}
+loaded: dict[tuple[str, str], WordTokenizer] = {}
 
 
 def tokenizer(path: str, kind: str) -> WordTokenizer:
     """One tokenizer per Python worker; workers are reused between tasks."""
-    if (path, kind) not in _loaded:
-        _loaded[path, kind] = WordTokenizer(path, kind)
-    return _loaded[path, kind]
+    if (path, kind) not in loaded:
+        loaded.clear()
+        PrefixHash._powers.clear()
+        loaded[path, kind] = WordTokenizer(path, kind)
+    return loaded[path, kind]
