@@ -110,7 +110,7 @@ class PrefixHash:
         have = cls._powers.get(seed)
         if have is None or len(have[0]) < n:
             base = int(byte_table(seed + 1000)[0]) | 5
-            size = max(n, 1 << 16)
+            size = 1 << max(16, (n - 1).bit_length())
             up, down = (np.full(size, b, dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
             up[0] = down[0] = 1
             have = cls._powers[seed] = (np.cumprod(up), np.cumprod(down))
