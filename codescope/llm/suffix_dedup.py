@@ -402,7 +402,7 @@ def strip_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str | None] = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 if found and text:
                     raw = text.encode()
                     text = _without(raw, _whole_characters(raw, _merged(found))).decode()
@@ -412,7 +412,8 @@ def strip_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    joined = keyed.join(spans, F.col("_k") == F.col("k"), "left").select(*[keyed[c] for c in names], "spans")
+    spans = spans.select(F.col("k").alias("_span_k"), F.col("spans").alias("_spans"))
+    joined = keyed.join(spans, F.col("_k") == F.col("_span_k"), "left").select(*names, "_spans")
     return joined.mapInArrow(cut, schema)
 
 

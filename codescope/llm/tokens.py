@@ -149,7 +149,7 @@ class WordTokenizer:
         ends = cum[np.cumsum([len(split[i]) for i in plain], dtype=np.int64)]
         if not rest:
             return flat, np.diff(ends, prepend=0)
-        for i, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        for i, a, b in zip(plain, [0, *ends.tolist()], ends.tolist(), strict=False):
             out[i] = flat[a:b]
         return np.concatenate(out), np.array([len(x) for x in out], dtype=np.int64)
 
