@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE}
+    return {"op7_chat_formatting": chat.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
