@@ -144,7 +144,8 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     pairs = pairs.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("salt"))
     need = pairs.select(F.col("b").alias("k"), "a", "salt", F.lit(1).alias("role")).union(pairs.select("a", "a", "salt", F.lit(0)).distinct())
-    rows = need.join(texts, "k").select("a", "salt", "role", "k", "_text")
+    # texts are shuffled at any size: pairs have no size bound to broadcast behind
+    rows = need.hint("merge").join(texts, "k").select("a", "salt", "role", "k", "_text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = components_of(docs)
     best = whole.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "_k")).alias("b")).select("b._k")
     stay = common.materialize(best.union(whole.filter("comp is null").select("_k")).distinct())
-    rows = docs.withColumn("_k", row_key(docs)).join(stay, "_k", "left_semi")
+    rows = docs.withColumn("_k", row_key(docs)).join(stay.hint("merge"), "_k", "left_semi")
     if not whole.filter("comp is not null").groupBy("_k").count().filter("count > 1").isEmpty():
         words = F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
         rows = rows.filter(words).dropDuplicates(["_k"]).union(rows.filter(~words))
