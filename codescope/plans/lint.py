@@ -19,6 +19,7 @@ DEFAULTS: dict[str, dict] = {
     "structural.class.coupling": {"enabled": True, "severity": "error", "threshold": 8},
     "structural.class.inheritance.depth": {"enabled": True, "severity": "error", "threshold": 4},
     "structural.class.inheritance.children": {"enabled": True, "severity": "error", "threshold": 10},
+    "structural.packages": {"enabled": True, "severity": "warning", "threshold": 0.7, "fail_on_zone": ["pain"]},
     "structural.deps": {"enabled": True, "severity": "error", "threshold": 0},
     "structural.local_imports": {"enabled": True, "severity": "warning", "threshold": 0},
     "structural.redundancy": {"enabled": True, "severity": "warning", "min_shared": 3, "threshold": 0.5},
@@ -27,14 +28,18 @@ DEFAULTS: dict[str, dict] = {
     "structural.types.escape_hatches": {"enabled": True, "severity": "warning", "threshold": 0.30, "min_annotations": 5},
     "structural.duplication": {"enabled": True, "severity": "warning", "threshold": 2, "min_leaf_nodes": 10},
     "structural.god_module": {"enabled": True, "severity": "warning", "threshold": 20},
+    "structural.orphans": {"enabled": False, "severity": "warning", "threshold": 0, "min_confidence": "high"},
     "information.volume": {"enabled": True, "severity": "error", "threshold": 1500, "alpha": 0.0},
     "information.difficulty": {"enabled": True, "severity": "error", "threshold": 30},
     "information.magic_literals": {"enabled": True, "severity": "warning", "threshold": 3},
     "information.section_comments": {"enabled": True, "severity": "warning", "threshold": 2},
+    "lexical.stutter": {"enabled": True, "severity": "warning", "threshold": 2},
     "lexical.verbosity": {"enabled": True, "severity": "warning", "threshold": 3.0, "min_identifiers": 5},
     "lexical.tersity": {"enabled": True, "severity": "warning", "threshold": 0.50, "max_len": 2, "min_identifiers": 5},
 }
 SHORT_NAMES = ["i", "j", "k", "x", "y", "z", "ok", "n"]
+ABSTRACT_BASES = ["ABC", "ABCMeta", "Protocol"]
+COMMON_NAMES = "run main setup init start stop get set update create delete load save process execute handle build parse check validate".split()
 BUILTINS = (
     "print len range sorted reversed enumerate zip map filter any all sum min max abs round list dict set tuple str int float bool isinstance issubclass type id hash repr "
     "getattr setattr hasattr delattr callable iter next open input super vars dir locals globals staticmethod classmethod property Exception ValueError TypeError KeyError "
@@ -77,6 +82,20 @@ class Metrics:
         found = imports.join(exact, "module", "left").withColumn("stem", F.regexp_extract("module", r"([^./]+)$", 1)).join(stems, "stem", "left")
         return found.select("src", F.coalesce("exact", "by_stem").alias("dst")).filter("dst is not null and dst <> src").distinct()
 
+    def packages(self) -> DataFrame:
+        """Coupling, abstractness, distance and zone of each directory with an ``__init__.py``."""
+        place = F.regexp_replace("path", "/?[^/]+$", "")
+        homes = self.files.filter(F.col("path").rlike(r"(^|/)__init__\.py$")).select(place.alias("node")).distinct()
+        of = self.files.select("path", place.alias("node")).join(homes, "node")
+        edges = self.import_edges().join(of.select(F.col("path").alias("src"), F.col("node").alias("a")), "src").join(of.select(F.col("path").alias("dst"), F.col("node").alias("b")), "dst")
+        degrees = tables.degrees(edges.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        abstract = F.arrays_overlap("bases", F.array(*map(F.lit, ABSTRACT_BASES)))
+        kinds = self.classes.join(of.select(F.col("path").alias("file"), "node"), "file").groupBy("node").agg(F.count_if(abstract).alias("na"), F.count_if(~abstract).alias("nc"))
+        m = homes.join(degrees, "node", "left").join(kinds, "node", "left").na.fill(0, ["ca", "ce", "na", "nc"])
+        i, a = fn.instability(F.col("ca"), F.col("ce")), fn.abstractness(F.col("na"), F.col("nc"))
+        d = F.abs(a + i - 1)
+        return m.withColumns({"instability": i, "abstractness": a, "distance": d, "zone": fn.package_zone(i, a, d)})
+
     def halstead(self) -> DataFrame:
         f = self.functions.filter((F.size("operators") > 0) | (F.size("operands") > 0))
         tokens = F.col("identifiers")
@@ -165,6 +184,30 @@ def _tersity(m: Metrics, c: dict, name: str) -> DataFrame:
     return _rule(m.functions.filter(n >= c["min_identifiers"]), name, c, F.round(short / n, 4))
 
 
+def _packages(m: Metrics, c: dict, name: str) -> DataFrame:
+    bad = m.packages().filter((F.col("distance") > c["threshold"]) | F.col("zone").isin(c["fail_on_zone"]))
+    return _rule(bad, name, {**c, "threshold": -1}, F.col("distance"), file="node", line=None, symbol=None).withColumn("threshold", F.lit(float(c["threshold"])))
+
+
+def _stutter(m: Metrics, c: dict, name: str) -> DataFrame:
+    """Identifiers that share tokens with their nearest scope that they share two with; one row for each name and function."""
+    words = m.functions.select("file", "line", "scopes", F.explode(F.array_distinct("identifiers")).alias("name")).filter(~F.col("name").rlike("^_(?!_)"))
+    shared = F.transform(F.reverse("scopes"), lambda s: F.size(F.array_intersect(fn.split_identifier(s), fn.split_identifier(F.col("name")))))
+    nearest = F.element_at(F.concat(F.filter(shared, lambda n: n >= 2), F.array(F.lit(0))), 1)
+    return _rule(words.withColumn("n", nearest).filter("n > 0"), name, c, F.col("n"), True)
+
+
+def _orphans(m: Metrics, c: dict, name: str) -> DataFrame:
+    """Symbols that no other file names; whole words, which is stricter than substrings."""
+    symbols = m.facts.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).select("file", "line", "name").dropDuplicates(["file", "name"])
+    words = m.lines().select(F.col("file").alias("user"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name")).distinct()
+    users = symbols.join(words, "name").filter("user <> file").groupBy("file", "name").agg(F.count("*").alias("refs"))
+    rows = symbols.join(users, ["file", "name"], "left").na.fill(0, ["refs"]).withColumn("confidence", fn.confidence(F.col("name"), F.lit(True), F.col("name").isin(COMMON_NAMES)))
+    levels = ["low", "medium", "high"]
+    rows = rows.filter(F.col("confidence").isin(levels[levels.index(c["min_confidence"]) :]) & (F.col("refs") <= c["threshold"]))
+    return _rule(rows, name, {**c, "threshold": -1}, F.col("refs")).withColumn("threshold", F.lit(float(c["threshold"])))
+
+
 BRANCHES = {
     "structural.complexity.cyclomatic": lambda m, c, name: _rule(m.functions, name, c, F.col("ccx")),
     "structural.complexity.cognitive": lambda m, c, name: _rule(m.functions, name, c, F.col("cog")),
@@ -173,6 +216,7 @@ BRANCHES = {
     "structural.class.coupling": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("cbo")),
     "structural.class.inheritance.depth": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("dit")),
     "structural.class.inheritance.children": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("noc")),
+    "structural.packages": _packages,
     "structural.deps": _cycles,
     "structural.local_imports": _local,
     "structural.redundancy": _redundancy,
@@ -181,10 +225,12 @@ BRANCHES = {
     "structural.types.escape_hatches": _hatches,
     "structural.duplication": _clones,
     "structural.god_module": lambda m, c, name: _rule(m.facts.filter("kind = 'module'"), name, c, F.col("definitions"), line=None, symbol=None),
+    "structural.orphans": _orphans,
     "information.volume": lambda m, c, name: _rule(m.halstead(), name, c, F.round(F.col("volume") * fn.terse_penalty(F.col("mean"), c["alpha"]), 2)),
     "information.difficulty": lambda m, c, name: _rule(m.halstead(), name, c, F.round("difficulty", 2)),
     "information.magic_literals": _literals,
     "information.section_comments": _sections,
+    "lexical.stutter": _stutter,
     "lexical.verbosity": _verbosity,
     "lexical.tersity": _tersity,
 }

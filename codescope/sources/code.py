@@ -25,6 +25,7 @@ def files(spark: SparkSession, root: str, globs: list[str] | None = None, exclud
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{re.escape(base)}/", "")
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+    rows = rows.unionByName(_underscored(spark, root))
     rows = rows.filter(~F.col("path").rlike(r"(^|/)\."))
     for g in excludes or []:
         rows = rows.filter(~F.col("path").rlike(glob_regex(g)))
@@ -34,6 +35,28 @@ def files(spark: SparkSession, root: str, globs: list[str] | None = None, exclud
     return rows.withColumn("lang", kinds[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))])
 
 
+def _underscored(spark: SparkSession, root: str) -> DataFrame:
+    """Source files whose names start with an underscore, such as package markers.
+
+    Spark's file sources leave them out, so the driver lists and reads them; they
+    are few and small beside the rest of a tree.
+    """
+    jvm, base = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, found, every = fs.makeQualified(base).toUri().getPath().rstrip("/"), [], fs.listFiles(base, True)
+    while every.hasNext():
+        status = every.next()
+        name = status.getPath().getName()
+        if name.startswith("_") and name.rsplit(".", 1)[-1].lower() in EXTENSIONS:
+            stream = fs.open(status.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            found.append((status.getPath().toUri().getPath().removeprefix(top + "/"), status.getLen(), text))
+    return spark.createDataFrame(found, "path string, size long, content string")
+
+
 def commits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Commits and churn of an exported log.
 

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 SCHEMA = """file string, kind string, name string, line int, end_line int, top boolean, owner string, ccx int, cog int, npath decimal(38,0),
 operators array<string>, operands array<string>, literals array<string>, identifiers array<string>, callees array<string>,
-mutations array<struct<param:string,method:string,line:int>>, sentinels array<struct<param:string,annotated:boolean>>, shape array<string>, bases array<string>, used array<string>, definitions int, loc int"""
+mutations array<struct<param:string,method:string,line:int>>, sentinels array<struct<param:string,annotated:boolean>>, shape array<string>, bases array<string>, used array<string>, scopes array<string>, definitions int, loc int"""
 MOST_PATHS = 10**37
 
 #: Operator words and signs, collection methods that change their object, their type names, names of string switches.
@@ -50,23 +50,24 @@ class Reader:
         loc = self.text.count("\n") + (0 if not self.text or self.text.endswith("\n") else 1)
         kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
         self.add("module", self.file, 1, len(self.lines), definitions=sum(isinstance(n, kinds) for n in self.tree.body), loc=loc)
-        self.visit(self.tree, None, True)
+        stem = self.file.rsplit("/", 1)[-1].removesuffix(".py")
+        self.visit(self.tree, None, True, [stem])
         return self.rows
 
     def add(self, kind: str, name: str, line: int, end: int, **facts) -> None:
         self.rows.append({"file": self.file, "kind": kind, "name": name, "line": line, "end_line": end, **facts})
 
-    def visit(self, node: ast.AST, owner: str | None, top: bool) -> None:
+    def visit(self, node: ast.AST, owner: str | None, top: bool, scopes: list[str]) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, FUNCTIONS):
-                self.function(child, top)
                 name = "<lambda>" if isinstance(child, ast.Lambda) else child.name
-                self.visit(child, name, False)
+                self.function(child, top, [*scopes, name])
+                self.visit(child, name, False, [*scopes, name])
             elif isinstance(child, ast.ClassDef):
                 used = sorted({n.id for n in ast.walk(child) if isinstance(n, ast.Name) and n.id[:1].isupper()})
                 methods = sum(isinstance(n, FUNCTIONS[:2]) for n in child.body)
                 self.add("class", child.name, child.lineno, child.end_lineno, bases=[b.id if isinstance(b, ast.Name) else b.attr for b in child.bases if isinstance(b, (ast.Name, ast.Attribute))], used=used, definitions=methods)
-                self.visit(child, owner, False)
+                self.visit(child, owner, False, [*scopes, child.name])
             else:
                 if isinstance(child, ast.Import):
                     for a in child.names:
@@ -75,9 +76,9 @@ class Reader:
                     self.add("import", child.module, child.lineno, child.end_lineno, owner=owner)
                 elif isinstance(child, ast.ImportFrom) and owner:
                     self.add("import", "." * child.level + (child.module or ""), child.lineno, child.end_lineno, owner=owner)
-                self.visit(child, owner, top and isinstance(node, ast.Module) and False)
+                self.visit(child, owner, False, scopes)
 
-    def function(self, f, top: bool) -> None:
+    def function(self, f, top: bool, scopes: list[str]) -> None:
         body = [f.body] if isinstance(f, ast.Lambda) else f.body
         self.ccx, self.cog = 1, 0
         for n in body:
@@ -95,7 +96,7 @@ class Reader:
         self.add(
             "function", "<lambda>" if isinstance(f, ast.Lambda) else f.name, f.lineno, f.end_lineno, top=top, ccx=self.ccx, cog=self.cog, npath=min(paths(body), MOST_PATHS), operators=operators, operands=operands,
             literals=texts, identifiers=names, callees=sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in calls if isinstance(c.func, (ast.Name, ast.Attribute))}),
-            mutations=changed, sentinels=switches, shape=[type(n).__name__ for n in every if not any(True for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.expr_context, ast.operator)))] + operators,
+            mutations=changed, sentinels=switches, scopes=scopes, shape=[type(n).__name__ for n in every if not any(True for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.expr_context, ast.operator)))] + operators,
         )
 
     def decide(self, n: ast.AST, depth: int, parent: ast.AST | None) -> None:

@@ -62,3 +62,20 @@ def test_commit_log(spark, tmp_path):
     commits, churn = code.commits(spark, str(log))
     assert sorted((r["commit"], r["parent_count"]) for r in commits.collect()) == [("aaa", 1), ("bbb", 2)]
     assert sorted((r["file"], r["insertions"], r["deletions"]) for r in churn.collect()) == [("a.py", 3, 1), ("a.py", 5, 0), ("b.bin", 0, 0)]
+
+
+def test_packages_stutter_and_orphans(spark, tmp_path):
+    root = tree(
+        tmp_path, **{"p_DIR___init__": "", "p_DIR_one": "import q.two\nclass Base(ABC): pass\nclass Kind(Base): pass\n", "q_DIR___init__": "", "q_DIR_two": "class Other: pass\n"},
+        node_vector="def node_vector_size(node_vector_len):\n    total_sum = 1\n    _node_vector = 2\n    return total_sum\n", user="from z import nothing_used\ndef lonely_name_here():\n    pass\n",
+    )
+    m = lint_plan.Metrics(spark, code.files(spark, root))
+    got = {r["node"]: r for r in m.packages().collect()}
+    assert (got["p"]["ce"], got["p"]["ca"], got["p"]["na"], got["p"]["nc"], got["p"]["instability"]) == (1, 0, 1, 1, 1.0)
+    assert (got["q"]["ca"], got["q"]["zone"]) == (1, "pain")
+    config = {"structural.orphans": {"enabled": True, "min_confidence": "medium"}}
+    found = {(r["rule"], r["file"], r["symbol"]) for r in lint_plan.lint(spark, root, config).collect()}
+    assert ("structural.packages", "q", None) in found and ("structural.packages", "p", None) not in found
+    assert ("lexical.stutter", "node_vector.py", "node_vector_len") in found
+    assert not any(s == "_node_vector" for _, _, s in found)
+    assert ("structural.orphans", "user.py", "lonely_name_here") in found
