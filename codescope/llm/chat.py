@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Self-joins between two checkpoints: deeper chains of them take the planner too long.
+#: Self-joins between two checkpoints.
 STEPS = 2
 NO_TREE = -(2**63)
 TURN = '<turn role="([^"]*)">\n([^<]*)\n</turn>\n'
