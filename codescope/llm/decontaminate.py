@@ -1,17 +1,16 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
-
-The CGK random walk reads a word sequence: at step j it emits the word under its
-pointer, and a random bit of (j, word) says whether the pointer moves on. Two
-sequences that differ by few edits fall into step again, so edit distance
-becomes Hamming distance between the emitted sequences. Each of ``REPEATS``
-repetitions draws its own bits, samples ``SAMPLED`` of the first ``STEPS`` steps
-as one key, and walks from the words that its own hash picks (one in ``PICK``),
-in documents and in benchmark items alike. Equal keys put an item-sized window
-on the document, which is then verified by exact edit distance over characters.
-
-Recall: with clean stretches of eight words anywhere in an item, each of its
-picked words there gives an equal key; a stretch with an edit gives one with the
-chance that the walks meet again before the next sampled step.
+"""Benchmark decontamination by character seeds on diagonals and exact edit distance.
+
+Documents and items are read as lower-cased words with one blank between. All
+runs of ``SEED`` characters of an item are seeds; each place where a document
+has a seed votes for the item and the diagonal (place in the document less place
+in the item). Bands of diagonals with enough votes put an item-sized window on
+the document. Windows go through a bit-parallel edit distance over many windows
+at once, with characters folded to ``FOLD`` classes, so that it is never above
+the true one; what passes is verified by exact edit distance over characters.
+
+Recall: an equal copy gives all its seeds on one diagonal and is always found.
+An edited passage is found when enough seeds outlive the edits; edits placed
+so that nowhere ``SEED`` characters in a row stay leave none.
 """
 
 from __future__ import annotations
@@ -27,12 +26,20 @@ from pyspark.sql.types import StructType
 
 from . import common
 
-REPEATS = 6
-STEPS = 14
-SAMPLED = 5
-PICK = 8
-#: Items of fewer words are left out: so short a match says nothing.
+#: Characters of a seed, and width of a band of diagonals; two bands that touch vote together.
+SEED = 6
+BAND = 16
+#: So many bands share one window.
+BANDS = 4
+FOLD = 64
+#: Items under MIN_WORDS words and under MIN_CHARS characters are found by equal words only: so short a likeness says nothing.
 MIN_WORDS = 10
+MIN_CHARS = 40
+#: Characters of documents and counters that are looked at together.
+SPAN = 1 << 17
+CELLS = 1 << 21
+#: Share of an item's characters that must vote (see needed).
+VOTES = 0.07
 SIMILAR = 0.75
 #: So many items are searched for in one pass; more take more passes.
 BLOCK_ITEMS = 5000
@@ -43,11 +50,9 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_a:_b] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_random = np.random.Generator(np.random.PCG64(20240229))
-_PICKS = _random.integers(1, 2**63, REPEATS, dtype=np.uint64) | np.uint64(1)
-_BITS = _random.integers(1, 2**63, (REPEATS, STEPS), dtype=np.uint64) | np.uint64(1)
-#: The first and the last step always count, so that keys span the walk.
-_SAMPLES = [sorted({0, STEPS - 1, *(_random.permutation(STEPS - 2)[: SAMPLED - 2] + 1).tolist()}) for _ in range(REPEATS)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Scripts that set no blanks between words: Thai and Lao, Myanmar, Khmer, kana, Han.
+SPACELESS = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -60,60 +65,176 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return h, start, end, np.searchsorted(ends, start, side="right"), low
 
 
-def walks(h: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each picked word: its place, the key of its walk, and the place after the last sampled word."""
-    at = np.flatnonzero((h * _PICKS[repeat]) >> np.uint64(61) == 0)
-    padded = np.concatenate([h, np.zeros(STEPS + 1, dtype=np.uint64)])
-    pos, key, last = at.copy(), np.zeros(len(at), dtype=np.uint64), _SAMPLES[repeat][-1]
-    for j in range(last + 1):
-        word = padded[pos]
-        if j in _SAMPLES[repeat]:
-            key = key * np.uint64(0x9E3779B97F4A7C15) + word
-        if j < last:
-            pos += ((word * _BITS[repeat, j]) >> np.uint64(63)).astype(np.int64)
-    return at, common.mix64(key), pos + 1
+def characters(low: np.ndarray) -> np.ndarray:
+    """Code points of all words, one blank between words, over document borders too."""
+    word = _WORD[low]
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    return np.frombuffer(np.where(word, low, np.uint8(32))[keep].tobytes().decode("utf-8", "replace").rstrip(" ").encode("utf-32-le"), dtype=np.uint32)
+
+
+def seeds(chars: np.ndarray) -> np.ndarray:
+    """Hash of the SEED characters from each place on."""
+    n = max(len(chars) - SEED + 1, 0)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(SEED):
+        h *= _ODD
+        h += chars[j : n + j]
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def spaceless(chars: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(chars), dtype=bool)
+    if len(chars) and int(chars.max()) >= SPACELESS[0][0]:
+        for a, b in SPACELESS:
+            found |= (chars >= a) & (chars < b)
+    return found
+
+
+def needed(m: int) -> int:
+    """Votes that make a window, for an item of ``m`` characters."""
+    return max(1, round(m * VOTES) - 3)
 
 
 class Items:
-    """One block of benchmark items: their words and the keys of their walks."""
+    """One block of benchmark items: their seeds, the bits of the edit distance, and the short ones by text."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.rows, self.texts = [], []
-        keys, owner, offset = ([[] for _ in range(REPEATS)] for _ in range(3))
+        self.short: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        key, owner, offset, need = ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [])
+        self.bits: list[np.ndarray | None] = []
         for item_id, text in rows:
             h, start, end, _, low = words_of([(text or "").encode()])
-            if len(h) < MIN_WORDS:
-                continue
+            if not len(h):
+                continue  # nothing but signs
             n = len(self.rows)
             self.rows.append((item_id, len(h)))
             self.texts.append(plain(low, start, end))
-            for r in range(REPEATS):
-                at, key, stop = walks(h, r)
-                inside = stop <= len(h)  # a walk off the end reads what a document goes on with
-                keys[r].append(key[inside])
-                offset[r].append(at[inside])
-                owner[r].append(np.full(int(inside.sum()), n))
-        self.keys, self.owner, self.offset, self.seen = [], [], [], []
-        for r in range(REPEATS):
-            k, o, f = (np.concatenate(x[r]) if x[r] else np.zeros(0, np.int64) for x in (keys, owner, offset))
-            order = np.argsort(k, kind="stable")
-            self.keys.append(k[order].astype(np.uint64))
-            self.owner.append(o[order])
-            self.offset.append(f[order])
-            seen = np.zeros(1 << 18, dtype=bool)
-            seen[(k.astype(np.uint64) >> np.uint64(46)).astype(np.int64)] = True
-            self.seen.append(seen)
-
-    def hits(self, h: np.ndarray, repeat: int) -> Iterator[tuple[int, int]]:
-        """(item, first word of its window) for all equal keys."""
-        at, key, _ = walks(h, repeat)
-        maybe = np.flatnonzero(self.seen[repeat][(key >> np.uint64(46)).astype(np.int64)])
-        at, key = at[maybe], key[maybe]
-        keys = self.keys[repeat]
-        a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-        for i in np.flatnonzero(b > a).tolist():
-            for k in range(a[i], b[i]):
-                yield int(self.owner[repeat][k]), int(at[i] - self.offset[repeat][k])
+            chars = characters(low)
+            if len(h) < MIN_WORDS and len(chars) < MIN_CHARS:
+                self.short[len(chars)][self.texts[n]].append(n)
+                need.append(1 << 30)
+                self.bits.append(None)
+                continue
+            need.append(needed(len(chars)))
+            key.append(seeds(chars))
+            offset.append(np.arange(len(key[-1])))
+            owner.append(np.full(len(key[-1]), n))
+            bits = np.zeros((-(-len(chars) // 64), FOLD), dtype=np.uint64)
+            at = np.arange(len(chars))
+            np.bitwise_or.at(bits, (at >> 6, chars % FOLD), np.uint64(1) << (at & 63).astype(np.uint64))
+            self.bits.append(bits)
+        keys = np.concatenate(key)
+        self.shift = np.uint64(64 - min(24, max(16, len(keys).bit_length() + 5)))
+        order = np.argsort(keys >> self.shift, kind="stable")
+        self.owner, self.offset = np.concatenate(owner)[order], np.concatenate(offset)[order]
+        self.many = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift))).astype(np.int32)
+        self.first = np.cumsum(self.many, dtype=np.int64) - self.many
+        self.need = np.array(need, dtype=np.int64)
+        self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.longest = int(self.length[self.need < 1 << 30].max(initial=0))
+
+    def windows(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first diagonal) of all windows with enough votes; a window has BANDS * BAND + BAND diagonals."""
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        if not len(self.owner):
+            return found[0][0], found[0][1]
+        bucket = (seeds(chars) >> self.shift).astype(np.int64)
+        items, base = len(self.rows), -(-self.longest // BAND) * BAND
+        over = base + 2 * BAND  # all votes of a band lie in one span
+        step = max(over, min(SPAN, CELLS * BAND // items) - over) // BAND * BAND
+        for a in range(0, len(bucket), step):
+            part = bucket[a : a + step + over]
+            many = self.many[part]
+            at = np.flatnonzero(many)
+            many = many[at].astype(np.int64)
+            which = np.repeat(self.first[part[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            band = (np.repeat(at, many) - self.offset[which] + base) // BAND
+            bands = (len(part) + base) // BAND + 2
+            votes = np.bincount(band * items + self.owner[which], minlength=bands * items).reshape(bands, items)
+            band, item = np.nonzero(votes[:-1] + votes[1:] >= self.need)
+            window = (band + (a - base) // BAND) // BANDS
+            found.append(np.stack([item, window]))
+        if len(found) > 1:
+            both = np.concatenate(found, axis=1)
+            low = int(both[1].min(initial=0))
+            key = np.unique(both[0] * (1 << 40) + both[1] - low)
+            return key >> 40, ((key & ((1 << 40) - 1)) + low) * (BANDS * BAND)
+        return found[0][0], found[0][1]
+
+    def near(self, chars: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the item lies in ``chars[a:b]`` with at most ``most`` edits, characters folded (bit-parallel over windows)."""
+        good = np.zeros(len(item), dtype=bool)
+        fold = np.append(chars % FOLD, 0).astype(np.int64)
+        words = -(-self.length[item] // 64)
+        order = np.lexsort((b - a, words))
+        ends = np.flatnonzero(np.diff(words[order])) + 1
+        for group in np.split(order, ends):
+            for k in range(0, len(group), 2048):
+                part = group[k : k + 2048]
+                good[part] = self._distances(fold, item[part], a[part], b[part]) <= most[part]
+        return good
+
+    def _distances(self, fold: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        one, n = np.uint64(1), len(item)
+        if not n:
+            return np.zeros(0, dtype=np.int64)
+        own, place = np.unique(item, return_inverse=True)
+        bits = np.stack([self.bits[i] for i in own.tolist()])  # item, word, class
+        words = bits.shape[1]
+        tables = [np.ascontiguousarray(bits[:, w]).ravel() for w in range(words)]
+        base, last = place * FOLD, ((self.length[item] - 1) & 63).astype(np.uint64)
+        pv, mv = [np.full(n, ~np.uint64(0)) for _ in range(words)], [np.zeros(n, dtype=np.uint64) for _ in range(words)]
+        score = self.length[item].copy()
+        best = score.copy()
+        size = b - a
+        for j in range(int(size.max())):
+            at = base + fold[np.minimum(a + j, len(fold) - 1)]
+            up = down = None
+            for w in range(words):
+                eq, p, m = tables[w][at], pv[w], mv[w]
+                xv = eq | m
+                if down is not None:
+                    eq |= down
+                xh = (((eq & p) + p) ^ p) | eq
+                ph, mh = m | ~(xh | p), p & xh
+                if w == words - 1:
+                    score += ((ph >> last) & one).astype(np.int64)
+                    score -= ((mh >> last) & one).astype(np.int64)
+                    up2 = down2 = None
+                else:
+                    up2, down2 = ph >> np.uint64(63), mh >> np.uint64(63)
+                ph, mh = ph << one, mh << one
+                if up is not None:
+                    ph |= up
+                    mh |= down
+                pv[w], mv[w] = mh | ~(xv | ph), ph & xv
+                up, down = up2, down2
+            best = np.where((score < best) & (j < size), score, best)
+        return best
+
+    def equal(self, chars: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place) of the short items, from word edge to word edge where the script has blanks."""
+        if not self.short or not len(chars):
+            return
+        text, loose = chars.tobytes().decode("utf-32-le"), spaceless(chars)
+        edge = (chars == 32) | loose
+        starts = np.append(True, edge[:-1] | loose[1:])
+        stops = np.append(edge[1:] | loose[:-1], True)
+        power = np.cumprod(np.full(max(self.short), _ODD))
+        for m, known in self.short.items():
+            at = np.flatnonzero(starts[: len(chars) - m + 1] & stops[m - 1 :]) if len(chars) >= m else []
+            if not len(at):
+                continue
+            h = np.zeros(len(at), dtype=np.uint64)
+            for j in range(m):
+                h += chars[at + j] * power[j]
+            mine = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in known]
+            wanted = np.array([(c * power[:m]).sum(dtype=np.uint64) for c in mine], dtype=np.uint64)
+            for place in at[np.isin(h, wanted)].tolist():
+                for n in known.get(text[place : place + m], ()):
+                    yield n, place
 
 
 def plain(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
@@ -150,31 +271,58 @@ def leaks(texts: list[bytes], items: Items, similar: float = SIMILAR) -> list[li
     out: list[list[dict]] = [[] for _ in texts]
     if not items.rows:
         return out
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    held: list[tuple[np.ndarray, ...]] = []  # characters and windows of parts, so that many windows are verified at once
+    size = 0
+
+    def verify() -> None:
+        chars = np.concatenate([x[0] for x in held])
+        base = np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[1]) for x in held])
+        item, a, b, text, most, word = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+        good = np.flatnonzero(items.near(chars, item, a + base, b + base, most))
+        for i, x, y, k, limit, w in zip(*(v[good].tolist() for v in (item, a + base, b + base, text, most, word)), strict=True):
+            window = chars[x:y].tobytes().decode("utf-32-le")
+            distance, _ = infix_distance(items.texts[i], window)
+            if distance <= limit and ((k, i) not in best or distance < best[k, i][0]):
+                best[k, i] = (distance, w, w + window.strip(" ").count(" ") + 1)
+        held.clear()
+
     for at, part in common.chunks_of(texts, 1 << 20):
-        h, start, end, doc, low = words_of(part)
+        h, _, _, doc, low = words_of(part)
+        if not len(h):
+            continue
+        chars = characters(low)
+        first = np.append(0, np.flatnonzero(chars == 32) + 1)  # of each word
         cut = np.searchsorted(doc, np.arange(len(part) + 1))
-        windows: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for r in range(REPEATS):
-            for item, first in items.hits(h, r):
-                n = items.rows[item][1]
-                middle = min(max(first + n // 2, 0), len(h) - 1)
-                windows[int(doc[middle]), item].add(first)
-        for (d, item), firsts in windows.items():
-            item_id, n = items.rows[item]
-            pattern, slack = items.texts[item], max(3, n // 4)
-            most, best, tried = int((1 - similar) * len(pattern)), None, None
-            for first in sorted(firsts):
-                if tried is not None and first - tried <= slack // 2:
-                    continue  # the window before covers this one
-                tried = first
-                a, b = max(int(cut[d]), first - slack), min(int(cut[d + 1]), first + n + slack)
-                if b <= a:
-                    continue
-                distance, _ = infix_distance(pattern, plain(low, start[a:b], end[a:b]))
-                if distance <= most and (best is None or distance < best["distance"]):
-                    best = {"item_id": item_id, "distance": distance, "start": a - int(cut[d]), "end": b - int(cut[d])}
-            if best:
-                out[at + d].append(best)
+        edges = np.append(first, len(chars) + 1)[cut]
+        for item, place in items.equal(chars):
+            d = int(np.searchsorted(edges, place, side="right")) - 1
+            if place + len(items.texts[item]) < edges[d + 1]:
+                w = int(np.searchsorted(first, place, side="right")) - 1 - int(cut[d])
+                best.setdefault((at + d, item), (0, w, w + items.rows[item][1]))
+        item, a = items.windows(chars)
+        most = ((1 - similar) * items.length[item]).astype(np.int64)
+        a, b = a - most, a + (BANDS + 1) * BAND + items.length[item] + most
+        a, b = np.clip(a, 0, len(chars)), np.clip(b, 0, len(chars))
+        # a window over a border is one for each document
+        d = np.searchsorted(edges, a, side="right") - 1
+        many = np.maximum(np.searchsorted(edges, b, side="left") - d, 1)
+        item, a, b, most = (np.repeat(x, many) for x in (item, a, b, most))
+        d = np.repeat(d, many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        d = np.minimum(d, len(part) - 1)
+        a, b = np.maximum(a, edges[d]), np.minimum(b, edges[d + 1] - 1)
+        some = b - a >= items.length[item] - most
+        item, a, b, d, most = (x[some] for x in (item, a, b, d, most))
+        word = np.searchsorted(first, a + (chars[np.minimum(a, len(chars) - 1)] == 32), side="right") - 1 - cut[d]
+        held.append((chars, item, a, b, at + d, most, word))
+        size += len(chars)
+        if size > 1 << 23:
+            verify()
+            size = 0
+    if held:
+        verify()
+    for (k, i), (distance, a, b) in best.items():
+        out[k].append({"item_id": items.rows[i][0], "distance": distance, "start": a, "end": b})
     for found in out:
         found.sort(key=lambda x: x["item_id"])
     return out
@@ -183,8 +331,8 @@ def leaks(texts: list[bytes], items: Items, similar: float = SIMILAR) -> list[li
 def find(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """All columns of ``docs`` and ``leaks``: the items of ``benchmark(item_id, text)`` in each whole text.
 
-    Null and empty texts hold nothing. Null item_ids and items under MIN_WORDS
-    words are left out; items are searched for in blocks of BLOCK_ITEMS, so that
+    Null and empty texts hold nothing. Null item_ids and items without a letter or
+    digit are left out; items are searched for in blocks of BLOCK_ITEMS, so that
     what tasks get is bounded. A column that is called leaks is replaced.
     """
     spark = docs.sparkSession

@@ -268,6 +268,42 @@ def test_leaks_recall_and_precision(spark):
     assert decontaminate.find(docs, bench.limit(0)).selectExpr("sum(size(leaks)) n").first()["n"] == 0
 
 
+def edited(t, rate, r, kinds="rdi"):
+    """Letters replaced, dropped or followed by another at a rate."""
+    out = []
+    for c in t:
+        k = r.choice(kinds) if r.random() < rate else " "
+        out.append({" ": c, "r": r.choice("abcdefghij"), "d": "", "i": c + r.choice("abcdefghij")}[k])
+    return "".join(out)
+
+
+def invented(n, r):
+    return " ".join("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("rate,kinds", [(0, "r"), (0.05, "rdi"), (0.1, "rdi"), (0.15, "rdi"), (0.2, "rdi"), (0.25, "rdi"), (0.2, "r"), (0.25, "d"), (0.22, "i")])
+def test_leaks_recall_under_character_edits(rate, kinds):
+    r = random.Random(11)
+    items = [(i, invented(r.randint(10, 59), r)) for i in range(120)]
+    held = decontaminate.Items(items)
+    texts, truth = [], []
+    for i, t in items:
+        e = edited(t, rate, r, kinds)
+        if decontaminate.infix_distance(t, " ".join(e.split()))[0] <= int(0.25 * len(t)):
+            texts.append(f"{invented(40, r)} {e} {invented(40, r)}".encode())
+            truth.append(i)
+    found = sum(any(x["item_id"] == i for x in got) for i, got in zip(truth, decontaminate.leaks(texts, held), strict=True))
+    assert len(truth) > 40 and found >= (1 if rate == 0 else 0.95) * len(truth)
+
+
+def test_leaks_one_typo_in_each_word():
+    r = random.Random(12)
+    items = [(i, " ".join(invented(1, r) + "xyz" for _ in range(r.randint(15, 59)))) for i in range(60)]
+    texts = [" ".join(w[:k] + "q" + w[k + 1 :] for w in t.split() for k in [r.randrange(len(w))]).encode() for _, t in items]
+    got = decontaminate.leaks(texts, decontaminate.Items(items))
+    assert sum([x["item_id"] for x in g] == [i] for (i, _), g in zip(items, got, strict=True)) >= 0.95 * len(items)
+
+
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     r = random.Random(6)
