@@ -304,6 +304,19 @@ def test_leaks_one_typo_in_each_word():
     assert sum([x["item_id"] for x in g] == [i] for (i, _), g in zip(items, got, strict=True)) >= 0.95 * len(items)
 
 
+def test_short_items_and_all_exact_copies():
+    r = random.Random(13)
+    items = [(i, invented(n, r)) for n in range(1, 16) for i in range(n * 100, n * 100 + 20)]
+    items += [(1, "今日は天気が良い"), (2, "这是一个没有空格的句子" * 5), (3, "to shore"), (4, "?!")]
+    texts = [f"{invented(30, r)} {t.upper()}, {invented(30, r)}".encode() for _, t in items[:-4]]
+    texts += [("昔々" + t + "ね").encode() for _, t in items[-4:-2]] + [b"Go (TO\nshore)", b"onto shore, to shores?!"]
+    got = [[(x["item_id"], x["distance"]) for x in g] for g in decontaminate.leaks(texts, decontaminate.Items(items))]
+    assert all((i, 0) in g for (i, _), g in zip(items[:-1], got, strict=False))
+    assert got[-1] == []
+    at = decontaminate.leaks([b"Go (TO\nshore)"], decontaminate.Items(items))[0]
+    assert at == [{"item_id": 3, "distance": 0, "start": 1, "end": 3}]
+
+
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     r = random.Random(6)
