@@ -1,12 +1,11 @@
 """Main text of a web page by tag-path ratios.
 
 A page is split into blocks of text, each known by its tag path from the root to
-the leaf (element names with their classes). Text length, punctuation and link
-text are summed per path; both ratios are smoothed over the page's blocks, fused
-and compared with a threshold of the page's own. Paths through elements that
-never hold an article (menus, headers, forms, scripts and so on, by name, role
-or class) are out before that. The content nodes are the blocks of the chosen
-paths inside the container that holds most of the chosen text.
+the leaf (element names with their classes). Paths through elements that never
+hold an article (menus, headers, forms, scripts and so on, by name, role or
+class) are out, and so are paths whose text is half links or more. All other
+blocks are content, inside the articles if the page has any: no block is
+measured against the rest of the page, where short sections would lose.
 """
 
 from __future__ import annotations
@@ -42,14 +41,13 @@ OUT_WORDS = frozenset(
 _TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
-_PUNCT = re.compile(r"[.,;:!?¿¡…。、，]")
 
 
 class Node:
-    __slots__ = ("name", "path", "out", "link", "article", "holder")
+    __slots__ = ("name", "path", "out", "link", "article")
 
-    def __init__(self, name: str, path: str, out: bool, link: bool, article: bool, holder: int) -> None:
-        self.name, self.path, self.out, self.link, self.article, self.holder = name, path, out, link, article, holder
+    def __init__(self, name: str, path: str, out: bool, link: bool, article: bool) -> None:
+        self.name, self.path, self.out, self.link, self.article = name, path, out, link, article
 
 
 def _attributes(text: str) -> tuple[str, bool]:
@@ -71,11 +69,11 @@ def _attributes(text: str) -> tuple[str, bool]:
 
 
 def blocks(page: str) -> list[dict]:
-    """Blocks of text in page order: text, path, link (characters in links), out, article, holder."""
-    stack = [Node("", "", False, False, False, 0)]
+    """Blocks of text in page order: text, path, link (characters in links), out, article."""
+    stack = [Node("", "", False, False, False)]
     found: list[dict] = []
     parts: list[str] = []
-    links = holders = 0
+    links = 0
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -87,7 +85,7 @@ def blocks(page: str) -> list[dict]:
                 while i and stack[i].name in INLINE:
                     i -= 1
                 top = stack[i]
-                found.append({"text": text, "path": top.path, "link": min(links, len(text)), "out": top.out, "article": top.article, "holder": top.holder})
+                found.append({"text": text, "path": top.path, "link": min(links, len(text)), "out": top.out, "article": top.article})
             parts, links = [], 0
 
     def close(i: int) -> None:
@@ -162,13 +160,9 @@ def blocks(page: str) -> list[dict]:
             top = stack[-1]
         step = name + ("." + label if label else "")
         in_article = top.article or name in ("article", "main")
-        holder = top.holder
-        if name not in INLINE and name not in ("p", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption"):
-            holders += 1
-            holder = holders
         inside = name in ("header", "footer") and top.article  # an article's own heading and notes
         out = out or name in OUT_TAGS and not inside or name == "footer"
-        stack.append(Node(name, f"{top.path}/{step}" if name not in INLINE else top.path, top.out or out, top.link or name == "a", in_article, holder))
+        stack.append(Node(name, f"{top.path}/{step}" if name not in INLINE else top.path, top.out or out, top.link or name == "a", in_article))
     flush()
     return found
 
@@ -180,36 +174,12 @@ def main_text(page: str) -> str:
         return ""
     if any(b["article"] for b in every):
         every = [b for b in every if b["article"]]
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for b in every:
         s = sums[b["path"]]
-        s[0] += 1
-        s[1] += len(b["text"])
-        s[2] += len(_PUNCT.findall(b["text"]))
-        s[3] += b["link"]
-    raw = []
-    for b in every:
-        n, chars, marks, link = sums[b["path"]]
-        raw.append((max(chars - link, 0.0) / n, marks / n, link / max(chars, 1.0)))
-    scores = []
-    for i in range(len(raw)):  # smoothed over neighbours, then fused
-        near = raw[max(0, i - 1) : i + 2]
-        text = (sum(r[0] for r in near) / len(near) + raw[i][0]) / 2
-        marks = (sum(r[1] for r in near) / len(near) + raw[i][1]) / 2
-        scores.append(text * (1 + marks) * (1 - raw[i][2]))
-    cut = 0.1 * sum(scores) / len(scores)
-    good = {b["path"] for b, s, r in zip(every, scores, raw, strict=True) if s >= cut and r[2] < 0.5}
-    if every[0]["article"]:  # inside an article only lists of links are left out
-        good |= {b["path"] for b, r in zip(every, raw, strict=True) if r[2] < 0.5}
-    else:
-        held: dict[int, float] = defaultdict(float)
-        for b, s in zip(every, scores, strict=True):
-            if b["path"] in good:
-                held[b["holder"]] += s
-        if held:
-            best = max(held.values())
-            every = [b for b in every if held.get(b["holder"], 0.0) >= 0.1 * best]
-    return "\n\n".join(b["text"] for b in every if b["path"] in good)
+        s[0] += len(b["text"])
+        s[1] += b["link"]
+    return "\n\n".join(b["text"] for b in every if sums[b["path"]][1] < 0.5 * sums[b["path"]][0])
 
 
 def extract(pages: DataFrame) -> DataFrame:

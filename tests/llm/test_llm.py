@@ -407,6 +407,17 @@ def test_urls(spark):
 
 # -- html
 
+def test_html_without_article_keeps_short_sections():
+    long = "A sentence of some length, with a comma in it, that goes on for a while and then ends. " * 3
+    many = "".join(f"<p>{i} {long}</p>" for i in range(9))
+    menu = "<div><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></div><div class=comments><p>Nice.</p></div>"
+    page = f"<body>{menu}<section><h2>First</h2>{many}</section><section><h2>Closing</h2><p>Short end.</p></section></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("First\n\n0 A") and text.endswith("Closing\n\nShort end.") and text.count("\n\n") == 11
+    page = f"<body><div><h1>Top</h1>{many}</div><div><ul class=x><li>flour</li><li>two eggs</li><li>salt</li></ul></div></body>"
+    assert html_text.main_text(page).endswith("ends.\n\nflour\n\ntwo eggs\n\nsalt")
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a href=a>one</a></ul></nav><div class="ad">Buy</div>
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>, text.<script>var x="<p>no";</script> More.<p>Second   para<br>line<ul><li>x<li>y</ul><form>f</form>
