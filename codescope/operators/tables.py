@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,16 +81,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.withColumn("instability", fn.instability(F.col("ca"), F.col("ce")))
 
 
-def cycles(edges: DataFrame, most: int = 64) -> DataFrame:
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``node`` and ``component`` (smallest member) of strongly connected components of two or more nodes.
 
     Sources and sinks are trimmed, then forward and backward labels settle one
     component per colour and round; every round is written to the shared
-    checkpoint folder, so lost executors cost no more than the round.
+    checkpoint folder, so lost executors cost no more than the round. Rounds go
+    on until no edge is left; more than ``most``, if given, are an error.
     """
     live = edges.select("src", "dst").filter("src <> dst").distinct().checkpoint()
     found = None
-    for _ in range(most):
+    for done in itertools.count():
         while True:  # trim: a node without an edge in or out is in no cycle
             keep = live.select(F.col("src").alias("n")).distinct().join(live.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
             kept = live.join(keep.withColumnRenamed("n", "src"), "src", "left_semi").join(keep.withColumnRenamed("n", "dst"), "dst", "left_semi").checkpoint()
@@ -98,6 +101,8 @@ def cycles(edges: DataFrame, most: int = 64) -> DataFrame:
                 break
         if live.isEmpty():
             break
+        if done == most:
+            raise RuntimeError("cycles didn't settle")
         colour = live.select(F.col("src").alias("n")).distinct().withColumn("c", F.col("n")).checkpoint()
         while True:  # the smallest node that reaches each node
             near = live.join(colour, live["src"] == colour["n"]).groupBy(F.col("dst").alias("n")).agg(F.min("c").alias("m"))

@@ -46,3 +46,14 @@ def test_waivers_and_config():
     assert re.match(glob_regex("src/*.py"), "src/a/b.py") and not re.match(glob_regex("a?c"), "abbc")
     base = {"a.b.c": {"enabled": True, "severity": "error", "threshold": 1}}
     assert effective(base, {"a": {"enabled": False, "threshold": 5}, "a.b": {"enabled": True}})["a.b.c"] == {"enabled": True, "severity": "error", "threshold": 1}
+
+
+def test_cycles_are_whole_or_an_error(spark):
+    from codescope.operators import tables
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    names = [f"{k}{side}" for k in range(3) for side in "ab"]  # each round settles the first cycle of what is left
+    edges = spark.createDataFrame([e for k in range(3) for e in ((f"{k}a", f"{k}b"), (f"{k}b", f"{k}a"))] + [("0a", "1a"), ("1a", "2a")], "src string, dst string")
+    assert sorted((r["node"], r["component"]) for r in tables.cycles(edges).collect()) == [(n, n[0] + "a") for n in names]
+    with pytest.raises(RuntimeError):
+        tables.cycles(edges, most=2)
