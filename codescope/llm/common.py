@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
+import time
 import uuid
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_released = 0.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the checkpoint folder that all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a default is used.
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset, only a
+    session on one machine gets a default; on a cluster nothing would be shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/codescope-{uuid.uuid4().hex}"
 
 
@@ -42,10 +49,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner remove the shuffle files of finished, unreachable queries."""
+def release(spark: SparkSession, now: bool = False) -> None:
+    """Have Spark's cleaner remove the shuffle files of finished, unreachable queries, every few seconds at most."""
+    global _released
+    if not now and time.monotonic() - _released < 4:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def discard(df: DataFrame) -> None:
@@ -68,6 +79,25 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def plainly_named(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each: no name can clash with an operator's own."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), {c: f"c{i}" for i, c in enumerate(names)}
+
+
+def keyed(docs: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` and ``_k``, a long that no two rows share.
+
+    That is doc_id itself where no doc_id is null or repeated; else rows are
+    numbered and written, so that every later read sees the same numbers.
+    """
+    own = F.col(doc_id).cast("long")
+    odd = docs.select(own.alias("i")).groupBy("i").count().filter("count > 1 or i is null")
+    if odd.isEmpty():
+        return docs.withColumn("_k", own)
+    return materialize(docs.withColumn("_k", F.monotonically_increasing_id()))
+
+
 def lean() -> None:
     """Drop what earlier work left in this Python worker: Spark reuses workers from stage to stage."""
     tokens = sys.modules.get("codescope.llm.tokens")

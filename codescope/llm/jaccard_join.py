@@ -7,22 +7,28 @@ that what many texts share is seldom in a prefix.
 
 Texts with equal sets are one class; classes with equal size and prefix are one
 group. Group pairs that share a prefix shingle are candidates. Links are wanted
-for components, so each shingle's groups are first compared with one of them
-(a star). Then the members of all groups whose shingle still spans several
-components are compared with each other, those that the star has settled left
-out; no link between texts of different components is lost. Candidates are
-verified on the texts themselves.
+for components, so each group is first compared with one pivot, then with the
+pivots of its other shingles where components still differ. Members of groups
+whose shingle spans several components then meet one partner of another
+component a round. What is still open after ROUNDS rounds is compared in full
+(but for pairs that bitmaps of the sets rule out, which is exact), so no link between texts of different components is lost.
+
+A candidate is verified by counting the shingles that two texts share. Shingles
+are 64-bit hashes of their words: two unequal shingles of a pair with m and n
+shingles are taken for equal with a chance of m * n / 2**64. Classes and groups
+are known by 128-bit digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -31,7 +37,13 @@ WORDS = 5
 #: The order of shingles knows at most so many frequent ones; it changes the work, not the result.
 FREQUENT = 1 << 20
 FREQUENT_AT = 6
+#: Pairs of one text that one task verifies; rows of a shingle under one key; rounds of one partner each.
 STAR = 256
+SHARE = 256
+ROUNDS = 3
+#: Columns of a set's parity bits.
+BITS = [f"b{i}" for i in range(8)]
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -108,15 +120,22 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1 if n else 0
 
 
+def digests(values: np.ndarray) -> list[int]:
+    """Two 64-bit digests of a set of hashes, whatever its order."""
+    other = common.mix64(values ^ _OTHER)
+    both = np.array([values.sum(), common.mix64(other).sum()], dtype=np.uint64) + np.uint64(len(values))
+    return common.mix64(both).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Per row: its key, set size, class (hash of the set), group (hash of size and prefix) and prefix."""
-    schema = "k long, n int, c long, g long, prefix array<long>"
+    """Per row: its key, set size, class (128-bit digest of the set), group (of the prefix) and prefix."""
+    schema = "k long, n int, c long, c2 long, g long, g2 long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
     order = np.argsort(frequent)
     known = frequent[order]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches):
-            classes, groups, prefixes = [], [], []
+            whole, some, prefixes, bits = [], [], [], []
             for s in sets:
                 rank = s >> np.uint64(1)
                 if len(known) and len(s):
@@ -124,24 +143,26 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     often = known[at] == s
                     rank[often] = np.uint64(1 << 63) + order[at[often]].astype(np.uint64)
                 first = s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]]
-                two = common.mix64(np.array([s.sum(), common.mix64(first).sum()], dtype=np.uint64) + np.uint64(len(s))).view(np.int64)
-                classes.append(two[0])
-                groups.append(two[1])
+                whole.append(digests(s))
+                some.append(digests(first))
                 prefixes.append(first.view(np.int64))
+                bits.append(np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) & 64 * len(BITS) - 1, minlength=64 * len(BITS)).astype(np.uint8) & 1).view(np.int64))
+            odd = [pa.array(x) for x in np.array(bits, dtype=np.int64).reshape(-1, len(BITS)).T]
+            ids = [pa.array(x, pa.int64()) for x in np.array([[*a, *b] for a, b in zip(whole, some, strict=True)], dtype=np.int64).reshape(-1, 4).T]
             sizes = [len(s) for s in sets]
             cuts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["k", "n", "c", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(sizes, pa.int32()), *ids, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), *odd], ["k", "n", "c", "c2", "g", "g2", "prefix", *BITS])
 
     return docs.select("_k", "_text").mapInArrow(sign, schema)
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)``, keys of ``texts(k, _text)``, those whose sets are near: verified on the texts.
+    """Of ``pairs(a, b)``, keys of ``texts(k, _text)``, those whose sets are near, from the texts' own shingles.
 
     The pairs of one ``a`` are one task's, STAR at most; an ``a`` with more goes to several.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    many = common.materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts")))
     pairs = pairs.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("salt"))
     need = pairs.select(F.col("b").alias("k"), "a", "salt", F.lit(1).alias("role")).union(pairs.select("a", "a", "salt", F.lit(0)).distinct())
     # texts are shuffled at any size: pairs have no size bound to broadcast behind
@@ -152,7 +173,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pivot, mine = None, np.zeros(0, np.uint64)
         for batch, sets in _sets(batches):
             a, b = [], []
-            for i, (p, k, role, s) in enumerate(zip(batch.column("a").to_pylist(), batch.column("k").to_pylist(), batch.column("role").to_pylist(), sets, strict=True)):
+            for p, k, role, s in zip(batch.column("a").to_pylist(), batch.column("k").to_pylist(), batch.column("role").to_pylist(), sets, strict=True):
                 if role == 0:
                     pivot, mine = p, s
                     continue
@@ -179,63 +200,122 @@ def reachable(m: str, i: str, n: str, j: str):
     return (4 * F.least(m, n) >= 3 * F.greatest(m, n)) & (7 * most >= 3 * (F.col(m) + F.col(n)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = common.text_or_empty(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), row_key(docs).alias("_k"))
-
-
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), common.text_or_empty(docs))
-
-
-def components_of(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, _k (key of the row), n (set size) and comp, null for empty sets."""
-    common.bounded_batches(docs.sparkSession)
-    keyed = _keyed(docs)
+def differ(x: str, y: str) -> Column:
+    """How many bits differ: at most as many as shingles that only one set has, for each bit is the parity of some shingles."""
+    return reduce(add, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS])
+
+
+class Links:
+    """Links found so far: component labels, and the pairs that were verified, linked or not."""
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.texts, self.labels, self.tried = texts, None, None
+
+    def named(self, rows: DataFrame, key: str, name: str = "comp") -> DataFrame:
+        """``rows`` with the component of ``key``: itself where nothing is linked."""
+        if self.labels is None:
+            return rows.withColumn(name, F.col(key))
+        own = self.labels.select(F.col("v").alias("_v"), F.col("comp").alias("_comp"))
+        return rows.join(own, rows[key] == own["_v"], "left").withColumn(name, F.coalesce("_comp", key)).drop("_v", "_comp")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verify ``pairs(a, b)`` that aren't tried yet and bring the labels up to date."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = common.materialize(pairs)
+        if pairs.isEmpty():
+            return
+        edges = common.materialize(linked(pairs, self.texts))
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        if edges.isEmpty():
+            return
+        # only components are joined further, not their members
+        joined = self.named(self.named(edges, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        roots = components(joined)
+        if self.labels is None:
+            self.labels = roots
+            return
+        old = self.labels.join(roots.select(F.col("v").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("v", F.coalesce("root", "comp").alias("comp"))
+        self.labels = common.materialize(old.union(roots.join(self.labels, "v", "left_anti").select("v", "comp")))
+
+
+def _mixed(links: Links, rows: DataFrame) -> DataFrame:
+    """Of ``rows(h, k, n, i)`` those whose shingle still spans several components, with ``comp``."""
+    named = common.materialize(links.named(rows, "k"))
+    mixed = common.materialize(named.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h"))
+    return common.materialize(named.join(mixed, "h", "left_semi"))
+
+
+def _partners(open_rows: DataFrame, nth: int) -> DataFrame:
+    """One pair for each key: with one row of another component under one of its shingles, another one for each ``nth``."""
+    rows = open_rows.withColumn("o", F.xxhash64("k", F.lit(nth)))
+    row = F.struct("o", "k", "n", "i", "comp")
+    first = common.materialize(rows.groupBy("h").agg(F.min(row).alias("f")))
+    with_first = rows.join(first, "h")
+    second = common.materialize(with_first.filter(F.col("comp") != F.col("f.comp")).groupBy("h").agg(F.min(row).alias("s")))
+    p = F.when(F.col("comp") != F.col("f.comp"), F.col("f")).otherwise(F.col("s"))
+    pairs = with_first.join(second, "h").select("k", "n", "i", p.alias("p")).select("k", "n", "i", "p.o", F.col("p.k").alias("p"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
+    best = pairs.filter(reachable("n", "i", "pn", "pi")).groupBy("k").agg(F.min(F.struct("o", "p")).alias("b"))
+    return best.select(F.col("k").alias("a"), F.col("b.p").alias("b"))
+
+
+def _rest(open_rows: DataFrame) -> DataFrame:
+    """All pairs of rows of one shingle and different components that can be near.
+
+    All but a shingle's largest component meet the shingle's rows; these are dealt
+    over several keys if they are many.
+    """
+    sizes = common.materialize(open_rows.groupBy("h", "comp").count())
+    major = common.materialize(sizes.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("m"), F.ceil(F.sum("count") / SHARE).cast("int").alias("parts")).select("h", F.col("m.comp").alias("major"), "parts"))
+    rows = open_rows.join(major, "h")
+    y = rows.withColumn("salt", F.pmod(F.hash("k"), F.col("parts"))).alias("y")
+    x = rows.filter("comp <> major").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+    once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.k") < F.col("y.k"))
+    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & once & reachable("x.n", "x.i", "y.n", "y.i")
+    near &= 7 * differ("x", "y") <= F.col("x.n") + F.col("y.n")
+    return x.join(y, near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+
+
+def components_of(keyed: DataFrame) -> DataFrame:
+    """Per row of ``keyed(_k, doc_id, _text)``: doc_id, _k, n (set size) and comp, null for empty sets."""
+    common.bounded_batches(keyed.sparkSession)
     wide = common.materialize(signatures(keyed, frequent_shingles(keyed)))
-    signed = common.materialize(wide.select("k", "n", "c", "g"))
+    signed = common.materialize(wide.drop("prefix"))
     # classes of equal sets, each known by the smallest key of its rows; groups of equal size and prefix likewise
-    classes = common.materialize(signed.filter("n > 0").groupBy("n", "c", "g").agg(F.min("k").alias("k")))
-    groups = common.materialize(classes.groupBy("n", "g").agg(F.min("k").alias("gk"), F.count("*").alias("members")))
-    prefixes = wide.join(groups.select(F.col("gk").alias("k"), "members"), "k").dropDuplicates(["k"])
-    posted = prefixes.select(F.col("k").alias("gk"), "n", "members", F.posexplode("prefix").alias("i", "h"))
-    w = Window.partitionBy("h")
-    # one shuffle of the prefixes: how many groups a shingle has, and the one to compare the rest with
-    lists = posted.select("h", "gk", "n", "i", F.sum("members").over(w).alias("many"), F.min(F.struct("gk", "n", "i")).over(w).alias("pivot"))
-    lists = common.materialize(lists.filter("many > 1").select("h", "gk", "n", "i", F.col("pivot.gk").alias("pk"), F.col("pivot.n").alias("pn"), F.col("pivot.i").alias("pi")))
-    del prefixes, posted
+    classes = common.materialize(signed.filter("n > 0").groupBy("n", "c", "c2", "g", "g2").agg(F.min("k").alias("k")))
+    groups = common.materialize(classes.groupBy("n", "g", "g2").agg(F.min("k").alias("gk"), F.count("*").alias("members")))
+    posted = wide.join(groups.select(F.col("gk").alias("k"), "members"), "k").select(F.col("k").alias("gk"), "n", "members", F.posexplode("prefix").alias("i", "h"))
+    # shingles of one group of one class are left out first; a written table lets the join split a hot shingle
+    often = common.materialize(posted.groupBy("h").agg(F.sum("members").alias("many")).filter("many > 1").select("h"))
+    lists = common.materialize(posted.select("h", "gk", "n", "i").join(often, "h", "left_semi"))
+    del posted
     common.discard(wide)
-    heads = groups.filter("members > 1").select("n", "g", F.col("gk").alias("a"))
-    inside = classes.join(heads, ["n", "g"]).filter("k <> a").select("a", F.col("k").alias("b"))
-    star = lists.filter((F.col("gk") != F.col("pk")) & reachable("n", "i", "pn", "pi")).select(F.col("pk").alias("a"), F.col("gk").alias("b")).union(inside).distinct()
-    star = common.materialize(star)
-    # members of the groups that share a shingle with another one, or have several
-    used = lists.filter(F.col("gk") != F.col("pk")).select("gk").union(lists.filter(F.col("gk") != F.col("pk")).select("pk")).union(heads.select("a")).distinct()
-    members = classes.join(groups.select("n", "g", "gk"), ["n", "g"]).join(used, "gk", "left_semi").select("k", "gk", "n")
-    members = common.materialize(members)
-    texts = keyed.select(F.col("_k").alias("k"), "_text")
-    edges = common.materialize(linked(star, texts))
-    labels = components(edges)
-    named = members.join(labels, F.col("k") == F.col("v"), "left").select("gk", "k", "n", F.coalesce("comp", "k").alias("comp"))
-    named = common.materialize(named)
-    # what the star left open: shingles, and groups, that still span several components
+    common.release(keyed.sparkSession, now=True)
+    pivots = common.materialize(lists.groupBy("h").agg(F.min(F.struct("gk", "n", "i")).alias("p")))
+    heads = groups.filter("members > 1").select("n", "g", "g2", F.col("gk").alias("a"))
+    inside = classes.join(heads, ["n", "g", "g2"]).filter("k <> a").select("a", F.col("k").alias("b"))
+    star = lists.join(pivots.select("h", F.col("p.gk").alias("a"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi")), "h")
+    star = common.materialize(star.filter((F.col("gk") != F.col("a")) & reachable("n", "i", "pn", "pi")).select("a", F.col("gk").alias("b")).distinct())
+    links = Links(keyed.select(F.col("_k").alias("k"), "_text"))
+    # each group with one pivot, each class with the head of its group; then the other pivots where components still differ
+    links.verify(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(inside))
+    links.verify(links.named(links.named(star, "a", "x"), "b", "y").filter("x <> y").select("a", "b"))
+    used = lists.select("gk").union(heads.select("a")).distinct()
+    members = common.materialize(classes.join(groups.select("n", "g", "g2", "gk"), ["n", "g", "g2"]).join(used, "gk", "left_semi").select("k", "gk", "n"))
     rows = lists.select("h", "gk", "i").union(heads.select(F.col("a").alias("h"), F.col("a").alias("gk"), F.lit(0)))
-    open_rows = rows.join(named, "gk")
-    mixed = open_rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-    open_rows = common.materialize(open_rows.join(mixed, "h", "left_semi").select("h", "k", "n", "i", "comp"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & reachable("x.n", "x.i", "y.n", "y.i"))
-    cross = cross.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
-    settled = star.union(star.select("b", "a"))
-    cross = common.materialize(cross.join(settled, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = common.materialize(linked(cross, texts))
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+    open_rows = _mixed(links, rows.join(members, "gk").select("h", "k", "n", "i"))
+    for nth in range(ROUNDS):
+        if open_rows.isEmpty():
+            break
+        links.verify(_partners(open_rows, nth))
+        open_rows = _mixed(links, open_rows.drop("comp"))
+    if not open_rows.isEmpty():
+        links.verify(_rest(open_rows.join(signed.select("k", *BITS), "k")))
     # back to the rows: key -> class -> component
-    of_class = classes.join(labels, F.col("k") == F.col("v"), "left").select("n", "c", "g", F.coalesce("comp", "k").alias("comp"))
-    of_row = keyed.select("doc_id", "_k").join(signed.select("k", "n", "c", "g").dropDuplicates(["k"]), F.col("_k") == F.col("k"))
-    return common.materialize(of_row.join(of_class, ["n", "c", "g"], "left").select("doc_id", "_k", "n", "comp"))
+    of_class = common.materialize(links.named(classes, "k").select("n", "c", "c2", "comp"))
+    of_row = signed.join(of_class, ["n", "c", "c2"], "left").select("k", "n", "comp")
+    return common.materialize(keyed.select("doc_id", "_k").join(of_row, F.col("_k") == F.col("k")).select("doc_id", "_k", "n", "comp"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -246,24 +326,27 @@ def join(docs: DataFrame) -> DataFrame:
     names a component only if it has no other. Extra columns are left out; an
     empty table gives no rows.
     """
-    whole = components_of(docs)
-    least = whole.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("_text"))
+    whole = components_of(common.keyed(rows, "doc_id"))
+    least = common.materialize(whole.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")))
     return whole.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Rows without words all stay. Columns are as they were.
+    Of rows with one doc_id one stays; a null doc_id stays only where the
+    component has no other. Rows without words all stay. Columns are as they
+    were, whatever their names.
     """
-    whole = components_of(docs)
-    best = whole.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "_k")).alias("b")).select("b._k")
-    stay = common.materialize(best.union(whole.filter("comp is null").select("_k")).distinct())
-    rows = docs.withColumn("_k", row_key(docs)).join(stay.hint("merge"), "_k", "left_semi")
-    if not whole.filter("comp is not null").groupBy("_k").count().filter("count > 1").isEmpty():
-        words = F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
-        rows = rows.filter(words).dropDuplicates(["_k"]).union(rows.filter(~words))
-    return rows.select(*docs.columns)
+    rows, name = common.plainly_named(docs)
+    rows = common.keyed(rows, name["doc_id"])
+    text = F.coalesce(F.col(name["text"]), F.lit(""))
+    whole = components_of(rows.select("_k", F.col(name["doc_id"]).cast("long").alias("doc_id"), text.alias("_text")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")
+    best = whole.filter("comp is not null").groupBy("comp").agg(F.min(order).alias("b")).select("b._k")
+    stay = common.materialize(best.union(whole.filter("comp is null").select("_k")))
+    return rows.join(stay.hint("merge"), "_k", "left_semi").drop("_k").toDF(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
