@@ -1,7 +1,9 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
-Iterative self-joins walk from each leaf to its root, branches are ranked by the
-sum of their scores, and each chosen path is formatted as one conversation.
+Iterative self-joins double each message's link to an ancestor, so that a tree
+of depth d takes log2(d) of them; as many joins then list each leaf's path.
+Branches are ranked by the sum of their scores, and each chosen path is
+formatted as one conversation.
 
 A turn is ``<turn role="R">``, a new line, the text, a new line, ``</turn>`` and
 a new line. Inside roles and texts ``&``, ``<`` and ``"`` become ``&amp;``,
@@ -17,9 +19,6 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Self-joins between two checkpoints.
-STEPS = 2
-NO_TREE = -(2**63)
 TURN = '<turn role="([^"]*)">\n([^<]*)\n</turn>\n'
 
 
@@ -47,23 +46,28 @@ def branches(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     nodes = nodes.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     inner = nodes.select("tree", F.col("parent").alias("id")).filter("id is not null").distinct()
     leaves = nodes.join(inner, ["tree", "id"], "left_anti")
-    walk = leaves.select("tree", F.col("id").alias("leaf"), "score", F.array("id").alias("path"), F.col("parent").alias("up"))
-    up = nodes.select("tree", F.col("id").alias("u_id"), F.col("parent").alias("u_parent"), F.col("score").alias("u_score"), F.lit(True).alias("live"))
-    while True:
-        for _ in range(STEPS):
-            live = F.col("up").isNotNull() & ~F.array_contains("path", F.col("up"))
-            # finished paths join nothing, each under its own leaf's key
-            step = walk.withColumn("live", F.coalesce(live, F.lit(False))).withColumn("u_id", F.when(F.col("live"), F.col("up")).otherwise(F.col("leaf")))
-            step = step.join(up, ["tree", "u_id", "live"], "left")
-            hit = F.col("u_score").isNotNull()
-            walk = step.select(
-                "tree", "leaf", (F.col("score") + F.coalesce("u_score", F.lit(0.0))).alias("score"),
-                F.when(hit, F.concat(F.array("u_id"), "path")).otherwise(F.col("path")).alias("path"), F.when(hit, F.col("u_parent")).alias("up"),
-            )
-        walk = common.materialize(walk)
-        if walk.filter("up is not null").isEmpty():
+    there = nodes.select("tree", F.col("id").alias("parent"))
+    level = nodes.select("tree", "id", "parent").join(there, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("up"))
+    # levels[r] leads from a message to its ancestor 2**r steps up; only cycles go on beyond the largest tree
+    largest = nodes.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    levels: list[DataFrame] = []
+    while 2 ** len(levels) <= largest:
+        level = common.materialize(level)
+        if level.isEmpty():
             break
-    walk = walk.select("tree", "leaf", "score", "path")
+        levels.append(level)
+        above = level.select("tree", F.col("id").alias("up"), F.col("up").alias("top"))
+        level = level.join(above, ["tree", "up"]).select("tree", "id", F.col("top").alias("up"))
+    walk = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("steps"))
+    for r, level in reversed(list(enumerate(levels))):
+        here = F.struct("id", "steps")
+        above = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), (F.col("steps") + 2**r).alias("steps")))
+        both = F.explode(F.array_compact(F.array(here, above))).alias("at")
+        walk = walk.join(level, ["tree", "id"], "left").select("tree", "leaf", both).select("tree", "leaf", "at.*")
+    # on a cycle messages come again; the first time counts
+    walk = walk.groupBy("tree", "leaf", "id").agg(F.max(-F.col("steps")).alias("at")).join(nodes.select("tree", "id", "score"), ["tree", "id"])
+    walk = walk.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("at", "id"))).alias("path"))
+    walk = walk.select("tree", "leaf", "score", F.col("path.id").alias("path"))
     if keep is None:
         return walk
     if keep == 1:  # a hot tree's leaves are reduced before the shuffle
@@ -104,17 +108,22 @@ def parsed(conversations: DataFrame) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back.
+
+    A conversation's rows in the order of turn, role and text are one branch.
+    Rows with a null conv_id are one conversation; null roles and texts are empty.
+    """
     said = "\\### Assistant: </turn> ok"
     extra = spark.sql("select -7L conv_id, 0L turn, 'user' role union all select -7L, 1L, 'assistant'").withColumn("text", F.lit(said))
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    rows = rows.withColumn("tree", F.coalesce("conv_id", F.lit(NO_TREE)))
+    rows = rows.withColumn("tree", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     rows = common.materialize(rows.withColumn("id", F.row_number().over(order).cast("long")))
     nodes = rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
     out = parsed(formatted(branches(nodes), rows.select("tree", "id", "role", "text")))
     said_by_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        F.when(F.col("tree") != NO_TREE, F.col("tree")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by_turn, 256).alias("turns_sha256"),
+        F.when(F.col("tree") != "none", F.col("tree")).cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by_turn, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"),
     )
 
