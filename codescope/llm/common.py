@@ -85,6 +85,11 @@ def plainly_named(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*[f"c{i}" for i in range(len(names))]), {c: f"c{i}" for i, c in enumerate(names)}
 
 
+def guarded(df: DataFrame, needs: tuple[str, ...]) -> DataFrame:
+    """``df`` with plain names for all columns but ``needs``; ``toDF(*df.columns)`` takes it back."""
+    return df.toDF(*[c if c in needs else f"_c{i}" for i, c in enumerate(df.columns)])
+
+
 def keyed(docs: DataFrame, doc_id: str) -> DataFrame:
     """``docs`` and ``_k``, a long that no two rows share.
 

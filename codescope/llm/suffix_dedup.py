@@ -7,10 +7,13 @@ cut down first, without loss:
 1. Anchors. Of the ``GRAM``-byte substrings in each window of ``min_len`` bytes,
    the one with the smallest hash is the window's anchor. It depends on the
    window's bytes alone, so equal windows have equal anchors at equal places.
-   Consecutive windows share anchors; a run of windows with one anchor is one
-   row, which names the anchor's hash and the hash of all bytes of the run.
-2. Runs whose anchor occurs once in the corpus repeat nothing. Runs with equal
-   bytes repeat each other throughout.
+   Consecutive windows share anchors; a run of windows with one anchor is known
+   by the anchor's hash and the digest of all bytes of the run. A stretch is a
+   few runs in a row; it starts where the anchor's hash says so.
+2. Stretches with equal bytes repeat each other throughout; only one of them goes
+   on. Of the others, runs whose anchor occurs once repeat nothing, and runs with
+   equal bytes repeat each other throughout. Equal means equal BLAKE2 digests of
+   128 bits, for the bytes themselves would have to be moved.
 3. What is left are runs that share an anchor but differ somewhere, one for each
    distinct content. Their windows are the suffixes to sort: within one anchor
    and one distance to it, a mergesort compares suffixes by binary search on
@@ -35,23 +38,35 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_LEN = 400
+#: Bytes and words of a passage that repeats (strip_repeats).
+PASSAGE_BYTES = 200
+PASSAGE_WORDS = 50
+#: Runs of a stretch: one in so many starts one, and so many are one at most.
+STRETCH, MOST_RUNS = 8, 64
 GROUP = 1024
 BLOCK = 16
-_NONE = np.uint64(2**64 - 1)
-ANCHORS = "k long, lo int, n int, a int, g long, s long"
+RUNS = [("lo", pa.int32()), ("n", pa.int32()), ("a", pa.int32()), ("g", pa.int64()), ("s", pa.int64()), ("s2", pa.int64())]
+STRETCHES = "k long, lo int, hi int, u long, u2 long, runs array<struct<lo:int,n:int,a:int,g:long,s:long,s2:long>>"
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two longs for each span of bytes: its BLAKE2 digest."""
+    raw = memoryview(np.ascontiguousarray(data))
+    out = b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, dtype=np.int64).reshape(-1, 2)
 
 
 def anchors(texts: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: text, first window, windows - 1, the anchor's distance, hashes of anchor and run."""
+    """Runs of windows with one anchor: text, first window, windows - 1, the anchor's distance and hash, the run's digest."""
     gram = min_len // 2
     width = min_len - gram + 1
     data, begin, end = common.joined(texts)
     size = len(data)
     empty = np.zeros(0, np.int64)
     if not (end - begin >= min_len).any():
-        return empty, empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, np.zeros((0, 2), np.int64), data, begin
     bits = np.uint64(int(size).bit_length())
-    first, second = common.PrefixHash(data, 1), common.PrefixHash(data, 2)
+    first = common.PrefixHash(data, 1)
     at = np.arange(size - gram + 1)
     whole = common.mix64(first.spans(at, at + gram))
     key = whole >> bits << bits | at.astype(np.uint64)
@@ -70,8 +85,7 @@ def anchors(texts: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     lo, p, d = starts[new], owner[new], doc[new]
     hi = starts[np.append(new[1:], len(starts)) - 1]
-    run = common.mix64(second.spans(lo, hi + min_len) + ((p - lo) * 4096 + (hi - lo)).astype(np.uint64))
-    return d, lo - begin[d], hi - lo, p - lo, whole[p].view(np.int64), run.view(np.int64)
+    return d, lo - begin[d], hi - lo, p - lo, whole[p].view(np.int64), digests(data, lo, hi + min_len), data, begin
 
 
 class SuffixSort:
@@ -178,28 +192,33 @@ def repeated(contexts: list[bytes], gram: np.ndarray, n: np.ndarray, a: np.ndarr
     return owner, window, found, data, where
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows are known by a hash of doc_id and text; equal rows share it, and their spans."""
-    text = common.text_or_empty(docs)
-    return docs.withColumn("_text", text).withColumn("_k", F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), text))
-
-
 def _batch(columns: dict, schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     names = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[t]) for c, t in names], [c for c, _ in names])
 
 
-def _anchor_rows(docs: DataFrame, min_len: int) -> DataFrame:
+def _stretches(docs: DataFrame, min_len: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.lean()
         for batch in batches:
             ids = batch.column("_k").to_numpy()
             for at, part in common.chunks_of(batch.column("_text").cast(pa.binary()).to_pylist(), 1 << 20):
-                d, lo, n, a, g, s = anchors(part, min_len)
-                yield _batch({"k": ids[at + d], "lo": lo, "n": n, "a": a, "g": g, "s": s}, ANCHORS)
-
-    return docs.select("_k", "_text").mapInArrow(scan, ANCHORS)
+                d, lo, n, a, g, s, data, begin = anchors(part, min_len)
+                new = (np.diff(d, prepend=-1) != 0) | (g % STRETCH == 0)
+                first = np.flatnonzero(new)
+                new[(np.arange(len(d)) - np.repeat(first, np.diff(np.append(first, len(d))))) % MOST_RUNS == 0] = True
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(d)) - 1 if len(first) else first
+                hi = lo[last] + n[last]
+                base = begin[d[first]] if len(first) else first
+                u = digests(data, base + lo[first], base + hi + min_len)
+                runs = pa.StructArray.from_arrays([pa.array(x).cast(t) for x, (_, t) in zip((lo, n, a, g, s[:, 0], s[:, 1]), RUNS, strict=True)], [c for c, _ in RUNS])
+                cuts = pa.array(np.append(first, len(d)).astype(np.int32))
+                cols = [pa.array(ids[at + d[first]]), pa.array(lo[first]).cast(pa.int32()), pa.array(hi).cast(pa.int32()), pa.array(u[:, 0]), pa.array(u[:, 1]), pa.ListArray.from_arrays(cuts, runs)]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in STRETCHES.split(", ")])
+
+    return docs.select("_k", "_text").mapInArrow(scan, STRETCHES)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
@@ -253,11 +272,10 @@ def _compare(contexts: DataFrame, min_len: int) -> DataFrame:
             mask = np.add.reduceat(bit, f)
             begin, end = where[i[f]], where[i[e]] + min_len
             core = begin + away[f] % BLOCK  # to where the block's last window could start
-            hashes = [common.PrefixHash(data, s) for s in (1, 2)]
-            x, y = (common.mix64(h.spans(core, core - (BLOCK - 1) + min_len)).view(np.int64) for h in hashes)
+            x, y = digests(data, core, core - (BLOCK - 1) + min_len).T
             # of blocks that need no answer, one for each content tells the other tasks
             keep = mask > 0
-            _, one = np.unique(hashes[0].spans(begin, end)[~keep], return_index=True)
+            _, one = np.unique(digests(data, begin[~keep], end[~keep]), axis=0, return_index=True)
             keep[np.flatnonzero(~keep)[one]] = True
             o, start = owner[i[f]][keep], window[i[f]][keep]
             ctx = [data[s:t].tobytes() for s, t in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)]
@@ -295,7 +313,7 @@ def _windows(blocks: DataFrame, min_len: int) -> DataFrame:
             o = np.repeat(np.arange(len(n)), n)
             w = np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n)
             at = begin[o] + w
-            x, y = (common.mix64(common.PrefixHash(data, s).spans(at, at + min_len)).view(np.int64) for s in (1, 2))
+            x, y = digests(data, at, at + min_len).T
             start = batch.column("start").to_numpy()[o] + w
             asks = batch.column("mask").to_numpy()[o] >> w & 1
             yield _batch({"k": batch.column("k").to_numpy()[o], "start": start, "end": np.where(asks, start + min_len, 0), "x": x, "y": y}, schema)
@@ -305,17 +323,25 @@ def _windows(blocks: DataFrame, min_len: int) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame, min_len: int) -> DataFrame:
     """``k`` and ``spans`` (array of start, end in bytes; they may overlap) of the keyed rows that have any."""
-    rows = _anchor_rows(keyed, min_len)
-    # written first: a join with a table, not with an aggregate, can split a hot anchor's rows
+    found = common.materialize(_stretches(keyed, min_len))
+    # tables are written before a join: with an aggregate, Spark couldn't split a hot key's rows
+    same = common.materialize(found.groupBy("u", "u2").agg(F.count("*").alias("c"), F.min(F.struct("k", "lo")).alias("one")).filter("c > 1").select("u", "u2", "one"))
+    again, one = F.col("one").isNotNull(), (F.col("one.k") == F.col("k")) & (F.col("one.lo") == F.col("lo"))
+    marked = found.join(same, ["u", "u2"], "left").select("k", "lo", "hi", again.alias("again"), F.when(~again | one, F.col("runs")).alias("runs"))
+    marked = common.materialize(marked)
+    common.discard(found)
+    common.release(keyed.sparkSession, now=True)
+    alike = marked.filter("again").select("k", F.col("lo").alias("start"), (F.col("hi") + min_len).alias("end"))
+    rows = marked.filter("runs is not null").select("k", "again", F.explode("runs").alias("r")).select("k", "again", "r.*")
     twice = common.materialize(rows.groupBy("g").count().filter("count > 1").select("g"))
     rows = common.materialize(rows.join(twice, "g", "left_semi"))
-    runs = rows.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("k", "lo", "n", "a")).alias("r"))
-    runs = common.materialize(runs.select("g", "s", "c", "r.*"))
+    runs = rows.groupBy("g", "s", "s2").agg(F.count("*").alias("c"), F.max("again").alias("again"), F.min(F.struct("k", "lo", "n", "a")).alias("r"))
+    runs = common.materialize(runs.select("g", "s", "s2", "c", "again", "r.*"))
     # likewise no aggregate stands above this join
-    whole = rows.join(runs.filter("c > 1").select("g", "s"), ["g", "s"], "left_semi").select("k", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + min_len).alias("end"))
+    whole = rows.filter("not again").join(runs.filter("c > 1").select("g", "s", "s2"), ["g", "s", "s2"], "left_semi").select("k", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + min_len).alias("end"))
     mixed = common.materialize(runs.groupBy("g").agg(F.count("*").alias("many")).filter("many > 1"))
     parts = F.ceil(F.col("many") / GROUP).cast("int")
-    wanted = runs.join(mixed, "g").select("g", F.pmod(F.hash("k", "lo"), parts).alias("salt"), (parts > 1).alias("hot"), (F.col("c") == 1).alias("single"), "k", "lo", "n", "a")
+    wanted = runs.join(mixed, "g").select("g", F.pmod(F.hash("k", "lo"), parts).alias("salt"), (parts > 1).alias("hot"), ((F.col("c") == 1) & ~F.col("again")).alias("single"), "k", "lo", "n", "a")
     found = common.materialize(_compare(_contexts(keyed, wanted, min_len), min_len))
     local = found.filter("ctx is null").select("k", "start", "end")
     blocks = found.filter("ctx is not null")
@@ -323,7 +349,7 @@ def repeated_spans(keyed: DataFrame, min_len: int) -> DataFrame:
     opened = common.materialize(_windows(blocks.join(met, ["x", "y"], "left_semi"), min_len))
     again = opened.groupBy("x", "y").count().filter("count > 1").select("x", "y")
     wide = opened.filter("end > 0").join(again, ["x", "y"], "left_semi").select("k", "start", "end")
-    spans = whole.unionByName(local).unionByName(wide)
+    spans = alike.unionByName(whole).unionByName(local).unionByName(wide)
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -362,11 +388,12 @@ def removal(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     Null texts are empty. Null doc_ids are kept. Rows with one doc_id are rows of
-    their own; equal rows repeat each other. Texts under ``min_len`` bytes lose
+    their own; equal rows repeat each other. Extra columns are left out. Texts under ``min_len`` bytes lose
     nothing. ``kept_text`` is cut at code points, the other columns at bytes.
     """
     common.bounded_batches(docs.sparkSession)
-    keyed = _keyed(docs.select("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("_text"))
+    keyed = common.keyed(rows, "doc_id")
     spans = repeated_spans(keyed, min_len)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
@@ -382,40 +409,46 @@ def removal(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    joined = keyed.join(spans, F.col("_k") == F.col("k"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "_text", "spans")
+    joined = keyed.join(spans, F.col("_k") == F.col("k"), "left").select("doc_id", "_text", "spans")
     return joined.mapInArrow(cut, schema)
 
 
-def strip_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """``docs`` with the repeated strings taken out of text, and n_chars (if it is a column) of what is left.
+def strip_repeats(docs: DataFrame, min_len: int = PASSAGE_BYTES, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with repeated passages taken out of text, and n_chars (if it is a column) of what is left.
 
-    No row goes, not even one whose text is all repeats. Spans are cut at code points.
+    A passage is a maximal run of bytes covered by strings of ``min_len`` bytes
+    that also start elsewhere, if it has ``min_words`` words. Each copy goes. No
+    row goes, not even one whose text is all repeats. Spans are cut at code
+    points. Other columns are as they were, whatever their names.
     """
     from pyspark.sql.types import StructType
 
     common.bounded_batches(docs.sparkSession)
-    keyed = _keyed(docs)
+    plain, name = common.plainly_named(docs)
+    text_at, chars_at = name["text"], name.get("n_chars")
+    names = plain.columns
+    keyed = common.keyed(plain.withColumn("_text", F.coalesce(F.col(text_at), F.lit(""))), name["doc_id"])
     spans = repeated_spans(keyed, min_len)
-    names = docs.columns
-    schema = StructType([docs.schema[c] for c in names])
+    schema = StructType([plain.schema[c] for c in names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str | None] = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column(text_at).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 if found and text:
                     raw = text.encode()
-                    text = _without(raw, _whole_characters(raw, _merged(found))).decode()
+                    gone = [[s, e] for s, e in _merged(found) if len(raw[s:e].split()) >= min_words]
+                    text = _without(raw, _whole_characters(raw, gone)).decode()
                 out.append(text)
-            new = {"text": pa.array(out, batch.schema.field("text").type)}
-            if "n_chars" in names:
-                new["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(batch.schema.field("n_chars").type)
+            new = {text_at: pa.array(out, batch.schema.field(text_at).type)}
+            if chars_at:
+                new[chars_at] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
     spans = spans.select(F.col("k").alias("_span_k"), F.col("spans").alias("_spans"))
     joined = keyed.join(spans, F.col("_k") == F.col("_span_k"), "left").select(*names, "_spans")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).toDF(*docs.columns)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal(common.table(spark, sf_dir, "documents")).drop("kept_text")
+    return removal(common.table(spark, sf_dir, "documents"))
