@@ -361,8 +361,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Dat
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with the columns they had."""
-    return find(docs, benchmark, similar).filter(F.size("leaks") == 0).select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark item, with the columns they had, whatever their names."""
+    plain = common.guarded(docs, ("text",))
+    return find(plain, benchmark, similar).filter(F.size("leaks") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,9 +146,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with the columns they had."""
+    """The rows of ``docs`` that score ``threshold`` or more, with the columns they had, whatever their names."""
     weights = fit(docs, labels)
-    return score(docs, weights).filter(F.col("score") >= threshold).select(*docs.columns)
+    plain = common.guarded(docs, ("doc_id", "text"))
+    return score(plain, weights).filter(F.col("score") >= threshold).select(*plain.columns).toDF(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("codescope.llm")
 from codescope.llm import chat, common, components, decontaminate, fingerprint, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, tokens, url_filter  # noqa: E402
@@ -24,6 +26,7 @@ def prose(n, r=R):
 
 
 def corpus():
+    R.seed(5)  # the same rows whatever ran before
     base = [prose(R.randint(1, 300)) for _ in range(40)]
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(100 + i, t) for i, t in enumerate(base[:6])]  # copies
@@ -95,6 +98,27 @@ def test_token_files(spark, docs, rows, empty):
 
 # -- packing
 
+def best_fit(sizes, capacity):
+    """Bins of best-fit decreasing, piece by piece."""
+    rooms: list[int] = []
+    for size in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= size]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - size)
+    return len(rooms)
+
+
+def least_bins(sizes, capacity):
+    """No packing has fewer bins (the bound of Martello and Toth)."""
+    out = 0
+    for k in range(capacity // 2 + 1):
+        large, middle = [s for s in sizes if s > capacity - k], [s for s in sizes if capacity / 2 < s <= capacity - k]
+        small = sum(s for s in sizes if k <= s <= capacity / 2)
+        out = max(out, len(large) + len(middle) + max(0, -(-(small - (len(middle) * capacity - sum(middle))) // capacity)))
+    return out
+
+
 def test_plan_is_valid_and_tight():
     r = random.Random(2)
     for _ in range(30):
@@ -106,13 +130,7 @@ def test_plan_is_valid_and_tight():
             for s, c in pattern:
                 used[s] += c * many
         assert used == counts
-        rooms: list[int] = []  # best-fit decreasing, piece by piece
-        for size in sorted((s for s, c in counts.items() for _ in range(c)), reverse=True):
-            fits = [r for r in rooms if r >= size]
-            if fits:
-                rooms.remove(min(fits))
-            rooms.append((min(fits) if fits else 64) - size)
-        assert sum(m for _, m in groups) == len(rooms)
+        assert sum(m for _, m in groups) == best_fit([s for s, c in counts.items() for _ in range(c)], 64)
 
 
 def test_pack(docs, rows, empty):
@@ -129,7 +147,8 @@ def test_pack(docs, rows, empty):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
     assert got.groupby("sequence_id").length.sum().max() <= 256
-    assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 2
+    assert least_bins(got.length.tolist(), 256) <= got.sequence_id.nunique() <= best_fit(got.length.tolist(), 256)
+    assert got.sequence_id.nunique() <= least_bins(got.length.tolist(), 256) + 1
     assert packing.pack(empty, BYTE, 2).count() == 0
 
 
@@ -170,8 +189,18 @@ def removed(rows, n):
 @pytest.mark.parametrize("group", [1024, 2])
 def test_suffix_dedup(docs, rows, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    got = suffix_dedup.removal(docs, 100).drop("kept_text").collect()
-    assert sorted(map(tuple, got), key=str) == sorted(removed(rows, 100), key=str)
+    monkeypatch.setattr(suffix_dedup, "MOST_RUNS", 5)
+    out = suffix_dedup.removal(docs, 100)
+    assert sorted(map(tuple, out.drop("kept_text").collect()), key=str) == sorted(removed(rows, 100), key=str)
+    if group == 2:
+        text = {i: t or "" for i, t in rows}
+        assert all(r["kept_text"] == text[r["doc_id"]] for r in out.collect() if not r["n_removed"] and r["doc_id"] not in (None, 408))
+
+
+def test_suffix_dedup_on_the_given_documents(spark):
+    given = common.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in given.collect()]
+    assert sorted(map(tuple, suffix_dedup.removal(given).drop("kept_text").collect())) == sorted(removed(rows, 400))
 
 
 def test_suffix_sort_orders_suffixes():
@@ -188,6 +217,29 @@ def test_strip_keeps_rows_and_characters(docs, empty):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.filter("doc_id = 405").first()["text"].strip("É ü") == ""
     assert suffix_dedup.removal(empty).count() == 0
+    few = suffix_dedup.strip_repeats(docs, 100, 10**6)
+    assert few.exceptAll(docs).isEmpty() and docs.exceptAll(few).isEmpty()
+
+
+#: Names that operators use inside.
+CLASHING = ["_k", "_text", "_spans", "_span_k", "k", "n", "comp", "score", "leaks", "c0", "label", "one"]
+
+
+def test_filters_keep_columns_of_any_name(spark, docs):
+    base = docs.select("doc_id", "text")
+    wide = base
+    for i, c in enumerate(CLASHING):
+        wide = wide.withColumn(c, F.coalesce("doc_id", F.lit(-1)) * 100 + i)
+    labels = base.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    benchmark = spark.createDataFrame([(1, "ten words that are in no text of this corpus at all ever")], "item_id long, text string")
+    for use in (
+        lambda d: jaccard_join.keep_one(d), lambda d: suffix_dedup.strip_repeats(d, 100), lambda d: decontaminate.remove_leaks(d, benchmark), lambda d: quality.filter_quality(d, labels, 0.0),
+    ):
+        out = use(wide)
+        assert out.columns == wide.columns
+        got = sorted([r for r in out.collect()], key=str)
+        assert len(got) == use(base).count() > 0
+        assert all(r[c] == (-1 if r["doc_id"] is None else r["doc_id"]) * 100 + i for r in got for i, c in enumerate(CLASHING))
 
 
 # -- Jaccard join
@@ -232,6 +284,21 @@ def test_jaccard_join(docs, rows, empty, monkeypatch):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_join_where_pivots_are_not_near(spark):
+    """Groups of near copies about the limit, and texts that share a passage but aren't near: many pivots, rounds and the rest."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    rows, base, passage = [], [r.choice(words) for _ in range(80)], [r.choice(words) for _ in range(40)]
+    for _ in range(60):
+        t = list(base)
+        for _ in range(r.randint(0, 5)):
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append((len(rows), " ".join(t)))
+    rows += [(100 + i, " ".join(passage + [r.choice(words) for _ in range(r.randint(3, 25))])) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(made).collect())) == sorted(joined(rows))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (100, 102), (7, 7)]
     got = {r["v"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -372,11 +439,11 @@ def test_fingerprints(docs, rows, empty):
 def test_branches_and_round_trip(spark):
     nasty = ["", None, "a\nb", "</turn>", '<turn role="user">', "&lt; &amp;lt; \\ < >", "é\n"]
     nodes = [(1, 1, None, 1.0), (1, 2, 1, 5.0), (1, 3, 1, 2.0), (1, 4, 3, 9.0), (2, 1, 99, None), (2, 2, 1, 0.0), (3, 1, 2, 1.0), (3, 2, 1, 1.0)]
-    nodes += [(4, i, i - 1 if i else None, 1.0) for i in range(20)]
+    nodes += [(4, i, i - 1 if i else None, 1.0) for i in range(20)] + [(5, 1, 2, 1.0), (5, 2, 3, 1.0), (5, 3, 4, 1.0), (5, 4, 2, 1.0)]
     df = spark.createDataFrame(nodes, "tree long, id long, parent long, score double")
     got = {(r["tree"], r["leaf"]): (r["score"], list(r["path"])) for r in chat.branches(df, None).collect()}
-    assert got == {(1, 2): (6.0, [1, 2]), (1, 4): (12.0, [1, 3, 4]), (2, 2): (0.0, [1, 2]), (4, 19): (20.0, list(range(20)))}
-    assert {(r["tree"], r["leaf"]) for r in chat.branches(df).collect()} == {(1, 4), (2, 2), (4, 19)}
+    assert got == {(1, 2): (6.0, [1, 2]), (1, 4): (12.0, [1, 3, 4]), (2, 2): (0.0, [1, 2]), (4, 19): (20.0, list(range(20))), (5, 1): (4.0, [4, 3, 2, 1])}
+    assert {(r["tree"], r["leaf"]) for r in chat.branches(df).collect()} == {(1, 4), (2, 2), (4, 19), (5, 1)}
     texts = spark.createDataFrame([(t, i, ["user", "assistant", None, 'o"<'][i % 4], nasty[i % 7]) for t, i, *_ in nodes], "tree long, id long, role string, text string")
     for r in chat.parsed(chat.formatted(chat.branches(df), texts)).collect():
         path = got[r["tree"], r["leaf"]][1]
@@ -418,6 +485,35 @@ def test_html_without_article_keeps_short_sections():
     assert html_text.main_text(page).endswith("ends.\n\nflour\n\ntwo eggs\n\nsalt")
 
 
+#: Pages whose boilerplate no name or element tells, and what is left of them.
+UNNAMED = [
+    ("<body><div><span>Home</span><div>About us</div></div><div>Log in</div><div><h1>Head</h1><p>Some text, of a few words, that says something. And more.</p></div></body>", "Head\n\nSome text, of a few words, that says something. And more."),
+    ("<article><h2>Head</h2><p>Some text, of a few words, that says something.</p><div><a href=a>Another page about it</a> <a href=b>and another</a></div><p>Yes.</p></article>", "Head\n\nSome text, of a few words, that says something.\n\nYes."),
+    ("<body><p>x</p><p>Top</p><section><p>Some text, of a few words, that says something.</p><ul><li>one</li></ul></section></body>", "Some text, of a few words, that says something.\n\none"),
+]
+
+
+def test_html_ratios_decide(monkeypatch):
+    for page, text in UNNAMED[:2]:
+        assert html_text.main_text(page) == text
+    monkeypatch.setattr(html_text, "ratios", lambda every: {b["path"]: html_text.STRONG for b in every})
+    assert all(html_text.main_text(page) != text for page, text in UNNAMED[:2])
+
+
+def test_html_ratios_by_hand():
+    every = html_text.blocks("<div><p>ab, cd.</p><p>abcdefghi</p></div><ul><li><a>x</a>y</li></ul>")
+    p, li = (next(b["path"] for b in every if b["text"].startswith(t)) for t in ("ab", "x"))
+    got = html_text.ratios(every)
+    assert got[p] == pytest.approx(8.0**0.5 * 2) and got[li] == pytest.approx(2.0**0.5 * 0.25)
+
+
+@pytest.mark.parametrize("part", ['<p a="', "<div>", "<b>", "<li><div>", "<p title='x>", "<", "<ul><li>x", "<div>Some text, of a few words, that says something. ", "<b><div></b>"])
+def test_html_takes_linear_time(part):
+    began = time.process_time()
+    html_text.main_text(part * 30000 + "</i>" * 30000)
+    assert time.process_time() - began < 5
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a href=a>one</a></ul></nav><div class="ad">Buy</div>
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>, text.<script>var x="<p>no";</script> More.<p>Second   para<br>line<ul><li>x<li>y</ul><form>f</form>
