@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from codescope.plans import catalogue
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def normal(frame):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
