@@ -1,16 +1,24 @@
-"""Benchmark decontamination by character seeds on diagonals and exact edit distance.
-
-Documents and items are read as lower-cased words with one blank between. All
-runs of ``SEED`` characters of an item are seeds; each place where a document
-has a seed votes for the item and the diagonal (place in the document less place
-in the item). Bands of diagonals with enough votes put an item-sized window on
-the document. Windows go through a bit-parallel edit distance over many windows
-at once, with characters folded to ``FOLD`` classes, so that it is never above
-the true one; what passes is verified by exact edit distance over characters.
-
-Recall: an equal copy gives all its seeds on one diagonal and is always found.
-An edited passage is found when enough seeds outlive the edits; edits placed
-so that nowhere ``SEED`` characters in a row stay leave none.
+"""Benchmark decontamination by CGK walks, bit sampling and exact edit distance.
+
+Documents and items are read as lower-cased words with one blank between. The
+random walk of Chakraborty, Goldenberg and Koucky copies a string's character at
+each step and moves on to the next one by a coin that depends on step and
+character; strings a few edits apart walk in step again after each edit, so edit
+distance turns into Hamming distance of the copies. One long walk falls out of
+step for good when a quarter of the characters are edited. So walks of STEPS
+steps start all over an item, and all over a document, and
+two of every three of its steps, chosen at random, are hashed to a key: two walks meet if no
+edit touched the sampled steps. Each meeting votes for the item and the diagonal
+(place in the document less place in the item); bands of diagonals with enough
+votes put an item-sized window on the document. REPEATS walks with other coins
+and samples make the recall. Windows go through a bit-parallel edit distance over
+many windows at once, with characters folded to ``FOLD`` classes, so that it is
+never above the true one; what passes is verified by exact edit distance over
+characters.
+
+Recall: an equal copy meets in all its walks on one diagonal and is always found.
+An edited passage is found when enough walks outlive the edits; edits placed so
+that no walk does leave none.
 """
 
 from __future__ import annotations
@@ -26,8 +34,12 @@ from pyspark.sql.types import StructType
 
 from . import common
 
-#: Characters of a seed, and width of a band of diagonals; two bands that touch vote together.
-SEED = 6
+#: Steps of a walk, of which two in three are sampled, and how often. Items of LONG characters have more walks and take half the repeats.
+STEPS, REPEATS = 18, 4
+LONG = 80
+#: Documents walk from one in so many characters, items from each; each repeat takes others.
+EVERY = 2
+#: Width of a band of diagonals; two bands that touch vote together.
 BAND = 16
 #: So many bands share one window.
 BANDS = 4
@@ -35,11 +47,8 @@ FOLD = 64
 #: Items under MIN_WORDS words and under MIN_CHARS characters are found by equal words only: so short a likeness says nothing.
 MIN_WORDS = 10
 MIN_CHARS = 40
-#: Characters of documents and counters that are looked at together.
-SPAN = 1 << 17
-CELLS = 1 << 21
-#: Share of an item's characters that must vote (see needed).
-VOTES = 0.07
+#: Votes that make a window: a share of the item's characters, within limits.
+VOTES, FEWEST, MOST = 0.05, 2, 13
 SIMILAR = 0.75
 #: So many items are searched for in one pass; more take more passes.
 BLOCK_ITEMS = 5000
@@ -51,18 +60,21 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_RANDOM = np.random.Generator(np.random.PCG64(11))
+#: By repeat: the random word of each character, whose bits are the coins, and the sampled steps.
+_COINS = [_RANDOM.integers(0, 2**32, 4096, dtype=np.uint32) for _ in range(REPEATS)]
+_SAMPLES = [frozenset(range(STEPS)) - {int(j) for j in np.arange(0, STEPS, 3) + _RANDOM.integers(0, 3, STEPS // 3)} for _ in range(REPEATS)]
 #: Scripts that set no blanks between words: Thai and Lao, Myanmar, Khmer, kana, Han.
 SPACELESS = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """All words (letters and digits, A-Z lower-cased): hash, start, end, text; and the lower-cased bytes."""
+    """All words (letters and digits, A-Z lower-cased): start, end, text; and the lower-cased bytes."""
     data, _, ends = common.joined(texts)
     low = _LOWER[data]
     edge = np.diff(_WORD[data].astype(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    h = common.mix64(common.PrefixHash(low, 5).spans(start, end) + (end - start).astype(np.uint64))
-    return h, start, end, np.searchsorted(ends, start, side="right"), low
+    return start, end, np.searchsorted(ends, start, side="right"), low
 
 
 def characters(low: np.ndarray) -> np.ndarray:
@@ -73,14 +85,22 @@ def characters(low: np.ndarray) -> np.ndarray:
     return np.frombuffer(np.where(word, low, np.uint8(32))[keep].tobytes().decode("utf-8", "replace").rstrip(" ").encode("utf-32-le"), dtype=np.uint32)
 
 
-def seeds(chars: np.ndarray) -> np.ndarray:
-    """Hash of the SEED characters from each place on."""
-    n = max(len(chars) - SEED + 1, 0)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(SEED):
-        h *= _ODD
-        h += chars[j : n + j]
-    return h * np.uint64(0xD6E8FEB86659FD93)
+def walks(chars: np.ndarray, repeat: int, begin: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the walk from each of ``chars[begin::every]`` on, and where it ends."""
+    n = len(chars)
+    coins = np.zeros(n + STEPS, dtype=np.uint32)
+    coins[:n] = _COINS[repeat][chars & 4095]
+    stop = np.arange(begin, n, every)
+    key = np.zeros(len(stop), dtype=np.uint64)
+    for c in range(0, len(stop), 1 << 14):  # parts that stay in the processor's cache
+        h, i = key[c : c + (1 << 14)], stop[c : c + (1 << 14)]
+        for j in range(STEPS):
+            x = coins.take(i)
+            if j in _SAMPLES[repeat]:
+                h *= _ODD
+                h += x
+            i += x >> np.uint32(j + 3) & np.uint32(1)
+    return key * np.uint64(0xD6E8FEB86659FD93), stop
 
 
 def spaceless(chars: np.ndarray) -> np.ndarray:
@@ -93,75 +113,90 @@ def spaceless(chars: np.ndarray) -> np.ndarray:
 
 def needed(m: int) -> int:
     """Votes that make a window, for an item of ``m`` characters."""
-    return max(1, round(m * VOTES) - 3)
+    return min(max(round(m * VOTES), FEWEST), MOST) + (m < LONG)
+
+
+class Table:
+    """Items' walks by the upper bits of their keys."""
+
+    def __init__(self, key: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
+        self.shift = np.uint64(64 - min(24, max(16, len(key).bit_length() + 6)))
+        bucket = (key >> self.shift).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.owner, self.offset, self.bucket = owner[order], offset[order], bucket[order]
+        self.used = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.used[bucket] = True
+
+    def meet(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``key``, item and place in the item of all walks that meet."""
+        bucket = (key >> self.shift).astype(np.int64)
+        at = np.flatnonzero(self.used[bucket])
+        low = np.searchsorted(self.bucket, bucket[at])
+        many = np.searchsorted(self.bucket, bucket[at], side="right") - low
+        which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return np.repeat(at, many), self.owner[which], self.offset[which]
 
 
 class Items:
-    """One block of benchmark items: their seeds, the bits of the edit distance, and the short ones by text."""
+    """One block of benchmark items: their walks, the bits of the edit distance, and the short ones by text."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.rows, self.texts = [], []
         self.short: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
-        key, owner, offset, need = ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [])
+        key = [[np.zeros(0, np.uint64)] for _ in range(REPEATS)]
+        owner, offset = ([[np.zeros(0, np.int64)] for _ in range(REPEATS)] for _ in range(2))
+        need: list[int] = []
         self.bits: list[np.ndarray | None] = []
         for item_id, text in rows:
-            h, start, end, _, low = words_of([(text or "").encode()])
-            if not len(h):
+            start, end, _, low = words_of([(text or "").encode()])
+            if not len(start):
                 continue  # nothing but signs
             n = len(self.rows)
-            self.rows.append((item_id, len(h)))
+            self.rows.append((item_id, len(start)))
             self.texts.append(plain(low, start, end))
             chars = characters(low)
-            if len(h) < MIN_WORDS and len(chars) < MIN_CHARS:
+            if len(start) < MIN_WORDS and len(chars) < MIN_CHARS:
                 self.short[len(chars)][self.texts[n]].append(n)
                 need.append(1 << 30)
                 self.bits.append(None)
                 continue
             need.append(needed(len(chars)))
-            key.append(seeds(chars))
-            offset.append(np.arange(len(key[-1])))
-            owner.append(np.full(len(key[-1]), n))
+            for r in range(REPEATS if len(chars) < LONG else REPEATS // 2):
+                keys, stop = walks(chars, r)
+                whole = np.flatnonzero(stop <= len(chars))
+                key[r].append(keys[whole])
+                offset[r].append(whole)
+                owner[r].append(np.full(len(whole), n))
             bits = np.zeros((-(-len(chars) // 64), FOLD), dtype=np.uint64)
             at = np.arange(len(chars))
             np.bitwise_or.at(bits, (at >> 6, chars % FOLD), np.uint64(1) << (at & 63).astype(np.uint64))
             self.bits.append(bits)
-        keys = np.concatenate(key)
-        self.shift = np.uint64(64 - min(24, max(16, len(keys).bit_length() + 5)))
-        order = np.argsort(keys >> self.shift, kind="stable")
-        self.owner, self.offset = np.concatenate(owner)[order], np.concatenate(offset)[order]
-        self.many = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift))).astype(np.int32)
-        self.first = np.cumsum(self.many, dtype=np.int64) - self.many
+        self.tables = [Table(*(np.concatenate(x[r]) for x in (key, owner, offset))) for r in range(REPEATS)]
         self.need = np.array(need, dtype=np.int64)
         self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.longest = int(self.length[self.need < 1 << 30].max(initial=0))
 
     def windows(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first diagonal) of all windows with enough votes; a window has BANDS * BAND + BAND diagonals."""
-        found = [np.zeros((2, 0), dtype=np.int64)]
-        if not len(self.owner):
-            return found[0][0], found[0][1]
-        bucket = (seeds(chars) >> self.shift).astype(np.int64)
-        items, base = len(self.rows), -(-self.longest // BAND) * BAND
-        over = base + 2 * BAND  # all votes of a band lie in one span
-        step = max(over, min(SPAN, CELLS * BAND // items) - over) // BAND * BAND
-        for a in range(0, len(bucket), step):
-            part = bucket[a : a + step + over]
-            many = self.many[part]
-            at = np.flatnonzero(many)
-            many = many[at].astype(np.int64)
-            which = np.repeat(self.first[part[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            band = (np.repeat(at, many) - self.offset[which] + base) // BAND
-            bands = (len(part) + base) // BAND + 2
-            votes = np.bincount(band * items + self.owner[which], minlength=bands * items).reshape(bands, items)
-            band, item = np.nonzero(votes[:-1] + votes[1:] >= self.need)
-            window = (band + (a - base) // BAND) // BANDS
-            found.append(np.stack([item, window]))
-        if len(found) > 1:
-            both = np.concatenate(found, axis=1)
-            low = int(both[1].min(initial=0))
-            key = np.unique(both[0] * (1 << 40) + both[1] - low)
-            return key >> 40, ((key & ((1 << 40) - 1)) + low) * (BANDS * BAND)
-        return found[0][0], found[0][1]
+        if not self.longest:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        base = -(-self.longest // (BAND * BANDS)) * BAND * BANDS
+        bands = (len(chars) + base) // BAND + 2
+        found = []
+        for r, table in enumerate(self.tables):
+            if not len(table.owner):
+                continue
+            place, item, offset = table.meet(walks(chars, r, r % EVERY, EVERY)[0])
+            found.append(item * bands + (place * EVERY + r % EVERY - offset + base) // BAND)
+        votes = np.sort(np.concatenate(found))
+        first = np.flatnonzero(np.diff(votes, prepend=-2))
+        band, many = votes[first], np.diff(np.append(first, len(votes)))
+        touch = np.append(band[1:] == band[:-1] + 1, False)  # the last band of an item stays empty
+        many = many + np.where(touch, np.append(many[1:], 0), 0)
+        band = band[many >= self.need[band // bands]]
+        item, band = band // bands, band % bands
+        key = np.unique(item * (bands // BANDS + 1) + band // BANDS)
+        return key // (bands // BANDS + 1), key % (bands // BANDS + 1) * (BANDS * BAND) - base
 
     def near(self, chars: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Whether the item lies in ``chars[a:b]`` with at most ``most`` edits, characters folded (bit-parallel over windows)."""
@@ -171,8 +206,8 @@ class Items:
         order = np.lexsort((b - a, words))
         ends = np.flatnonzero(np.diff(words[order])) + 1
         for group in np.split(order, ends):
-            for k in range(0, len(group), 2048):
-                part = group[k : k + 2048]
+            for k in range(0, len(group), 8192):
+                part = group[k : k + 8192]
                 good[part] = self._distances(fold, item[part], a[part], b[part]) <= most[part]
         return good
 
@@ -288,8 +323,8 @@ def leaks(texts: list[bytes], items: Items, similar: float = SIMILAR) -> list[li
         held.clear()
 
     for at, part in common.chunks_of(texts, 1 << 20):
-        h, _, _, doc, low = words_of(part)
-        if not len(h):
+        start, _, doc, low = words_of(part)
+        if not len(start):
             continue
         chars = characters(low)
         first = np.append(0, np.flatnonzero(chars == 32) + 1)  # of each word

@@ -321,7 +321,7 @@ def test_leaks_recall_and_precision(spark):
     clean = [prose(200, r) for _ in range(60)]
     held = decontaminate.Items(items)
     for t, i in zip(texts, truth, strict=True):
-        h, s, e, _, low = decontaminate.words_of([t.encode()])
+        s, e, _, low = decontaminate.words_of([t.encode()])
         k = [n for n, _ in held.rows].index(i)
         near, _ = decontaminate.infix_distance(held.texts[k], decontaminate.plain(low, s, e))
         if near <= int(0.25 * len(held.texts[k])):
