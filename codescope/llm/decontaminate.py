@@ -38,7 +38,7 @@ from . import common
 STEPS, REPEATS = 18, 4
 LONG = 80
 #: Documents walk from one in so many characters, items from each; each repeat takes others.
-EVERY = 2
+EVERY = 3
 #: Width of a band of diagonals; two bands that touch vote together.
 BAND = 16
 #: So many bands share one window.
@@ -48,7 +48,7 @@ FOLD = 64
 MIN_WORDS = 10
 MIN_CHARS = 40
 #: Votes that make a window: a share of the item's characters, within limits.
-VOTES, FEWEST, MOST = 0.05, 2, 13
+VOTES, FEWEST, MOST = 0.035, 2, 9
 SIMILAR = 0.75
 #: So many items are searched for in one pass; more take more passes.
 BLOCK_ITEMS = 5000
@@ -123,7 +123,8 @@ class Table:
         self.shift = np.uint64(64 - min(24, max(16, len(key).bit_length() + 6)))
         bucket = (key >> self.shift).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        self.owner, self.offset, self.bucket = owner[order], offset[order], bucket[order]
+        self.owner, self.offset, bucket = owner[order], offset[order], bucket[order]
+        self.bucket, self.first, self.many = np.unique(bucket, return_index=True, return_counts=True)
         self.used = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.used[bucket] = True
 
@@ -131,8 +132,8 @@ class Table:
         """Place in ``key``, item and place in the item of all walks that meet."""
         bucket = (key >> self.shift).astype(np.int64)
         at = np.flatnonzero(self.used[bucket])
-        low = np.searchsorted(self.bucket, bucket[at])
-        many = np.searchsorted(self.bucket, bucket[at], side="right") - low
+        known = np.searchsorted(self.bucket, bucket[at])
+        low, many = self.first[known], self.many[known]
         which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         return np.repeat(at, many), self.owner[which], self.offset[which]
 
