@@ -55,7 +55,9 @@ def package_zone(i: Column, a: Column, d: Column) -> Column:
 def is_trivial_number(literal: Column) -> Column:
     """0, 1, -1 and 2 as integers; 0, 1, -1, 0.5, 2 and 100 as decimals."""
     bare = F.regexp_replace(F.regexp_replace(literal, "[_a-zA-Z]+$", ""), "_", "")
-    whole = bare.try_cast("bigint")
+    # trailing letters go first, so 0x1F reads as 0x1
+    hexed = F.conv(F.regexp_extract(bare, "^0[xX]([0-9a-fA-F]+)$", 1), 16, 10).try_cast("bigint")
+    whole = F.when(bare.rlike("^0[xX][0-9a-fA-F]+$"), hexed).otherwise(F.when(~bare.rlike("^0+[1-9]"), bare.try_cast("bigint")))
     return F.when(whole.isNotNull() & ~bare.contains("."), whole.isin(0, 1, -1, 2)).otherwise(F.coalesce(bare.try_cast("double").isin(0.0, 1.0, -1.0, 0.5, 2.0, 100.0), F.lit(False)))
 
 

@@ -41,10 +41,22 @@ def quadrants(df: DataFrame, x: str, y: str, least: int = 8, share: float = 0.75
     """High or low on two axes, by nearest-rank percentiles; cutoffs are one broadcast row."""
     cut = df.agg(F.expr(f"percentile_disc({share}) within group (order by {x})").alias("cut_x"), F.expr(f"percentile_disc({share}) within group (order by {y})").alias("cut_y"), F.count("*").alias("_n"))
     hi_x, hi_y = F.col(x) >= F.col("cut_x"), F.col(y) >= F.col("cut_y")
-    name = F.when(F.col("_n") < least, "insufficient_data").when(hi_x & hi_y, "hotspot").when(hi_x, "complex_stable").when(hi_y, "simple_churning").otherwise("calm")
+    name = F.when(F.col("_n") < least, "insufficient_data").when(hi_x & hi_y, "hotspot").when(hi_x, "stable_complex").when(hi_y, "churning_simple").otherwise("calm")
     return df.crossJoin(F.broadcast(cut)).withColumn("quadrant", name).drop("cut_x", "cut_y", "_n")
 
 
+def cluster_report(members: DataFrame, key: str, member: str, least: int, limit: float) -> DataFrame:
+    """One row for each cluster of ``least`` members and, if their share of all rows is over ``limit``, one for the share.
+
+    Columns: kind (cluster or density), first_member, value, threshold.
+    """
+    sizes = members.groupBy(key).agg(F.count("*").alias("size"), F.min(member).alias("first_member"))
+    rows = sizes.filter(F.col("size") >= least).select(F.lit("cluster").alias("kind"), "first_member", F.col("size").cast("double").alias("value"), F.lit(float(least)).alias("threshold"))
+    share = sizes.agg(F.try_divide(F.sum(F.when(F.col("size") >= 2, F.col("size")).otherwise(0)), F.sum("size")).alias("value"))
+    density = share.filter(F.col("value") > limit).select(F.lit("density").alias("kind"), F.lit(None).cast(dict(members.dtypes)[member]).alias("first_member"), F.round("value", 6).alias("value"), F.lit(float(limit)).alias("threshold"))
+    return density.unionByName(rows)
+
+
 def histogram(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """Counts of all values, zero where there are none."""
     every = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
@@ -129,15 +141,42 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def depth(parents: DataFrame) -> DataFrame:
-    """Distance of each ``id`` to its root over ``parents(id, parent)``, by pointer doubling: rounds grow as the logarithm."""
-    walk = parents.select("id", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")).checkpoint()
-    for _ in range(64):
+    """Distance of each ``id`` to its root over ``parents(id, parent)``, by pointer doubling: rounds grow as the logarithm.
+
+    An id that is its own parent is a root. On a cycle, and above one, the way
+    ends at the first id that comes again.
+    """
+    parents = parents.select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent")).checkpoint()
+    walk = _climb(parents)
+    settled, open_ = walk.filter("up is null").select("id", "depth"), walk.filter("up is not null")
+    if open_.isEmpty():
+        return settled
+    # after more steps than there are ids, all who still climb are on cycles
+    ring = open_.select(F.col("up").alias("id")).distinct().checkpoint()
+    least = ring.select("id", F.col("id").alias("least"))
+    hop = parents.join(ring, "id").select("id", F.col("parent").alias("up")).checkpoint()
+    for _ in range(max(1, ring.count().bit_length())):
+        above = hop.select(F.col("id").alias("u_id"), F.col("up").alias("u_up")).join(least.select(F.col("id").alias("u_id"), F.col("least").alias("u_least")), "u_id")
+        both = hop.join(least, "id").join(above, F.col("up") == F.col("u_id")).select("id", F.col("u_up").alias("up"), F.least("least", "u_least").alias("least")).checkpoint()
+        hop, least = both.select("id", "up"), both.select("id", "least")
+    size = least.join(least.groupBy("least").agg(F.count("*").alias("size")), "least").select("id", (F.col("size") - 1).alias("more"))
+    off = open_.select("id").join(parents, "id").join(size.select("id", F.lit(True).alias("ring")), "id", "left")
+    steps = _climb(off.select("id", F.when(F.col("ring").isNull(), F.col("parent")).alias("parent")).checkpoint(), True)
+    way = steps.join(size.withColumnRenamed("id", "root"), "root").select("id", (F.col("depth") + F.col("more")).alias("depth"))
+    return settled.unionByName(way)
+
+
+def _climb(parents: DataFrame, rooted: bool = False) -> DataFrame:
+    """``id``, ``up`` (null at the end of the way), ``depth`` and ``root`` after more steps than there are ids."""
+    walk = parents.select("id", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.coalesce("parent", "id").alias("root")).checkpoint()
+    for _ in range(max(1, parents.count().bit_length()) + 1):
         if walk.filter("up is not null").isEmpty():
-            return walk.select("id", "depth")
-        above = walk.select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"))
-        key = F.coalesce(F.col("up"), F.concat(F.lit("done:"), F.col("id").cast("string")))  # spreads finished rows
-        walk = walk.withColumn("k", key).join(above, F.col("k") == F.col("u_id"), "left").select("id", F.col("u_up").alias("up"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth")).checkpoint()
-    raise ValueError("parents have a cycle")
+            break
+        above = walk.select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"), F.col("root").alias("u_root"), F.lit(True).alias("live"))
+        # finished rows join nothing, each under its own id
+        rows = walk.withColumns({"live": F.col("up").isNotNull(), "u_id": F.coalesce("up", "id")})
+        walk = rows.join(above, ["u_id", "live"], "left").select("id", F.when(F.col("live"), F.col("u_up")).alias("up"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), F.coalesce("u_root", "root").alias("root")).checkpoint()
+    return walk
 
 
 def orphans(symbols: DataFrame, references: DataFrame, key: str, max_refs: int = 0) -> DataFrame:

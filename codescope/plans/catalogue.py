@@ -48,6 +48,12 @@ def clone_clusters(spark, sf_dir):
     return tables.clusters(_shaped(spark, sf_dir), "fingerprint", "doc_id")
 
 
+@query(f"""WITH s AS (SELECT count(*) AS n, min(doc_id) AS first_member FROM ({_SHAPED}) GROUP BY fingerprint), d AS (SELECT coalesce(sum(n) FILTER (WHERE n >= 2), 0) / sum(n) AS v FROM s)
+SELECT 'density' AS kind, NULL::BIGINT AS first_member, round(v, 6)::DOUBLE AS value, 0.05::DOUBLE AS threshold FROM d WHERE v > 0.05 UNION ALL SELECT 'cluster', first_member, n::DOUBLE, 2.0::DOUBLE FROM s WHERE n >= 2""")
+def duplication_report(spark, sf_dir):
+    return tables.cluster_report(_shaped(spark, sf_dir), "fingerprint", "doc_id", 2, 0.05)
+
+
 @query(f"SELECT sum(n) FILTER (WHERE n >= 2)::BIGINT AS clustered, sum(n)::BIGINT AS analyzed, round(sum(n) FILTER (WHERE n >= 2) / sum(n), 6)::DOUBLE AS fraction FROM (SELECT count(*) AS n FROM ({_SHAPED}) GROUP BY fingerprint)")
 def clone_density(spark, sf_dir):
     sizes = _shaped(spark, sf_dir).groupBy("fingerprint").agg(F.count("*").alias("n"))
@@ -70,6 +76,10 @@ FROM (SELECT doc_id, len(list_distinct(o))::BIGINT AS n1, len(list_distinct(d)):
 """
 
 
+def _total(numbers):
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def _halstead(spark, sf_dir):
     return tables.halstead(read(spark, sf_dir, "documents"), _found(SIGNS), _found(WORDS), ["doc_id"])
 
@@ -84,9 +94,10 @@ _LENGTHS = r"SELECT doc_id, avg(length(w)) AS mean_tokens FROM (SELECT doc_id, u
 
 @query(f"SELECT doc_id, round(volume * (1 + 0.5 * greatest(0.0, 4 - coalesce(mean_tokens, 4.0))), 2) AS adjusted FROM ({_HALSTEAD}) LEFT JOIN ({_LENGTHS}) USING (doc_id) WHERE volume * (1 + 0.5 * greatest(0.0, 4 - coalesce(mean_tokens, 4.0))) > 1500")
 def halstead_violations(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found(WORDS)).alias("w"))
-    means = words.groupBy("doc_id").agg(F.avg(F.length("w")).alias("mean_tokens"))
-    both = _halstead(spark, sf_dir).join(means, "doc_id", "left")
+    # a document's own words: nothing to shuffle
+    words = _found(WORDS)
+    mean = F.try_divide(_total(F.transform(words, F.length)).cast("double"), F.size(words))
+    both = tables.halstead(read(spark, sf_dir, "documents").withColumn("mean_tokens", mean), _found(SIGNS), words, ["doc_id", "mean_tokens"])
     adjusted = F.col("volume") * fn.terse_penalty(F.coalesce("mean_tokens", F.lit(4.0)) - 2, 0.5)
     return both.filter(adjusted > 1500).select("doc_id", F.round(adjusted, 2).alias("adjusted"))
 
@@ -106,20 +117,20 @@ def identifier_split(spark, sf_dir):
 @query(rf"""SELECT doc_id, count(*) AS identifiers, sum(n)::BIGINT AS total_tokens, round(sum(n) / count(*), 3)::DOUBLE AS mean_tokens
 FROM (SELECT doc_id, greatest(1, len({_SPLIT.format(c='w')})) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS w FROM documents)) GROUP BY doc_id HAVING count(*) >= 5 AND sum(n) / count(*) >= 1""")
 def verbosity(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found("[A-Za-z_]+")).alias("w"))
-    n = F.greatest(F.lit(1), F.size(fn.split_identifier(F.col("w"))))
-    means = words.groupBy("doc_id").agg(F.count("*").alias("identifiers"), F.sum(n).alias("total_tokens"))
+    words = read(spark, sf_dir, "documents").select("doc_id", _found("[A-Za-z_]+").alias("w"))
+    n = F.transform("w", lambda w: F.greatest(F.lit(1), F.size(fn.split_identifier(w))))
+    means = words.select("doc_id", F.size("w").cast("long").alias("identifiers"), _total(n).alias("total_tokens"))
     mean = F.col("total_tokens") / F.col("identifiers")
-    return means.filter((F.col("identifiers") >= 5) & (mean >= 1)).withColumn("mean_tokens", F.round(mean, 3))
+    return means.filter("identifiers >= 5").filter(mean >= 1).withColumn("mean_tokens", F.round(mean, 3))
 
 
 @query(r"""SELECT doc_id, count(*) FILTER (WHERE length(w) <= 2 AND lower(w) NOT IN ('of','to','in','de','is')) AS short, count(*) AS total,
 round(count(*) FILTER (WHERE length(w) <= 2 AND lower(w) NOT IN ('of','to','in','de','is')) / count(*), 4)::DOUBLE AS density
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents) GROUP BY doc_id HAVING count(*) >= 5 AND density > 0.1""")
 def tersity(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found(WORDS)).alias("w"))
-    short = (F.length("w") <= 2) & ~F.lower("w").isin("of", "to", "in", "de", "is")
-    out = words.groupBy("doc_id").agg(F.count_if(short).alias("short"), F.count("*").alias("total")).filter("total >= 5")
+    words = read(spark, sf_dir, "documents").select("doc_id", _found(WORDS).alias("w"))
+    short = F.filter("w", lambda w: (F.length(w) <= 2) & ~F.lower(w).isin("of", "to", "in", "de", "is"))
+    out = words.select("doc_id", F.size(short).cast("long").alias("short"), F.size("w").cast("long").alias("total")).filter("total >= 5")
     return out.withColumn("density", F.round(F.col("short") / F.col("total"), 4)).filter("density > 0.1")
 
 
@@ -128,8 +139,8 @@ _TRIVIAL = "(CASE WHEN n NOT LIKE '%.%' AND try_cast(n AS BIGINT) IS NOT NULL TH
 
 @query(rf"SELECT doc_id, count(DISTINCT n) AS distinct_count, string_agg(DISTINCT n, '|' ORDER BY n) AS literals FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS n FROM documents) WHERE NOT {_TRIVIAL} GROUP BY doc_id HAVING count(DISTINCT n) > 3")
 def magic_literals(spark, sf_dir):
-    numbers = read(spark, sf_dir, "documents").select("doc_id", F.explode(_found(NUMBERS)).alias("n")).filter(~fn.is_trivial_number(F.col("n")))
-    out = numbers.groupBy("doc_id").agg(F.sort_array(F.collect_set("n")).alias("l"))
+    own = F.array_sort(F.array_distinct(F.filter(_found(NUMBERS), lambda n: ~fn.is_trivial_number(n))))
+    out = read(spark, sf_dir, "documents").select("doc_id", own.alias("l"))
     return out.filter(F.size("l") > 3).select("doc_id", F.size("l").cast("long").alias("distinct_count"), F.array_join("l", "|").alias("literals"))
 
 
@@ -149,9 +160,8 @@ def text_search(spark, sf_dir):
 SELECT doc_id, span::BIGINT AS span, count(*) AS dividers, string_agg(l.line::VARCHAR, '|' ORDER BY l.line) AS divider_lines
 FROM spans JOIN l USING (doc_id) WHERE l.line BETWEEN first AND last AND length(content) < 40 GROUP BY doc_id, span HAVING count(*) > 2""")
 def section_lines(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    spans = lines.groupBy("doc_id", F.floor((F.col("line") - 1) / 5).alias("span")).agg(F.min("line").alias("first"), F.max("line").alias("last"))
-    hits = lines.filter(F.length("content") < 40).join(spans, "doc_id").filter("line between first and last")
+    # every fifth line starts a span, so a line's span is known from the line alone
+    hits = _lines(spark, sf_dir).filter(F.length("content") < 40).withColumn("span", F.floor((F.col("line") - 1) / 5))
     out = hits.groupBy("doc_id", "span").agg(F.sort_array(F.collect_list("line")).alias("l"))
     return out.filter(F.size("l") > 2).select("doc_id", "span", F.size("l").cast("long").alias("dividers"), F.array_join(F.col("l").cast("array<string>"), "|").alias("divider_lines"))
 
@@ -201,7 +211,7 @@ def hotspot_join(spark, sf_dir):
 _QUAD = f"""WITH j AS (SELECT key, sum_ccx, insertions - deletions AS loc_delta, commit_count FROM ({_JOINED}) WHERE reject IS NULL),
 c AS (SELECT quantile_disc(sum_ccx, 0.75) AS cx, quantile_disc(loc_delta, 0.75) AS cy, count(*) AS n FROM j)
 SELECT key, sum_ccx, loc_delta, sum_ccx * greatest(0, loc_delta) AS score,
-CASE WHEN n < 8 THEN 'insufficient_data' WHEN sum_ccx >= cx AND loc_delta >= cy THEN 'hotspot' WHEN sum_ccx >= cx THEN 'complex_stable' WHEN loc_delta >= cy THEN 'simple_churning' ELSE 'calm' END AS quadrant FROM j, c"""
+CASE WHEN n < 8 THEN 'insufficient_data' WHEN sum_ccx >= cx AND loc_delta >= cy THEN 'hotspot' WHEN sum_ccx >= cx THEN 'stable_complex' WHEN loc_delta >= cy THEN 'churning_simple' ELSE 'calm' END AS quadrant FROM j, c"""
 
 
 def _quadrants(spark, sf_dir):
@@ -216,9 +226,15 @@ def hotspot_quadrants(spark, sf_dir):
     return rows.crossJoin(F.broadcast(top)).withColumn("normalized", F.when(F.col("top") > 0, F.round(F.col("score") / F.col("top") * 100, 2))).drop("top")
 
 
-@query(f"SELECT q.quadrant, count(x.key) AS n FROM (VALUES ('hotspot'), ('complex_stable'), ('simple_churning'), ('calm'), ('insufficient_data')) q(quadrant) LEFT JOIN ({_QUAD}) x USING (quadrant) GROUP BY 1")
+@query(f"SELECT 'structural.hotspots' AS rule, key, score::DOUBLE AS value, quadrant FROM ({_QUAD}) WHERE quadrant IN ('hotspot')")
+def hotspot_violations(spark, sf_dir):
+    rows = _quadrants(spark, sf_dir).filter(F.col("quadrant").isin("hotspot"))
+    return rows.select(F.lit("structural.hotspots").alias("rule"), "key", F.col("score").cast("double").alias("value"), "quadrant")
+
+
+@query(f"SELECT q.quadrant, count(x.key) AS n FROM (VALUES ('hotspot'), ('stable_complex'), ('churning_simple'), ('calm'), ('insufficient_data')) q(quadrant) LEFT JOIN ({_QUAD}) x USING (quadrant) GROUP BY 1")
 def quadrant_histogram(spark, sf_dir):
-    return tables.histogram(_quadrants(spark, sf_dir).select("quadrant"), "quadrant", ["hotspot", "complex_stable", "simple_churning", "calm", "insufficient_data"])
+    return tables.histogram(_quadrants(spark, sf_dir).select("quadrant"), "quadrant", ["hotspot", "stable_complex", "churning_simple", "calm", "insufficient_data"])
 
 
 @query("SELECT o_custkey, count(*) AS function_count, max(round(o_totalprice)::BIGINT) AS max_ccx, round(sum(round(o_totalprice)::BIGINT) / count(*), 2)::DOUBLE AS mean_ccx, sum(round(o_totalprice)::BIGINT)::BIGINT AS sum_ccx, count(*) FILTER (WHERE o_totalprice > 300000) AS untestable_count FROM orders GROUP BY o_custkey")
@@ -258,16 +274,18 @@ def edge_resolution(spark, sf_dir):
     return out.select("src", "module", "dst", F.when(F.col("dst").isNull(), "external").otherwise("stem").alias("kind"))
 
 
-_EDGES = "SELECT DISTINCT 'u' || (user_id % 40) AS src, 'u' || (lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) % 40) AS dst FROM events WHERE event_type = 'error' QUALIFY dst IS NOT NULL"
+_EDGES = "SELECT DISTINCT event_type || user_id AS src, lead(event_type || user_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events QUALIFY dst IS NOT NULL UNION SELECT 'u' || (user_id // 10), event_type || user_id FROM events"
 
 
 def _edges(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").filter("event_type = 'error'").select((F.col("user_id") % 40).alias("a"), (F.lead("user_id").over(w) % 40).alias("b"))
-    return e.filter("b is not null").select(F.concat(F.lit("u"), F.col("a")).alias("src"), F.concat(F.lit("u"), F.col("b")).alias("dst")).distinct()
+    """What each user does next, and the events of each tenth of users: all events, windows of one user's rows."""
+    name = F.concat("event_type", "user_id")
+    e = read(spark, sf_dir, "events")
+    after = e.select(name.alias("src"), F.lead(name).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst")).filter("dst is not null")
+    return after.union(e.select(F.concat(F.lit("u"), F.floor(F.col("user_id") / 10)), name)).distinct()
 
 
-@query(f"WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), d AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS ca, (SELECT count(*) FROM e WHERE src = node) AS ce FROM n) SELECT node, ca, ce, ce::DOUBLE / (ca + ce) AS instability FROM d")
+@query(f"WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src AS node, count(*) AS ce FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS ca FROM e GROUP BY 1), d AS (SELECT node, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node)) SELECT node, ca, ce, ce::DOUBLE / (ca + ce) AS instability FROM d")
 def dep_degrees(spark, sf_dir):
     return tables.degrees(_edges(spark, sf_dir))
 
@@ -285,7 +303,7 @@ def dep_cycles(spark, sf_dir):
     return tables.cycles(pairs.filter(F.col("count") >= events.count() // 260).select("src", "dst"))
 
 
-_PACKAGES = """WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND l_quantity > 45),
+_PACKAGES = """WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
 t AS (SELECT c_nationkey AS node, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal < 0) AS na, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal >= 0) AS nc FROM customer GROUP BY 1),
 d AS (SELECT n_nationkey AS node, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS ca, (SELECT count(*) FROM e WHERE src = n_nationkey) AS ce FROM nation),
 m AS (SELECT node, ca, ce, coalesce(na, 0) AS na, coalesce(nc, 0) AS nc, CASE WHEN ca + ce > 0 THEN ce::DOUBLE / (ca + ce) END AS i, CASE WHEN coalesce(na, 0) + coalesce(nc, 0) > 0 THEN na::DOUBLE / (na + nc) END AS a FROM d LEFT JOIN t USING (node))
@@ -296,7 +314,7 @@ CASE WHEN i IS NULL OR a IS NULL THEN 'unknown' WHEN i < 0.3 AND a < 0.3 THEN 'p
 @query(_PACKAGES)
 def package_distance(spark, sf_dir):
     customer = read(spark, sf_dir, "customer")
-    lines = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_suppkey")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer.select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
     edges = edges.join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey")).filter("src <> dst")

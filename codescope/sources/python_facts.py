@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import io
+import sys
 import tokenize
 from collections.abc import Iterator
 from decimal import Decimal
@@ -21,6 +22,8 @@ SCHEMA = """file string, kind string, name string, line int, end_line int, top b
 operators array<string>, operands array<string>, literals array<string>, identifiers array<string>, callees array<string>,
 mutations array<struct<param:string,method:string,line:int>>, sentinels array<struct<param:string,annotated:boolean>>, shape array<string>, bases array<string>, used array<string>, scopes array<string>, definitions int, loc int"""
 MOST_PATHS = 10**37
+#: Python frames of a walk down a tree; deeper trees are errors.
+DEEPEST = 100_000
 
 #: Operator words and signs, collection methods that change their object, their type names, names of string switches.
 OPERATOR_WORDS = frozenset("def if else elif for while return class import from try except finally raise with as yield lambda del assert break continue pass and or not in is".split())
@@ -192,6 +195,18 @@ def paths_of(n: ast.AST) -> int:
     return total
 
 
+def read_file(path: str, text: str) -> list[dict]:
+    """The rows of one file; whatever goes wrong in it is one row of kind error."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEEPEST))
+    try:
+        return Reader(path, text).read()
+    except Exception as e:  # one file must not fail the scan of a tree
+        return [{"file": path, "kind": "error", "name": f"{path}: {type(e).__name__}", "line": 1, "end_line": 1}]
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def facts(files: DataFrame) -> DataFrame:
     """Facts of the Python files of ``files(path, lang, content)``; a file that doesn't parse gives one row of kind error."""
 
@@ -199,7 +214,7 @@ def facts(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in Reader(p, t).read()]
+            rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in read_file(p, t)]
             for r in rows:
                 if "npath" in r:
                     r["npath"] = Decimal(r["npath"])
