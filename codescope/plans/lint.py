@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from codescope import functions as fn
 from codescope.operators import rules, tables
+from codescope.plans import report
 from codescope.sources import code, python_facts
 
 #: Limits and severities of the rules, called, short and builtin names that say nothing.
@@ -26,7 +27,8 @@ DEFAULTS: dict[str, dict] = {
     "structural.types.sentinels": {"enabled": True, "severity": "warning", "threshold": 8},
     "structural.types.hidden_mutators": {"enabled": True, "severity": "warning", "threshold": 1},
     "structural.types.escape_hatches": {"enabled": True, "severity": "warning", "threshold": 0.30, "min_annotations": 5},
-    "structural.duplication": {"enabled": True, "severity": "warning", "threshold": 2, "min_leaf_nodes": 10},
+    "structural.duplication": {"enabled": True, "severity": "warning", "threshold": 0.05, "min_leaf_nodes": 10, "min_cluster_size": 2},
+    "structural.hotspots": {"enabled": True, "severity": "error", "since": "14 days ago", "min_commits": 2, "fail_on_quadrant": ["hotspot"]},
     "structural.god_module": {"enabled": True, "severity": "warning", "threshold": 20},
     "structural.orphans": {"enabled": False, "severity": "warning", "threshold": 0, "min_confidence": "high"},
     "information.volume": {"enabled": True, "severity": "error", "threshold": 1500, "alpha": 0.0},
@@ -47,15 +49,36 @@ BUILTINS = (
 ).split()
 
 
-class Metrics:
-    """Tables of one source tree; facts are parsed once and kept."""
+def once(make):
+    """A table of :class:`Metrics` that several rules read: made and kept on first use."""
+
+    def get(self) -> DataFrame:
+        if make.__name__ not in self.kept:
+            self.kept[make.__name__] = make(self).persist()
+        return self.kept[make.__name__]
+
+    get.__doc__ = make.__doc__
+    return get
 
-    def __init__(self, spark: SparkSession, files: DataFrame) -> None:
-        self.spark, self.files = spark, files
-        self.facts = python_facts.facts(files).persist()
+
+class Metrics:
+    """Tables of one source tree and its exported log; facts are parsed once and kept until :meth:`close`."""
+
+    def __init__(self, spark: SparkSession, files: DataFrame, log: str | None = None, now: str | None = None) -> None:
+        self.spark, self.files, self.log, self.now = spark, files, log, now
+        self.kept: dict[str, DataFrame] = {}
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        self.kept["facts"] = self.facts = python_facts.facts(files).persist()
         self.functions = self.facts.filter("kind = 'function'")
         self.classes = self.facts.filter("kind = 'class'")
 
+    def close(self) -> None:
+        for table in self.kept.values():
+            table.unpersist()
+        self.kept.clear()
+
+    @once
     def class_metrics(self) -> DataFrame:
         """CBO, DIT, NOC and WMC of each class."""
         c = self.classes.select("file", "name", "line", "end_line", "bases", "used", F.col("definitions").alias("method_count"))
@@ -63,7 +86,7 @@ class Metrics:
         uses = c.select("file", "name", "line", F.explode(F.array_union("bases", "used")).alias("known")).distinct()
         cbo = uses.join(names, "known").filter("known <> name").groupBy("file", "name", "line").agg(F.count("*").alias("cbo"))
         noc = c.select(F.explode("bases").alias("name")).groupBy("name").agg(F.count("*").alias("noc"))
-        parent = c.select("name", F.explode_outer("bases").alias("parent")).join(names.withColumnRenamed("known", "parent").withColumn("here", F.lit(True)), "parent", "left")
+        parent = c.select("name", F.explode_outer(F.array_remove("bases", F.col("name"))).alias("parent")).join(names.withColumnRenamed("known", "parent").withColumn("here", F.lit(True)), "parent", "left")
         parent = parent.groupBy(F.col("name").alias("id")).agg(F.min(F.when(F.col("here"), F.col("parent"))).alias("parent"))
         dit = tables.depth(parent).select(F.col("id").alias("name"), F.col("depth").alias("dit"))
         f = self.functions.select("file", F.col("line").alias("at"), "ccx", F.col("name").alias("fn"))
@@ -73,6 +96,7 @@ class Metrics:
         key = ["file", "name", "line"]
         return c.drop("used").join(cbo, key, "left").join(wmc, key, "left").join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["cbo", "wmc", "noc", "dit"])
 
+    @once
     def import_edges(self) -> DataFrame:
         """Distinct file-to-file edges: the dotted path first, else the last component; of files with one name the smallest path."""
         paths = self.files.select("path", F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/__init__$", "").alias("bare"))
@@ -96,25 +120,82 @@ class Metrics:
         d = F.abs(a + i - 1)
         return m.withColumns({"instability": i, "abstractness": a, "distance": d, "zone": fn.package_zone(i, a, d)})
 
+    @once
     def halstead(self) -> DataFrame:
         f = self.functions.filter((F.size("operators") > 0) | (F.size("operands") > 0))
         tokens = F.col("identifiers")
         mean = F.try_divide(F.aggregate(F.transform(tokens, lambda t: F.greatest(F.lit(1), F.size(fn.split_identifier(t)))), F.lit(0), lambda a, b: a + b).cast("double"), F.size(tokens))
         return tables.halstead(f.withColumn("mean", F.coalesce(mean, F.lit(2.0))), F.col("operators"), F.col("operands"), ["file", "name", "line", "mean"])
 
+    def hotspots(self, since: str, min_commits: int, prefix: str = "") -> DataFrame:
+        """Complexity and churn of each file, with the reason why it is out, or its score and quadrant."""
+        ccx = self.functions.groupBy("file").agg(F.sum("ccx").alias("sum_ccx"), F.max("ccx").alias("max_ccx"))
+        commits, churn = code.commits(self.spark, self.log)
+        churn = churn.join(commits.filter("parent_count <= 1").select("commit"), "commit", "left_semi")  # no merges
+        start = code.since(since, self.now)
+        if start is not None:
+            churn = churn.filter(F.col("at") >= start)
+        if prefix:
+            churn = churn.filter((F.col("file") == prefix) | F.col("file").startswith(prefix.rstrip("/") + "/"))
+        churned = tables.churn(churn, "file", F.col("insertions"), F.col("deletions"), "at")
+        rows = tables.hotspot_join(ccx.filter("sum_ccx > 0"), churned, "file", min_commits)
+        here = self.files.select(F.col("path").alias("file"), F.lit(True).alias("here"), (F.col("lang") == "python").alias("parsed"))
+        rows = rows.join(here, "file", "left").withColumn("reject", F.when(F.col("here").isNull(), "not_on_disk").when(F.col("sum_ccx").isNull() & ~F.coalesce("parsed", F.lit(False)), "unsupported_language").otherwise(F.col("reject")))
+        kept = rows.filter("reject is null").withColumn("loc_delta", F.col("insertions") - F.col("deletions"))
+        kept = kept.withColumn("score", (F.col("sum_ccx") * F.greatest(F.lit(0), "loc_delta")).cast("double"))
+        return tables.quadrants(kept, "sum_ccx", "loc_delta").drop("here", "parsed", "reject")
+
     def lines(self) -> DataFrame:
         return self.files.filter("lang = 'python'").select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("i", "text")).withColumn("at", F.col("i") + 1)
 
 
-def lint(spark: SparkSession, root: str, config: dict[str, dict] | None = None, waivers: list[dict] | None = None, today: str = "9999-12-31") -> DataFrame:
+class Run:
+    """What a run found, and the status of each rule; a context that lets the tables go."""
+
+    def __init__(self, metrics: Metrics, found: DataFrame, per_rule: DataFrame, skipped: int) -> None:
+        self.metrics, self.found, self.per_rule, self.skipped = metrics, found, per_rule, skipped
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.found.unpersist()
+        self.metrics.close()
+
+
+def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[dict] | None = None, today: str = "0001-01-01", log: str | None = None, excludes: list[str] | None = None, now: str | None = None) -> Run:
+    """Run the rules of ``config`` that are enabled.
+
+    A rule that fails is an error of its own and leaves the others alone. Rules
+    over history need ``log``, an exported log; without one they are skipped.
+    """
+    m = Metrics(spark, code.files(spark, root, excludes=excludes), log, now)
+    on = {name: c for name, c in config.items() if c["enabled"] and c["severity"] != "off" and (log or name not in NEED_LOG)}
+    out, errors = _empty(spark), {}
+    for name, c in on.items():
+        try:
+            rows = BRANCHES[name](m, c, name).persist()
+            rows.count()  # an error shows here, not in the report
+            m.kept[name] = rows
+            out = out.unionByName(rows)
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    found = rules.waived(out, waivers or [], today).persist()
+    files = m.files.filter("lang = 'python'").count()
+    units = {name: files for name in on} | dict.fromkeys((n for n in on if n.startswith(("structural.complexity", "information.", "lexical."))), m.functions.count()) | dict.fromkeys((n for n in on if n.startswith("structural.class")), m.classes.count())
+    return Run(m, found, report.statuses(found, on, errors, units), len(config) - len(on))
+
+
+def _empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "rule string, file string, line long, symbol string, severity string, value double, threshold double")
+
+
+def lint(spark: SparkSession, root: str, config: dict[str, dict] | None = None, waivers: list[dict] | None = None, today: str = "0001-01-01", log: str | None = None) -> DataFrame:
     """All violations of a tree with the waiver of each; columns of :mod:`codescope.operators.rules`."""
-    c = rules.effective(DEFAULTS, config or {})
-    m = Metrics(spark, code.files(spark, root))
-    found = [branch(m, c[name], name) for name, branch in BRANCHES.items() if c[name]["enabled"] and c[name]["severity"] != "off"]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return rules.waived(out, waivers or [], today)
+    done = run(spark, root, rules.effective(DEFAULTS, config or {}), waivers, today, log)
+    if bad := done.per_rule.filter("status = 'error'").select("rule", "error").collect():
+        raise RuntimeError("; ".join(f"{r['rule']}: {r['error']}" for r in bad))
+    return done.found
 
 
 def _rule(df: DataFrame, name: str, c: dict, value, inclusive: bool = False, file="file", line="line", symbol="name") -> DataFrame:
@@ -132,8 +213,10 @@ def _redundancy(m: Metrics, c: dict, name: str) -> DataFrame:
 
 def _sentinels(m: Metrics, c: dict, name: str) -> DataFrame:
     params = m.functions.select("file", "name", "line", F.explode("sentinels").alias("p")).filter("p.annotated")
-    call = r"""(\w+)\s*\(.*?["']([^"']{1,50})["']"""
-    uses = m.lines().filter(F.col("text").rlike(call) & ~F.col("text").rlike(r"^\s*(async\s+)?def\s")).select(F.regexp_extract("text", call, 1).alias("name"), F.explode(F.regexp_extract_all("text", F.lit(r"""["']([^"']{1,50})["']"""), F.lit(1))).alias("literal"))
+    # every callee of a line is paired with the literals that follow it
+    callees = m.lines().filter(~F.col("text").rlike(r"^\s*(async\s+)?def\s")).select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("name"))
+    after = F.substring_index(F.regexp_replace(F.col("text"), F.concat(F.lit(r"^.*?\b"), F.col("name"), F.lit(r"\s*\(")), F.lit("")), "\n", 1)
+    uses = callees.join(F.broadcast(params.select("name").distinct()), "name", "left_semi").select("name", F.explode(F.regexp_extract_all(after, F.lit(r"""["']([^"']{1,50})["']"""), F.lit(1))).alias("literal"))
     seen = uses.groupBy("name").agg(F.count_distinct("literal").alias("n"))
     rows = params.join(seen, "name", "left").na.fill(0, ["n"]).filter(F.col("n") <= c["threshold"])
     return _rule(rows, name, {**c, "threshold": -1}, F.col("n")).withColumn("threshold", F.lit(float(c["threshold"])))
@@ -156,9 +239,19 @@ def _cycles(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _clones(m: Metrics, c: dict, name: str) -> DataFrame:
-    shaped = m.functions.filter(F.size("shape") >= c["min_leaf_nodes"]).withColumn("fp", fn.fingerprint(F.array_join("shape", ",")))
-    groups = shaped.groupBy("fp").agg(F.count("*").alias("size"), F.min(F.struct("file", "line", "name")).alias("first"))
-    return _rule(groups.select("size", "first.*"), name, c, F.col("size"), True)
+    """One row for the share of cloned functions, if it is over the limit, and one for each cluster."""
+    shaped = m.functions.filter(F.size("shape") >= c["min_leaf_nodes"]).select(fn.fingerprint(F.array_join("shape", ",")).alias("fp"), F.struct("file", "line", "name").alias("at"))
+    found = tables.cluster_report(shaped, "fp", "at", c["min_cluster_size"], c["threshold"])
+    return found.select(
+        F.lit(name).alias("rule"), F.coalesce("first_member.file", F.lit(".")).alias("file"), F.col("first_member.line").cast("long").alias("line"), F.col("first_member.name").alias("symbol"),
+        F.lit(c["severity"]).alias("severity"), "value", "threshold",
+    )
+
+
+def _hotspots(m: Metrics, c: dict, name: str) -> DataFrame:
+    bad = m.hotspots(c["since"], c["min_commits"]).filter(F.col("quadrant").isin(c["fail_on_quadrant"]))
+    rows = _rule(bad.withColumn("value", F.col("score")), name, {**c, "threshold": -1}, F.col("value"), line=None, symbol=None)
+    return rows.withColumn("threshold", F.lit(None).cast("double"))
 
 
 def _literals(m: Metrics, c: dict, name: str) -> DataFrame:
@@ -224,6 +317,7 @@ BRANCHES = {
     "structural.types.hidden_mutators": lambda m, c, name: _rule(m.functions, name, c, F.size("mutations"), True),
     "structural.types.escape_hatches": _hatches,
     "structural.duplication": _clones,
+    "structural.hotspots": _hotspots,
     "structural.god_module": lambda m, c, name: _rule(m.facts.filter("kind = 'module'"), name, c, F.col("definitions"), line=None, symbol=None),
     "structural.orphans": _orphans,
     "information.volume": lambda m, c, name: _rule(m.halstead(), name, c, F.round(F.col("volume") * fn.terse_penalty(F.col("mean"), c["alpha"]), 2)),
@@ -234,3 +328,5 @@ BRANCHES = {
     "lexical.verbosity": _verbosity,
     "lexical.tersity": _tersity,
 }
+#: Rules that read the exported log.
+NEED_LOG = frozenset(["structural.hotspots"])

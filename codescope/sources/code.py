@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescope.functions import glob_regex
@@ -57,6 +57,22 @@ def _underscored(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, "path string, size long, content string")
 
 
+#: Texts that mean no bound.
+UNBOUNDED = frozenset(["", "all", "unbounded"])
+
+
+def since(text: str, now: str | None = None) -> Column | None:
+    """The time that "14 days ago" (or an ISO date) means, seen from ``now``; None for no bound."""
+    text = text.strip().lower()
+    if text in UNBOUNDED:
+        return None
+    m = re.fullmatch(r"(\d+)\s+(day|week|month|year)s?\s+ago", text)
+    if not m:
+        return F.to_timestamp(F.lit(text))
+    here = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+    return here - F.expr(f"interval {int(m[1])} {m[2]}")
+
+
 def commits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Commits and churn of an exported log.
 
