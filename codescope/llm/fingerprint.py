@@ -29,7 +29,8 @@ ROUNDS = 6
 #: A paragraph, or a part of one: to the first end of a sentence after 60 characters, 200 at most.
 PARAGRAPH = r"[^\n]{60,200}?[.!?]+(?=\s)|[^\n]{1,200}"
 NO_ID = -(2**63)
-MOST_BUCKETS = 1024
+#: Ranges of doc_id follow the shuffle partitions, up to so many.
+MOST_BUCKETS = 1 << 16
 
 
 def digests(text: Column) -> Column:
@@ -115,9 +116,15 @@ def differences(pairs: DataFrame) -> DataFrame:
     rows = pairs
     while True:
         blocks = F.greatest(F.lit(1), F.ceil((F.size("x") + F.size("y")) / BLOCK_ITEMS)).cast("int")
-        parts = rows.select("id", "x", "y", blocks.alias("m"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
-        mine = [F.filter(c, lambda k: F.pmod(F.xxhash64(k, F.lit(500 + seed)), F.col("m")) == F.col("at")) for c in ("x", "y")]
-        parts = parts.select("id", mine[0].alias("x"), mine[1].alias("y"))
+        # a long text's blocks are dealt in two steps, so that its digests aren't read once for each block
+        wide = F.when(blocks <= 16, blocks).otherwise(F.ceil(F.sqrt(blocks.cast("double")))).cast("int")
+        parts = rows.select("id", "x", "y", blocks.alias("m"), wide.alias("w"))
+        parts = parts.withColumn("group", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / F.col("w")).cast("int"))))
+        place = lambda k: F.pmod(F.xxhash64(k, F.lit(500 + seed)), F.col("m"))  # noqa: B023, E731
+        some = [F.when(F.col("m") == F.col("w"), F.col(c)).otherwise(F.filter(c, lambda k: F.floor(place(k) / F.col("w")) == F.col("group"))).alias(c) for c in ("x", "y")]
+        last = F.least(F.col("m"), (F.col("group") + 1) * F.col("w")) - 1
+        parts = parts.select("id", "m", *some, F.explode(F.sequence(F.col("group") * F.col("w"), last)).alias("at"))
+        parts = parts.select("id", *[F.filter(c, lambda k: place(k) == F.col("at")).alias(c) for c in ("x", "y")])
         parts = parts.select("id", counted(peeled(subtracted(sketch(F.col("x"), width, seed), sketch(F.col("y"), width, seed)), width, seed)).alias("r"))
         found = common.materialize(parts.groupBy("id").agg(F.min("r.ok").alias("ok"), F.sum("r.a").alias("a"), F.sum("r.b").alias("b")))
         good = found.filter("ok").select("id", "a", "b")
@@ -142,10 +149,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("key"), common.text_or_empty(docs).alias("text"))
     parts = min(MOST_BUCKETS, max(4, 4 * common.shuffle_parts(spark)))
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(parts)], 20_000)).first()[0]
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(parts)], max(20_000, 8 * parts))).first()[0]
     cuts = sorted(set(cuts or [0]))
-    many, wide = len(cuts), 32
-    bounds, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::wide]))
+    many = len(cuts)
+    wide = max(1, int(many**0.5))
+    bounds, coarse = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (cuts, cuts[::wide]))  # folded to one literal each
     above = (F.size(F.filter(coarse, lambda b: b <= F.col("key"))) - 1) * wide
     bucket = above + F.size(F.filter(F.slice(bounds, above + 1, F.lit(wide)), lambda b: b <= F.col("key"))) - 1
     rows = rows.withColumn("bucket", bucket)

@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from . import common
 
 BRANCHES = 16
-DEPTH = 6
+#: Levels between two checkpoints.
+LEVELS = 4
 REJECT = 0.5
 SMOOTH = 4.0
 Z = 1.96
@@ -44,10 +45,9 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 
 
 def skeleton(path: Column) -> Column:
-    """Masked segments; what lies deeper than DEPTH is one tail."""
+    """Masked segments."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    masked = F.transform(parts, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
-    return F.when(F.size(masked) > DEPTH, F.concat(F.slice(masked, 1, DEPTH - 1), F.array(F.lit("{tail}")))).otherwise(masked)
+    return F.transform(parts, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
 
 
 def templates(rows: DataFrame) -> DataFrame:
@@ -55,14 +55,18 @@ def templates(rows: DataFrame) -> DataFrame:
     base = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     base = common.materialize(base.select("*", F.concat_ws("/", "segs").alias("sk"), F.col("segs").alias("tpl")))
     work = base
-    for d in range(1, DEPTH + 1):
+    # as many levels as the deepest skeleton has segments
+    for d in range(1, (base.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0) + 1):
         deep = F.size("tpl") >= d
         prefix = F.when(deep, F.concat_ws("/", F.slice("tpl", 1, d - 1)))
         keyed = work.withColumn("pre", prefix).withColumn("seg", F.when(deep, F.col("tpl")[d - 1]))
-        wide = keyed.filter(deep).groupBy("host", "pre").agg(F.approx_count_distinct("seg").alias("values")).filter(F.col("values") > BRANCHES).select("host", "pre", F.lit(True).alias("wide"))
+        values = keyed.filter(deep).select("host", "pre", "seg").distinct().groupBy("host", "pre").agg(F.count("*").alias("values"))
+        wide = values.filter(F.col("values") > BRANCHES).select("host", "pre", F.lit(True).alias("wide"))
         # rows without a segment here have no prefix to join on: their own skeleton spreads them
         keyed = keyed.withColumn("pre", F.coalesce("pre", F.concat(F.lit("//"), "sk")))
-        work = keyed.join(wide, ["host", "pre"], "left").withColumn("tpl", F.when(F.col("wide"), F.concat(F.slice("tpl", 1, d - 1), F.array(F.lit("*")), F.slice("tpl", d + 1, DEPTH))).otherwise(F.col("tpl"))).drop("pre", "seg", "wide")
+        work = keyed.join(wide, ["host", "pre"], "left").withColumn("tpl", F.when(F.col("wide"), F.concat(F.slice("tpl", 1, d - 1), F.array(F.lit("*")), F.slice("tpl", F.lit(d + 1), F.size("tpl")))).otherwise(F.col("tpl"))).drop("pre", "seg", "wide")
+        if d % LEVELS == 0:
+            work = common.materialize(work)
     work = common.materialize(work.withColumn("template", F.concat_ws("/", "tpl")))
     leaves = work.groupBy("host", "template", "tpl").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     steps = leaves.select("*", F.explode(F.sequence(F.lit(0), F.size("tpl"))).alias("d")).withColumn("node", F.concat_ws("/", F.slice("tpl", 1, F.col("d"))))
