@@ -170,6 +170,50 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(both, none).collect()} == {0.5}
 
 
+def naive_features(text):
+    """Counts of hashed words and pairs, word by word."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\0\t-\r ]+", text)
+    out = collections.Counter(int(quality.features([w])[0][0]) for w in words)
+    out.update(int(quality.features([a + b" " + b])[0][2]) for a, b in zip(words, words[1:]))
+    return out
+
+
+def test_quality_against_plain_updates():
+    r = random.Random(8)
+    rows = [(prose(r.randint(0, 40), r).encode() + (b" A--b \xc3\xa9" if i % 3 else b""), i % 2) for i in range(25)]
+    rows += [(b"", 1), (rows[0][0], 1), (rows[0][0], 0), (prose(4000, r).encode(), 1)]  # no words, conflicting labels, a long one
+    size, alpha, beta, l1, l2 = 2**quality.BITS, 0.3, 1.0, 0.05, 0.1
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else ((l1 if z[k] > 0 else -l1) - z[k]) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    def vector(t):
+        c = naive_features(t)
+        return {k: v / max(sum(c.values()), 1) ** 0.5 for k, v in c.items()} | {size: 1.0}
+
+    for _ in range(3):
+        for t, y in rows:
+            x = vector(t)
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w[k]
+                n[k] += g * g
+    got = quality.train(iter(rows))
+    assert np.flatnonzero(got).tolist() == sorted(k for k in z if weight(k) != 0) and all(abs(got[k] - weight(k)) < 1e-5 for k in z)
+    want = [1 / (1 + np.exp(-sum(weight(k) * v for k, v in vector(t).items()))) for t, _ in rows]
+    assert np.allclose(quality.score_texts(got, [t for t, _ in rows]), want, atol=1e-5)
+
+
+def test_quality_takes_one_label_for_each_document(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (1, "good words here"), (2, "bad $$$")], "doc_id long, text string")
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, quality int")
+    one = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert (quality.fit(docs, both) == quality.fit(docs, one)).all()
+
+
 # -- suffix dedup
 
 def removed(rows, n):
@@ -472,6 +516,70 @@ def test_urls(spark):
         assert r["verdict"] == ("block" if r["path"].startswith("/bad") else "allow") and r["template"] in ("bad/*", "good/*")
 
 
+def judged(rows, rules):
+    """Verdict and template of each (host, path), by a walk over plain dictionaries."""
+    def rule(host, path):
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        return max(fits, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), default=None)
+
+    def segments(path):
+        return tuple("{h}" if re.fullmatch("[0-9a-fA-F-]{8,}", x) else re.sub("[0-9]+", "{n}", x) for x in path.split("/") if x)
+
+    made = [[h, segments(p), list(segments(p)), rule(h, p)] for h, p in rows]
+    for d in range(max(len(m[1]) for m in made)):
+        values = collections.defaultdict(set)
+        for h, _, t, _ in made:
+            if len(t) > d:
+                values[h, tuple(t[:d])].add(t[d])
+        for m in made:
+            if len(m[2]) > d and len(values[m[0], tuple(m[2][:d])]) > url_filter.BRANCHES:
+                m[2] = m[2][:d] + ["*"] + m[2][d + 1 :]
+    known, bad, children = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for h, _, t, r in made:
+        for d in range(len(t) + 1):
+            node = (h, tuple(t[:d]))
+            known[node] += r is not None
+            bad[node] += r is not None and r[0] == "block"
+            children[h, d, tuple(t[: max(d - 1, 0)])].add(node)
+    pooled = {}
+    for nodes in children.values():
+        groups, last = [], None
+        for rate, node in sorted(((bad[x] + 0.5) / (known[x] + 1), x) for x in nodes):
+            if last:
+                mid = (rate + last[0]) / 2
+                if rate - last[0] > url_filter.Z * (mid * (1 - mid) * (1 / (known[node] + 1) + 1 / (known[last[1]] + 1))) ** 0.5:
+                    groups.append([])
+            else:
+                groups.append([])
+            groups[-1].append(node)
+            last = (rate, node)
+        for g in groups:
+            for x in g:
+                pooled[x] = (sum(known[y] for y in g), sum(bad[y] for y in g))
+    labelled = [r for *_, r in made if r]
+    out = []
+    for h, _, t, r in made:
+        p = (sum(x[0] == "block" for x in labelled) + 0.5) / (len(labelled) + 1)
+        for d in range(len(t) + 1):
+            k, b = pooled[h, tuple(t[:d])]
+            p = (b + url_filter.SMOOTH * p) / (k + url_filter.SMOOTH)
+        out.append((r[0] if r else "block" if p > url_filter.REJECT else "allow", "/".join(t), round(p, 9)))
+    return out
+
+
+def test_urls_against_plain_walk(spark):
+    given = [(r["page_id"], r["url"]) for r in common.table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    r = random.Random(9)
+    deep = [f"http://d{r.randint(0, 2)}.example.com/" + "/".join(r.choice(["a", "b", "xy", "fr", "de", f"v{r.randint(1, 9)}", "q" + chr(97 + r.randint(0, 25))]) for _ in range(r.randint(0, 11))) for _ in range(300)]
+    every = given + [(10**6 + i, u) for i, u in enumerate(deep)]
+    pages = spark.createDataFrame(every, "page_id long, url string").withColumn("host", F.lit("clash"))
+    rules = (*url_filter.RULES, ("block", "d1.example.com", "/a/b/"), ("allow", "d2.example.com", "/a/"))
+    got = {x["page_id"]: x for x in url_filter.judge(pages, rules).collect()}
+    rows = [(got[i]["host"], got[i]["path"]) for i, _ in every]
+    assert [(got[i]["verdict"], got[i]["template"], round(got[i]["purity"], 9)) for i, _ in every] == judged(rows, rules)
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
 # -- html
 
 def test_html_without_article_keeps_short_sections():
