@@ -16,9 +16,14 @@ def clusters(df: DataFrame, key: str, member: str, least: int = 2) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("size"), F.min(member).alias("first_member")).filter(F.col("size") >= least)
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a costly value that is computed once a row, not wherever it is named: a generator is no projection to merge."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def halstead(df: DataFrame, operators: Column, operands: Column, keys: list[str]) -> DataFrame:
     """Halstead counts and measures from arrays of operator and operand tokens, row by row."""
-    raw = df.select(*keys, operators.alias("_o"), operands.alias("_d"))
+    raw = once(df, F.struct(operators.alias("o"), operands.alias("d")), "_t").select(*keys, F.col("_t.o").alias("_o"), F.col("_t.d").alias("_d"))
     n1, n2 = F.size(F.array_distinct("_o")).cast("long"), F.size(F.array_distinct("_d")).cast("long")
     counts = raw.select(*keys, n1.alias("n1"), n2.alias("n2"), F.size("_o").cast("long").alias("total_operators"), F.size("_d").cast("long").alias("total_operands"))
     vocabulary, length = F.col("n1") + F.col("n2"), F.col("total_operators") + F.col("total_operands")

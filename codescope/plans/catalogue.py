@@ -95,9 +95,10 @@ _LENGTHS = r"SELECT doc_id, avg(length(w)) AS mean_tokens FROM (SELECT doc_id, u
 @query(f"SELECT doc_id, round(volume * (1 + 0.5 * greatest(0.0, 4 - coalesce(mean_tokens, 4.0))), 2) AS adjusted FROM ({_HALSTEAD}) LEFT JOIN ({_LENGTHS}) USING (doc_id) WHERE volume * (1 + 0.5 * greatest(0.0, 4 - coalesce(mean_tokens, 4.0))) > 1500")
 def halstead_violations(spark, sf_dir):
     # a document's own words: nothing to shuffle
-    words = _found(WORDS)
+    words = F.col("words")
     mean = F.try_divide(_total(F.transform(words, F.length)).cast("double"), F.size(words))
-    both = tables.halstead(read(spark, sf_dir, "documents").withColumn("mean_tokens", mean), _found(SIGNS), words, ["doc_id", "mean_tokens"])
+    docs = tables.once(tables.once(read(spark, sf_dir, "documents"), _found(WORDS), "words"), F.struct(mean.alias("mean")), "m")
+    both = tables.halstead(docs.withColumn("mean_tokens", F.col("m.mean")), _found(SIGNS), words, ["doc_id", "mean_tokens"])
     adjusted = F.col("volume") * fn.terse_penalty(F.coalesce("mean_tokens", F.lit(4.0)) - 2, 0.5)
     return both.filter(adjusted > 1500).select("doc_id", F.round(adjusted, 2).alias("adjusted"))
 
@@ -117,9 +118,9 @@ def identifier_split(spark, sf_dir):
 @query(rf"""SELECT doc_id, count(*) AS identifiers, sum(n)::BIGINT AS total_tokens, round(sum(n) / count(*), 3)::DOUBLE AS mean_tokens
 FROM (SELECT doc_id, greatest(1, len({_SPLIT.format(c='w')})) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS w FROM documents)) GROUP BY doc_id HAVING count(*) >= 5 AND sum(n) / count(*) >= 1""")
 def verbosity(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", _found("[A-Za-z_]+").alias("w"))
+    words = tables.once(read(spark, sf_dir, "documents").select("doc_id", "text"), _found("[A-Za-z_]+"), "w").filter(F.size("w") >= 5)
     n = F.transform("w", lambda w: F.greatest(F.lit(1), F.size(fn.split_identifier(w))))
-    means = words.select("doc_id", F.size("w").cast("long").alias("identifiers"), _total(n).alias("total_tokens"))
+    means = tables.once(words, F.struct(_total(n).alias("n")), "t").select("doc_id", F.size("w").cast("long").alias("identifiers"), F.col("t.n").alias("total_tokens"))
     mean = F.col("total_tokens") / F.col("identifiers")
     return means.filter("identifiers >= 5").filter(mean >= 1).withColumn("mean_tokens", F.round(mean, 3))
 
@@ -128,9 +129,9 @@ def verbosity(spark, sf_dir):
 round(count(*) FILTER (WHERE length(w) <= 2 AND lower(w) NOT IN ('of','to','in','de','is')) / count(*), 4)::DOUBLE AS density
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents) GROUP BY doc_id HAVING count(*) >= 5 AND density > 0.1""")
 def tersity(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", _found(WORDS).alias("w"))
+    words = tables.once(read(spark, sf_dir, "documents").select("doc_id", "text"), _found(WORDS), "w")
     short = F.filter("w", lambda w: (F.length(w) <= 2) & ~F.lower(w).isin("of", "to", "in", "de", "is"))
-    out = words.select("doc_id", F.size(short).cast("long").alias("short"), F.size("w").cast("long").alias("total")).filter("total >= 5")
+    out = tables.once(words, F.struct(F.size(short).cast("long").alias("n")), "s").select("doc_id", F.col("s.n").alias("short"), F.size("w").cast("long").alias("total")).filter("total >= 5")
     return out.withColumn("density", F.round(F.col("short") / F.col("total"), 4)).filter("density > 0.1")
 
 
