@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that start twice or more leave the texts."""
+    """Passages of 50 words and more, covered by 200-byte strings that start twice or more, leave the texts."""
     return suffix_dedup.strip_repeats(docs)
 
 
