@@ -197,3 +197,16 @@ def block_state(df: DataFrame, key: str, order: list[str], opens: Column, closes
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     step = opens.cast("int") - closes.cast("int")
     return df.withColumn("inside", F.coalesce(F.sum(step).over(before), F.lit(0)) > 0)
+
+
+def last_mark(df: DataFrame, key: str, order: list[str], mark: Column) -> DataFrame:
+    """Whether the nearest row before with a ``mark`` opened a block: true after an opening, false after a closing or where there is none."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("inside", F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(False)))
+
+
+def capped(df: DataFrame, order: list[Column], most: int | None) -> DataFrame:
+    """The first ``most`` rows in a total order, with how many there were (``total``) and whether some are left out (``truncated``)."""
+    total = F.broadcast(df.agg(F.count("*").alias("total")))
+    head = df if most is None else df.orderBy(*order).limit(most)
+    return head.crossJoin(total).withColumn("truncated", F.lit(False) if most is None else F.col("total") > most).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope import functions as fn
-from codescope.operators import rules, tables
+from codescope.operators import rules, search, tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -157,6 +157,33 @@ def text_search(spark, sf_dir):
     return _lines(spark, sf_dir).filter(F.col("content").rlike(r"\bthe\b.*\bof\b") & ~F.col("content").contains("|")).select("doc_id", "line", "content")
 
 
+_MATCHES = r"""SELECT doc_id, line, l[line] AS content, pattern, coalesce(l[line - 1], '') AS before, coalesce(l[line + 1], '') AS after
+FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents WHERE length(text) > 0)), (VALUES ('of the'), ('ent ')) p(pattern) WHERE contains(l[line], pattern)"""
+
+
+def _matched(spark, sf_dir):
+    found = search.search(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", ["of the", "ent "], mode="fixed", context=1)
+    return found.withColumns({"before": F.array_join("before", "|"), "after": F.array_join("after", "|")})
+
+
+@query(_MATCHES)
+def search_context(spark, sf_dir):
+    return _matched(spark, sf_dir)
+
+
+@query(f"SELECT *, n AS total, n > 40 AS truncated FROM (SELECT doc_id, line, pattern, count(*) OVER () AS n FROM ({_MATCHES})) ORDER BY doc_id, line, pattern LIMIT 40".replace("SELECT *, n AS", "SELECT doc_id, line, pattern, n AS"))
+def search_report(spark, sf_dir):
+    return tables.capped(_matched(spark, sf_dir).select("doc_id", "line", "pattern"), ["doc_id", "line", "pattern"], 40)
+
+
+@query(rf"""WITH s AS (SELECT doc_id, regexp_extract(text, '[\p{{L}}\p{{N}}_]+') AS stem FROM documents), w AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+')) AS stem FROM ({_LINES})),
+c AS (SELECT stem, doc_id, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT stem, sum(n) AS every FROM c GROUP BY 1)
+SELECT s.doc_id, s.stem, coalesce(every - coalesce(n, 0), 0)::BIGINT AS refs FROM s LEFT JOIN t ON s.stem = t.stem LEFT JOIN c ON s.stem = c.stem AND s.doc_id = c.doc_id WHERE s.stem <> ''""")
+def word_references(spark, sf_dir):
+    stems = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", f"({search.WORD})", 1).alias("stem")).filter("stem <> ''")
+    return search.word_references(stems, _lines(spark, sf_dir).withColumnRenamed("doc_id", "other"), "doc_id", "stem", "other", "content")
+
+
 @query(rf"""WITH l AS ({_LINES}), spans AS (SELECT doc_id, min(line) AS first, max(line) AS last, (line - 1) // 5 AS span FROM l GROUP BY doc_id, (line - 1) // 5)
 SELECT doc_id, span::BIGINT AS span, count(*) AS dividers, string_agg(l.line::VARCHAR, '|' ORDER BY l.line) AS divider_lines
 FROM spans JOIN l USING (doc_id) WHERE l.line BETWEEN first AND last AND length(content) < 40 GROUP BY doc_id, span HAVING count(*) > 2""")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope import functions as fn
-from codescope.operators import rules, tables
+from codescope.operators import rules, search, tables
 from codescope.plans import report
-from codescope.sources import code, python_facts
+from codescope.sources import code, imports, python_facts, token_facts
 
 #: Limits and severities of the rules, called, short and builtin names that say nothing.
 DEFAULTS: dict[str, dict] = {
@@ -39,6 +39,21 @@ DEFAULTS: dict[str, dict] = {
     "lexical.verbosity": {"enabled": True, "severity": "warning", "threshold": 3.0, "min_identifiers": 5},
     "lexical.tersity": {"enabled": True, "severity": "warning", "threshold": 0.50, "max_len": 2, "min_identifiers": 5},
 }
+#: By language, a type that says nothing, and any type.
+HATCHES = {
+    "python": (r"\bAny\b", r"(?:->|:\s)[A-Za-z_\[\]|, ]+"),
+    "typescript": (r":\s*any\b", r":\s*[A-Za-z_][A-Za-z0-9_\[\]|<>, ]*"),
+    "javascript": (r"@type\s*\{any\}", r"@type\s*\{[^\}]+\}"),
+    "go": (r"(?:interface\{\}|\bany\b)", r"(?:func\b|var\b|\btype\b|\bmap\[)"),
+    "rust": (r"dyn\s+Any\b", r"(?:fn\s+\w+\s*\(|:\s*(?:Box|Vec|Arc|Rc|Option|Result)<)"),
+    "java": (r"\bObject\b(?:\s*[,\)]|\s*\{|\s*throws)", r"(?:public|private|protected|static)\s+\w+\s+\w+\s*\("),
+    "c_sharp": (r"\b(?:object|dynamic)\b", r"(?:public|private|protected|internal|static)\s+(?:\w+[\[\]?]*\s+){1,3}\w+\s*[({]"),
+    "julia": (r"::\s*Any\b", r"::[A-Za-z_]\w*"),
+    "c": (r"\bvoid\s*\*", r"(?:^|[\s,(])(?:const\s+|register\s+|volatile\s+|restrict\s+|static\s+|extern\s+|inline\s+|auto\s+)*(?:unsigned\s+|signed\s+)?(?:int|char|float|double|long|short|void|size_t|ssize_t|int\d{1,2}_t|uint\d{1,2}_t|ptrdiff_t|struct\s+\w+|enum\s+\w+|union\s+\w+|[A-Z]\w*_t|[A-Z]\w*)\s*\*?\s*\w+\s*[,;()=\[]"),
+    "cpp": (r"\bvoid\s*\*|\bstd::any\b", r"(?:^|[\s,(])(?:const\s+|volatile\s+|static\s+|extern\s+|inline\s+|constexpr\s+|consteval\s+|mutable\s+|register\s+|restrict\s+|auto\s+)*(?:unsigned\s+|signed\s+)?(?:int|char|float|double|long|short|void|bool|size_t|ssize_t|int\d{1,2}_t|uint\d{1,2}_t|ptrdiff_t|struct\s+\w+|enum\s+\w+|union\s+\w+|class\s+\w+|[A-Z]\w*_t|std::\w+(?:<[^>]*>)?|[A-Z]\w*(?:<[^>]*>)?)\s*[*&]?\s*\w+\s*[,;()=\[{]"),
+}
+#: Languages whose sources are read.
+LANGUAGES = ["python", *token_facts.LANGUAGES]
 SHORT_NAMES = ["i", "j", "k", "x", "y", "z", "ok", "n"]
 ABSTRACT_BASES = ["ABC", "ABCMeta", "Protocol"]
 COMMON_NAMES = "run main setup init start stop get set update create delete load save process execute handle build parse check validate".split()
@@ -89,22 +104,55 @@ class Metrics:
         parent = c.select("name", F.explode_outer(F.array_remove("bases", F.col("name"))).alias("parent")).join(names.withColumnRenamed("known", "parent").withColumn("here", F.lit(True)), "parent", "left")
         parent = parent.groupBy(F.col("name").alias("id")).agg(F.min(F.when(F.col("here"), F.col("parent"))).alias("parent"))
         dit = tables.depth(parent).select(F.col("id").alias("name"), F.col("depth").alias("dit"))
-        f = self.functions.select("file", F.col("line").alias("at"), "ccx", F.col("name").alias("fn"))
+        f = self.functions.select("file", F.col("line").alias("at"), "ccx", F.col("name").alias("fn"), "owner")
         inside = f.join(c.select("file", "name", "line", "end_line"), "file").filter("at between line and end_line")
-        best = inside.groupBy("file", "at", "fn", "ccx").agg(F.min(F.struct((F.col("end_line") - F.col("line")).alias("w"), "line", "name")).alias("b"))
-        wmc = best.groupBy("file", F.col("b.name").alias("name"), F.col("b.line").alias("line")).agg(F.sum("ccx").alias("wmc"))
+        best = inside.groupBy("file", "at", "fn", "ccx").agg(F.min(F.struct((F.col("end_line") - F.col("line")).alias("w"), "line", "name")).alias("b")).select("file", F.col("b.name").alias("name"), F.col("b.line").alias("line"), "ccx")
+        # a method outside of its class: of the classes with its owner's name the one in the same file, else the first
+        out = f.filter("owner is not null").join(c.select("file", F.col("line").alias("start"), "end_line"), "file", "left")
+        out = out.groupBy("file", "at", "fn", "ccx", "owner").agg(F.count_if(F.expr("at between start and end_line")).alias("n")).filter("n = 0")
+        named = c.select(F.col("name").alias("owner"), F.col("line").alias("start"), F.col("file").alias("home"))
+        first = named.groupBy("owner").agg(F.min(F.struct("home", "start")).alias("any"))
+        near = named.groupBy("owner", F.col("home").alias("file")).agg(F.min("start").alias("near"))
+        out = out.join(first, "owner").join(near, ["owner", "file"], "left")
+        out = out.select(F.when(F.col("near").isNotNull(), F.col("file")).otherwise(F.col("any.home")).alias("file"), F.col("owner").alias("name"), F.coalesce("near", "any.start").alias("line"), "ccx")
+        wmc = best.unionByName(out).groupBy("file", "name", "line").agg(F.sum("ccx").alias("wmc"))
         key = ["file", "name", "line"]
         return c.drop("used").join(cbo, key, "left").join(wmc, key, "left").join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["cbo", "wmc", "noc", "dit"])
 
+    @once
+    def imports(self) -> DataFrame:
+        """``src``, ``line``, ``module`` of all imports; Python's relative ones have no name to look for."""
+        parsed = self.facts.filter("kind = 'import' and not startswith(name, '.')").select(F.col("file").alias("src"), "line", F.col("name").alias("module"))
+        return parsed.unionByName(imports.text_imports(self.files).select(F.col("file").alias("src"), "line", "module"))
+
     @once
     def import_edges(self) -> DataFrame:
-        """Distinct file-to-file edges: the dotted path first, else the last component; of files with one name the smallest path."""
-        paths = self.files.select("path", F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/__init__$", "").alias("bare"))
-        exact = paths.groupBy(F.regexp_replace("bare", "/", ".").alias("module")).agg(F.min("path").alias("exact"))
-        stems = paths.groupBy(F.regexp_extract("bare", "([^/]+)$", 1).alias("stem")).agg(F.min("path").alias("by_stem"))
-        imports = self.facts.filter("kind = 'import'").select(F.col("file").alias("src"), F.col("name").alias("module")).distinct()
-        found = imports.join(exact, "module", "left").withColumn("stem", F.regexp_extract("module", r"([^./]+)$", 1)).join(stems, "stem", "left")
-        return found.select("src", F.coalesce("exact", "by_stem").alias("dst")).filter("dst is not null and dst <> src").distinct()
+        """Distinct file-to-file edges; see :func:`codescope.sources.imports.resolved`."""
+        return imports.resolved(self.imports().select("src", "module"), self.files.filter("lang is not null"))
+
+    def file_deps(self, target: str | None = None, most: int | None = None) -> DataFrame:
+        """Language, imports in their order, Ca, Ce and instability of each file, most depended upon first; of one file with ``target``.
+
+        Who imports a file is in :meth:`import_edges`.
+        """
+        made = self.imports().groupBy(F.col("src").alias("path")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("line", "module"))), lambda x: x["module"])).alias("imports"))
+        rows = self.files.filter("lang is not null").select("path", "lang").join(made, "path", "left").join(tables.degrees(self.import_edges()).withColumnRenamed("node", "path"), "path", "left")
+        rows = rows.na.fill(0, ["ca", "ce"]).withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+        if target is not None:
+            rows = rows.filter(F.col("path") == target)
+        return tables.capped(rows, [F.desc("ca"), F.asc("path")], most)
+
+    def cycles(self, target: str | None = None) -> DataFrame:
+        """``node`` and ``component`` of import cycles; with ``target`` of those that hold this file."""
+        found = tables.cycles(self.import_edges())
+        return found if target is None else found.join(found.filter(F.col("node") == target).select("component"), "component", "left_semi").select("node", "component")
+
+    def unused_modules(self, least_length: int = 4, most: int = 0) -> DataFrame:
+        """Files whose name at most ``most`` lines of other files hold as a word, with the confidence that they are dead."""
+        stem = F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"(?<=.)\.[^.]+$", "")
+        stems = self.files.filter("lang is not null").select(F.col("path").alias("file"), stem.alias("symbol")).filter(F.length("symbol") >= least_length)
+        rows = search.word_references(stems, imports.lines(self.files.filter("lang is not null")).withColumnRenamed("file", "path"), "file", "symbol", "path", "text")
+        return rows.filter(F.col("refs") <= most).withColumn("confidence", fn.confidence(F.col("symbol"), F.lit(False), F.col("symbol").isin(COMMON_NAMES)))
 
     def packages(self) -> DataFrame:
         """Coupling, abstractness, distance and zone of each directory with an ``__init__.py``."""
@@ -139,14 +187,14 @@ class Metrics:
             churn = churn.filter((F.col("file") == prefix) | F.col("file").startswith(prefix.rstrip("/") + "/"))
         churned = tables.churn(churn, "file", F.col("insertions"), F.col("deletions"), "at")
         rows = tables.hotspot_join(ccx.filter("sum_ccx > 0"), churned, "file", min_commits)
-        here = self.files.select(F.col("path").alias("file"), F.lit(True).alias("here"), (F.col("lang") == "python").alias("parsed"))
+        here = self.files.select(F.col("path").alias("file"), F.lit(True).alias("here"), F.col("lang").isin(LANGUAGES).alias("parsed"))
         rows = rows.join(here, "file", "left").withColumn("reject", F.when(F.col("here").isNull(), "not_on_disk").when(F.col("sum_ccx").isNull() & ~F.coalesce("parsed", F.lit(False)), "unsupported_language").otherwise(F.col("reject")))
         kept = rows.filter("reject is null").withColumn("loc_delta", F.col("insertions") - F.col("deletions"))
         kept = kept.withColumn("score", (F.col("sum_ccx") * F.greatest(F.lit(0), "loc_delta")).cast("double"))
         return tables.quadrants(kept, "sum_ccx", "loc_delta").drop("here", "parsed", "reject")
 
     def lines(self) -> DataFrame:
-        return self.files.filter("lang = 'python'").select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("i", "text")).withColumn("at", F.col("i") + 1)
+        return imports.lines(self.files.filter(F.col("lang").isin(LANGUAGES))).withColumnRenamed("line", "at")
 
 
 class Run:
@@ -181,7 +229,7 @@ def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[d
         except Exception as e:
             errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     found = rules.waived(out, waivers or [], today).persist()
-    files = m.files.filter("lang = 'python'").count()
+    files = m.files.filter(F.col("lang").isin(LANGUAGES)).count()
     units = {name: files for name in on} | dict.fromkeys((n for n in on if n.startswith(("structural.complexity", "information.", "lexical."))), m.functions.count()) | dict.fromkeys((n for n in on if n.startswith("structural.class")), m.classes.count())
     return Run(m, found, report.statuses(found, on, errors, units), len(config) - len(on))
 
@@ -223,7 +271,9 @@ def _sentinels(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _hatches(m: Metrics, c: dict, name: str) -> DataFrame:
-    per = m.lines().groupBy("file").agg(F.count_if(F.col("text").rlike(r"\bAny\b")).alias("a"), F.count_if(F.col("text").rlike(r"(?:->|:\s)[A-Za-z_\[\]|, ]+")).alias("n"))
+    escape, any_type = (F.create_map(*[F.lit(x) for lang, pair in HATCHES.items() for x in (lang, pair[k])])[F.col("lang")] for k in (0, 1))
+    rows = m.lines().filter(F.col("lang").isin(list(HATCHES))).select("file", "text", escape.alias("escape"), any_type.alias("any_type"))
+    per = rows.groupBy("file").agg(F.count_if(F.expr("text rlike escape")).alias("a"), F.count_if(F.expr("text rlike any_type")).alias("n"))
     return _rule(per.filter(F.col("n") >= c["min_annotations"]), name, c, F.round(F.col("a") / F.col("n"), 4), line=None, symbol=None)
 
 
@@ -234,7 +284,7 @@ def _sections(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _cycles(m: Metrics, c: dict, name: str) -> DataFrame:
-    found = tables.cycles(m.import_edges()).groupBy(F.col("component").alias("file")).count()
+    found = m.cycles().groupBy(F.col("component").alias("file")).count()
     return _rule(found, name, c, F.col("count"), line=None, symbol=None)
 
 
@@ -260,7 +310,11 @@ def _literals(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _local(m: Metrics, c: dict, name: str) -> DataFrame:
-    rows = m.facts.filter("kind = 'import' and owner is not null")
+    rows = m.facts.filter("kind = 'import' and owner is not null").select("file", "line", "owner")
+    spans = m.functions.select("file", F.monotonically_increasing_id().alias("f"), F.col("line").alias("start"), "end_line", F.col("name").alias("owner"))
+    found = imports.text_imports(m.files).select("file", "line").distinct().join(spans, "file").filter("line > start and line <= end_line")
+    found = found.groupBy("file", "line").agg(F.min(F.struct(F.col("end_line") - F.col("start"), "f", "owner")).alias("b")).select("file", "line", F.col("b.owner").alias("owner"))
+    rows = rows.unionByName(found)
     n = F.count("*").over(Window.partitionBy("file"))
     return _rule(rows.withColumn("n", n), name, c, F.col("n"), symbol="owner")
 

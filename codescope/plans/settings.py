@@ -128,3 +128,14 @@ def written(defaults: dict[str, dict], profile: str = "default") -> str:
 
     config, _ = settled(defaults, {}, profile)
     return "\n".join(f"[rules.{rule}]\n" + "".join(f"{k} = {text(v)}\n" for k, v in values.items()) for rule, values in config.items())
+
+
+def languages(requested: list[str] | None, supported: list[str], strict: bool = False) -> tuple[list[str], list[str]]:
+    """Languages to read and those that can't be, both sorted; ValueError if none is left or, with ``strict``, any can't be."""
+    if not requested:
+        return sorted(supported), []
+    wanted = {name.lower() for name in requested}
+    kept, other = sorted(wanted & set(supported)), sorted(wanted - set(supported))
+    if other and (strict or not kept):
+        raise ValueError(f"no such language: {', '.join(other)}")
+    return kept, other

@@ -21,11 +21,11 @@ def files(spark: SparkSession, root: str, globs: list[str] | None = None, exclud
 
     Undecodable bytes become replacement characters. Globs and excludes cross ``/``.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter("length > 0")
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{re.escape(base)}/", "")
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
-    rows = rows.unionByName(_underscored(spark, root))
+    rows = rows.unionByName(_unseen(spark, root))
     rows = rows.filter(~F.col("path").rlike(r"(^|/)\."))
     for g in excludes or []:
         rows = rows.filter(~F.col("path").rlike(glob_regex(g)))
@@ -35,8 +35,8 @@ def files(spark: SparkSession, root: str, globs: list[str] | None = None, exclud
     return rows.withColumn("lang", kinds[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))])
 
 
-def _underscored(spark: SparkSession, root: str) -> DataFrame:
-    """Source files whose names start with an underscore, such as package markers.
+def _unseen(spark: SparkSession, root: str) -> DataFrame:
+    """Source files whose names start with an underscore, such as package markers, and empty ones.
 
     Spark's file sources leave them out, so the driver lists and reads them; they
     are few and small beside the rest of a tree.
@@ -47,7 +47,7 @@ def _underscored(spark: SparkSession, root: str) -> DataFrame:
     while every.hasNext():
         status = every.next()
         name = status.getPath().getName()
-        if name.startswith("_") and name.rsplit(".", 1)[-1].lower() in EXTENSIONS:
+        if (name.startswith("_") or not status.getLen()) and name.rsplit(".", 1)[-1].lower() in EXTENSIONS:
             stream = fs.open(status.getPath())
             try:
                 text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -82,9 +82,60 @@ def commits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     text = spark.read.option("lineSep", "\x1e").text(path).filter("trim(value) <> ''")
     parts = F.split("value", "\n")
-    head = F.split(parts[0], "\x1f")
-    rows = text.select(head[0].alias("commit"), head[1].alias("author_date"), F.size(F.filter(F.split(head[2], " "), lambda p: p != "")).alias("parent_count"), F.slice(parts, 2, F.size(parts)).alias("lines"))
+    head = F.split(F.get(parts, F.lit(0)), "\x1f")
+    rows = text.select(F.get(head, F.lit(0)).alias("commit"), F.get(head, F.lit(1)).alias("author_date"), F.size(F.filter(F.split(F.get(head, F.lit(2)), " "), lambda p: p != "")).alias("parent_count"), F.slice(parts, 2, F.size(parts)).alias("lines"))
     stat = F.split("line", "\t")
     churn = rows.select("commit", "author_date", F.explode("lines").alias("line")).filter(F.size(stat) == 3)
-    count = lambda i: F.coalesce(stat[i].try_cast("long"), F.lit(0))
-    return rows.drop("lines"), churn.select("commit", F.to_timestamp("author_date").alias("at"), stat[2].alias("file"), count(0).alias("insertions"), count(1).alias("deletions"))
+    count = lambda i: F.coalesce(F.get(stat, F.lit(i)).try_cast("long"), F.lit(0))
+    return rows.drop("lines"), churn.select("commit", F.to_timestamp("author_date").alias("at"), F.get(stat, F.lit(2)).alias("file"), count(0).alias("insertions"), count(1).alias("deletions"))
+
+
+def history(spark: SparkSession, path: str, start: str = "", end: str = "", merges: bool = False, prefixes: list[str] | None = None, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Commits and churn of an exported log between two times, without merges, of files under the prefixes; commits left without a file go."""
+    rows, churn = commits(spark, path)
+    at = F.to_timestamp("author_date")
+    if not merges:
+        rows = rows.filter("parent_count <= 1")
+    if (low := since(start, now)) is not None:
+        rows = rows.filter(at >= low)
+    if (high := since(end, now)) is not None:
+        rows = rows.filter(at <= high)
+    if prefixes:
+        keep = F.lit(False)
+        for p in prefixes:
+            keep = keep | (F.col("file") == p) | F.col("file").startswith(p.rstrip("/") + "/")
+        churn = churn.filter(keep)
+        rows = rows.join(churn.select("commit").distinct(), "commit", "left_semi")
+    return rows, churn.join(rows.select("commit"), "commit", "left_semi")
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """``commit``, ``at`` and ``file`` of a log exported with ``--name-only``."""
+    parts = F.split("value", "\n")
+    head = F.split(F.get(parts, F.lit(0)), "\x1f")
+    rows = spark.read.option("lineSep", "\x1e").text(path).filter("trim(value) <> ''").select(F.get(head, F.lit(0)).alias("commit"), F.to_timestamp(F.get(head, F.lit(1))).alias("at"), F.explode(F.slice(parts, 2, F.size(parts))).alias("file"))
+    return rows.filter(F.trim("file") != "")
+
+
+def log_command(mode: str = "--numstat", start: str = "", end: str = "", merges: bool = False, paths: list[str] | None = None) -> list[str]:
+    """Arguments that export a log for :func:`commits` (``--numstat``) or :func:`names` (``--name-only``); ValueError for a value that would be read as an option."""
+    for value in (start, end, *(paths or [])):
+        if value.startswith("-"):
+            raise ValueError(f"a value may not begin with '-': {value}")
+    out = ["git", "log", mode, "--format=%x1e%H%x1f%aI%x1f%P"] + ([] if merges else ["--no-merges"])
+    out += [f"--since={start}"] * (start.strip().lower() not in UNBOUNDED) + [f"--until={end}"] * (end.strip().lower() not in UNBOUNDED)
+    return out + (["--", *paths] if paths else [])
+
+
+def log_status(spark: SparkSession, path: str, shallow: bool = False) -> DataFrame:
+    """One row for an exported log: ``ok``, ``state`` (missing, empty, shallow, complete) and ``message``.
+
+    A log without commits is no error; one that isn't there is. History that
+    was cut off (``shallow``, which the exporter knows) is used, with a warning.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place))
+    empty = there and commits(spark, path)[0].isEmpty()
+    state = "missing" if not there else "empty" if empty else "shallow" if shallow else "complete"
+    message = {"missing": f"no log at {path}", "shallow": "the history is cut off; older commits don't count"}.get(state)
+    return spark.createDataFrame([(there, state, message)], "ok boolean, state string, message string")

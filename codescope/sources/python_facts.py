@@ -10,11 +10,12 @@ import ast
 import io
 import sys
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -195,29 +196,34 @@ def paths_of(n: ast.AST) -> int:
     return total
 
 
-def read_file(path: str, text: str) -> list[dict]:
+def guarded(path: str, read: Callable[[], list[dict]]) -> list[dict]:
     """The rows of one file; whatever goes wrong in it is one row of kind error."""
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, DEEPEST))
     try:
-        return Reader(path, text).read()
+        return read()
     except Exception as e:  # one file must not fail the scan of a tree
         return [{"file": path, "kind": "error", "name": f"{path}: {type(e).__name__}", "line": 1, "end_line": 1}]
     finally:
         sys.setrecursionlimit(limit)
 
 
+def read_file(path: str, text: str) -> list[dict]:
+    return guarded(path, lambda: Reader(path, text).read())
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """Facts of the Python files of ``files(path, lang, content)``; a file that doesn't parse gives one row of kind error."""
+    """Facts of the files of ``files(path, lang, content)`` in the languages that are read; a file that can't be read gives one row of kind error."""
+    from codescope.sources import token_facts
 
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in read_file(p, t)]
+            rows = [r for p, t, lang in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "lang")), strict=True) for r in token_facts.read_file(p, t, lang)]
             for r in rows:
                 if "npath" in r:
                     r["npath"] = Decimal(r["npath"])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.filter("lang = 'python'").select("path", "content").mapInArrow(parse, SCHEMA)
+    return files.filter(F.col("lang").isin("python", *token_facts.LANGUAGES)).select("path", "lang", "content").mapInArrow(parse, SCHEMA)
