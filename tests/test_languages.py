@@ -194,3 +194,27 @@ def test_languages_and_names(spark):
     paths = spark.createDataFrame([("a/b/__init__.py",), ("x.h",), ("a/n.d.ts",)], "p string")
     got = [set(r[0]) for r in paths.select(imports.names_of(paths["p"])).collect()]
     assert got == [{"a.b.__init__", "a/b/__init__", "a/b/__init__.py", "a.b", "a/b"}, {"x", "x.h"}, {"a.n.d", "a/n.d", "a/n.d.ts"}]
+
+
+def test_patterns(spark):
+    from codescope.operators import pattern
+    from codescope.sources import nodes
+
+    files = spark.createDataFrame(
+        [("a.py", "python", "def get_x(a, b):\n    return é.get(set_y(1), get_x(2, 3))\n"), ("b.go", "go", GO), ("c.py", "python", "def ("), ("d.txt", None, "x"), ("e.py", "python", "")], "path string, lang string, content string"
+    )
+    n = nodes.nodes(files).cache()
+    assert [r["file"] for r in n.filter("kind = 'error'").collect()] == ["c.py"]
+    calls = pattern.match(n, "(Call func: (Name id: (identifier) @callee))")
+    assert sorted(r["callee"]["text"] for r in calls.collect()) == ["get_x", "set_y"]
+    assert [r["callee"]["line"] for r in pattern.match(n, '(Call func: (Name id: (identifier) @callee)) (#match? @callee "^get_")').collect()] == [2]
+    assert [r["c"]["text"] for r in pattern.match(n, '(Call func: (_ (identifier) @c)) (#not-eq? @c "get")').filter("c.text = 'get_x'").collect()] == ["get_x"]
+    two = pattern.match(n, "(Call args: (Constant) @x args: (Constant) @y) @call").collect()
+    assert sorted((r["x"]["text"], r["y"]["text"]) for r in two) == [("2", "3"), ("3", "2")]
+    text = files.first()["content"]
+    assert {text[r["call"]["start"] : r["call"]["stop"]] for r in two} == {"get_x(2, 3)"}
+    assert [r["f"]["text"] for r in pattern.match(n, '(fn name: (identifier) @f body: (block (if)))', "go").collect()] == ["M"]
+    for bad in ("", "(a", "a)", "(a) (b)", '(a) (#eq? @x "y")', '(a @b', '((a))', '(a) @x (#is? @x "y")'):
+        with pytest.raises(ValueError):
+            pattern.match(n, bad)
+    n.unpersist()
