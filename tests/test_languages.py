@@ -218,3 +218,13 @@ def test_patterns(spark):
         with pytest.raises(ValueError):
             pattern.match(n, bad)
     n.unpersist()
+
+
+def test_files(spark, tmp_path):
+    names = ["a.py", "_x_DIR_b.py", "_x_DIR__y_DIR__c.py", "_x_DIR__y_DIR_d.py", "build_DIR_e.py", "sub_DIR_build_DIR_f.py", "sub_DIR_g.log", "sub_DIR_keep.log", "sub_DIR_deep_DIR_h.py", "top_DIR_i.py", "sub_DIR_top_DIR_j.py", "t1.c", "t2.c", "build_DIR_keep.log"]
+    root = write(tmp_path, **{n.replace(".", "_DOT_"): "x = 1\n" for n in names}, empty_DOT_py="", **{"_DOT_gitignore": "# no\nbuild/\n*.log\n!keep.log\n/top\nt[!1].c\n", "sub_DIR__DOT_gitignore": "deep/**\n", "_DOT_hid_DIR_k_DOT_py": "x"})
+    got = sorted(r["path"] for r in code.files(spark, root).select("path").collect())
+    assert got == sorted(["a.py", "_x/b.py", "_x/_y/_c.py", "_x/_y/d.py", "empty.py", "sub/keep.log", "sub/top/j.py", "t1.c"])
+    every = [r["path"] for r in code.files(spark, root, ignores=False).select("path").collect()]
+    assert len(every) == len(set(every)) == len(names) + 1
+    assert sorted(r["path"] for r in code.files(spark, root, globs=["*.py", "a*"], depth=1).collect()) == ["a.py", "empty.py"]
