@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, html_text, jaccard_join, packing, quality, suffix_dedup, token_output, url_filter
+from . import chat, decontaminate, fingerprint, html_text, jaccard_join, packing, quality, spelling, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_html_extraction": html_text.op8_html_extraction,
         "op9_quality_classifier": quality.op9_quality_classifier,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
     }
 
 
