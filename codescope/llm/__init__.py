@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, html_text, jaccard_join, metric_join, packing, quality, spelling, suffix_dedup, token_output, url_filter
+from . import chat, decontaminate, fingerprint, hard_negatives, html_text, jaccard_join, metric_join, packing, quality, spelling, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": quality.op9_quality_classifier,
         "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_embedding_near_dedup": metric_join.op12_embedding_near_dedup,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE, "op12_embedding_near_dedup": metric_join.ORACLE}
+    return {"op7_chat_formatting": chat.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE, "op12_embedding_near_dedup": metric_join.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
