@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope import functions as fn
+from codescope import shared
 from codescope.operators import rules, search, tables
 from codescope.plans import report
-from codescope.sources import code, imports, python_facts, token_facts
+from codescope.sources import code, imports, python_facts, token_facts, tree
 
 #: Limits and severities of the rules, called, short and builtin names that say nothing.
 DEFAULTS: dict[str, dict] = {
@@ -79,11 +80,12 @@ def once(make):
 class Metrics:
     """Tables of one source tree and its exported log; facts are parsed once and kept until :meth:`close`."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, log: str | None = None, now: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, files: DataFrame, log: str | None = None, now: str | None = None, places: DataFrame | None = None) -> None:
         self.spark, self.files, self.log, self.now = spark, files, log, now
+        # where paths are enough, no content is read
+        self.places = files.drop("content") if places is None else places
         self.kept: dict[str, DataFrame] = {}
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        shared.checkpoints(spark)
         self.kept["facts"] = self.facts = python_facts.facts(files).persist()
         self.functions = self.facts.filter("kind = 'function'")
         self.classes = self.facts.filter("kind = 'class'")
@@ -128,7 +130,7 @@ class Metrics:
     @once
     def import_edges(self) -> DataFrame:
         """Distinct file-to-file edges; see :func:`codescope.sources.imports.resolved`."""
-        return imports.resolved(self.imports().select("src", "module"), self.files.filter("lang is not null"))
+        return imports.resolved(self.imports().select("src", "module"), self.places.filter("lang is not null"))
 
     def file_deps(self, target: str | None = None, most: int | None = None) -> DataFrame:
         """Language, imports in their order, Ca, Ce and instability of each file, most depended upon first; of one file with ``target``.
@@ -136,7 +138,7 @@ class Metrics:
         Who imports a file is in :meth:`import_edges`.
         """
         made = self.imports().groupBy(F.col("src").alias("path")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("line", "module"))), lambda x: x["module"])).alias("imports"))
-        rows = self.files.filter("lang is not null").select("path", "lang").join(made, "path", "left").join(tables.degrees(self.import_edges()).withColumnRenamed("node", "path"), "path", "left")
+        rows = self.places.filter("lang is not null").select("path", "lang").join(made, "path", "left").join(tables.degrees(self.import_edges()).withColumnRenamed("node", "path"), "path", "left")
         rows = rows.na.fill(0, ["ca", "ce"]).withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
         if target is not None:
             rows = rows.filter(F.col("path") == target)
@@ -150,15 +152,15 @@ class Metrics:
     def unused_modules(self, least_length: int = 4, most: int = 0) -> DataFrame:
         """Files whose name at most ``most`` lines of other files hold as a word, with the confidence that they are dead."""
         stem = F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"(?<=.)\.[^.]+$", "")
-        stems = self.files.filter("lang is not null").select(F.col("path").alias("file"), stem.alias("symbol")).filter(F.length("symbol") >= least_length)
+        stems = self.places.filter("lang is not null").select(F.col("path").alias("file"), stem.alias("symbol")).filter(F.length("symbol") >= least_length)
         rows = search.word_references(stems, imports.lines(self.files.filter("lang is not null")).withColumnRenamed("file", "path"), "file", "symbol", "path", "text")
         return rows.filter(F.col("refs") <= most).withColumn("confidence", fn.confidence(F.col("symbol"), F.lit(False), F.col("symbol").isin(COMMON_NAMES)))
 
     def packages(self) -> DataFrame:
         """Coupling, abstractness, distance and zone of each directory with an ``__init__.py``."""
         place = F.regexp_replace("path", "/?[^/]+$", "")
-        homes = self.files.filter(F.col("path").rlike(r"(^|/)__init__\.py$")).select(place.alias("node")).distinct()
-        of = self.files.select("path", place.alias("node")).join(homes, "node")
+        homes = self.places.filter(F.col("path").rlike(r"(^|/)__init__\.py$")).select(place.alias("node")).distinct()
+        of = self.places.select("path", place.alias("node")).join(homes, "node")
         edges = self.import_edges().join(of.select(F.col("path").alias("src"), F.col("node").alias("a")), "src").join(of.select(F.col("path").alias("dst"), F.col("node").alias("b")), "dst")
         degrees = tables.degrees(edges.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         abstract = F.arrays_overlap("bases", F.array(*map(F.lit, ABSTRACT_BASES)))
@@ -187,7 +189,7 @@ class Metrics:
             churn = churn.filter((F.col("file") == prefix) | F.col("file").startswith(prefix.rstrip("/") + "/"))
         churned = tables.churn(churn, "file", F.col("insertions"), F.col("deletions"), "at")
         rows = tables.hotspot_join(ccx.filter("sum_ccx > 0"), churned, "file", min_commits)
-        here = self.files.select(F.col("path").alias("file"), F.lit(True).alias("here"), F.col("lang").isin(LANGUAGES).alias("parsed"))
+        here = self.places.select(F.col("path").alias("file"), F.lit(True).alias("here"), F.col("lang").isin(LANGUAGES).alias("parsed"))
         rows = rows.join(here, "file", "left").withColumn("reject", F.when(F.col("here").isNull(), "not_on_disk").when(F.col("sum_ccx").isNull() & ~F.coalesce("parsed", F.lit(False)), "unsupported_language").otherwise(F.col("reject")))
         kept = rows.filter("reject is null").withColumn("loc_delta", F.col("insertions") - F.col("deletions"))
         kept = kept.withColumn("score", (F.col("sum_ccx") * F.greatest(F.lit(0), "loc_delta")).cast("double"))
@@ -217,7 +219,8 @@ def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[d
     A rule that fails is an error of its own and leaves the others alone. Rules
     over history need ``log``, an exported log; without one they are skipped.
     """
-    m = Metrics(spark, code.files(spark, root, excludes=excludes), log, now)
+    places = code.places(spark, root, excludes=excludes)
+    m = Metrics(spark, tree.contents(places, root), log, now, places)
     on = {name: c for name, c in config.items() if c["enabled"] and c["severity"] != "off" and (log or name not in NEED_LOG)}
     out, errors = _empty(spark), {}
     for name, c in on.items():
@@ -229,7 +232,7 @@ def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[d
         except Exception as e:
             errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     found = rules.waived(out, waivers or [], today).persist()
-    files = m.files.filter(F.col("lang").isin(LANGUAGES)).count()
+    files = m.places.filter(F.col("lang").isin(LANGUAGES)).count()
     units = {name: files for name in on} | dict.fromkeys((n for n in on if n.startswith(("structural.complexity", "information.", "lexical."))), m.functions.count()) | dict.fromkeys((n for n in on if n.startswith("structural.class")), m.classes.count())
     return Run(m, found, report.statuses(found, on, errors, units), len(config) - len(on))
 

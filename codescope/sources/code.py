@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescope.functions import glob_regex
+from codescope.sources import tree
 
 #: Languages by file extension.
 EXTENSIONS = {
@@ -16,25 +17,14 @@ EXTENSIONS = {
 }
 
 
-def files(spark: SparkSession, root: str, globs: list[str] | None = None, excludes: list[str] | None = None, depth: int | None = None, ignores: bool = True) -> DataFrame:
-    """``path`` (below ``root``), ``lang``, ``size`` and ``content`` of the files of a tree, hidden ones left out.
+def places(spark: SparkSession, root: str, globs: list[str] | None = None, excludes: list[str] | None = None, depth: int | None = None, ignores: bool = True, hidden: bool = False) -> DataFrame:
+    """``path`` (below ``root``), ``size`` and ``lang`` of the files of a tree; nothing is read. See :func:`codescope.sources.tree.listing`.
 
-    Undecodable bytes become replacement characters. Globs and excludes cross ``/``;
-    a file that several globs name comes once. ``depth`` is the most parts a path
-    may have. What the tree's ignore files leave out is left out if ``ignores``.
-    For the first rows of many, and how many there are, see ``tables.capped``.
+    Globs and excludes cross ``/``; a file that several globs name comes once.
+    ``depth`` is the most parts a path may have. For the first rows of many, and
+    how many there are, see ``tables.capped``.
     """
-    folders, unseen, rules = _listed(spark, root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *folders]).filter("length > 0")
-    base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{re.escape(base)}/", "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
-    rows = rows.unionByName(unseen)
-    rows = rows.filter(~F.col("path").rlike(r"(^|/)\."))
-    if ignores and rules:
-        rows = rows.filter(~ignored(F.col("path"), rules))
-    if depth is not None:
-        rows = rows.filter(F.size(F.split("path", "/")) <= depth)
+    rows = tree.listing(spark, root, ignores, hidden, depth)
     for g in excludes or []:
         rows = rows.filter(~F.col("path").rlike(glob_regex(g)))
     if globs:
@@ -43,85 +33,9 @@ def files(spark: SparkSession, root: str, globs: list[str] | None = None, exclud
     return rows.withColumn("lang", kinds[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))])
 
 
-def _listed(spark: SparkSession, root: str) -> tuple[list[str], DataFrame, list[tuple[str, bool, bool]]]:
-    """Folders whose names start with an underscore, source files that do or are empty, and the rules of ignore files.
-
-    Spark's file sources leave such folders and files out. The folders are read
-    as roots of their own; the driver reads the files and the ignore files, which
-    are few and small beside the rest of a tree.
-    """
-    jvm, base = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    top, every = fs.makeQualified(base).toUri().getPath().rstrip("/"), fs.listFiles(base, True)
-    folders, found, rules = set(), [], []
-
-    def text(path) -> str:
-        stream = fs.open(path)
-        try:
-            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    while every.hasNext():
-        status = every.next()
-        place = status.getPath().toUri().getPath().removeprefix(top + "/")
-        *parts, name = place.split("/")
-        if any(p.startswith(".") for p in parts):
-            continue
-        if name == ".gitignore":
-            rules.append(("/".join(parts), text(status.getPath())))
-        folders |= {"/".join([root.rstrip("/"), *parts[: n + 1]]) for n, p in enumerate(parts) if p.startswith("_")}
-        if (name.startswith("_") or not status.getLen()) and name.rsplit(".", 1)[-1].lower() in EXTENSIONS:
-            found.append((place, status.getLen(), text(status.getPath())))
-    rules.sort(key=lambda r: (r[0].count("/") + bool(r[0]), r[0]))  # deeper files decide last
-    return sorted(folders), spark.createDataFrame(found, "path string, size long, content string"), [r for folder, content in rules for r in ignore_rules(content, folder)]
-
-
-def ignore_rules(content: str, folder: str = "") -> list[tuple[str, bool, bool]]:
-    """Each line of an ignore file as a regular expression on whole paths, whether it leaves out, and whether it is for folders only."""
-    out = []
-    for line in content.splitlines():
-        line = re.sub(r"(?<!\\)\s+$", "", line)
-        if not line or line.startswith("#"):
-            continue
-        out_ = not line.startswith("!")
-        line = line if out_ else line[1:]
-        only_folders = line.endswith("/")
-        line = line.rstrip("/")
-        here = "/" in line
-        body, i, line = "", 0, line.lstrip("/")
-        while i < len(line):
-            c = line[i]
-            if line.startswith("**/", i):
-                body, i = body + "(?:.*/)?", i + 3
-                continue
-            if line.startswith("/**", i) and i + 3 == len(line):
-                body, i = body + "/.+", i + 3
-                continue
-            if c == "[" and (j := line.find("]", i + 2)) > 0:
-                inside = line[i + 1 : j].replace("\\", "\\\\")
-                body, i = body + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", j + 1
-                continue
-            if c == "\\" and i + 1 < len(line):
-                i += 1
-                body += re.escape(line[i])
-            else:
-                body += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
-            i += 1
-        out.append(("(?s)^" + (re.escape(folder) + "/" if folder else "") + ("" if here else "(?:.*/)?") + body + "$", out_, only_folders))
-    return out
-
-
-def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
-    """Whether the last rule that fits the path, or any folder above it, leaves it out."""
-    parts = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-
-    def left_out(place: Column) -> Column:
-        fits = [F.when(place.rlike(pattern) & ((place != path) if only_folders else F.lit(True)), F.lit(out)) for pattern, out, only_folders in rules]
-        return F.coalesce(F.get(F.reverse(F.array_compact(F.array(*fits))), F.lit(0)), F.lit(False))
-
-    return F.exists(prefixes, left_out)
+def files(spark: SparkSession, root: str, globs: list[str] | None = None, excludes: list[str] | None = None, depth: int | None = None, ignores: bool = True, hidden: bool = False) -> DataFrame:
+    """The :func:`places` of a tree and the ``content`` of each file, with replacement characters for undecodable bytes."""
+    return tree.contents(places(spark, root, globs, excludes, depth, ignores, hidden), root)
 
 
 #: Texts that mean no bound.
