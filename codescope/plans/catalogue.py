@@ -176,6 +176,26 @@ def search_report(spark, sf_dir):
     return tables.capped(_matched(spark, sf_dir).select("doc_id", "line", "pattern"), ["doc_id", "line", "pattern"], 40)
 
 
+@query("""WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS symbol, min(p_partkey) AS doc_id FROM part GROUP BY 1), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT w.symbol, w.doc_id, count(line) AS refs FROM w LEFT JOIN l ON contains(line, symbol) AND l.doc_id <> w.doc_id GROUP BY 1, 2""")
+def name_substrings(spark, sf_dir):
+    words = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("symbol"), "p_partkey").groupBy("symbol").agg(F.min("p_partkey").alias("doc_id"))
+    return search.substring_references(words, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"), "text"), "doc_id", "symbol", "other", "text")
+
+
+_LONG_WORD = r"\p{L}{6,}"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, regexp_extract(text, '{_LONG_WORD}') AS symbol FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT symbol, count(*) AS every FROM (SELECT DISTINCT symbol FROM s WHERE symbol <> '') JOIN l ON contains(line, symbol) GROUP BY 1),
+o AS (SELECT s.doc_id, count(*) AS own FROM s JOIN l ON s.doc_id = l.doc_id AND contains(line, symbol) GROUP BY 1)
+SELECT s.doc_id, s.symbol, (coalesce(every, 0) - coalesce(own, 0))::BIGINT AS refs FROM s LEFT JOIN t ON s.symbol = t.symbol LEFT JOIN o ON s.doc_id = o.doc_id WHERE s.symbol <> ''""")
+def substring_references(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    symbols = docs.select("doc_id", F.regexp_extract("text", f"({_LONG_WORD})", 1).alias("symbol")).filter("symbol <> ''")
+    return search.substring_references(symbols, docs.select(F.col("doc_id").alias("other"), "text"), "doc_id", "symbol", "other", "text")
+
+
 @query(rf"""WITH s AS (SELECT doc_id, regexp_extract(text, '[\p{{L}}\p{{N}}_]+') AS stem FROM documents), w AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+')) AS stem FROM ({_LINES})),
 c AS (SELECT stem, doc_id, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT stem, sum(n) AS every FROM c GROUP BY 1)
 SELECT s.doc_id, s.stem, coalesce(every - coalesce(n, 0), 0)::BIGINT AS refs FROM s LEFT JOIN t ON s.stem = t.stem LEFT JOIN c ON s.stem = c.stem AND s.doc_id = c.doc_id WHERE s.stem <> ''""")

@@ -348,11 +348,10 @@ def _stutter(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _orphans(m: Metrics, c: dict, name: str) -> DataFrame:
-    """Symbols that no other file names; whole words, which is stricter than substrings."""
-    symbols = m.facts.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).select("file", "line", "name").dropDuplicates(["file", "name"])
-    words = m.lines().select(F.col("file").alias("user"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name")).distinct()
-    users = symbols.join(words, "name").filter("user <> file").groupBy("file", "name").agg(F.count("*").alias("refs"))
-    rows = symbols.join(users, ["file", "name"], "left").na.fill(0, ["refs"]).withColumn("confidence", fn.confidence(F.col("name"), F.lit(True), F.col("name").isin(COMMON_NAMES)))
+    """Symbols that lines of other files don't hold, not even inside a word."""
+    symbols = m.facts.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).select("file", "line", "name").groupBy("file", "name").agg(F.min("line").alias("line"))
+    rows = search.substring_references(symbols, m.files.filter(F.col("lang").isin(LANGUAGES)).select(F.col("path").alias("place"), "content"), "file", "name", "place", "content")
+    rows = rows.withColumn("confidence", fn.confidence(F.col("name"), F.lit(True), F.col("name").isin(COMMON_NAMES)))
     levels = ["low", "medium", "high"]
     rows = rows.filter(F.col("confidence").isin(levels[levels.index(c["min_confidence"]) :]) & (F.col("refs") <= c["threshold"]))
     return _rule(rows, name, {**c, "threshold": -1}, F.col("refs")).withColumn("threshold", F.lit(float(c["threshold"])))
