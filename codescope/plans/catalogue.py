@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope import functions as fn
-from codescope.operators import rules, search, tables
+from codescope.operators import pattern, rules, search, tables
+from codescope.sources import markup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -516,6 +517,40 @@ def usages(spark, sf_dir):
     return uses.join(defs.withColumn("kind", F.lit("definition")), ["symbol", "doc_id", "line"], "left").select("symbol", "doc_id", "line", F.coalesce("kind", F.lit("reference")).alias("kind"))
 
 
+_KINDS = ["html", "head", "title", "body", "nav", "ul", "li", "a", "div", "aside", "article", "h1", "footer"]
+_NODES = rf"""s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+x AS (SELECT page_id, regexp_extract_all(h, '</?(?:{'|'.join(_KINDS)})\b[^>]*>') AS tags FROM s), t AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS id FROM x),
+d AS (SELECT page_id, id, regexp_extract(tag, '^</?([a-z0-9]+)', 1) AS kind, tag LIKE '</%' AS closes, sum(CASE WHEN tag LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY id) AS depth FROM t),
+o AS (SELECT page_id, id, kind, depth, depth - 1 AS above FROM d WHERE NOT closes),
+p AS (SELECT c.page_id, c.id, c.kind, u.id AS parent FROM o c ASOF LEFT JOIN o u ON c.page_id = u.page_id AND c.above = u.depth AND c.id > u.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent ORDER BY id) - 1 AS pos, (SELECT count(*) FROM p k WHERE k.page_id = p.page_id AND k.parent = p.id) AS kids FROM p)"""
+
+
+def _tree(spark, sf_dir):
+    return markup.nodes(read(spark, sf_dir, "pages"), "page_id", "html", _KINDS)
+
+
+@query(f"WITH {_NODES} SELECT page_id, id, kind, parent, pos, kids FROM n")
+def page_nodes(spark, sf_dir):
+    return _tree(spark, sf_dir).select(F.col("file").alias("page_id"), "id", "kind", "parent", "pos", "kids")
+
+
+@query(f"""WITH {_NODES} SELECT nav.page_id, nav.id, a.id AS first_link, ul.kids - 1 AS more FROM n nav JOIN n ul ON ul.page_id = nav.page_id AND ul.parent = nav.id AND ul.kind = 'ul'
+JOIN n li ON li.page_id = ul.page_id AND li.parent = ul.id AND li.pos = 0 AND li.kind = 'li' JOIN n a ON a.page_id = li.page_id AND a.parent = li.id AND a.kind = 'a'
+WHERE nav.kind = 'nav' AND NOT EXISTS (SELECT 1 FROM n x WHERE x.page_id = ul.page_id AND x.parent = ul.id AND x.kind <> 'li')""")
+def pattern_runs(spark, sf_dir):
+    found = pattern.match(_tree(spark, sf_dir), "(nav (ul . (li (a) @first) . (li)* @more .))")
+    return found.select(F.col("file").alias("page_id"), "id", F.col("first.id").alias("first_link"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("more"))
+
+
+@query(f"""WITH {_NODES}, b AS (SELECT nav.page_id, nav.id, nav.parent, CASE WHEN s.kind IN ('div', 'aside') THEN s.id END AS advert, CASE WHEN s.kind IN ('div', 'aside') THEN nav.pos + 2 ELSE nav.pos + 1 END AS place
+FROM n nav LEFT JOIN n s ON s.page_id = nav.page_id AND s.parent = nav.parent AND s.pos = nav.pos + 1 WHERE nav.kind = 'nav')
+SELECT b.page_id, b.id, advert, r.id AS article, h.id AS title FROM b JOIN n r ON r.page_id = b.page_id AND r.parent = b.parent AND r.pos = b.place AND r.kind = 'article' JOIN n h ON h.page_id = r.page_id AND h.parent = r.id AND h.kind = 'h1'""")
+def pattern_siblings(spark, sf_dir):
+    found = pattern.match(_tree(spark, sf_dir), "((nav) . [(div) (aside)]? @advert . (article (h1) @title) @article)")
+    return found.select(F.col("file").alias("page_id"), "id", F.col("advert.id").alias("advert"), F.col("article.id").alias("article"), F.col("title.id").alias("title"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -20,8 +20,20 @@ from codescope.sources import token_facts
 from codescope.sources.nested import Node
 from codescope.sources.python_facts import guarded
 
-#: ``id`` counts from 0 in depth-first order; ``start`` and ``stop`` are code points of the file, null where they aren't known.
-SCHEMA = "file string, lang string, id long, parent long, field string, kind string, line int, end_line int, start long, stop long, text string"
+#: ``id`` counts from 0 in depth-first order; ``start`` and ``stop`` are code points of the file, null where they aren't known;
+#: ``pos`` is the place among the siblings from 0, ``kids`` the number of children.
+SCHEMA = "file string, lang string, id long, parent long, field string, kind string, line int, end_line int, start long, stop long, text string, pos long, kids long"
+
+
+def placed(rows: list[dict]) -> list[dict]:
+    """Rows of one file, in depth-first order, with ``pos`` and ``kids``."""
+    kids: dict[int | None, int] = {}
+    for row in sorted(rows, key=lambda r: r.get("id", 0)):
+        row["pos"] = kids.get(row.get("parent"), 0)
+        kids[row.get("parent")] = row["pos"] + 1
+    for row in rows:
+        row["kids"] = kids.get(row.get("id", 0), 0)
+    return rows
 
 
 def python_nodes(text: str) -> list[dict]:
@@ -79,7 +91,7 @@ def nodes(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text, lang in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "lang")), strict=True):
-                rows = guarded(path, lambda: python_nodes(text) if lang == "python" else nested_nodes(text, lang))  # noqa: B023
+                rows = placed(guarded(path, lambda: python_nodes(text) if lang == "python" else nested_nodes(text, lang)))  # noqa: B023
                 yield pa.RecordBatch.from_pylist([{"id": 0, **{k: v for k, v in r.items() if k != "name"}, "file": path, "lang": lang} for r in rows], schema)
 
     return files.filter(F.col("lang").isin("python", *token_facts.LANGUAGES)).select("path", "content", "lang").mapInArrow(read, SCHEMA)
