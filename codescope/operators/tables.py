@@ -51,13 +51,14 @@ def quadrants(df: DataFrame, x: str, y: str, least: int = 8, share: float = 0.75
 
 
 def cluster_report(members: DataFrame, key: str, member: str, least: int, limit: float) -> DataFrame:
-    """One row for each cluster of ``least`` members and, if their share of all rows is over ``limit``, one for the share.
+    """One row for each cluster of ``least`` members and, if the share of all rows that have a twin is over ``limit``, one for the share.
 
+    Rows with a null key are compared with nothing, and count among all rows.
     Columns: kind (cluster or density), first_member, value, threshold.
     """
     sizes = members.groupBy(key).agg(F.count("*").alias("size"), F.min(member).alias("first_member"))
-    rows = sizes.filter(F.col("size") >= least).select(F.lit("cluster").alias("kind"), "first_member", F.col("size").cast("double").alias("value"), F.lit(float(least)).alias("threshold"))
-    share = sizes.agg(F.try_divide(F.sum(F.when(F.col("size") >= 2, F.col("size")).otherwise(0)), F.sum("size")).alias("value"))
+    rows = sizes.filter((F.col("size") >= least) & F.col(key).isNotNull()).select(F.lit("cluster").alias("kind"), "first_member", F.col("size").cast("double").alias("value"), F.lit(float(least)).alias("threshold"))
+    share = sizes.agg(F.try_divide(F.sum(F.when((F.col("size") >= 2) & F.col(key).isNotNull(), F.col("size")).otherwise(0)), F.sum("size")).alias("value"))
     density = share.filter(F.col("value") > limit).select(F.lit("density").alias("kind"), F.lit(None).cast(dict(members.dtypes)[member]).alias("first_member"), F.round("value", 6).alias("value"), F.lit(float(limit)).alias("threshold"))
     return density.unionByName(rows)
 
@@ -89,6 +90,25 @@ def sibling_overlap(uses: DataFrame, group: str, unit: str, item: str, min_share
     return pairs.withColumn("score", score).filter(F.col("score") >= min_score).select(group, "unit_a", "unit_b", "shared", "score")
 
 
+def merged(df: DataFrame, group: list[str], place: list[str], sums: list[str], most: list[str], unions: list[str], first: list[str]) -> DataFrame:
+    """One row for each group of declarations: sums, largest values, arrays without repeats in the order of ``place``, and ``first`` of the first one.
+
+    What a union gathers is its distinct values only, each with its first place.
+    Nulls add nothing; a group without values has an empty array. Rows of one
+    place count in the order of the other columns named in ``first``.
+    """
+    at = F.struct(*place, *[c for c in first if c not in place])
+    out = df.groupBy(*group).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most], F.min(at).alias("_first"))
+    out = out.select(*group, *sums, *most, *[F.col(f"_first.{c}").alias(c) for c in dict.fromkeys([*place, *first]) if c not in group])
+    for c in unions:
+        values = df.select(*group, F.struct(*place).alias("_p"), F.posexplode(c).alias("_i", "_v")).filter("_v is not null")
+        values = values.groupBy(*group, "_v").agg(F.min(F.struct("_p", "_i")).alias("_o"))
+        values = values.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"]).alias(c))
+        same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
+        out = out.alias("l").join(values.alias("r"), same, "left").select("l.*", F.coalesce(f"r.{c}", F.array().cast(df.schema[c].dataType)).alias(c))
+    return out
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Ca, Ce and instability of each node of distinct edges(src, dst)."""
     e = edges.select("src", "dst").distinct()

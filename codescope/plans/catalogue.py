@@ -55,6 +55,27 @@ def duplication_report(spark, sf_dir):
     return tables.cluster_report(_shaped(spark, sf_dir), "fingerprint", "doc_id", 2, 0.05)
 
 
+_LONG_SHAPED = _SHAPED.replace("SELECT doc_id, substr", "SELECT doc_id, CASE WHEN length(text) >= 400 THEN substr").replace("AS fingerprint", "END AS fingerprint")
+
+
+@query(f"""WITH s AS (SELECT fingerprint, count(*) AS n, min(doc_id) AS first_member FROM ({_LONG_SHAPED}) GROUP BY fingerprint), d AS (SELECT coalesce(sum(n) FILTER (WHERE n >= 2 AND fingerprint IS NOT NULL), 0) / sum(n) AS v FROM s)
+SELECT 'density' AS kind, NULL::BIGINT AS first_member, round(v, 6)::DOUBLE AS value, 0.01::DOUBLE AS threshold FROM d WHERE v > 0.01
+UNION ALL SELECT 'cluster', first_member, n::DOUBLE, 2.0::DOUBLE FROM s WHERE n >= 2 AND fingerprint IS NOT NULL""")
+def duplication_of_long(spark, sf_dir):
+    """Short documents have no twins but count among all."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") >= 400, fn.fingerprint(fn.text_shape(F.col("text")))).alias("fingerprint"))
+    return tables.cluster_report(docs, "fingerprint", "doc_id", 2, 0.01)
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract(text, '\\p{{L}}+') AS name, n_chars, length(text) AS size, [lang, source] AS bases FROM documents),
+o AS (SELECT name, v, min(doc_id * 2 + i) AS place FROM (SELECT name, doc_id, unnest(bases) AS v, unnest([0, 1]) AS i FROM d) WHERE v IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT name, string_agg(v, '|' ORDER BY place) AS bases FROM o GROUP BY 1)
+SELECT name, sum(n_chars)::BIGINT AS wmc, count(*) AS declared, max(size) AS cbo, coalesce(any_value(u.bases), '') AS bases, min(doc_id) AS doc_id FROM d LEFT JOIN u USING (name) GROUP BY name""")
+def merged_classes(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"(\p{L}+)", 1).alias("name"), F.col("n_chars").alias("wmc"), F.lit(1).alias("declared"), F.length("text").alias("cbo"), F.array("lang", "source").alias("bases"))
+    return tables.merged(rows, ["name"], ["doc_id"], ["wmc", "declared"], ["cbo"], ["bases"], []).withColumn("bases", F.array_join("bases", "|"))
+
+
 @query(f"SELECT sum(n) FILTER (WHERE n >= 2)::BIGINT AS clustered, sum(n)::BIGINT AS analyzed, round(sum(n) FILTER (WHERE n >= 2) / sum(n), 6)::DOUBLE AS fraction FROM (SELECT count(*) AS n FROM ({_SHAPED}) GROUP BY fingerprint)")
 def clone_density(spark, sf_dir):
     sizes = _shaped(spark, sf_dir).groupBy("fingerprint").agg(F.count("*").alias("n"))

@@ -56,7 +56,11 @@ HATCHES = {
 #: Languages whose sources are read.
 LANGUAGES = ["python", *token_facts.LANGUAGES]
 SHORT_NAMES = ["i", "j", "k", "x", "y", "z", "ok", "n"]
-ABSTRACT_BASES = ["ABC", "ABCMeta", "Protocol"]
+#: Languages whose classes may be declared in several places; whose anonymous functions count among all.
+OPEN = ["ruby"]
+VALUES_COUNT = ["javascript", "typescript", "cpp", "ruby"]
+#: Languages whose packages the rule looks at unless others are named.
+PACKAGED = ["go", "python", "java", "c_sharp", "typescript", "javascript", "rust"]
 COMMON_NAMES = "run main setup init start stop get set update create delete load save process execute handle build parse check validate".split()
 BUILTINS = (
     "print len range sorted reversed enumerate zip map filter any all sum min max abs round list dict set tuple str int float bool isinstance issubclass type id hash repr "
@@ -97,15 +101,17 @@ class Metrics:
 
     @once
     def class_metrics(self) -> DataFrame:
-        """CBO, DIT, NOC and WMC of each class."""
-        c = self.classes.select("file", "name", "line", "end_line", "bases", "used", F.col("definitions").alias("method_count"))
+        """CBO, DIT, NOC and WMC of each class.
+
+        Where classes are open (``OPEN``), declarations of one name are one class:
+        WMC and methods add up, the largest CBO counts, what they inherit from is
+        joined, and the first one, by file and line, gives the place. Depths and
+        children are those of merged classes.
+        """
+        c = self.classes.select("file", "lang", "name", "line", "end_line", "bases", "used", F.col("definitions").alias("method_count"))
         names = c.select(F.col("name").alias("known")).distinct()
         uses = c.select("file", "name", "line", F.explode(F.array_union("bases", "used")).alias("known")).distinct()
         cbo = uses.join(names, "known").filter("known <> name").groupBy("file", "name", "line").agg(F.count("*").alias("cbo"))
-        noc = c.select(F.explode("bases").alias("name")).groupBy("name").agg(F.count("*").alias("noc"))
-        parent = c.select("name", F.explode_outer(F.array_remove("bases", F.col("name"))).alias("parent")).join(names.withColumnRenamed("known", "parent").withColumn("here", F.lit(True)), "parent", "left")
-        parent = parent.groupBy(F.col("name").alias("id")).agg(F.min(F.when(F.col("here"), F.col("parent"))).alias("parent"))
-        dit = tables.depth(parent).select(F.col("id").alias("name"), F.col("depth").alias("dit"))
         f = self.functions.select("file", F.col("line").alias("at"), "ccx", F.col("name").alias("fn"), "owner")
         inside = f.join(c.select("file", "name", "line", "end_line"), "file").filter("at between line and end_line")
         best = inside.groupBy("file", "at", "fn", "ccx").agg(F.min(F.struct((F.col("end_line") - F.col("line")).alias("w"), "line", "name")).alias("b")).select("file", F.col("b.name").alias("name"), F.col("b.line").alias("line"), "ccx")
@@ -119,7 +125,15 @@ class Metrics:
         out = out.select(F.when(F.col("near").isNotNull(), F.col("file")).otherwise(F.col("any.home")).alias("file"), F.col("owner").alias("name"), F.coalesce("near", "any.start").alias("line"), "ccx")
         wmc = best.unionByName(out).groupBy("file", "name", "line").agg(F.sum("ccx").alias("wmc"))
         key = ["file", "name", "line"]
-        return c.drop("used").join(cbo, key, "left").join(wmc, key, "left").join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["cbo", "wmc", "noc", "dit"])
+        declared = c.drop("used").join(cbo, key, "left").join(wmc, key, "left").na.fill(0, ["cbo", "wmc"])
+        is_open = F.col("lang").isin(OPEN)
+        one = tables.merged(declared.filter(is_open), ["lang", "name"], ["file", "line"], ["wmc", "method_count"], ["cbo"], ["bases"], ["end_line"])
+        whole = declared.filter(~is_open).unionByName(one.select(declared.columns))
+        noc = whole.select(F.explode("bases").alias("name")).groupBy("name").agg(F.count("*").alias("noc"))
+        parent = whole.select("name", F.explode_outer(F.array_remove("bases", F.col("name"))).alias("parent")).join(names.withColumnRenamed("known", "parent").withColumn("here", F.lit(True)), "parent", "left")
+        parent = parent.groupBy(F.col("name").alias("id")).agg(F.min(F.when(F.col("here"), F.col("parent"))).alias("parent"))
+        dit = tables.depth(parent).select(F.col("id").alias("name"), F.col("depth").alias("dit"))
+        return whole.join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["noc", "dit"])
 
     @once
     def imports(self) -> DataFrame:
@@ -156,19 +170,33 @@ class Metrics:
         rows = search.word_references(stems, imports.lines(self.files.filter("lang is not null")).withColumnRenamed("file", "path"), "file", "symbol", "path", "text")
         return rows.filter(F.col("refs") <= most).withColumn("confidence", fn.confidence(F.col("symbol"), F.lit(False), F.col("symbol").isin(COMMON_NAMES)))
 
-    def packages(self) -> DataFrame:
-        """Coupling, abstractness, distance and zone of each directory with an ``__init__.py``."""
-        place = F.regexp_replace("path", "/?[^/]+$", "")
-        homes = self.places.filter(F.col("path").rlike(r"(^|/)__init__\.py$")).select(place.alias("node")).distinct()
-        of = self.places.select("path", place.alias("node")).join(homes, "node")
-        edges = self.import_edges().join(of.select(F.col("path").alias("src"), F.col("node").alias("a")), "src").join(of.select(F.col("path").alias("dst"), F.col("node").alias("b")), "dst")
-        degrees = tables.degrees(edges.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        abstract = F.arrays_overlap("bases", F.array(*map(F.lit, ABSTRACT_BASES)))
-        kinds = self.classes.join(of.select(F.col("path").alias("file"), "node"), "file").groupBy("node").agg(F.count_if(abstract).alias("na"), F.count_if(~abstract).alias("nc"))
-        m = homes.join(degrees, "node", "left").join(kinds, "node", "left").na.fill(0, ["ca", "ce", "na", "nc"])
-        i, a = fn.instability(F.col("ca"), F.col("ce")), fn.abstractness(F.col("na"), F.col("nc"))
-        d = F.abs(a + i - 1)
-        return m.withColumns({"instability": i, "abstractness": a, "distance": d, "zone": fn.package_zone(i, a, d)})
+    def packages(self, languages: list[str] | None = None, most: int | None = None, mains: bool = False) -> DataFrame:
+        """Files, coupling, abstractness, distance and zone of each package, the most distant first; one row for each language of a directory.
+
+        Python's packages are directories with an ``__init__.py``, those of the
+        other languages all that hold files of theirs. Go's ``main`` packages are
+        out unless ``mains``. Imports between languages don't count. Types are
+        those that the sources declare (:mod:`codescope.sources.inventory`); a
+        package without any has no abstractness and is of unknown zone.
+        """
+        parent = F.regexp_replace("path", "/?[^/]+$", "")
+        place = F.when(parent == "", ".").otherwise(parent)
+        every = self.places.filter(F.col("lang").isin(languages or LANGUAGES)).select("path", "lang", place.alias("node"))
+        homes = every.filter((F.col("lang") != "python") | F.col("path").rlike(r"(^|/)__init__\.py$")).select("lang", "node").distinct()
+        if not mains:
+            heads = self.lines().filter((F.col("lang") == "go") & (F.col("at") <= 20) & F.col("text").rlike(r"^\s*package\s+main\b")).select(F.col("file").alias("path")).distinct()
+            homes = homes.join(every.join(heads, "path").select("lang", "node").distinct(), ["lang", "node"], "left_anti")
+        of = every.join(homes, ["lang", "node"])
+        a = of.select(F.col("path").alias("src"), F.col("lang").alias("la"), F.col("node").alias("a"))
+        b = of.select(F.col("path").alias("dst"), F.col("lang").alias("lb"), F.col("node").alias("b"))
+        edges = self.import_edges().join(a, "src").join(b, "dst").filter("la = lb and a <> b")
+        degrees = tables.degrees(edges.select(F.struct(F.col("la").alias("lang"), F.col("a").alias("node")).alias("src"), F.struct(F.col("lb").alias("lang"), F.col("b").alias("node")).alias("dst")))
+        kinds = self.facts.filter("kind = 'type'").join(of.select(F.col("path").alias("file"), "node"), "file").groupBy("lang", "node").agg(F.count_if("abstract").alias("na"), F.count_if(~F.col("abstract")).alias("nc"))
+        m = of.groupBy("lang", "node").agg(F.count("*").alias("files")).join(degrees.select("node.*", "ca", "ce"), ["lang", "node"], "left").join(kinds, ["lang", "node"], "left").na.fill(0, ["ca", "ce", "na", "nc"])
+        i, ab = fn.instability(F.col("ca"), F.col("ce")), fn.abstractness(F.col("na"), F.col("nc"))
+        d = F.abs(ab + i - 1)
+        rows = m.withColumns({"instability": i, "abstractness": ab, "distance": d, "zone": fn.package_zone(i, ab, d)})
+        return rows if most is None else tables.capped(rows, [F.desc_nulls_last("distance"), F.asc("node"), F.asc("lang")], most)
 
     @once
     def halstead(self) -> DataFrame:
@@ -292,8 +320,9 @@ def _cycles(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _clones(m: Metrics, c: dict, name: str) -> DataFrame:
-    """One row for the share of cloned functions, if it is over the limit, and one for each cluster."""
-    shaped = m.functions.filter(F.size("shape") >= c["min_leaf_nodes"]).select(fn.fingerprint(F.array_join("shape", ",")).alias("fp"), F.struct("file", "line", "name").alias("at"))
+    """One row for the share of functions that have a twin among all, if it is over the limit, and one for each cluster; small functions have none."""
+    counted = m.functions.filter((F.col("name") != "<lambda>") | F.col("lang").isin(VALUES_COUNT))
+    shaped = counted.select(F.when(F.size("shape") >= c["min_leaf_nodes"], fn.fingerprint(F.array_join("shape", ","))).alias("fp"), F.struct("file", "line", "name").alias("at"))
     found = tables.cluster_report(shaped, "fp", "at", c["min_cluster_size"], c["threshold"])
     return found.select(
         F.lit(name).alias("rule"), F.coalesce("first_member.file", F.lit(".")).alias("file"), F.col("first_member.line").cast("long").alias("line"), F.col("first_member.name").alias("symbol"),
@@ -335,7 +364,7 @@ def _tersity(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _packages(m: Metrics, c: dict, name: str) -> DataFrame:
-    bad = m.packages().filter((F.col("distance") > c["threshold"]) | F.col("zone").isin(c["fail_on_zone"]))
+    bad = m.packages(c.get("languages") or PACKAGED).filter((F.col("distance") > c["threshold"]) | F.col("zone").isin(c["fail_on_zone"]))
     return _rule(bad, name, {**c, "threshold": -1}, F.col("distance"), file="node", line=None, symbol=None).withColumn("threshold", F.lit(float(c["threshold"])))
 
 

@@ -7,7 +7,10 @@ all counting, joining and comparing is left to DataFrame operators.
 from __future__ import annotations
 
 import ast
+import bisect
 import io
+import keyword
+import re
 import sys
 import tokenize
 from collections.abc import Callable, Iterator
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SCHEMA = """file string, kind string, name string, line int, end_line int, top boolean, owner string, ccx int, cog int, npath decimal(38,0),
+SCHEMA = """file string, lang string, kind string, name string, line int, end_line int, top boolean, owner string, ccx int, cog int, npath decimal(38,0),
 operators array<string>, operands array<string>, literals array<string>, identifiers array<string>, callees array<string>,
-mutations array<struct<param:string,method:string,line:int>>, sentinels array<struct<param:string,annotated:boolean>>, shape array<string>, bases array<string>, used array<string>, scopes array<string>, definitions int, loc int"""
+mutations array<struct<param:string,method:string,line:int>>, sentinels array<struct<param:string,annotated:boolean>>, shape array<string>, bases array<string>, used array<string>, scopes array<string>, definitions int, loc int, abstract boolean"""
 MOST_PATHS = 10**37
 #: Python frames of a walk down a tree; deeper trees are errors.
 DEEPEST = 100_000
@@ -33,6 +36,11 @@ MUTATORS = frozenset("append extend insert remove pop clear sort reverse update
 COLLECTIONS = frozenset("list List dict Dict set Set MutableSequence MutableMapping MutableSet Sequence Mapping deque Deque defaultdict Counter".split())
 SENTINELS = frozenset("status mode kind level format role action category severity phase stage style direction state type method strategy algorithm protocol encoding codec backend driver engine".split())
 
+ABSTRACT = re.compile(r"\b(ABC|Protocol|ABCMeta)\b")
+#: Leaves of their own.
+CONSTANTS = {"True": "true", "False": "false", "None": "none", "...": "ellipsis"}
+
+PARTS_OF_TEXTS = {getattr(tokenize, f"FSTRING_{k}"): f"string_{v}" for k, v in (("START", "start"), ("MIDDLE", "content"), ("END", "end")) if hasattr(tokenize, f"FSTRING_{k}")}
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 
@@ -46,6 +54,7 @@ class Reader:
             self.tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
         except (SyntaxError, ValueError, tokenize.TokenError, RecursionError):
             self.tree, self.tokens = None, []
+        self.starts = [t.start for t in self.tokens]
 
     def read(self) -> list[dict]:
         if self.tree is None:
@@ -71,6 +80,8 @@ class Reader:
                 used = sorted({n.id for n in ast.walk(child) if isinstance(n, ast.Name) and n.id[:1].isupper()})
                 methods = sum(isinstance(n, FUNCTIONS[:2]) for n in child.body)
                 self.add("class", child.name, child.lineno, child.end_lineno, bases=[b.id if isinstance(b, ast.Name) else b.attr for b in child.bases if isinstance(b, (ast.Name, ast.Attribute))], used=used, definitions=methods)
+                above = " ".join(ast.unparse(b) for b in [*child.bases, *(k.value for k in child.keywords)])
+                self.add("type", child.name, child.lineno, child.lineno, abstract=bool(ABSTRACT.search(above)))
                 self.visit(child, owner, False, [*scopes, child.name])
             else:
                 if isinstance(child, ast.Import):
@@ -100,7 +111,7 @@ class Reader:
         self.add(
             "function", "<lambda>" if isinstance(f, ast.Lambda) else f.name, f.lineno, f.end_lineno, top=top, ccx=self.ccx, cog=self.cog, npath=min(paths(body), MOST_PATHS), operators=operators, operands=operands,
             literals=texts, identifiers=names, callees=sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in calls if isinstance(c.func, (ast.Name, ast.Attribute))}),
-            mutations=changed, sentinels=switches, scopes=scopes, shape=[type(n).__name__ for n in every if not any(True for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.expr_context, ast.operator)))] + operators,
+            mutations=changed, sentinels=switches, scopes=scopes, shape=self.leaves(body),
         )
 
     def decide(self, n: ast.AST, depth: int, parent: ast.AST | None) -> None:
@@ -154,6 +165,27 @@ class Reader:
                 operands.append(t.string)
         return operators, operands
 
+    def leaves(self, body: list[ast.AST]) -> list[str]:
+        """The kinds of a body's leaves in their order: signs and keywords as they are, names, numbers and the parts of texts by their kind."""
+        first, last = self.position(body[0], False), self.position(body[-1], True)
+        a, b = bisect.bisect_left(self.starts, first), bisect.bisect_left(self.starts, last)
+        out: list[str] = []
+        for t in self.tokens[a:b]:
+            if t.type == tokenize.NAME or t.type == tokenize.OP:
+                out.append(CONSTANTS.get(t.string) or (t.string if t.type == tokenize.OP or keyword.iskeyword(t.string) else "identifier"))
+            elif t.type == tokenize.NUMBER:
+                out.append("integer" if re.fullmatch(r"0[xXbBoO][\w]+|[\d_]+", t.string) else "float")
+            elif t.type == tokenize.STRING:
+                out += ["string_start", *(["string_content"] if t.string.strip("rRbBuUfF").strip("\"'") else []), "string_end"]
+            elif t.type == tokenize.COMMENT:
+                out.append("comment")
+            elif t.type in PARTS_OF_TEXTS:
+                out.append(PARTS_OF_TEXTS[t.type])
+        return out
+
+    def position(self, n: ast.AST, end: bool) -> tuple[int, int]:
+        return (n.end_lineno, self.column(n.end_lineno, n.end_col_offset)) if end else (n.lineno, self.column(n.lineno, n.col_offset))
+
     def column(self, line: int, byte: int) -> int:
         return len(self.lines[line - 1].encode()[:byte].decode("utf-8", "replace"))
 
@@ -221,7 +253,9 @@ def facts(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r for p, t, lang in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "lang")), strict=True) for r in token_facts.read_file(p, t, lang)]
+            langs = dict(zip(batch.column("path").to_pylist(), batch.column("lang").to_pylist(), strict=True))
             for r in rows:
+                r["lang"] = langs[r["file"]]
                 if "npath" in r:
                     r["npath"] = Decimal(r["npath"])
             yield pa.RecordBatch.from_pylist(rows, schema)

@@ -11,6 +11,7 @@ import re
 
 from codescope.sources import nested, python_facts
 from codescope.sources.ended import Ended
+from codescope.sources.inventory import Inventory
 from codescope.sources.nested import Curly, Node
 from codescope.sources.tokens import CURLY, ENDED, MARKS, OPERATORS, Token, tokens
 
@@ -19,6 +20,8 @@ LANGUAGES = (*CURLY, *ENDED)
 TEXT_TYPE = re.compile(r"\b([sS]tring|str|String|AbstractString|string_view|QString)\b|\bchar\s*\*")
 #: Languages that have classes.
 HAVE_CLASSES = frozenset(["javascript", "typescript", "go", "rust", "java", "c_sharp", "cpp", "ruby"])
+#: Languages whose clones are compared with their heads.
+WHOLE = frozenset(["c", "cpp", "ruby"])
 JS_MUTATORS = frozenset("push pop splice shift unshift delete set clear add".split())
 NAME_OF_TYPE_FIRST = frozenset(["java", "c_sharp", "c", "cpp"])
 
@@ -38,6 +41,8 @@ class Reader:
         stem = self.file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         self.visit(self.root, True, [stem])
         self.adopt()
+        for name, line, abstract in Inventory(self.toks, self.lang).found():
+            self.add("type", name, line, line, abstract=abstract)
         return self.rows
 
     def add(self, kind: str, name: str, line: int, end: int, **facts) -> None:
@@ -83,7 +88,7 @@ class Reader:
             operands=[t.text for t in own if t.kind in ("number", "string") or t.kind == "name" and t.text not in words],
             literals=[t.text for t in held if t.kind == "number"], identifiers=[t.text for t in own if t.kind == "name" and t.text not in words] + [name for name, _ in params], callees=sorted(called),
             mutations=self.mutations(own, params), sentinels=[{"param": name, "annotated": bool(TEXT_TYPE.search(kind))} for name, kind in params if name.lower().rstrip("_") in python_facts.SENTINELS],
-            shape=[t.text if t.kind == "sign" or t.text in words else t.kind for t in held], used=sorted({t.text for t in self.toks[f.first : f.last] if t.kind == "name" and t.text[:1].isupper()}), scopes=scopes,
+            shape=[t.text if t.kind == "sign" or t.text in words else t.kind for t in (self.toks[f.first : f.last] if self.lang in WHOLE else held)], used=sorted({t.text for t in self.toks[f.first : f.last] if t.kind == "name" and t.text[:1].isupper()}), scopes=scopes,
         )
 
     def params(self, f: Node) -> list[tuple[str, str]]:

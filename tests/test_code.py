@@ -105,7 +105,7 @@ def test_hotspots_and_duplication(spark, tmp_path):
     with lint_plan.run(spark, str(src), only, log=str(log), now="2026-01-10") as run:
         rows = [(r["rule"], r["file"], r["value"], r["threshold"]) for r in run.found.collect()]
     assert sorted(r for r in rows if r[0] == "structural.hotspots") == [("structural.hotspots", f"m{k}.py", v, None) for k, v in ((6, 12.0), (7, 12.0), (8, 600.0))]
-    assert sorted(r[1:] for r in rows if r[0] == "structural.duplication") == [(".", 1.0, 0.05), ("m6.py", 3.0, 2.0)]
+    assert sorted(r[1:] for r in rows if r[0] == "structural.duplication") == [(".", 0.333333, 0.05), ("m6.py", 3.0, 2.0)]  # three of all nine
 
 
 def test_reports_and_error_isolation(spark, tmp_path, monkeypatch, capsys):
