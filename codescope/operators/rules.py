@@ -11,18 +11,23 @@ from codescope.functions import glob_regex
 COLUMNS = ["rule", "file", "line", "symbol", "severity", "value", "threshold"]
 
 
-def violations(df: DataFrame, rule: str, file: Column, value: Column, threshold: float, severity: str = "error", line: Column | None = None, symbol: Column | None = None, inclusive: bool = False) -> DataFrame:
-    """Rows over a limit in the common violation shape."""
+def violations(df: DataFrame, rule: str, file: Column, value: Column, threshold: float, severity: str = "error", line: Column | None = None, symbol: Column | None = None, inclusive: bool = False, facts: dict[str, Column] | None = None) -> DataFrame:
+    """Rows over a limit in the common violation shape; with ``facts`` also ``metadata``, a variant object of what the rule knows besides."""
     over = value >= threshold if inclusive else value > threshold
     none = F.lit(None)
     line = none if line is None else line
     symbol = none if symbol is None else symbol
     return df.filter(over).select(
         F.lit(rule).alias("rule"), file.cast("string").alias("file"), line.cast("long").alias("line"), symbol.cast("string").alias("symbol"),
-        F.lit(severity).alias("severity"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"),
+        F.lit(severity).alias("severity"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"), *([] if facts is None else [known(facts)]),
     )
 
 
+def known(facts: dict[str, Column]) -> Column:
+    """Facts of a violation as one variant object; rules with other facts fit into one table."""
+    return F.to_variant_object(F.struct(*[c.alias(name) for name, c in facts.items()])).alias("metadata")
+
+
 def waived(found: DataFrame, waivers: list[dict], today: str) -> DataFrame:
     """``found`` with the id of the first live waiver that covers each row, or null.
 
@@ -42,6 +47,16 @@ def waived(found: DataFrame, waivers: list[dict], today: str) -> DataFrame:
     return found.withColumn("waiver", out)
 
 
+def recorded(found: DataFrame, waivers: list[dict]) -> DataFrame:
+    """``found`` of :func:`waived` with ``waived_by``: id, reason, ceiling and last day of the waiver, null where there is none."""
+    kind = "struct<id:string,reason:string,allow_up_to:double,expires:string>"
+    out = F.lit(None).cast(kind)
+    for w in reversed(waivers):
+        ceiling = None if w.get("allow_up_to") is None else float(w["allow_up_to"])
+        out = F.when(F.col("waiver") == w["id"], F.struct(F.lit(w["id"]).alias("id"), F.lit(w.get("reason")).cast("string").alias("reason"), F.lit(ceiling).cast("double").alias("allow_up_to"), F.lit(w.get("expires")).cast("string").alias("expires"))).otherwise(out)
+    return found.withColumn("waived_by", out)
+
+
 def verdicts(found: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Per rule of (name, severity): violations that aren't waived, waived ones, and status."""
     counts = found.groupBy("rule").agg(F.count_if(F.col("waiver").isNull()).alias("violations"), F.count_if(F.col("waiver").isNotNull()).alias("waived"))

@@ -538,6 +538,18 @@ def usages(spark, sf_dir):
     return uses.join(defs.withColumn("kind", F.lit("definition")), ["symbol", "doc_id", "line"], "left").select("symbol", "doc_id", "line", F.coalesce("kind", F.lit("reference")).alias("kind"))
 
 
+@query(r"""SELECT 'documents.length' AS rule, 'doc/' || doc_id AS file, length(text)::DOUBLE AS value, '{"end_line":' || len(string_split(text, chr(10))) || ',"language":"' || lang || '","zone":"' ||
+CASE WHEN length(text) <= 9000 THEN 'long' ELSE 'very long' END || '"}' AS metadata, CASE WHEN length(text) <= 9000 THEN 'w' END AS waiver, CASE WHEN length(text) <= 9000 THEN 'known' END AS reason FROM documents WHERE length(text) > 6000 AND lang IS NOT NULL""")
+def violation_metadata(spark, sf_dir):
+    """What a rule knows besides goes with a violation as a variant object, and so does the waiver's record."""
+    docs = read(spark, sf_dir, "documents").filter("lang is not null")
+    facts = {"language": F.col("lang"), "end_line": F.size(F.split("text", "\n")), "zone": F.when(F.length("text") <= 9000, "long").otherwise("very long")}
+    found = rules.violations(docs, "documents.length", F.concat(F.lit("doc/"), F.col("doc_id")), F.length("text"), 6000, facts=facts)
+    waivers = [{"id": "w", "rule": "documents.*", "path": "doc/*", "reason": "known", "allow_up_to": 9000}]
+    found = rules.recorded(rules.waived(found, waivers, "2026-01-01"), waivers)
+    return found.select("rule", "file", "value", F.to_json("metadata").alias("metadata"), "waiver", F.col("waived_by.reason").alias("reason"))
+
+
 _KINDS = ["html", "head", "title", "body", "nav", "ul", "li", "a", "div", "aside", "article", "h1", "footer"]
 _NODES = rf"""s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 x AS (SELECT page_id, regexp_extract_all(h, '</?(?:{'|'.join(_KINDS)})\b[^>]*>') AS tags FROM s), t AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS id FROM x),

@@ -56,6 +56,8 @@ HATCHES = {
 #: Languages whose sources are read.
 LANGUAGES = ["python", *token_facts.LANGUAGES]
 SHORT_NAMES = ["i", "j", "k", "x", "y", "z", "ok", "n"]
+#: Members of a clone cluster that its metadata names.
+NAMED = 10
 #: Languages whose classes may be declared in several places; whose anonymous functions count among all.
 OPEN = ["ruby"]
 VALUES_COUNT = ["javascript", "typescript", "cpp", "ruby"]
@@ -203,7 +205,7 @@ class Metrics:
         f = self.functions.filter((F.size("operators") > 0) | (F.size("operands") > 0))
         tokens = F.col("identifiers")
         mean = F.try_divide(F.aggregate(F.transform(tokens, lambda t: F.greatest(F.lit(1), F.size(fn.split_identifier(t)))), F.lit(0), lambda a, b: a + b).cast("double"), F.size(tokens))
-        return tables.halstead(f.withColumn("mean", F.coalesce(mean, F.lit(2.0))), F.col("operators"), F.col("operands"), ["file", "name", "line", "mean"])
+        return tables.halstead(f.withColumn("mean", F.coalesce(mean, F.lit(2.0))), F.col("operators"), F.col("operands"), ["file", "name", "line", "end_line", "mean"])
 
     def hotspots(self, since: str, min_commits: int, prefix: str = "") -> DataFrame:
         """Complexity and churn of each file, with the reason why it is out, or its score and quadrant."""
@@ -259,14 +261,14 @@ def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[d
             out = out.unionByName(rows)
         except Exception as e:
             errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
-    found = rules.waived(out, waivers or [], today).persist()
+    found = rules.recorded(rules.waived(out, waivers or [], today), waivers or []).persist()
     files = m.places.filter(F.col("lang").isin(LANGUAGES)).count()
     units = {name: files for name in on} | dict.fromkeys((n for n in on if n.startswith(("structural.complexity", "information.", "lexical."))), m.functions.count()) | dict.fromkeys((n for n in on if n.startswith("structural.class")), m.classes.count())
     return Run(m, found, report.statuses(found, on, errors, units), len(config) - len(on))
 
 
 def _empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "rule string, file string, line long, symbol string, severity string, value double, threshold double")
+    return spark.createDataFrame([], "rule string, file string, line long, symbol string, severity string, value double, threshold double, metadata variant")
 
 
 def lint(spark: SparkSession, root: str, config: dict[str, dict] | None = None, waivers: list[dict] | None = None, today: str = "0001-01-01", log: str | None = None) -> DataFrame:
@@ -277,17 +279,21 @@ def lint(spark: SparkSession, root: str, config: dict[str, dict] | None = None,
     return done.found
 
 
-def _rule(df: DataFrame, name: str, c: dict, value, inclusive: bool = False, file="file", line="line", symbol="name") -> DataFrame:
+def _rule(df: DataFrame, name: str, c: dict, value, inclusive: bool = False, file="file", line="line", symbol="name", **facts) -> DataFrame:
+    """Violations with what the rule knows besides: columns by their names in the metadata; True stands for the column of that name."""
     col = lambda x: None if x is None else F.col(x)
-    return rules.violations(df, name, F.col(file), value, c["threshold"], c["severity"], col(line), col(symbol), inclusive)
+    held = {k: F.col(k) if v is True else F.col(v) if isinstance(v, str) else v for k, v in facts.items()}
+    return rules.violations(df, name, F.col(file), value, c["threshold"], c["severity"], col(line), col(symbol), inclusive, held)
 
 
 def _redundancy(m: Metrics, c: dict, name: str) -> DataFrame:
     f = m.functions.filter("top and name <> '<lambda>'").withColumn("use", F.filter(F.array_except("callees", F.array(*map(F.lit, BUILTINS))), lambda x: (F.length(x) >= 3) & ~x.rlike("^__.*__$")))
     uses = f.select("file", F.col("line").alias("unit"), F.explode("use").alias("item"))
     pairs = tables.sibling_overlap(uses, "file", "unit", "item", c["min_shared"], c["threshold"])
-    names = f.select("file", F.col("line").alias("unit_a"), "name")
-    return _rule(pairs.join(names, ["file", "unit_a"]), name, c, F.col("score"), True, line="unit_a")
+    for side in "ab":
+        pairs = pairs.join(f.select("file", F.col("line").alias(f"unit_{side}"), F.col("name").alias(f"fn_{side}"), F.col("use").alias(f"use_{side}")), ["file", f"unit_{side}"])
+    shared = F.sort_array(F.array_intersect("use_a", "use_b"))
+    return _rule(pairs, name, c, F.col("score"), True, line="unit_a", symbol="fn_a", fn_a=True, fn_b=True, fn_a_line="unit_a", fn_b_line="unit_b", shared_callees=shared, score=True)
 
 
 def _sentinels(m: Metrics, c: dict, name: str) -> DataFrame:
@@ -295,118 +301,159 @@ def _sentinels(m: Metrics, c: dict, name: str) -> DataFrame:
     # every callee of a line is paired with the literals that follow it
     callees = m.lines().filter(~F.col("text").rlike(r"^\s*(async\s+)?def\s")).select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("name"))
     after = F.substring_index(F.regexp_replace(F.col("text"), F.concat(F.lit(r"^.*?\b"), F.col("name"), F.lit(r"\s*\(")), F.lit("")), "\n", 1)
-    uses = callees.join(F.broadcast(params.select("name").distinct()), "name", "left_semi").select("name", F.explode(F.regexp_extract_all(after, F.lit(r"""["']([^"']{1,50})["']"""), F.lit(1))).alias("literal"))
-    seen = uses.groupBy("name").agg(F.count_distinct("literal").alias("n"))
-    rows = params.join(seen, "name", "left").na.fill(0, ["n"]).filter(F.col("n") <= c["threshold"])
-    return _rule(rows, name, {**c, "threshold": -1}, F.col("n")).withColumn("threshold", F.lit(float(c["threshold"])))
+    uses = callees.join(params.select("name").distinct(), "name", "left_semi").select("name", F.regexp_extract_all(after, F.lit(r"""["']([^"']{1,50})["']"""), F.lit(1)).alias("l")).filter(F.size("l") > 0)
+    sites = uses.groupBy("name").agg(F.count("*").alias("sites"))
+    literals = uses.select("name", F.explode("l").alias("literal")).distinct().groupBy("name").agg(F.count("*").alias("n"))
+    # the literals themselves only where they are few enough to be reported
+    few = uses.select("name", F.explode("l").alias("literal")).distinct().join(literals.filter(F.col("n") <= c["threshold"]), "name").groupBy("name").agg(F.sort_array(F.collect_list("literal")).alias("literals"))
+    rows = params.join(literals, "name", "left").join(sites, "name", "left").join(few, "name", "left").na.fill(0, ["n", "sites"]).filter(F.col("n") <= c["threshold"])
+    rows = _rule(rows, name, {**c, "threshold": -1}, F.col("n"), param_name=F.col("p.param"), annotated=F.col("p.annotated"), call_site_literals=F.coalesce("literals", F.array().cast("array<string>")), call_site_count="sites")
+    return rows.withColumn("threshold", F.lit(float(c["threshold"])))
 
 
 def _hatches(m: Metrics, c: dict, name: str) -> DataFrame:
     escape, any_type = (F.create_map(*[F.lit(x) for lang, pair in HATCHES.items() for x in (lang, pair[k])])[F.col("lang")] for k in (0, 1))
-    rows = m.lines().filter(F.col("lang").isin(list(HATCHES))).select("file", "text", escape.alias("escape"), any_type.alias("any_type"))
-    per = rows.groupBy("file").agg(F.count_if(F.expr("text rlike escape")).alias("a"), F.count_if(F.expr("text rlike any_type")).alias("n"))
-    return _rule(per.filter(F.col("n") >= c["min_annotations"]), name, c, F.round(F.col("a") / F.col("n"), 4), line=None, symbol=None)
+    rows = m.lines().filter(F.col("lang").isin(list(HATCHES))).select("file", "lang", "text", escape.alias("escape"), any_type.alias("any_type"))
+    per = rows.groupBy("file", "lang").agg(F.count_if(F.expr("text rlike escape")).alias("a"), F.count_if(F.expr("text rlike any_type")).alias("n"))
+    share = F.round(F.col("a") / F.col("n"), 4)
+    return _rule(per.filter(F.col("n") >= c["min_annotations"]), name, c, share, line=None, symbol=None, language="lang", escape_count="a", total_count="n", density=share)
 
 
 def _sections(m: Metrics, c: dict, name: str) -> DataFrame:
     marks = m.lines().filter(F.col("text").rlike(r"^\s*(?:#|//)\s?[-=*~+_#]{3,}")).select("file", "at")
-    hits = m.functions.select("file", "name", "line", "end_line").join(marks, "file").filter("at between line and end_line")
-    return _rule(hits.groupBy("file", "name", "line").count(), name, c, F.col("count"))
+    hits = m.functions.select("file", "lang", "name", "line", "end_line").join(marks, "file").filter("at between line and end_line")
+    per = hits.groupBy("file", "lang", "name", "line").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("at")).alias("marks"))  # lines of one function
+    return _rule(per, name, c, F.col("count"), divider_lines="marks", language="lang")
 
 
 def _cycles(m: Metrics, c: dict, name: str) -> DataFrame:
-    found = m.cycles().groupBy(F.col("component").alias("file")).count()
-    return _rule(found, name, c, F.col("count"), line=None, symbol=None)
+    found = m.cycles().groupBy(F.col("component").alias("file")).agg(F.count("*").alias("count"), F.sort_array(F.collect_list("node")).alias("cycle"))  # one list of files for each cycle, as it is reported
+    return _rule(found, name, c, F.col("count"), line=None, symbol=None, cycle=True)
 
 
-def _clones(m: Metrics, c: dict, name: str) -> DataFrame:
-    """One row for the share of functions that have a twin among all, if it is over the limit, and one for each cluster; small functions have none."""
+def clones(m: Metrics, min_leaf_nodes: int) -> DataFrame:
+    """``fp`` (null for small functions) and ``at`` (file, line, name) of every function that counts."""
     counted = m.functions.filter((F.col("name") != "<lambda>") | F.col("lang").isin(VALUES_COUNT))
-    shaped = counted.select(F.when(F.size("shape") >= c["min_leaf_nodes"], fn.fingerprint(F.array_join("shape", ","))).alias("fp"), F.struct("file", "line", "name").alias("at"))
-    found = tables.cluster_report(shaped, "fp", "at", c["min_cluster_size"], c["threshold"])
-    return found.select(
-        F.lit(name).alias("rule"), F.coalesce("first_member.file", F.lit(".")).alias("file"), F.col("first_member.line").cast("long").alias("line"), F.col("first_member.name").alias("symbol"),
-        F.lit(c["severity"]).alias("severity"), "value", "threshold",
-    )
+    return counted.select(F.when(F.size("shape") >= min_leaf_nodes, fn.fingerprint(F.array_join("shape", ","))).alias("fp"), F.struct("file", "line", "name").alias("at"))
+
+
+def _clones(m: Metrics, c: dict, name: str) -> DataFrame:
+    """One row for the share of functions that have a twin among all, if it is over the limit, and one for each cluster; small functions have none.
+
+    A cluster's metadata names its first ``NAMED`` members; all are in :func:`clones`.
+    """
+    shaped = clones(m, c["min_leaf_nodes"])
+    twins = shaped.filter("fp is not null")
+    sizes = twins.groupBy("fp").agg(F.count("*").alias("size"), F.min("at").alias("first")).filter("size >= 2")
+    nth = F.row_number().over(Window.partitionBy("fp").orderBy("at"))
+    named = twins.withColumn("nth", nth).filter(F.col("nth") <= NAMED).groupBy("fp").agg(F.sort_array(F.collect_list("at")).alias("members"))
+    per = sizes.filter(F.col("size") >= c["min_cluster_size"]).join(named, "fp")
+    rows = _rule(per.select("*", "first.*"), name, {**c, "threshold": c["min_cluster_size"]}, F.col("size"), True, fingerprint="fp", clone_count="size", members=True)
+    total = shaped.agg(F.count("*").alias("every")).crossJoin(sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("cloned"), F.count("*").alias("groups")))  # one row each
+    share = F.round(F.try_divide(F.col("cloned"), F.col("every")), 6)
+    return _rule(total.withColumn("file", F.lit(".")), name, c, share, line=None, symbol=None, functions_analyzed="every", clone_fraction=share, cluster_count="groups").unionByName(rows)
 
 
 def _hotspots(m: Metrics, c: dict, name: str) -> DataFrame:
     bad = m.hotspots(c["since"], c["min_commits"]).filter(F.col("quadrant").isin(c["fail_on_quadrant"]))
-    rows = _rule(bad.withColumn("value", F.col("score")), name, {**c, "threshold": -1}, F.col("value"), line=None, symbol=None)
+    rows = _rule(bad.withColumn("value", F.col("score")), name, {**c, "threshold": -1}, F.col("value"), line=None, symbol=None, quadrant=True, sum_ccx=True, loc_delta=True, commit_count=True, last_seen=F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss"))
     return rows.withColumn("threshold", F.lit(None).cast("double"))
 
 
 def _literals(m: Metrics, c: dict, name: str) -> DataFrame:
     own = F.array_distinct(F.filter("literals", lambda x: ~fn.is_trivial_number(x)))
-    return _rule(m.functions, name, c, F.size(own))
+    return _rule(m.functions, name, c, F.size(own), language="lang", literals=F.sort_array(own), distinct_count=F.size(own))
 
 
 def _local(m: Metrics, c: dict, name: str) -> DataFrame:
-    rows = m.facts.filter("kind = 'import' and owner is not null").select("file", "line", "owner")
-    spans = m.functions.select("file", F.monotonically_increasing_id().alias("f"), F.col("line").alias("start"), "end_line", F.col("name").alias("owner"))
-    found = imports.text_imports(m.files).select("file", "line").distinct().join(spans, "file").filter("line > start and line <= end_line")
-    found = found.groupBy("file", "line").agg(F.min(F.struct(F.col("end_line") - F.col("start"), "f", "owner")).alias("b")).select("file", "line", F.col("b.owner").alias("owner"))
+    rows = m.facts.filter("kind = 'import' and owner is not null").select("file", "line", "owner", F.col("name").alias("module"), "lang")
+    spans = m.functions.select("file", "lang", F.monotonically_increasing_id().alias("f"), F.col("line").alias("start"), "end_line", F.col("name").alias("owner"))
+    texts = imports.text_imports(m.files).groupBy("file", "line").agg(F.min("module").alias("module"))
+    found = texts.join(spans, "file").filter("line > start and line <= end_line")
+    found = found.groupBy("file", "line", "module", "lang").agg(F.min(F.struct(F.col("end_line") - F.col("start"), "f", "owner")).alias("b")).select("file", "line", F.col("b.owner").alias("owner"), "module", "lang")
     rows = rows.unionByName(found)
-    n = F.count("*").over(Window.partitionBy("file"))
-    return _rule(rows.withColumn("n", n), name, c, F.col("n"), symbol="owner")
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    return _rule(rows.join(counts, "file"), name, c, F.col("n"), symbol="owner", module=True, language="lang", function="owner")
 
 
 def _verbosity(m: Metrics, c: dict, name: str) -> DataFrame:
     n = F.size("identifiers")
     total = F.aggregate(F.transform("identifiers", lambda t: F.greatest(F.lit(1), F.size(fn.split_identifier(t)))), F.lit(0), lambda a, b: a + b)
-    return _rule(m.functions.filter(n >= c["min_identifiers"]), name, c, F.round(total / n, 3))
+    return _rule(m.functions.filter(n >= c["min_identifiers"]), name, c, F.round(total / n, 3), total_identifiers=n, total_tokens=total, end_line=True, language="lang")
 
 
 def _tersity(m: Metrics, c: dict, name: str) -> DataFrame:
     n = F.size("identifiers")
-    short = F.size(F.filter("identifiers", lambda t: (F.length(t) <= c["max_len"]) & ~t.isin(SHORT_NAMES)))
-    return _rule(m.functions.filter(n >= c["min_identifiers"]), name, c, F.round(short / n, 4))
+    short = F.filter("identifiers", lambda t: (F.length(t) <= c["max_len"]) & ~t.isin(SHORT_NAMES))
+    share = F.round(F.size(short) / n, 4)
+    return _rule(m.functions.filter(n >= c["min_identifiers"]), name, c, share, short_identifiers=F.array_sort(F.array_distinct(short)), short_count=F.size(short), total_identifiers=n, density=share)
 
 
 def _packages(m: Metrics, c: dict, name: str) -> DataFrame:
     bad = m.packages(c.get("languages") or PACKAGED).filter((F.col("distance") > c["threshold"]) | F.col("zone").isin(c["fail_on_zone"]))
-    return _rule(bad, name, {**c, "threshold": -1}, F.col("distance"), file="node", line=None, symbol=None).withColumn("threshold", F.lit(float(c["threshold"])))
+    # a package of unknown distance is out by its zone alone, and has no value
+    far = float("inf")
+    rows = _rule(bad, name, {**c, "threshold": -1}, F.coalesce("distance", F.lit(far)), file="node", line=None, symbol=None, zone=True, instability=True, abstractness=True, ca=True, ce=True, language="lang")
+    return rows.withColumn("value", F.when(F.col("value") != far, F.col("value"))).withColumn("threshold", F.lit(float(c["threshold"])))
 
 
 def _stutter(m: Metrics, c: dict, name: str) -> DataFrame:
     """Identifiers that share tokens with their nearest scope that they share two with; one row for each name and function."""
     words = m.functions.select("file", "line", "scopes", F.explode(F.array_distinct("identifiers")).alias("name")).filter(~F.col("name").rlike("^_(?!_)"))
-    shared = F.transform(F.reverse("scopes"), lambda s: F.size(F.array_intersect(fn.split_identifier(s), fn.split_identifier(F.col("name")))))
-    nearest = F.element_at(F.concat(F.filter(shared, lambda n: n >= 2), F.array(F.lit(0))), 1)
-    return _rule(words.withColumn("n", nearest).filter("n > 0"), name, c, F.col("n"), True)
+    own = fn.split_identifier(F.col("name"))
+    last = F.size("scopes") - 1
+    shared = F.reverse(F.transform("scopes", lambda s, i: F.struct(s.alias("scope"), F.when(i == 0, "module").when(i == last, "function").otherwise("enclosing").alias("type"), F.array_intersect(fn.split_identifier(s), own).alias("overlap"))))
+    nearest = F.get(F.filter(shared, lambda x: F.size(x["overlap"]) >= 2), F.lit(0))
+    found = words.withColumn("s", nearest).filter("s is not null")
+    return _rule(found, name, c, F.size("s.overlap"), True, scope_name=F.col("s.scope"), scope_type=F.col("s.type"), overlap=F.col("s.overlap"), identifier_tokens=own)
 
 
 def _orphans(m: Metrics, c: dict, name: str) -> DataFrame:
     """Symbols that lines of other files don't hold, not even inside a word."""
-    symbols = m.facts.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).select("file", "line", "name").groupBy("file", "name").agg(F.min("line").alias("line"))
+    symbols = m.facts.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).groupBy("file", "name").agg(F.min(F.struct("line", "kind", "lang")).alias("f")).select("file", "name", "f.*")
     rows = search.substring_references(symbols, m.files.filter(F.col("lang").isin(LANGUAGES)).select(F.col("path").alias("place"), "content"), "file", "name", "place", "content")
-    rows = rows.withColumn("confidence", fn.confidence(F.col("name"), F.lit(True), F.col("name").isin(COMMON_NAMES)))
+    common = F.col("name").isin(COMMON_NAMES)
+    rows = rows.withColumn("confidence", fn.confidence(F.col("name"), F.lit(True), common))
     levels = ["low", "medium", "high"]
     rows = rows.filter(F.col("confidence").isin(levels[levels.index(c["min_confidence"]) :]) & (F.col("refs") <= c["threshold"]))
-    return _rule(rows, name, {**c, "threshold": -1}, F.col("refs")).withColumn("threshold", F.lit(float(c["threshold"])))
+    caveats = F.array_compact(F.array(F.when(common, "a name that many share"), F.when(F.length("name") <= 7, "a short name"), F.when(F.col("name").rlike("^__.*__$"), "a name that the language calls"), F.lit("calls by name at run time aren't seen")))
+    return _rule(rows, name, {**c, "threshold": -1}, F.col("refs"), symbol_type="kind", confidence=True, caveats=caveats).withColumn("threshold", F.lit(float(c["threshold"])))
+
+
+def _volume(m: Metrics, c: dict, name: str) -> DataFrame:
+    penalty = fn.terse_penalty(F.col("mean"), c["alpha"])
+    return _rule(m.halstead(), name, c, F.round(F.col("volume") * penalty, 2), raw_volume="volume", penalty=penalty, difficulty=True, effort=True, vocabulary=True, length=True, end_line=True)
+
+
+def _mutators(m: Metrics, c: dict, name: str) -> DataFrame:
+    return _rule(m.functions, name, c, F.size("mutations"), True, language="lang", mutations=True, mutated_params=F.array_distinct(F.col("mutations.param")), methods=F.array_distinct(F.col("mutations.method")))
+
+
+def _class(column: str, **facts):
+    return lambda m, c, name: _rule(m.class_metrics(), name, c, F.col(column), kind=F.lit("class"), **facts)
 
 
 BRANCHES = {
-    "structural.complexity.cyclomatic": lambda m, c, name: _rule(m.functions, name, c, F.col("ccx")),
-    "structural.complexity.cognitive": lambda m, c, name: _rule(m.functions, name, c, F.col("cog")),
-    "structural.complexity.npath": lambda m, c, name: _rule(m.functions, name, c, F.col("npath")),
-    "structural.class.complexity": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("wmc")),
-    "structural.class.coupling": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("cbo")),
-    "structural.class.inheritance.depth": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("dit")),
-    "structural.class.inheritance.children": lambda m, c, name: _rule(m.class_metrics(), name, c, F.col("noc")),
+    "structural.complexity.cyclomatic": lambda m, c, name: _rule(m.functions, name, c, F.col("ccx"), zone=fn.complexity_zone(F.col("ccx")), cog=True, end_line=True),
+    "structural.complexity.cognitive": lambda m, c, name: _rule(m.functions, name, c, F.col("cog"), zone=fn.complexity_zone(F.col("ccx")), ccx=True, end_line=True),
+    "structural.complexity.npath": lambda m, c, name: _rule(m.functions, name, c, F.col("npath"), end_line=True, language="lang"),
+    "structural.class.complexity": _class("wmc", method_count=True, cbo=True),
+    "structural.class.coupling": _class("cbo", dit=True, noc=True, wmc=True),
+    "structural.class.inheritance.depth": _class("dit", superclasses="bases"),
+    "structural.class.inheritance.children": _class("noc"),
     "structural.packages": _packages,
     "structural.deps": _cycles,
     "structural.local_imports": _local,
     "structural.redundancy": _redundancy,
     "structural.types.sentinels": _sentinels,
-    "structural.types.hidden_mutators": lambda m, c, name: _rule(m.functions, name, c, F.size("mutations"), True),
+    "structural.types.hidden_mutators": _mutators,
     "structural.types.escape_hatches": _hatches,
     "structural.duplication": _clones,
     "structural.hotspots": _hotspots,
-    "structural.god_module": lambda m, c, name: _rule(m.facts.filter("kind = 'module'"), name, c, F.col("definitions"), line=None, symbol=None),
+    "structural.god_module": lambda m, c, name: _rule(m.facts.filter("kind = 'module'"), name, c, F.col("definitions"), line=None, symbol=None, language="lang", loc=True),
     "structural.orphans": _orphans,
-    "information.volume": lambda m, c, name: _rule(m.halstead(), name, c, F.round(F.col("volume") * fn.terse_penalty(F.col("mean"), c["alpha"]), 2)),
-    "information.difficulty": lambda m, c, name: _rule(m.halstead(), name, c, F.round("difficulty", 2)),
+    "information.volume": _volume,
+    "information.difficulty": lambda m, c, name: _rule(m.halstead(), name, c, F.round("difficulty", 2), volume=True, effort=True, vocabulary=True, length=True, end_line=True),
     "information.magic_literals": _literals,
     "information.section_comments": _sections,
     "lexical.stutter": _stutter,

@@ -8,6 +8,7 @@ for as one document.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +26,62 @@ WHAT = {
 EXIT = {"pass": 0, "fail": 1, "error": 2}
 
 
-def message() -> Column:
-    """One sentence for a violation."""
+#: By rule: what is said after its value, from its metadata; a word in braces is a field, with ``:list`` a list, with ``:percent`` a share.
+DETAILS = {
+    "structural.complexity.cyclomatic": "{zone}", "structural.complexity.cognitive": "CCX {ccx}", "structural.complexity.npath": "{language}", "structural.class.complexity": "{method_count} methods, {kind}",
+    "structural.class.coupling": "{kind}", "structural.class.inheritance.depth": "{kind} of {superclasses:list}", "structural.class.inheritance.children": "{kind}", "structural.packages": "zone {zone}, I {instability}, A {abstractness}",
+    "structural.deps": "{cycle:list}", "structural.local_imports": "{module} inside {function}", "structural.redundancy": "{fn_a} (line {fn_a_line}) and {fn_b} (line {fn_b_line}): {shared_callees:list}",
+    "structural.types.sentinels": "parameter {param_name}, {call_site_count} calls with texts: {call_site_literals:list}", "structural.types.hidden_mutators": "{mutated_params:list} by {methods:list}",
+    "structural.types.escape_hatches": "{density:percent} of annotations, {escape_count} of {total_count}", "structural.god_module": "{loc} lines", "structural.orphans": "{confidence} confidence",
+    "structural.hotspots": "{quadrant}, CCX {sum_ccx}, growth {loc_delta} lines", "information.volume": "raw {raw_volume}, effort {effort}", "information.difficulty": "effort {effort}", "information.magic_literals": "{literals:list}",
+    "information.section_comments": "lines {divider_lines:list}", "lexical.stutter": "{overlap:list} of {scope_type} {scope_name}", "lexical.verbosity": "{total_tokens} tokens in {total_identifiers} names",
+    "lexical.tersity": "{density:percent}, {short_count} of {total_identifiers}: {short_identifiers:list}",
+}
+CLUSTER, SHARE = "{clone_count} alike ({fingerprint})", "{clone_fraction:percent} of {functions_analyzed} functions in {cluster_count} clusters"
+
+
+def _number(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", ""))
+
+
+def _detail(template: str) -> Column:
+    """A template filled in from ``metadata``; what isn't there is left out."""
+
+    def held(word: str) -> Column:
+        name, _, kind = word.partition(":")
+        place = f"$.{name}"
+        if kind == "list":
+            return F.array_join(F.coalesce(F.try_variant_get("metadata", place, "array<string>"), F.array().cast("array<string>")), ", ")
+        number = F.try_variant_get("metadata", place, "double")
+        if kind == "percent":
+            return F.coalesce(F.concat(_number(number * 100), F.lit("%")), F.lit(""))
+        return F.coalesce(_number(number), F.try_variant_get("metadata", place, "string"), F.lit(""))
+
+    parts = re.split(r"\{([\w:]+)\}", template)
+    return F.concat(*[held(p) if n % 2 else F.lit(p) for n, p in enumerate(parts) if p])
+
+
+def message(rich: bool = True) -> Column:
+    """One sentence for a violation: its value, its limit and, if ``rich``, what the rule's metadata say."""
     name = F.coalesce(F.create_map(*[F.lit(x) for kv in WHAT.items() for x in kv])[F.col("rule")], F.lit("value"))
-    number = lambda c: F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
-    return F.concat(name, F.lit(" "), number(F.col("value")), F.when(F.col("threshold").isNull(), "").otherwise(F.concat(F.lit(", limit "), number(F.col("threshold")))))
+    limit = F.when(F.col("threshold").isNull(), "").otherwise(F.concat(F.lit(", limit "), _number(F.col("threshold"))))
+    said = F.concat(name, F.coalesce(F.concat(F.lit(" "), _number(F.col("value"))), F.lit("")), limit)
+    if not rich:
+        return said
+    more = F.lit(None).cast("string")
+    for rule, template in DETAILS.items():
+        more = F.when(F.col("rule") == rule, _detail(template)).otherwise(more)
+    clone = F.when(F.try_variant_get("metadata", "$.fingerprint", "string").isNotNull(), _detail(CLUSTER)).otherwise(_detail(SHARE))
+    more = F.when(F.col("rule") == "structural.duplication", clone).otherwise(more)
+    return F.when(more.isNull() | F.col("metadata").isNull(), said).otherwise(F.concat(said, F.lit(" ("), more, F.lit(")")))
+
+
+def by_confidence(found: DataFrame) -> DataFrame:
+    """How many unreferenced symbols of each confidence there are: high, medium, low, also where there is none."""
+    from codescope.operators import tables
+
+    rows = found.filter("rule = 'structural.orphans'").select(F.variant_get("metadata", "$.confidence", "string").alias("confidence"))
+    return tables.histogram(rows, "confidence", ["high", "medium", "low"])
 
 
 def interpretation(zone: Column) -> Column:
@@ -41,6 +93,10 @@ def interpretation(zone: Column) -> Column:
     )
 
 
+def _rich(found: DataFrame) -> bool:
+    return "metadata" in found.columns
+
+
 def statuses(found: DataFrame, ran: dict[str, dict], errors: dict[str, str], checked: dict[str, int] | None = None) -> DataFrame:
     """Per rule of ``ran`` (name: settings): violations, waived, status, error and how many units were checked."""
     made = rules.verdicts(found, [(r, c["severity"]) for r, c in ran.items()])
@@ -75,7 +131,7 @@ def quiet(total: dict) -> str:
 
 def human(found: DataFrame, per_rule: DataFrame, most: int = 5, skipped: int = 0) -> str:
     """Rules by category, each with its first ``most`` violations and how many more there are."""
-    head = rules.top_n(found.filter("waiver is null").withColumn("message", message()), most).orderBy("rule", "nth").collect()
+    head = rules.top_n(found.filter("waiver is null").withColumn("message", message(_rich(found))), most).orderBy("rule", "nth").collect()
     lines: list[str] = []
     for r in per_rule.orderBy("rule").collect():
         lines.append(f"{r['rule']}: {r['status']}" + (f" ({plural(r['violations'], 'violation')})" if r["violations"] else "") + (f", {r['waived']} waived" if r["waived"] else ""))
@@ -92,12 +148,21 @@ def human(found: DataFrame, per_rule: DataFrame, most: int = 5, skipped: int = 0
 
 def as_rows(found: DataFrame) -> DataFrame:
     """One JSON text for each violation, waived ones marked: for ``write.text`` where a run has too many for one document."""
-    return found.select("rule", F.to_json(F.struct(*found.columns, message().alias("message"))).alias("value"))
+    return found.select("rule", F.to_json(F.struct(*found.columns, message(_rich(found)).alias("message"))).alias("value"))
 
 
 def as_json(found: DataFrame, per_rule: DataFrame, root: str, skipped: int = 0) -> str:
     """The whole run as one document; all violations come to the driver."""
-    rows = [r.asDict() for r in found.withColumn("message", message()).orderBy("rule", F.desc("value"), "file", "line").collect()]
+    held = found.withColumn("message", message(_rich(found)))
+    if _rich(found):
+        held = held.withColumn("metadata", F.to_json("metadata"))
+    rows = []
+    for r in held.orderBy("rule", F.desc("value"), "file", "line").collect():
+        row = r.asDict(recursive=True)
+        record = row.pop("waived_by", None)
+        if "metadata" in row:
+            row["metadata"] = json.loads(row["metadata"] or "{}") | ({"waiver": record} if record else {})
+        rows.append(row)
     by_rule = {}
     for r in per_rule.orderBy("rule").collect():
         mine = [{k: v for k, v in x.items() if k != "waiver" or v} for x in rows if x["rule"] == r["rule"]]

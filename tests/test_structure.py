@@ -111,3 +111,76 @@ def test_leaves_in_their_order(spark, tmp_path):
         "string_start string_content string_end identifier = - float if identifier else none comment return string_start { identifier } string_content string_end + string_start string_end + string_start string_content string_end"
     )
     m.close()
+
+
+#: What each rule says besides.
+FIELDS = {
+    "structural.complexity.cyclomatic": "zone cog end_line", "structural.complexity.cognitive": "zone ccx end_line", "structural.complexity.npath": "end_line language", "structural.class.complexity": "kind method_count cbo",
+    "structural.class.coupling": "kind dit noc wmc", "structural.class.inheritance.depth": "kind superclasses", "structural.class.inheritance.children": "kind", "structural.hotspots": "quadrant sum_ccx loc_delta commit_count last_seen",
+    "structural.packages": "zone instability abstractness ca ce language", "structural.deps": "cycle", "structural.local_imports": "module language function", "structural.redundancy": "fn_a fn_b fn_a_line fn_b_line shared_callees score",
+    "structural.types.sentinels": "param_name annotated call_site_literals call_site_count", "structural.types.hidden_mutators": "language mutations mutated_params", "structural.types.escape_hatches": "language escape_count total_count density",
+    "structural.duplication": "", "structural.god_module": "language loc", "structural.orphans": "symbol_type confidence caveats", "information.volume": "raw_volume penalty difficulty effort vocabulary length end_line",
+    "information.difficulty": "volume effort vocabulary length end_line", "information.magic_literals": "language literals distinct_count", "information.section_comments": "divider_lines language", "lexical.stutter": "scope_name scope_type overlap identifier_tokens",
+    "lexical.verbosity": "total_identifiers total_tokens end_line language", "lexical.tersity": "short_identifiers short_count total_identifiers density",
+}
+
+PY = """from typing import Any
+import b
+class Base: pass
+class Kid(Base):
+    def m(self, mode: str, total_items_list: list) -> Any:
+        import json
+        # ----- part
+        # ===== part
+        total_items_list.append(37)
+        if mode == 'x' and self:
+            return Base
+        return 41 + 43 * a
+def one(a, q):
+    load_it(a); store_it(q); check_it(a)
+    return m('fast')
+def two(a, q):
+    load_it(a); store_it(q); check_it(q)
+    return m('slow')
+def lonely_thing(b: Any) -> Any:
+    return b
+def load_big_table(load_big_name):
+    return load_big_name
+"""
+
+
+def test_every_rule_says_what_it_knows(spark, tmp_path):
+    import json
+
+    from codescope.plans import report
+
+    src = tmp_path / "src"
+    root = write(src, pk_DIR___init___DOT_py="", pk_DIR_a_DOT_py=PY, pk_DIR_b_DOT_py="import pk.a\n" + CLONE.format(*"process items factor total item".split()) + CLONE.format(*"gather entries scale result entry".split()), pk_DIR_c_DOT_py="import a\n")
+    log = tmp_path / "log"
+    log.write_text("".join(f"\x1ec{i}\x1f2026-01-0{i}T00:00:00+00:00\x1fp\n\n9\t0\tpk/a.py\n" for i in (1, 2)))
+    low = {"min_shared": 1, "min_annotations": 1, "min_identifiers": 1, "min_confidence": "low", "fail_on_zone": ["pain", "unknown", "clean", "ok", "warning"], "fail_on_quadrant": ["insufficient_data"]}
+    zero = {n: {**c, "enabled": True, "threshold": 99 if n.endswith(("sentinels", "orphans")) else 1 if n.endswith(("mutators", "stutter")) else 0} | {k: v for k, v in low.items() if k in c} for n, c in lint_plan.DEFAULTS.items()}
+    waivers = [{"id": "w1", "rule": "structural.god_module", "path": "pk/*", "reason": "small", "allow_up_to": 50, "expires": "2030-01-01"}]
+    with lint_plan.run(spark, root, zero, waivers, "2026-01-01", log=str(log), now="2026-01-10") as run:
+        assert run.per_rule.filter("error is not null").collect() == []
+        whole = json.loads(report.as_json(run.found, run.per_rule, root))
+        text = report.human(run.found, run.per_rule)
+        counts = {r["confidence"]: r["n"] for r in report.by_confidence(run.found).collect()}
+        rows = [json.loads(r["value"]) for r in report.as_rows(run.found).collect()]
+    by = {n: r["violations"] + r["waived_violations"] for n, r in whole["rules"].items()}
+    missing = [n for n, v in by.items() if not v]
+    assert missing == []
+    for name, fields in FIELDS.items():
+        for v in by[name]:
+            assert set(fields.split()) <= set(v["metadata"]), (name, v)
+    assert {frozenset(v["metadata"]) for v in by["structural.duplication"]} == {frozenset(["functions_analyzed", "clone_fraction", "cluster_count"]), frozenset(["fingerprint", "clone_count", "members"])}
+    waived = whole["rules"]["structural.god_module"]["waived_violations"]
+    assert waived and all(v["metadata"]["waiver"] == {"id": "w1", "reason": "small", "allow_up_to": 50.0, "expires": "2030-01-01"} for v in waived)
+    meta = {(n, v["symbol"]): v["metadata"] for n, vs in by.items() for v in vs}
+    assert meta["structural.types.sentinels", "m"]["call_site_literals"] == ["fast", "slow"] and meta["structural.types.sentinels", "m"]["call_site_count"] == 2
+    assert meta["structural.redundancy", "one"]["shared_callees"] == ["check_it", "load_it", "store_it"] and meta["structural.redundancy", "one"]["fn_b"] == "two"
+    assert meta["information.section_comments", "m"]["divider_lines"] == [7, 8] and meta["structural.local_imports", "m"]["module"] == "json"
+    assert meta["structural.class.inheritance.depth", "Kid"]["superclasses"] == ["Base"] and meta["structural.types.hidden_mutators", "m"]["mutated_params"] == ["total_items_list"]
+    assert sum(counts.values()) == len(by["structural.orphans"]) and set(counts) == {"high", "medium", "low"}
+    assert "dividers 2, limit 0 (lines 7, 8)" in text and "local imports 1, limit 0 (json inside m)" in text
+    assert len(rows) == sum(map(len, by.values())) and all("metadata" in r or r["rule"] for r in rows)
