@@ -373,6 +373,18 @@ def dep_cycles(spark, sf_dir):
     return tables.cycles(pairs.filter(F.col("count") >= events.count() // 260).select("src", "dst"))
 
 
+_EVERY = "SELECT DISTINCT src, dst FROM (SELECT user_id || ':' || event_type AS src, lead(user_id || ':' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst"
+
+
+@query(f"""WITH RECURSIVE e AS ({_EVERY}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1""")
+def event_cycles(spark, sf_dir):
+    """Kinds of events that come again and again, for each user, over all events."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    name = F.concat_ws(":", "user_id", "event_type")
+    return tables.cycles(read(spark, sf_dir, "events").select(name.alias("src"), F.lead(name).over(w).alias("dst")).filter("dst is not null"))
+
+
 _PACKAGES = """WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
 t AS (SELECT c_nationkey AS node, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal < 0) AS na, count(DISTINCT c_custkey) FILTER (WHERE c_acctbal >= 0) AS nc FROM customer GROUP BY 1),
 d AS (SELECT n_nationkey AS node, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS ca, (SELECT count(*) FROM e WHERE src = n_nationkey) AS ce FROM nation),

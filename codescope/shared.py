@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
@@ -17,3 +18,12 @@ def checkpoints(spark: SparkSession) -> None:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/checkpoints"
     spark.sparkContext.setCheckpointDir(base)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files below the checkpoint folder: they outlive executors, and later plans know their sizes."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

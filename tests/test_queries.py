@@ -53,8 +53,75 @@ def test_cycles_are_whole_or_an_error(spark):
     from codescope.operators import tables
 
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    names = [f"{k}{side}" for k in range(3) for side in "ab"]  # each round settles the first cycle of what is left
-    edges = spark.createDataFrame([e for k in range(3) for e in ((f"{k}a", f"{k}b"), (f"{k}b", f"{k}a"))] + [("0a", "1a"), ("1a", "2a")], "src string, dst string")
+    # three components of three nodes in a line: nothing to trim, no chain
+    names = [f"{k}{side}" for k in range(3) for side in "abc"]
+    edges = spark.createDataFrame([(x, y) for x in names for y in names if x != y and (x[0] == y[0] or (x[1] == y[1] == "a" and int(y[0]) == int(x[0]) + 1))], "src string, dst string")
     assert sorted((r["node"], r["component"]) for r in tables.cycles(edges).collect()) == [(n, n[0] + "a") for n in names]
     with pytest.raises(RuntimeError):
-        tables.cycles(edges, most=2)
+        tables.cycles(edges, most=0)
+    assert tables.cycles(edges.limit(0)).isEmpty()
+
+
+def components_of(edges):
+    """Strongly connected components of two nodes and more, by walks there and back."""
+    below, above = {}, {}
+    for a, b in edges:
+        below.setdefault(a, set()).add(b)
+        above.setdefault(b, set()).add(a)
+
+    def reach(n, of):
+        seen, todo = {n}, [n]
+        while todo:
+            for x in of.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    out, done = [], set()
+    for n in sorted({x for e in edges for x in e}):
+        if n not in done:
+            same = reach(n, below) & reach(n, above)
+            done |= same
+            out += [(x, min(same)) for x in same if len(same) > 1]
+    return sorted(out)
+
+
+def test_cycles_of_many_shapes(spark):
+    import random
+
+    from codescope.operators import tables
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    r = random.Random(9)
+    edges = []
+    for g in range(40):  # many small graphs at once, each of its own names
+        n = r.randint(2, 12)
+        kind = g % 4
+        some = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 2 * n))]
+        if kind == 1:
+            some = [(i, (i + 1) % n) for i in range(n)] + [(0, n), (n, n + 1), (n + 1, 0)]
+        elif kind == 2:
+            some = [(i, i + 1) for i in range(n)] + [(n, n // 2)]
+        elif kind == 3:
+            some = [(i, i + 1) for i in range(n)] + [(i + 1, i) for i in range(0, n, 3)] + [(n, n + 1), (n + 1, n)]
+        edges += [(g * 100 + a, g * 100 + b) for a, b in some]
+    df = spark.createDataFrame(edges * 2, "src long, dst long")
+    assert sorted(tuple(x) for x in tables.cycles(df).collect()) == components_of(edges)
+
+
+@pytest.mark.parametrize("shape", ["chain", "ring", "both"])
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch, shape):
+    from codescope import shared
+    from codescope.operators import tables
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    n, rounds = 5000, []
+    edges = [(i, i + 1) for i in range(n)] + ([(n, 0)] if shape == "ring" else [])
+    if shape == "both":  # two rings that share a node, with a tail
+        edges += [(n, 0), (100, n + 5), (n + 5, n + 6), (n + 6, 100), (n + 6, n + 7), (n + 7, n + 8)]
+    plain = shared.written
+    monkeypatch.setattr(shared, "written", lambda df: rounds.append(1) or plain(df))
+    got = sorted(tuple(x) for x in tables.cycles(spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect())
+    assert len(rounds) < 30
+    assert got == ([] if shape == "chain" else [(i, 0) for i in range(n + 1)] + ([(n + 5, 0), (n + 6, 0)] if shape == "both" else []))
