@@ -81,15 +81,31 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str
 
 
 def sibling_overlap(uses: DataFrame, group: str, unit: str, item: str, min_shared: int, min_score: float) -> DataFrame:
-    """Pairs of units of one group that share items: an inverted join on (group, item), so pairs without overlap never exist."""
+    """Pairs of units of one group that share ``min_shared`` items and a score of shared items by the larger unit's.
+
+    Only prefixes meet: with its items from the rarest to the most common in the
+    group, a unit that must share k of n has one of its first n - k + 1 in common
+    with any partner. Common items stand last and rarely make a pair; units too
+    small to share enough, or of too different sizes, make none. What meets is
+    counted in full.
+    """
     uses = uses.select(group, unit, item).distinct()
-    sizes = uses.groupBy(group, unit).agg(F.count("*").alias("size"))
-    a, b = uses.select(group, item, F.col(unit).alias("unit_a")), uses.select(group, item, F.col(unit).alias("unit_b"))
-    pairs = a.join(b, [group, item]).filter("unit_a < unit_b").groupBy(group, "unit_a", "unit_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    often = uses.groupBy(group, item).agg(F.count("*").alias("_n"))
+    sets = uses.join(often.hint("merge"), [group, item]).groupBy(group, unit).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", item))), lambda x: x[item]).alias("_items")).withColumn("_size", F.size("_items"))
+    least = max(0.0, min_score - 0.0005)  # scores are rounded to three places
+    need = F.greatest(F.lit(min_shared), F.lit(1), F.ceil(F.col("_size") * least))
+    sets = sets.filter(F.col("_size") >= min_shared)
+    heads = sets.select(group, unit, "_size", F.explode(F.slice("_items", F.lit(1), F.greatest(F.lit(1), F.col("_size") - need + 1).cast("int"))).alias("_i"))
+    of = lambda df, side, *more: df.select(group, F.col(unit).alias(f"unit_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in more])
+    a, b = of(heads, "a", "_size", "_i").withColumnRenamed("_i_a", "_i"), of(heads, "b", "_size", "_i").withColumnRenamed("_i_b", "_i")
+    alike = F.least("_size_a", "_size_b") >= F.greatest("_size_a", "_size_b") * least
+    pairs = a.join(b.hint("merge"), [group, "_i"]).filter((F.col("unit_a") < F.col("unit_b")) & alike).select(group, "unit_a", "unit_b").distinct()
     for side in "ab":
-        pairs = pairs.join(sizes.select(group, F.col(unit).alias(f"unit_{side}"), F.col("size").alias(f"size_{side}")), [group, f"unit_{side}"])
-    score = F.round(F.col("shared") / F.greatest("size_a", "size_b"), 3)
-    return pairs.withColumn("score", score).filter(F.col("score") >= min_score).select(group, "unit_a", "unit_b", "shared", "score")
+        pairs = pairs.join(of(sets, side, "_items", "_size").hint("merge"), [group, f"unit_{side}"])
+    shared = F.size(F.array_intersect("_items_a", "_items_b")).cast("long")
+    score = F.round(F.col("shared") / F.greatest("_size_a", "_size_b"), 3)
+    out = pairs.withColumn("shared", shared).withColumn("score", score).filter((F.col("shared") >= min_shared) & (F.col("score") >= min_score))
+    return out.select(group, "unit_a", "unit_b", "shared", "score")
 
 
 def merged(df: DataFrame, group: list[str], place: list[str], sums: list[str], most: list[str], unions: list[str], first: list[str]) -> DataFrame:

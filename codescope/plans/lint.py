@@ -10,7 +10,7 @@ from codescope import functions as fn
 from codescope import shared
 from codescope.operators import rules, search, tables
 from codescope.plans import report
-from codescope.sources import code, imports, python_facts, token_facts, tree
+from codescope.sources import code, imports, python_facts, token_facts, token_imports, tree
 
 #: Limits and severities of the rules, called, short and builtin names that say nothing.
 DEFAULTS: dict[str, dict] = {
@@ -137,11 +137,16 @@ class Metrics:
         dit = tables.depth(parent).select(F.col("id").alias("name"), F.col("depth").alias("dit"))
         return whole.join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["noc", "dit"])
 
+    def text_imports(self) -> DataFrame:
+        """Imports by lines, of files that couldn't be read and of languages that have no syntax for them here."""
+        bad = self.facts.filter("kind = 'error'").select(F.col("file").alias("path")).distinct()
+        return imports.text_imports(self.files.filter(~F.col("lang").isin("python", *token_imports.LANGUAGES)).unionByName(self.files.filter(F.col("lang").isin(list(token_imports.LANGUAGES))).join(bad, "path", "left_semi").select(self.files.columns)))
+
     @once
     def imports(self) -> DataFrame:
-        """``src``, ``line``, ``module`` of all imports; Python's relative ones have no name to look for."""
-        parsed = self.facts.filter("kind = 'import' and not startswith(name, '.')").select(F.col("file").alias("src"), "line", F.col("name").alias("module"))
-        return parsed.unionByName(imports.text_imports(self.files).select(F.col("file").alias("src"), "line", "module"))
+        """``src``, ``line``, ``module`` of all imports, by syntax and else by lines; Python's relative ones have no name to look for."""
+        parsed = self.facts.filter("kind = 'import' and not (lang = 'python' and startswith(name, '.'))").select(F.col("file").alias("src"), "line", F.col("name").alias("module"))
+        return parsed.unionByName(self.text_imports().select(F.col("file").alias("src"), "line", "module"))
 
     @once
     def import_edges(self) -> DataFrame:
@@ -368,7 +373,7 @@ def _literals(m: Metrics, c: dict, name: str) -> DataFrame:
 def _local(m: Metrics, c: dict, name: str) -> DataFrame:
     rows = m.facts.filter("kind = 'import' and owner is not null").select("file", "line", "owner", F.col("name").alias("module"), "lang")
     spans = m.functions.select("file", "lang", F.monotonically_increasing_id().alias("f"), F.col("line").alias("start"), "end_line", F.col("name").alias("owner"))
-    texts = imports.text_imports(m.files).groupBy("file", "line").agg(F.min("module").alias("module"))
+    texts = m.text_imports().groupBy("file", "line").agg(F.min("module").alias("module"))
     found = texts.join(spans, "file").filter("line > start and line <= end_line")
     found = found.groupBy("file", "line", "module", "lang").agg(F.min(F.struct(F.col("end_line") - F.col("start"), "f", "owner")).alias("b")).select("file", "line", F.col("b.owner").alias("owner"), "module", "lang")
     rows = rows.unionByName(found)

@@ -1,8 +1,10 @@
 """Imports of eleven languages, and the files they mean.
 
-Python's come from its parser; the other languages' from whole lines, and Go's
-also from the lines of an import block. Lines inside comments or texts that look
-like an import count as one.
+Python's come from its parser and most other languages' from their tokens
+(:mod:`codescope.sources.token_imports`). What is here reads whole lines, and
+Go's also as lines of an import block: for Rust, and for files that couldn't be
+read otherwise. There, lines inside comments or texts that look like an import
+count as one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from codescope.sources import nested, python_facts
+from codescope.sources import nested, python_facts, token_imports
 from codescope.sources.ended import Ended
 from codescope.sources.inventory import Inventory
 from codescope.sources.nested import Curly, Node
@@ -41,6 +41,10 @@ class Reader:
         stem = self.file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         self.visit(self.root, True, [stem])
         self.adopt()
+        spans = [(r["end_line"] - r["line"], r["line"], r["end_line"], r["name"]) for r in self.rows if r["kind"] == "function"]
+        for module, line in token_imports.found(self.toks, self.text, self.lang):
+            around = min((x for x in spans if x[1] < line <= x[2]), default=None)
+            self.add("import", module, line, line, owner=around[3] if around else None)
         for name, line, abstract in Inventory(self.toks, self.lang).found():
             self.add("type", name, line, line, abstract=abstract)
         return self.rows
