@@ -233,7 +233,7 @@ def _spread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = step.select("n", "l")
         if step.filter("moved").isEmpty():
             return state
-        if done >= 2:
+        if done >= 4:
             many = many or nodes.count().bit_length()
             for _ in range(many):
                 up = step.select(F.col("n").alias("p"), F.col("l").alias("l2"), F.col("p").alias("p2"))
