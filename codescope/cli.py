@@ -42,6 +42,8 @@ def main(args: list[str] | None = None, spark=None) -> int:
         raw, _ = settings.found(a.root, a.config)
         config, waivers = settings.settled(lint_plan.DEFAULTS, raw, a.profile)
         names = settings.selected(list(config), getattr(a, "only", None))
+        for note in settings.former(raw):
+            print(f"note: {note}", file=sys.stderr)
     except (OSError, ValueError, KeyError) as e:
         print(f"error: {e}", file=sys.stderr)
         return report.EXIT["error"]

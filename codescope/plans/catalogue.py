@@ -562,6 +562,28 @@ def violation_metadata(spark, sf_dir):
     return found.select("rule", "file", "value", F.to_json("metadata").alias("metadata"), "waiver", F.col("waived_by.reason").alias("reason"))
 
 
+_RANKED = """SELECT lang, source, doc_id, lines, longest, count(*) OVER () AS total, count(*) OVER () > 300 AS truncated FROM (SELECT doc_id, lang, source, len(string_split(text, chr(10))) AS lines,
+list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest FROM documents) ORDER BY lines DESC NULLS LAST, longest DESC NULLS LAST, source, doc_id LIMIT 300"""
+
+
+def _ranked(spark, sf_dir):
+    lines = F.split("text", "\n")
+    rows = read(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.when(F.col("text").isNotNull(), F.size(lines)).alias("lines"), F.array_max(F.transform(lines, F.length)).alias("longest"))
+    return tables.capped(rows, [F.desc_nulls_last("lines"), F.desc_nulls_last("longest"), F.asc("source"), F.asc("doc_id")], 300)
+
+
+@query(_RANKED)
+def ranked_documents(spark, sf_dir):
+    """A report in a total order, nulls last, that says how many rows there were: the feature is its first 300."""
+    return _ranked(spark, sf_dir)
+
+
+@query(f"SELECT source, count(*) AS documents, sum(lines)::BIGINT AS lines, max(lines) AS longest FROM ({_RANKED}) GROUP BY source")
+def ranked_sources(spark, sf_dir):
+    """Sums over what the capped report shows."""
+    return _ranked(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.sum("lines").alias("lines"), F.max("lines").alias("longest"))
+
+
 _KINDS = ["html", "head", "title", "body", "nav", "ul", "li", "a", "div", "aside", "article", "h1", "footer"]
 _NODES = rf"""s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 x AS (SELECT page_id, regexp_extract_all(h, '</?(?:{'|'.join(_KINDS)})\b[^>]*>') AS tags FROM s), t AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS id FROM x),

@@ -56,6 +56,11 @@ HATCHES = {
 #: Languages whose sources are read.
 LANGUAGES = ["python", *token_facts.LANGUAGES]
 SHORT_NAMES = ["i", "j", "k", "x", "y", "z", "ok", "n"]
+#: Total orders of reports, falling with a minus, and nulls last.
+ORDERS = {
+    "complexity": ["-ccx", "-cog", "file", "line"], "npath": ["-npath", "file", "line"], "halstead": ["-volume", "file", "line"], "classes": ["-cbo", "-wmc", "name", "file", "line"],
+    "packages": ["-distance", "node", "lang"], "clones": ["-size", "file", "line"], "hotspots": ["-score", "-sum_ccx", "-loc_delta", "file"],
+}
 #: Members of a clone cluster that its metadata names.
 NAMED = 10
 #: Languages whose classes may be declared in several places; whose anonymous functions count among all.
@@ -230,6 +235,24 @@ class Metrics:
         kept = kept.withColumn("score", (F.col("sum_ccx") * F.greatest(F.lit(0), "loc_delta")).cast("double"))
         return tables.quadrants(kept, "sum_ccx", "loc_delta").drop("here", "parsed", "reject")
 
+    def ranked(self, kind: str, most: int | None = None) -> DataFrame:
+        """The first ``most`` rows of a kind (see ``ORDERS``) in its total order, with ``total`` and ``truncated``; all without ``most``."""
+        made = {
+            "complexity": lambda: self.functions.select("file", "name", "line", "end_line", "ccx", "cog", fn.complexity_zone(F.col("ccx")).alias("zone")),
+            "npath": lambda: self.functions.select("file", "name", "line", "end_line", "lang", "npath"),
+            "halstead": self.halstead,
+            "classes": self.class_metrics,
+            "packages": self.packages,
+            "clones": lambda: clones(self, DEFAULTS["structural.duplication"]["min_leaf_nodes"]).filter("fp is not null").groupBy("fp").agg(F.count("*").alias("size"), F.min("at").alias("first")).filter("size >= 2").select("fp", "size", "first.*"),
+            "hotspots": lambda: self.hotspots(DEFAULTS["structural.hotspots"]["since"], DEFAULTS["structural.hotspots"]["min_commits"]),
+        }[kind]()
+        return tables.capped(made, [F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[kind]], most)
+
+    def complexity_of_files(self, most: int | None = None) -> DataFrame:
+        """Functions, sums and largest values of the files of the first ``most`` functions: what a capped report sums up is what it shows."""
+        rows = self.ranked("complexity", most).groupBy("file").agg(F.count("*").alias("functions"), F.sum("ccx").alias("sum_ccx"), F.max("ccx").alias("max_ccx"), F.max("cog").alias("max_cog"))
+        return rows.orderBy(F.desc("max_ccx"), "file")
+
     def lines(self) -> DataFrame:
         return imports.lines(self.files.filter(F.col("lang").isin(LANGUAGES))).withColumnRenamed("line", "at")
 
@@ -302,7 +325,9 @@ def _redundancy(m: Metrics, c: dict, name: str) -> DataFrame:
 
 
 def _sentinels(m: Metrics, c: dict, name: str) -> DataFrame:
-    params = m.functions.select("file", "name", "line", F.explode("sentinels").alias("p")).filter("p.annotated")
+    params = m.functions.select("file", "name", "line", F.explode("sentinels").alias("p"))
+    if c.get("require_str_annotation", True):
+        params = params.filter("p.annotated")
     # every callee of a line is paired with the literals that follow it
     callees = m.lines().filter(~F.col("text").rlike(r"^\s*(async\s+)?def\s")).select("text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("name"))
     after = F.substring_index(F.regexp_replace(F.col("text"), F.concat(F.lit(r"^.*?\b"), F.col("name"), F.lit(r"\s*\(")), F.lit("")), "\n", 1)

@@ -23,6 +23,38 @@ FORMER_GROUPS = {
     "class": ["structural.class.complexity", "structural.class.coupling", "structural.class.inheritance.depth", "structural.class.inheritance.children"],
 }
 
+_ON = {"enabled": "enabled", "severity": "severity"}
+#: Published and former tables, the rules they speak of, and what their keys are called here. A key that isn't named goes nowhere.
+KEYS: list[tuple[str, str, dict[str, str]]] = [
+    ("structural.complexity", "structural.complexity.cyclomatic", {"cyclomatic_threshold": "threshold"}),
+    ("structural.complexity", "structural.complexity.cognitive", {"cognitive_threshold": "threshold"}),
+    ("structural.complexity", "structural.complexity.npath", {"npath_threshold": "threshold"}),
+    ("structural.packages", "structural.packages", {"max_distance": "threshold"}),
+    ("structural.deps", "structural.deps", {"fail_on_cycles": "fails"}),
+    ("structural.redundancy", "structural.redundancy", {"min_score": "threshold"}),
+    ("structural.types.sentinels", "structural.types.sentinels", {"max_cardinality": "threshold"}),
+    ("structural.types.hidden_mutators", "structural.types.hidden_mutators", {"min_mutations": "threshold"}),
+    ("information.volume", "information.volume", {"token_weight_alpha": "alpha"}),
+    ("lexical.stutter", "lexical.stutter", {"min_overlap_tokens": "threshold"}),
+    ("lexical.verbosity", "lexical.verbosity", {"max_mean_tokens": "threshold"}),
+    ("lexical.tersity", "lexical.tersity", {"max_density": "threshold"}),
+    ("complexity", "structural.complexity.cyclomatic", {**_ON, "cyclomatic_threshold": "threshold"}),
+    ("complexity", "structural.complexity.cognitive", {**_ON, "cognitive_threshold": "threshold"}),
+    ("complexity", "structural.class.complexity", {"weighted_threshold": "threshold"}),
+    ("npath", "structural.complexity.npath", {**_ON, "npath_threshold": "threshold"}),
+    ("halstead", "information.volume", {**_ON, "volume_threshold": "threshold"}),
+    ("halstead", "information.difficulty", {**_ON, "difficulty_threshold": "threshold"}),
+    ("hotspots", "structural.hotspots", {**_ON, "since": "since", "min_commits": "min_commits", "fail_on_quadrant": "fail_on_quadrant"}),
+    ("packages", "structural.packages", {**_ON, "languages": "languages", "max_distance": "threshold", "fail_on_zone": "fail_on_zone"}),
+    ("deps", "structural.deps", {**_ON, "fail_on_cycles": "fails"}),
+    ("orphans", "structural.orphans", {**_ON, "min_confidence": "min_confidence"}),
+    ("class", "structural.class.coupling", {**_ON, "coupling_threshold": "threshold"}),
+    ("class", "structural.class.inheritance.depth", {"inheritance_depth_threshold": "threshold"}),
+    ("class", "structural.class.inheritance.children", {"inheritance_children_threshold": "threshold"}),
+    ("lexical", "lexical.verbosity", {"min_mean_tokens": "threshold"}),
+    ("lexical", "lexical.tersity", {"max_density": "threshold"}),
+]
+
 #: What the profiles set; the default profile is :data:`codescope.plans.lint.DEFAULTS`.
 PROFILES: dict[str, dict[str, dict]] = {
     "default": {},
@@ -70,6 +102,37 @@ def flattened(table: dict, prefix: str = "") -> dict[str, dict]:
     return {n: old.get(n, {}) | new.get(n, {}) for n in [*old, *(n for n in new if n not in old)]}
 
 
+def migrated(tables: dict) -> dict[str, dict]:
+    """What the tables' published and former keys mean for each rule, by today's names; of several tables the one named first in :data:`KEYS` wins."""
+    out: dict[str, dict] = {}
+    for name, rule, keys in reversed(KEYS):
+        held = tables
+        for part in name.split("."):
+            held = held.get(part, {}) if isinstance(held, dict) else {}
+        for old, new in keys.items():
+            if isinstance(held, dict) and old in held and not isinstance(held[old], dict):
+                if new == "fails":  # a rule that may not fail is off
+                    out.setdefault(rule, {}).update({} if held[old] else {"enabled": False})
+                else:
+                    out.setdefault(rule, {})[new] = held[old]
+    return out
+
+
+def former(raw: dict) -> list[str]:
+    """Tables and waived rules with former names, and what they are called now: for a note to the user."""
+    tables, out = raw.get("rules", {}), []
+    for name, now in {**{k: v for k, v in FORMER_GROUPS.items()}, **{k: [v] for k, v in FORMER_RULES.items() if "." in k}}.items():
+        held = tables
+        for part in name.split("."):
+            held = held.get(part) if isinstance(held, dict) else None
+        if isinstance(held, dict) and any(not isinstance(v, dict) for v in held.values()):
+            out.append(f"[rules.{name}] is now {', '.join(now)}")
+    for w in raw.get("waivers") or []:
+        if isinstance(w, dict) and w.get("rule") in FORMER_RULES:
+            out.append(f"waiver {w.get('id')}: {w['rule']} is now {FORMER_RULES[w['rule']]}")
+    return out
+
+
 def waivers(raw: object) -> list[dict]:
     """Checked waivers; ValueError says what is wrong with the first bad one."""
     if raw is None:
@@ -116,7 +179,10 @@ def found(start: str, explicit: str | None = None) -> tuple[dict, str]:
 def settled(defaults: dict[str, dict], raw: dict, profile: str = "default") -> tuple[dict[str, dict], list[dict]]:
     """Each rule's settings (defaults, profile, configuration) and the checked waivers."""
     base = {rule: values | PROFILES[profile].get(rule, {}) for rule, values in defaults.items()}
-    return rules.effective(base, flattened(raw.get("rules", {}))), waivers(raw.get("waivers"))
+    tables, derived = flattened(raw.get("rules", {})), migrated(raw.get("rules", {}))
+    # a rule's own key of today wins over what another one means for it
+    named = {n: derived.get(n, {}) | tables.get(n, {}) for n in [*tables, *(d for d in derived if d not in tables)]}
+    return rules.effective(base, named), waivers(raw.get("waivers"))
 
 
 def written(defaults: dict[str, dict], profile: str = "default") -> str:

@@ -184,3 +184,43 @@ def test_every_rule_says_what_it_knows(spark, tmp_path):
     assert sum(counts.values()) == len(by["structural.orphans"]) and set(counts) == {"high", "medium", "low"}
     assert "dividers 2, limit 0 (lines 7, 8)" in text and "local imports 1, limit 0 (json inside m)" in text
     assert len(rows) == sum(map(len, by.values())) and all("metadata" in r or r["rule"] for r in rows)
+
+
+def test_ranked_in_total_orders(spark, tmp_path):
+    ifs = lambda n, name: f"def {name}(x):\n" + "".join(f"    if x == {i}:\n        x += 1\n" for i in range(n)) + "    return x\n"
+    root = write(tmp_path, a_DOT_py=ifs(3, "p") + ifs(1, "q"), b_DOT_py=ifs(3, "r") + "class A: pass\nclass B(A): pass\n", c_DOT_py=ifs(5, "s"), d_DOT_rb="x = 1\n")
+    m = lint_plan.Metrics(spark, code.files(spark, root))
+    for kind in ("complexity", "npath"):
+        got = m.ranked(kind, 3).collect()
+        assert [(r["name"], r["total"], r["truncated"]) for r in got] == [("s", 4, True), ("p", 4, True), ("r", 4, True)]
+    assert [r["name"] for r in m.ranked("complexity").collect()] == ["s", "p", "r", "q"] and not m.ranked("complexity").first()["truncated"]
+    assert [(r["file"], r["functions"], r["sum_ccx"]) for r in m.complexity_of_files(3).collect()] == [("c.py", 1, 6), ("a.py", 1, 4), ("b.py", 1, 4)]
+    assert [r["name"] for r in m.ranked("halstead", 1).collect()] == ["s"] and [r["name"] for r in m.ranked("classes", 1).collect()] == ["B"]
+    assert [(r["size"], r["name"], r["total"]) for r in m.ranked("clones", 5).collect()] == [(2, "p", 1)]
+    ends = [r["distance"] for r in m.ranked("packages").collect()]
+    assert ends == sorted(ends, key=lambda d: (d is None, -(d or 0)))
+    assert m.ranked("complexity", 0).isEmpty()
+    m.close()
+
+
+def test_published_and_former_keys():
+    from codescope.plans import settings
+
+    def of(raw, profile="default"):
+        return settings.settled(lint_plan.DEFAULTS, {"rules": raw}, profile)[0]
+
+    new = of({"structural": {"complexity": {"cyclomatic_threshold": 7, "npath_threshold": 9}, "packages": {"max_distance": 0.4}, "deps": {"fail_on_cycles": False}}, "lexical": {"verbosity": {"max_mean_tokens": 2.5}, "tersity": {"max_density": 0.1}}, "information": {"volume": {"token_weight_alpha": 0.2}}})
+    limit = lambda c, name: c[name]["threshold"]
+    assert (limit(new, "structural.complexity.cyclomatic"), limit(new, "structural.complexity.cognitive"), limit(new, "structural.complexity.npath"), limit(new, "structural.packages")) == (7, 15, 9, 0.4)
+    assert not new["structural.deps"]["enabled"] and of({"deps": {"fail_on_cycles": True}})["structural.deps"]["enabled"]
+    assert (limit(new, "lexical.verbosity"), limit(new, "lexical.tersity"), new["information.volume"]["alpha"]) == (2.5, 0.1, 0.2)
+    old = of({"complexity": {"cyclomatic_threshold": 5, "weighted_threshold": 30, "severity": "warning"}, "halstead": {"volume_threshold": 700, "enabled": False}, "class": {"coupling_threshold": 3, "inheritance_depth_threshold": 2}, "npath": {"npath_threshold": 50}, "lexical": {"max_density": 0.3, "severity": "error"}})
+    assert (limit(old, "structural.complexity.cyclomatic"), limit(old, "structural.class.complexity"), limit(old, "information.volume"), limit(old, "structural.class.coupling"), limit(old, "structural.class.inheritance.depth"), limit(old, "structural.complexity.npath"), limit(old, "lexical.tersity")) == (5, 30, 700, 3, 2, 50, 0.3)
+    assert old["structural.complexity.cyclomatic"]["severity"] == "warning" and not old["information.difficulty"]["enabled"] and old["lexical.stutter"]["severity"] == "error"
+    both = of({"complexity": {"cyclomatic_threshold": 5}, "structural": {"complexity": {"cyclomatic_threshold": 6, "cyclomatic": {"threshold": 8}}}})
+    assert limit(both, "structural.complexity.cyclomatic") == 8
+    assert limit(of({"complexity": {"cyclomatic_threshold": 5}, "structural": {"complexity": {"cyclomatic_threshold": 6}}}), "structural.complexity.cyclomatic") == 6
+    assert limit(of({"complexity": {"cyclomatic_threshold": 5}}, "strict"), "structural.complexity.cyclomatic") == 5
+    notes = settings.former({"rules": {"halstead": {"volume_threshold": 1}, "structural": {"deps": {}}}, "waivers": [{"id": "w", "rule": "npath"}]})
+    assert notes == ["[rules.halstead] is now information.volume, information.difficulty", "waiver w: npath is now structural.complexity.npath"]
+    assert settings.former({}) == [] and settings.migrated({"complexity": 3}) == {}
