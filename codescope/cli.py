@@ -1,7 +1,7 @@
 """Command line: lint, check, rules and init.
 
 ``python -m codescope.cli lint ROOT [--log FILE] [--config FILE] [--profile NAME]
-[--json | --quiet] [--most N]``; ``check RULE ROOT`` runs one rule, a prefix or a
+[--json | --quiet] [--most N] [--languages A,B]``; ``check RULE ROOT`` runs one rule, a prefix or a
 former group. Exit: 0 pass, 1 fail, 2 error.
 """
 
@@ -29,6 +29,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         p.add_argument("--quiet", action="store_true")
         p.add_argument("--most", type=int, default=5)
         p.add_argument("--today", default="0001-01-01")
+        p.add_argument("--languages", help="comma-separated; all if not given")
     sub.add_parser("rules")
     sub.add_parser("init").add_argument("profile", nargs="?", choices=list(settings.PROFILES), default="default")
     a = top.parse_args(args)
@@ -42,6 +43,10 @@ def main(args: list[str] | None = None, spark=None) -> int:
         raw, _ = settings.found(a.root, a.config)
         config, waivers = settings.settled(lint_plan.DEFAULTS, raw, a.profile)
         names = settings.selected(list(config), getattr(a, "only", None))
+        asked = a.languages.split(",") if a.languages else raw.get("languages")
+        kept, unread = settings.languages(asked, lint_plan.LANGUAGES)
+        for name in unread:
+            print(f"note: {name} isn't read", file=sys.stderr)
         for note in settings.former(raw):
             print(f"note: {note}", file=sys.stderr)
     except (OSError, ValueError, KeyError) as e:
@@ -51,7 +56,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("codescope").getOrCreate()
-    run = lint_plan.run(spark, a.root, {n: config[n] for n in names}, waivers, a.today, log=a.log, excludes=raw.get("exclude"))
+    run = lint_plan.run(spark, a.root, {n: config[n] for n in names}, waivers, a.today, log=a.log, excludes=raw.get("exclude"), languages=kept if asked else None)
     with run:
         total = report.verdict(run.per_rule, run.skipped)
         if a.json:

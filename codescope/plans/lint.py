@@ -53,6 +53,8 @@ HATCHES = {
     "c": (r"\bvoid\s*\*", r"(?:^|[\s,(])(?:const\s+|register\s+|volatile\s+|restrict\s+|static\s+|extern\s+|inline\s+|auto\s+)*(?:unsigned\s+|signed\s+)?(?:int|char|float|double|long|short|void|size_t|ssize_t|int\d{1,2}_t|uint\d{1,2}_t|ptrdiff_t|struct\s+\w+|enum\s+\w+|union\s+\w+|[A-Z]\w*_t|[A-Z]\w*)\s*\*?\s*\w+\s*[,;()=\[]"),
     "cpp": (r"\bvoid\s*\*|\bstd::any\b", r"(?:^|[\s,(])(?:const\s+|volatile\s+|static\s+|extern\s+|inline\s+|constexpr\s+|consteval\s+|mutable\s+|register\s+|restrict\s+|auto\s+)*(?:unsigned\s+|signed\s+)?(?:int|char|float|double|long|short|void|bool|size_t|ssize_t|int\d{1,2}_t|uint\d{1,2}_t|ptrdiff_t|struct\s+\w+|enum\s+\w+|union\s+\w+|class\s+\w+|[A-Z]\w*_t|std::\w+(?:<[^>]*>)?|[A-Z]\w*(?:<[^>]*>)?)\s*[*&]?\s*\w+\s*[,;()=\[{]"),
 }
+#: Above them a class is spoken of, whatever the rules' limits are.
+CLASS_LIMITS = {"cbo": 8, "dit": 3, "noc": 10, "wmc": 50}
 #: Languages whose sources are read.
 LANGUAGES = ["python", *token_facts.LANGUAGES]
 SHORT_NAMES = ["i", "j", "k", "x", "y", "z", "ok", "n"]
@@ -69,11 +71,31 @@ VALUES_COUNT = ["javascript", "typescript", "cpp", "ruby"]
 #: Languages whose packages the rule looks at unless others are named.
 PACKAGED = ["go", "python", "java", "c_sharp", "typescript", "javascript", "rust"]
 COMMON_NAMES = "run main setup init start stop get set update create delete load save process execute handle build parse check validate".split()
-BUILTINS = (
-    "print len range sorted reversed enumerate zip map filter any all sum min max abs round list dict set tuple str int float bool isinstance issubclass type id hash repr "
-    "getattr setattr hasattr delattr callable iter next open input super vars dir locals globals staticmethod classmethod property Exception ValueError TypeError KeyError "
-    "IndexError AttributeError RuntimeError StopIteration NotImplementedError True False None"
-).split()
+#: By language, callees that say nothing about a function; other languages have none.
+STOPS: dict[str, list[str]] = {
+    "python": [
+        "print", "len", "range", "sorted", "reversed", "enumerate", "zip", "map", "filter", "any", "all", "sum", "min", "max", "abs", "round", "list", "dict", "set", "tuple", "str", "int", "float", "bool", "isinstance",
+        "issubclass", "type", "id", "hash", "repr", "getattr", "setattr", "hasattr", "delattr", "callable", "iter", "next", "open", "input", "super", "vars", "dir", "locals", "globals", "staticmethod", "classmethod", "property",
+        "Exception", "ValueError", "TypeError", "KeyError", "IndexError", "AttributeError", "RuntimeError", "StopIteration", "NotImplementedError", "True", "False", "None",
+    ],
+    "c": [
+        "malloc", "calloc", "realloc", "free", "alloca", "memcpy", "memmove", "memset", "memcmp", "strlen", "strcpy", "strncpy", "strcat", "strncat", "strcmp", "strncmp", "strdup", "strchr", "strrchr", "strstr", "strtok", "strerror",
+        "printf", "fprintf", "sprintf", "snprintf", "vprintf", "scanf", "fscanf", "sscanf", "fopen", "fclose", "fread", "fwrite", "fseek", "ftell", "fgets", "fputs", "fgetc", "fputc", "feof", "fflush", "ferror",
+        "atoi", "atol", "atoll", "atof", "abort", "exit", "_exit", "atexit", "getenv", "setenv", "unsetenv", "assert", "perror", "errno",
+    ],
+    "ruby": [
+        "puts", "print", "pp", "raise", "require", "require_relative", "load", "attr_reader", "attr_writer", "attr_accessor", "include", "extend", "prepend", "lambda", "proc", "new", "to_s", "to_i", "to_a", "to_h", "to_sym",
+        "inspect", "send", "public_send", "freeze", "dup", "clone", "kind_of?", "is_a?", "respond_to?", "nil?", "empty?", "each", "map", "select", "reject", "reduce", "inject", "find", "any?", "all?", "none?", "first", "last",
+        "size", "length", "count", "include?", "<<", "push", "pop", "shift", "unshift", "sort", "sort_by", "uniq", "flatten", "keys", "values", "fetch",
+    ],
+}
+#: C++ has those of C, too.
+STOPS["cpp"] = STOPS["c"] + [
+    "make_unique", "make_shared", "move", "forward", "begin", "end", "cbegin", "cend", "rbegin", "rend", "size", "empty", "front", "back", "push_back", "pop_back", "emplace", "emplace_back", "insert", "erase", "find", "count",
+    "data", "clear", "reserve", "resize", "to_string", "stoi", "stol", "stof", "stod", "min", "max", "swap", "abs", "get", "set",
+]
+#: Rules that look at all languages whatever is set.
+EVERY_LANGUAGE = frozenset(["structural.deps", "structural.local_imports", "structural.hotspots"])
 
 
 def once(make):
@@ -91,15 +113,18 @@ def once(make):
 class Metrics:
     """Tables of one source tree and its exported log; facts are parsed once and kept until :meth:`close`."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, log: str | None = None, now: str | None = None, places: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, files: DataFrame, log: str | None = None, now: str | None = None, places: DataFrame | None = None, languages: list[str] | None = None) -> None:
         self.spark, self.files, self.log, self.now = spark, files, log, now
         # where paths are enough, no content is read
         self.places = files.drop("content") if places is None else places
         self.kept: dict[str, DataFrame] = {}
         shared.checkpoints(spark)
         self.kept["facts"] = self.facts = python_facts.facts(files).persist()
-        self.functions = self.facts.filter("kind = 'function'")
-        self.classes = self.facts.filter("kind = 'class'")
+        # what the language setting leaves; imports and history are those of all files
+        self.languages = languages or LANGUAGES
+        self.spoken = self.facts if languages is None else self.facts.filter(F.col("lang").isin(languages))
+        self.functions = self.spoken.filter("kind = 'function'")
+        self.classes = self.spoken.filter("kind = 'class'")
 
     def close(self) -> None:
         for table in self.kept.values():
@@ -140,7 +165,8 @@ class Metrics:
         parent = whole.select("name", F.explode_outer(F.array_remove("bases", F.col("name"))).alias("parent")).join(names.withColumnRenamed("known", "parent").withColumn("here", F.lit(True)), "parent", "left")
         parent = parent.groupBy(F.col("name").alias("id")).agg(F.min(F.when(F.col("here"), F.col("parent"))).alias("parent"))
         dit = tables.depth(parent).select(F.col("id").alias("name"), F.col("depth").alias("dit"))
-        return whole.join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["noc", "dit"])
+        rows = whole.join(noc, "name", "left").join(dit, "name", "left").na.fill(0, ["noc", "dit"])
+        return rows.withColumn("interpretation", report.exceeded({c: (F.col(c), limit) for c, limit in CLASS_LIMITS.items()}))
 
     def text_imports(self) -> DataFrame:
         """Imports by lines, of files that couldn't be read and of languages that have no syntax for them here."""
@@ -193,7 +219,7 @@ class Metrics:
         """
         parent = F.regexp_replace("path", "/?[^/]+$", "")
         place = F.when(parent == "", ".").otherwise(parent)
-        every = self.places.filter(F.col("lang").isin(languages or LANGUAGES)).select("path", "lang", place.alias("node"))
+        every = self.places.filter(F.col("lang").isin([x for x in languages or LANGUAGES if x in self.languages])).select("path", "lang", place.alias("node"))
         homes = every.filter((F.col("lang") != "python") | F.col("path").rlike(r"(^|/)__init__\.py$")).select("lang", "node").distinct()
         if not mains:
             heads = self.lines().filter((F.col("lang") == "go") & (F.col("at") <= 20) & F.col("text").rlike(r"^\s*package\s+main\b")).select(F.col("file").alias("path")).distinct()
@@ -219,7 +245,7 @@ class Metrics:
 
     def hotspots(self, since: str, min_commits: int, prefix: str = "") -> DataFrame:
         """Complexity and churn of each file, with the reason why it is out, or its score and quadrant."""
-        ccx = self.functions.groupBy("file").agg(F.sum("ccx").alias("sum_ccx"), F.max("ccx").alias("max_ccx"))
+        ccx = self.facts.filter("kind = 'function'").groupBy("file").agg(F.sum("ccx").alias("sum_ccx"), F.max("ccx").alias("max_ccx"))
         commits, churn = code.commits(self.spark, self.log)
         churn = churn.join(commits.filter("parent_count <= 1").select("commit"), "commit", "left_semi")  # no merges
         start = code.since(since, self.now)
@@ -248,13 +274,21 @@ class Metrics:
         }[kind]()
         return tables.capped(made, [F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[kind]], most)
 
+    def usages(self, symbol: str, definitions: bool = True, most: int | None = None) -> DataFrame:
+        """Lines of all files that hold ``symbol`` anywhere: ``kind`` (definition or reference), ``file``, ``line``, ``content`` and, of a definition, ``symbol_type``."""
+        hits = search.search(self.files.select("path", "content"), "path", "content", [symbol], mode="fixed", case="sensitive").select(F.col("path").alias("file"), "line", "content")
+        at = self.facts.filter(F.col("kind").isin("function", "class", "type") & (F.col("name") == symbol)).groupBy("file", F.col("line").cast("long").alias("line")).agg(F.min("kind").alias("symbol_type"))
+        rows = hits.join(at, ["file", "line"], "left") if definitions else hits.withColumn("symbol_type", F.lit(None).cast("string"))
+        rows = rows.select(F.when(F.col("symbol_type").isNull(), "reference").otherwise("definition").alias("kind"), "file", "line", "content", "symbol_type")
+        return tables.capped(rows, [F.asc("file"), F.asc("line")], most)
+
     def complexity_of_files(self, most: int | None = None) -> DataFrame:
         """Functions, sums and largest values of the files of the first ``most`` functions: what a capped report sums up is what it shows."""
         rows = self.ranked("complexity", most).groupBy("file").agg(F.count("*").alias("functions"), F.sum("ccx").alias("sum_ccx"), F.max("ccx").alias("max_ccx"), F.max("cog").alias("max_cog"))
         return rows.orderBy(F.desc("max_ccx"), "file")
 
     def lines(self) -> DataFrame:
-        return imports.lines(self.files.filter(F.col("lang").isin(LANGUAGES))).withColumnRenamed("line", "at")
+        return imports.lines(self.files.filter(F.col("lang").isin(self.languages))).withColumnRenamed("line", "at")
 
 
 class Run:
@@ -271,14 +305,14 @@ class Run:
         self.metrics.close()
 
 
-def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[dict] | None = None, today: str = "0001-01-01", log: str | None = None, excludes: list[str] | None = None, now: str | None = None) -> Run:
-    """Run the rules of ``config`` that are enabled.
+def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[dict] | None = None, today: str = "0001-01-01", log: str | None = None, excludes: list[str] | None = None, now: str | None = None, languages: list[str] | None = None) -> Run:
+    """Run the rules of ``config`` that are enabled, over all languages or those named (but for ``EVERY_LANGUAGE``).
 
     A rule that fails is an error of its own and leaves the others alone. Rules
     over history need ``log``, an exported log; without one they are skipped.
     """
     places = code.places(spark, root, excludes=excludes)
-    m = Metrics(spark, tree.contents(places, root), log, now, places)
+    m = Metrics(spark, tree.contents(places, root), log, now, places, languages)
     on = {name: c for name, c in config.items() if c["enabled"] and c["severity"] != "off" and (log or name not in NEED_LOG)}
     out, errors = _empty(spark), {}
     for name, c in on.items():
@@ -290,8 +324,8 @@ def run(spark: SparkSession, root: str, config: dict[str, dict], waivers: list[d
         except Exception as e:
             errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     found = rules.recorded(rules.waived(out, waivers or [], today), waivers or []).persist()
-    files = m.places.filter(F.col("lang").isin(LANGUAGES)).count()
-    units = {name: files for name in on} | dict.fromkeys((n for n in on if n.startswith(("structural.complexity", "information.", "lexical."))), m.functions.count()) | dict.fromkeys((n for n in on if n.startswith("structural.class")), m.classes.count())
+    files, every = (m.places.filter(F.col("lang").isin(names)).count() for names in (m.languages, LANGUAGES))
+    units = {name: every if name in EVERY_LANGUAGE else files for name in on} | dict.fromkeys((n for n in on if n.startswith(("structural.complexity", "information.", "lexical."))), m.functions.count()) | dict.fromkeys((n for n in on if n.startswith("structural.class")), m.classes.count())
     return Run(m, found, report.statuses(found, on, errors, units), len(config) - len(on))
 
 
@@ -315,7 +349,9 @@ def _rule(df: DataFrame, name: str, c: dict, value, inclusive: bool = False, fil
 
 
 def _redundancy(m: Metrics, c: dict, name: str) -> DataFrame:
-    f = m.functions.filter("top and name <> '<lambda>'").withColumn("use", F.filter(F.array_except("callees", F.array(*map(F.lit, BUILTINS))), lambda x: (F.length(x) >= 3) & ~x.rlike("^__.*__$")))
+    stops = F.create_map(*[x for lang, names in STOPS.items() for x in (F.lit(lang), F.array(*map(F.lit, names)))])
+    none = F.array().cast("array<string>")
+    f = m.functions.filter("top and name <> '<lambda>'").withColumn("use", F.filter(F.array_except("callees", F.coalesce(stops[F.col("lang")], none)), lambda x: (F.length(x) >= 3) & ~x.rlike("^__.*__$")))
     uses = f.select("file", F.col("line").alias("unit"), F.explode("use").alias("item"))
     pairs = tables.sibling_overlap(uses, "file", "unit", "item", c["min_shared"], c["threshold"])
     for side in "ab":
@@ -397,7 +433,7 @@ def _literals(m: Metrics, c: dict, name: str) -> DataFrame:
 
 def _local(m: Metrics, c: dict, name: str) -> DataFrame:
     rows = m.facts.filter("kind = 'import' and owner is not null").select("file", "line", "owner", F.col("name").alias("module"), "lang")
-    spans = m.functions.select("file", "lang", F.monotonically_increasing_id().alias("f"), F.col("line").alias("start"), "end_line", F.col("name").alias("owner"))
+    spans = m.facts.filter("kind = 'function'").select("file", "lang", F.monotonically_increasing_id().alias("f"), F.col("line").alias("start"), "end_line", F.col("name").alias("owner"))
     texts = m.text_imports().groupBy("file", "line").agg(F.min("module").alias("module"))
     found = texts.join(spans, "file").filter("line > start and line <= end_line")
     found = found.groupBy("file", "line", "module", "lang").agg(F.min(F.struct(F.col("end_line") - F.col("start"), "f", "owner")).alias("b")).select("file", "line", F.col("b.owner").alias("owner"), "module", "lang")
@@ -440,8 +476,8 @@ def _stutter(m: Metrics, c: dict, name: str) -> DataFrame:
 
 def _orphans(m: Metrics, c: dict, name: str) -> DataFrame:
     """Symbols that lines of other files don't hold, not even inside a word."""
-    symbols = m.facts.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).groupBy("file", "name").agg(F.min(F.struct("line", "kind", "lang")).alias("f")).select("file", "name", "f.*")
-    rows = search.substring_references(symbols, m.files.filter(F.col("lang").isin(LANGUAGES)).select(F.col("path").alias("place"), "content"), "file", "name", "place", "content")
+    symbols = m.spoken.filter("kind = 'class' or (kind = 'function' and name <> '<lambda>')").filter(F.length("name") >= 4).groupBy("file", "name").agg(F.min(F.struct("line", "kind", "lang")).alias("f")).select("file", "name", "f.*")
+    rows = search.substring_references(symbols, m.files.filter(F.col("lang").isin(m.languages)).select(F.col("path").alias("place"), "content"), "file", "name", "place", "content")
     common = F.col("name").isin(COMMON_NAMES)
     rows = rows.withColumn("confidence", fn.confidence(F.col("name"), F.lit(True), common))
     levels = ["low", "medium", "high"]
@@ -480,7 +516,7 @@ BRANCHES = {
     "structural.types.escape_hatches": _hatches,
     "structural.duplication": _clones,
     "structural.hotspots": _hotspots,
-    "structural.god_module": lambda m, c, name: _rule(m.facts.filter("kind = 'module'"), name, c, F.col("definitions"), line=None, symbol=None, language="lang", loc=True),
+    "structural.god_module": lambda m, c, name: _rule(m.spoken.filter("kind = 'module'"), name, c, F.col("definitions"), line=None, symbol=None, language="lang", loc=True),
     "structural.orphans": _orphans,
     "information.volume": _volume,
     "information.difficulty": lambda m, c, name: _rule(m.halstead(), name, c, F.round("difficulty", 2), volume=True, effort=True, vocabulary=True, length=True, end_line=True),

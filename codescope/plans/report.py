@@ -73,9 +73,18 @@ def message(rich: bool = True) -> Column:
         more = F.when(F.col("rule") == rule, _detail(template)).otherwise(more)
     clone = F.when(F.try_variant_get("metadata", "$.fingerprint", "string").isNotNull(), _detail(CLUSTER)).otherwise(_detail(SHARE))
     more = F.when(F.col("rule") == "structural.duplication", clone).otherwise(more)
+    means = interpretation(F.coalesce(*[F.try_variant_get("metadata", f"$.{k}", "string") for k in ("quadrant", "zone")]))
+    more = F.when(means.isNull(), more).otherwise(F.concat(more, F.lit("; "), means))
     return F.when(more.isNull() | F.col("metadata").isNull(), said).otherwise(F.concat(said, F.lit(" ("), more, F.lit(")")))
 
 
+def exceeded(values: dict[str, tuple[Column, float]]) -> Column:
+    """Which limits a class is over, in words; within all of them it is said to be so."""
+    said = {"cbo": "coupled with many classes", "dit": "deep below its ancestors", "noc": "ancestor of many", "wmc": "much decided in its methods"}
+    over = F.array_compact(F.array(*[F.when(value > limit, F.lit(said[name])) for name, (value, limit) in values.items()]))
+    return F.when(F.size(over) == 0, "within limits").otherwise(F.array_join(over, "; "))
+
+
 def by_confidence(found: DataFrame) -> DataFrame:
     """How many unreferenced symbols of each confidence there are: high, medium, low, also where there is none."""
     from codescope.operators import tables

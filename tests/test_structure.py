@@ -224,3 +224,45 @@ def test_published_and_former_keys():
     notes = settings.former({"rules": {"halstead": {"volume_threshold": 1}, "structural": {"deps": {}}}, "waivers": [{"id": "w", "rule": "npath"}]})
     assert notes == ["[rules.halstead] is now information.volume, information.difficulty", "waiver w: npath is now structural.complexity.npath"]
     assert settings.former({}) == [] and settings.migrated({"complexity": 3}) == {}
+
+
+def test_language_setting(spark, tmp_path, capsys):
+    from codescope import cli
+    from codescope.plans import report
+
+    many = "".join(f"def g{i}():\n    return {i}\n" for i in range(25))
+    go = "package p\n" + "".join(f"func G{i}() int {{ return {i} }}\n" for i in range(25))
+    root = write(tmp_path, a_DOT_py=many + "import b\n", b_DOT_py="import a\n", c_DOT_go=go)
+    rule = {n: lint_plan.DEFAULTS[n] for n in ("structural.god_module", "structural.deps")}
+    for languages, want in ((None, {"a.py", "c.go"}), (["go"], {"c.go"})):
+        with lint_plan.run(spark, root, rule, languages=languages) as run:
+            rows = run.found.collect()
+            assert {r["file"] for r in rows if r["rule"] == "structural.god_module"} == want
+            assert [r["file"] for r in rows if r["rule"] == "structural.deps"] == ["a.py"]  # imports are those of all languages
+            assert {r["rule"]: r["checked"] for r in run.per_rule.collect()} == {"structural.god_module": 3 if languages is None else 1, "structural.deps": 3}
+    assert cli.main(["check", "structural.god_module", root, "--languages", "go,cobol"], spark) == 0
+    out = capsys.readouterr()
+    assert "c.go" in out.out and "a.py" not in out.out and "cobol isn't read" in out.err
+    assert cli.main(["check", "structural.god_module", root, "--languages", "cobol"], spark) == 2
+    meant = spark.createDataFrame([(1, 9, 0, 99), (0, 0, 0, 0)], "dit int, cbo int, noc int, wmc int")
+    said = [r[0] for r in meant.select(report.exceeded({c: (meant[c], 8) for c in ("cbo", "dit", "noc", "wmc")})).collect()]
+    assert said == ["coupled with many classes; much decided in its methods", "within limits"]
+
+
+def test_stop_lists_by_language(spark, tmp_path):
+    calls = "{ malloc(1); free(x); printf(y); memcpy(z); }"
+    same = "{ load_it(1); store_it(x); check_it(y); malloc(2); }"
+    root = write(tmp_path, a_DOT_c=f"void a(int x) {calls}\nvoid b(int x) {calls}\nvoid c(int x) {same}\nvoid d(int x) {same}\n", a_DOT_js=f"function a() {calls}\nfunction b() {calls}\n")
+    with lint_plan.run(spark, root, {"structural.redundancy": lint_plan.DEFAULTS["structural.redundancy"]}) as run:
+        assert sorted((r["file"], r["symbol"]) for r in run.found.collect()) == [("a.c", "c"), ("a.js", "a")]
+
+
+def test_usages_of_a_symbol(spark, tmp_path):
+    root = write(tmp_path, a_DOT_py="class Thing:\n    pass\nx = Thing()\n", b_DOT_py="# Things to do\nfrom a import Thing\n", c_DOT_txt="Thing\n", d_DOT_go="package d\ntype Thing struct{}\n")
+    m = lint_plan.Metrics(spark, code.files(spark, root))
+    got = [(r["kind"], r["file"], r["line"], r["symbol_type"]) for r in m.usages("Thing").collect()]
+    assert got == [("definition", "a.py", 1, "class"), ("reference", "a.py", 3, None), ("reference", "b.py", 1, None), ("reference", "b.py", 2, None), ("reference", "c.txt", 1, None), ("definition", "d.go", 2, got[-1][3])]
+    first = m.usages("Thing", definitions=False, most=2).collect()
+    assert [(r["kind"], r["total"], r["truncated"]) for r in first] == [("reference", 6, True)] * 2
+    assert m.usages("nothing").isEmpty()
+    m.close()
