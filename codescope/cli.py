@@ -60,7 +60,9 @@ def main(args: list[str] | None = None, spark=None) -> int:
     with run:
         total = report.verdict(run.per_rule, run.skipped)
         if a.json:
-            print(report.as_json(run.found, run.per_rule, a.root, run.skipped))
+            for part in report.json_parts(run.found, run.per_rule, a.root, run.skipped):
+                print(part, end="")
+            print()
         else:
             print(report.quiet(total) if a.quiet else report.human(run.found, run.per_rule, a.most, run.skipped))
     return report.EXIT[total["result"]]

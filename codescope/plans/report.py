@@ -1,14 +1,14 @@
 """Reports of a run: messages, statuses, categories, and the human, JSON and quiet forms.
 
 Counts and the first rows of each rule are made by Spark; only those, whose number
-is bounded by the rules, come to the driver, except where the JSON form is asked
-for as one document.
+is bounded by the rules, come to the driver. The JSON document streams through it.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,20 +160,37 @@ def as_rows(found: DataFrame) -> DataFrame:
     return found.select("rule", F.to_json(F.struct(*found.columns, message(_rich(found)).alias("message"))).alias("value"))
 
 
-def as_json(found: DataFrame, per_rule: DataFrame, root: str, skipped: int = 0) -> str:
-    """The whole run as one document; all violations come to the driver."""
+def json_parts(found: DataFrame, per_rule: DataFrame, root: str, skipped: int = 0) -> Iterator[str]:
+    """The whole run as one document, in pieces; the driver holds one partition of violations at a time."""
     held = found.withColumn("message", message(_rich(found)))
     if _rich(found):
         held = held.withColumn("metadata", F.to_json("metadata"))
-    rows = []
-    for r in held.orderBy("rule", F.desc("value"), "file", "line").collect():
-        row = r.asDict(recursive=True)
-        record = row.pop("waived_by", None)
-        if "metadata" in row:
-            row["metadata"] = json.loads(row["metadata"] or "{}") | ({"waiver": record} if record else {})
-        rows.append(row)
-    by_rule = {}
-    for r in per_rule.orderBy("rule").collect():
-        mine = [{k: v for k, v in x.items() if k != "waiver" or v} for x in rows if x["rule"] == r["rule"]]
-        by_rule[r["rule"]] = {"status": r["status"], "violations": [x for x in mine if "waiver" not in x], "waived_violations": [x for x in mine if "waiver" in x], "errors": [r["error"]] if r["error"] else []}
-    return json.dumps({"root": root, "rules": by_rule, "summary": verdict(per_rule, skipped)}, indent=2)
+    rows = held.orderBy("rule", F.col("waiver").isNotNull(), F.desc("value"), "file", "line").toLocalIterator()
+    row, rules_ = next(rows, None), per_rule.orderBy("rule").collect()
+
+    def shown(r) -> str:
+        v = r.asDict(recursive=True)
+        record = v.pop("waived_by", None)
+        if "metadata" in v:
+            v["metadata"] = json.loads(v["metadata"] or "{}") | ({"waiver": record} if record else {})
+        return json.dumps({k: x for k, x in v.items() if k != "waiver" or x})
+
+    yield f'{{"root": {json.dumps(root)}, "rules": {{'
+    for n, r in enumerate(rules_):
+        yield f'{", " if n else ""}{json.dumps(r["rule"])}: {{"status": {json.dumps(r["status"])}, "errors": {json.dumps([r["error"]] if r["error"] else [])}'
+        while row is not None and row["rule"] < r["rule"]:  # of a rule that isn't reported
+            row = next(rows, None)
+        for name, is_waived in (("violations", False), ("waived_violations", True)):
+            yield f', "{name}": ['
+            first = True
+            while row is not None and row["rule"] == r["rule"] and (row["waiver"] is not None) == is_waived:
+                yield ("" if first else ", ") + shown(row)
+                row, first = next(rows, None), False
+            yield "]"
+        yield "}"
+    yield f'}}, "summary": {json.dumps(verdict(per_rule, skipped))}}}'
+
+
+def as_json(found: DataFrame, per_rule: DataFrame, root: str, skipped: int = 0) -> str:
+    """The pieces of :func:`json_parts` as one text: all violations come to the driver."""
+    return json.dumps(json.loads("".join(json_parts(found, per_rule, root, skipped))), indent=2)
