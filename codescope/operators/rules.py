@@ -97,6 +97,21 @@ def effective(defaults: dict[str, dict], tables: dict[str, dict]) -> dict[str, d
     return out
 
 
+def layered(defaults: DataFrame, tables: DataFrame) -> DataFrame:
+    """``rule``, ``enabled`` and ``severity`` of ``defaults`` under ``tables(name, enabled, severity)``: :func:`effective` for many rules.
+
+    A table speaks for the rule of its name and for all whose names go on with a
+    dot. The longest name that sets a key wins, for each key alone; what a table
+    leaves null it doesn't set. Rules meet the tables of their own prefixes only.
+    """
+    parts = F.split("rule", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    hits = defaults.select("rule", F.explode(names).alias("name")).join(tables, "name")
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.length("name").alias("at"), F.col(c).alias("value")))).alias(f"_{c}")
+    won = hits.groupBy("rule").agg(last("enabled"), last("severity"))
+    return defaults.join(won, "rule", "left").select("rule", F.coalesce("_enabled.value", "enabled").alias("enabled"), F.coalesce("_severity.value", "severity").alias("severity"))
+
+
 def config_rows(spark: SparkSession, config: dict[str, dict]) -> DataFrame:
     rows = [(r, bool(c["enabled"]), c["severity"]) for r, c in sorted(config.items())]
     return spark.createDataFrame(rows, "rule string, enabled boolean, severity string")

@@ -584,6 +584,40 @@ def ranked_sources(spark, sf_dir):
     return _ranked(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.sum("lines").alias("lines"), F.max("lines").alias("longest"))
 
 
+_LAYERS = """d AS (SELECT p_brand || '.' || p_type || '.' || p_partkey AS rule, p_size > 10 AS enabled, CASE WHEN p_retailprice > 1000 THEN 'error' ELSE 'warning' END AS severity FROM part),
+t AS (SELECT p_brand AS name, count(*) % 2 = 0 AS enabled, NULL::VARCHAR AS severity FROM part GROUP BY 1 UNION ALL
+SELECT p_brand || '.' || p_type, CASE WHEN min(p_size) < 3 THEN false END, CASE WHEN max(p_size) > 40 THEN 'off' END FROM part GROUP BY 1 UNION ALL
+SELECT p_brand || '.' || p_type || '.' || p_partkey, true, NULL FROM part WHERE p_partkey % 9 = 0),
+h AS (SELECT rule, name, t.enabled, t.severity FROM d JOIN t ON rule = name OR starts_with(rule, name || '.'))"""
+
+
+@query(f"""WITH {_LAYERS} SELECT rule, coalesce((SELECT arg_max(h.enabled, length(name)) FROM h WHERE h.rule = d.rule AND h.enabled IS NOT NULL), enabled) AS enabled,
+coalesce((SELECT arg_max(h.severity, length(name)) FROM h WHERE h.rule = d.rule AND h.severity IS NOT NULL), severity) AS severity FROM d""")
+def layered_settings(spark, sf_dir):
+    """Settings of parts under tables of their brands, of types of a brand, and of their own."""
+    part = read(spark, sf_dir, "part")
+    kind, own = F.concat_ws(".", "p_brand", "p_type"), F.concat_ws(".", "p_brand", "p_type", "p_partkey")
+    defaults = part.select(own.alias("rule"), (F.col("p_size") > 10).alias("enabled"), F.when(F.col("p_retailprice") > 1000, "error").otherwise("warning").alias("severity"))
+    brands = part.groupBy(F.col("p_brand").alias("name")).agg((F.count("*") % 2 == 0).alias("enabled"), F.lit(None).cast("string").alias("severity"))
+    kinds = part.groupBy(kind.alias("name")).agg(F.when(F.min("p_size") < 3, F.lit(False)).alias("enabled"), F.when(F.max("p_size") > 40, "off").alias("severity"))
+    some = part.filter("p_partkey % 9 = 0").select(own.alias("name"), F.lit(True).alias("enabled"), F.lit(None).cast("string").alias("severity"))
+    return rules.layered(defaults, brands.union(kinds).union(some))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS token FROM part),
+l AS (SELECT p_partkey, max(prev) AS scope FROM (SELECT p_partkey, lag(p_partkey) OVER (PARTITION BY p_brand, token ORDER BY p_partkey) AS prev FROM t) GROUP BY 1)
+SELECT l.p_partkey, l.scope, a.p_name AS scope_name, len(list_intersect(list_distinct(string_split(p.p_name, ' ')), string_split(a.p_name, ' ')))::INTEGER AS overlap FROM l JOIN part p ON p.p_partkey = l.p_partkey JOIN part a ON a.p_partkey = l.scope""")
+def nearest_scope(spark, sf_dir):
+    """The nearest part of its brand before each part that shares a token with its name."""
+    part = read(spark, sf_dir, "part")
+    tokens = part.select("p_partkey", "p_brand", F.explode(F.array_distinct(F.split("p_name", " "))).alias("token"))
+    before = tokens.select("p_partkey", F.lag("p_partkey").over(Window.partitionBy("p_brand", "token").orderBy("p_partkey")).alias("prev"))
+    near = before.groupBy("p_partkey").agg(F.max("prev").alias("scope"))
+    scopes = part.select(F.col("p_partkey").alias("scope"), F.col("p_name").alias("scope_name"))
+    rows = near.join(part.select("p_partkey", "p_name"), "p_partkey").join(scopes, "scope")
+    return rows.select("p_partkey", "scope", "scope_name", F.size(F.array_intersect(F.split("p_name", " "), F.split("scope_name", " "))).alias("overlap"))
+
+
 _KINDS = ["html", "head", "title", "body", "nav", "ul", "li", "a", "div", "aside", "article", "h1", "footer"]
 _NODES = rf"""s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 x AS (SELECT page_id, regexp_extract_all(h, '</?(?:{'|'.join(_KINDS)})\b[^>]*>') AS tags FROM s), t AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS id FROM x),

@@ -49,6 +49,17 @@ def test_waivers_and_config():
     assert effective(base, {"a": {"enabled": False, "threshold": 5}, "a.b": {"enabled": True}})["a.b.c"] == {"enabled": True, "severity": "error", "threshold": 1}
 
 
+def test_layers_of_many_rules_are_those_of_few(spark):
+    from codescope.operators import rules
+
+    base = {r: {"enabled": True, "severity": "error"} for r in ("a", "a.b", "a.b.c", "a.bc", "x.y", "")}
+    tables = {"a": {"enabled": False, "severity": "warning"}, "a.b": {"enabled": True}, "a.b.c": {"severity": "off"}, "x": {"enabled": False}, "x.y": {"enabled": True}, "nothing": {"enabled": False}}
+    rows = spark.createDataFrame([(r, c["enabled"], c["severity"]) for r, c in base.items()], "rule string, enabled boolean, severity string")
+    over = spark.createDataFrame([(n, t.get("enabled"), t.get("severity")) for n, t in tables.items()], "name string, enabled boolean, severity string")
+    got = {r["rule"]: {"enabled": r["enabled"], "severity": r["severity"]} for r in rules.layered(rows, over).collect()}
+    assert got == rules.effective(base, tables)
+
+
 def test_cycles_are_whole_or_an_error(spark):
     from codescope.operators import tables
 
