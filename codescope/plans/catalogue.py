@@ -72,7 +72,7 @@ o AS (SELECT name, v, min(doc_id * 2 + i) AS place FROM (SELECT name, doc_id, un
 u AS (SELECT name, string_agg(v, '|' ORDER BY place) AS bases FROM o GROUP BY 1)
 SELECT name, sum(n_chars)::BIGINT AS wmc, count(*) AS declared, max(size) AS cbo, coalesce(any_value(u.bases), '') AS bases, min(doc_id) AS doc_id FROM d LEFT JOIN u USING (name) GROUP BY name""")
 def merged_classes(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"(\p{L}+)", 1).alias("name"), F.col("n_chars").alias("wmc"), F.lit(1).alias("declared"), F.length("text").alias("cbo"), F.array("lang", "source").alias("bases"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"(\p{L}+)", 1).alias("name"), F.col("n_chars").alias("wmc"), F.lit(1).alias("declared"), F.length("text").cast("long").alias("cbo"), F.array("lang", "source").alias("bases"))
     return tables.merged(rows, ["name"], ["doc_id"], ["wmc", "declared"], ["cbo"], ["bases"], []).withColumn("bases", F.array_join("bases", "|"))
 
 
@@ -568,7 +568,7 @@ list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS lo
 
 def _ranked(spark, sf_dir):
     lines = F.split("text", "\n")
-    rows = read(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.when(F.col("text").isNotNull(), F.size(lines)).alias("lines"), F.array_max(F.transform(lines, F.length)).alias("longest"))
+    rows = read(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.when(F.col("text").isNotNull(), F.size(lines)).cast("long").alias("lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"))
     return tables.capped(rows, [F.desc_nulls_last("lines"), F.desc_nulls_last("longest"), F.asc("source"), F.asc("doc_id")], 300)
 
 
