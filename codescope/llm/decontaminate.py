@@ -11,13 +11,18 @@ two of every three of its steps, chosen at random, are hashed to a key: two walk
 edit touched the sampled steps. Each meeting votes for the item and the diagonal
 (place in the document less place in the item); bands of diagonals with enough
 votes put an item-sized window on the document. REPEATS walks with other coins
-and samples make the recall. Windows go through a bit-parallel edit distance over
+and samples make the recall; each character's coins hold as many heads as tails,
+so that no walk stays on a few characters and meets half the corpus. Items under
+LONG characters are too short for enough walks: for them every place of a document
+is a window unless too few of the item's pairs and triples of characters lie there for any
+likeness, which rules out none that is one. Windows go through a bit-parallel edit distance over
 many windows at once, with characters folded to ``FOLD`` classes, so that it is
 never above the true one; what passes is verified by exact edit distance over
 characters.
 
 Recall: an equal copy meets in all its walks on one diagonal and is always found.
-An edited passage is found when enough walks outlive the edits; edits placed so
+Items under LONG characters are found exactly, at any edits within the limit. A
+longer edited passage is found when enough walks outlive the edits; edits placed so
 that no walk does leave none.
 """
 
@@ -34,9 +39,10 @@ from pyspark.sql.types import StructType
 
 from . import common
 
-#: Steps of a walk, of which two in three are sampled, and how often. Items of LONG characters have more walks and take half the repeats.
+#: Steps of a walk, of which two in three are sampled, and how often.
 STEPS, REPEATS = 18, 4
-LONG = 80
+#: Items under LONG characters are searched for exactly, by GRAMS characters in a row, in blocks of PLACES.
+LONG, GRAMS, PLACES = 80, (2, 3), 16
 #: Documents walk from one in so many characters, items from each; each repeat takes others.
 EVERY = 3
 #: Width of a band of diagonals; two bands that touch vote together.
@@ -44,9 +50,8 @@ BAND = 16
 #: So many bands share one window.
 BANDS = 4
 FOLD = 64
-#: Items under MIN_WORDS words and under MIN_CHARS characters are found by equal words only: so short a likeness says nothing.
-MIN_WORDS = 10
-MIN_CHARS = 40
+#: Items under MIN_CHARS characters are found by equal words only: so short a likeness says nothing.
+MIN_CHARS = 20
 #: Votes that make a window: a share of the item's characters, within limits.
 VOTES, FEWEST, MOST = 0.035, 2, 9
 SIMILAR = 0.75
@@ -61,8 +66,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.Generator(np.random.PCG64(11))
-#: By repeat: the random word of each character, whose bits are the coins, and the sampled steps.
-_COINS = [_RANDOM.integers(0, 2**32, 4096, dtype=np.uint32) for _ in range(REPEATS)]
+
+
+def _coins() -> np.ndarray:
+    """A random word for each character; bits 3 to STEPS + 2 are its coins, half of them heads."""
+    word = _RANDOM.integers(0, 2**32, 4096, dtype=np.uint32) & ~np.uint32((1 << STEPS) - 1 << 3)
+    heads = _RANDOM.random((4096, STEPS)).argsort(axis=1) < STEPS // 2
+    return word | (heads.astype(np.uint32) << np.arange(3, STEPS + 3, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+
+
+#: By repeat: the coins, and the sampled steps.
+_COINS = [_coins() for _ in range(REPEATS)]
 _SAMPLES = [frozenset(range(STEPS)) - {int(j) for j in np.arange(0, STEPS, 3) + _RANDOM.integers(0, 3, STEPS // 3)} for _ in range(REPEATS)]
 #: Scripts that set no blanks between words: Thai and Lao, Myanmar, Khmer, kana, Han.
 SPACELESS = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
@@ -111,9 +125,18 @@ def spaceless(chars: np.ndarray) -> np.ndarray:
     return found
 
 
+def grams(chars: np.ndarray, q: int) -> np.ndarray:
+    """Class of each ``q`` characters in a row, folded."""
+    fold = (chars % FOLD).astype(np.int64)
+    key = fold[: len(fold) - q + 1]
+    for j in range(1, q):
+        key = key * FOLD + fold[j : len(fold) - q + 1 + j]
+    return key
+
+
 def needed(m: int) -> int:
     """Votes that make a window, for an item of ``m`` characters."""
-    return min(max(round(m * VOTES), FEWEST), MOST) + (m < LONG)
+    return min(max(round(m * VOTES), FEWEST), MOST)
 
 
 class Table:
@@ -144,6 +167,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.rows, self.texts = [], []
         self.short: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.exact: list[tuple[int, list[np.ndarray]]] = []
         key = [[np.zeros(0, np.uint64)] for _ in range(REPEATS)]
         owner, offset = ([[np.zeros(0, np.int64)] for _ in range(REPEATS)] for _ in range(2))
         need: list[int] = []
@@ -156,18 +180,21 @@ class Items:
             self.rows.append((item_id, len(start)))
             self.texts.append(plain(low, start, end))
             chars = characters(low)
-            if len(start) < MIN_WORDS and len(chars) < MIN_CHARS:
+            if len(chars) < MIN_CHARS:
                 self.short[len(chars)][self.texts[n]].append(n)
                 need.append(1 << 30)
                 self.bits.append(None)
                 continue
-            need.append(needed(len(chars)))
-            for r in range(REPEATS if len(chars) < LONG else REPEATS // 2):
-                keys, stop = walks(chars, r)
-                whole = np.flatnonzero(stop <= len(chars))
-                key[r].append(keys[whole])
-                offset[r].append(whole)
-                owner[r].append(np.full(len(whole), n))
+            need.append(needed(len(chars)) if len(chars) >= LONG else 1 << 30)
+            if len(chars) < LONG:
+                self.exact.append((n, [np.unique(grams(chars, q)) for q in GRAMS]))
+            else:
+                for r in range(REPEATS):
+                    keys, stop = walks(chars, r)
+                    whole = np.flatnonzero(stop <= len(chars))
+                    key[r].append(keys[whole])
+                    offset[r].append(whole)
+                    owner[r].append(np.full(len(whole), n))
             bits = np.zeros((-(-len(chars) // 64), FOLD), dtype=np.uint64)
             at = np.arange(len(chars))
             np.bitwise_or.at(bits, (at >> 6, chars % FOLD), np.uint64(1) << (at & 63).astype(np.uint64))
@@ -177,8 +204,39 @@ class Items:
         self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.longest = int(self.length[self.need < 1 << 30].max(initial=0))
 
-    def windows(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal) of all windows with enough votes; a window has BANDS * BAND + BAND diagonals."""
+    def windows(self, chars: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first diagonal) of all windows to be compared, ``most[item]`` edits allowed; a window has BANDS * BAND + BAND diagonals."""
+        voted, even = self._voted(chars), self._even(chars, most)
+        return np.concatenate([voted[0], even[0]]), np.concatenate([voted[1], even[1]])
+
+    def _even(self, chars: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of the items under LONG characters: all that hold enough of the item's pairs and triples.
+
+        An item of m characters has m - q + 1 grams of q characters, and an edit destroys
+        q at most, so m - q + 1 - q * edits of them lie inside every likeness.
+        """
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        of = []
+        for q in GRAMS if self.exact and len(chars) > max(GRAMS) else ():
+            key = grams(chars, q)
+            of.append(np.append(key, np.full(-(-len(chars) // PLACES) * PLACES - len(key), FOLD**q)))  # the last class is nobody's
+        own = [np.zeros(FOLD**q + 1, dtype=bool) for q in GRAMS]
+        for n, mine in self.exact if of else ():
+            m, k = int(self.length[n]), int(most[n])
+            reach = (m + k - 2) // PLACES + 2  # so many blocks hold all grams of any m + k characters
+            enough = True
+            for q, key, table, these in zip(GRAMS, of, own, mine, strict=True):
+                table[these] = True
+                blocks = table[key].reshape(-1, PLACES).sum(axis=1, dtype=np.uint8)
+                table[these] = False
+                total = np.cumsum(np.concatenate([[0], blocks, np.zeros(reach, dtype=np.uint8)]), dtype=np.int64)
+                enough = enough & (total[reach:-1] - total[: -reach - 1] >= m - q + 1 - q * k)
+            first = np.unique(np.flatnonzero(enough) // 3 * 3)
+            found.append((np.full(len(first), n), first * PLACES + k))
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+    def _voted(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with enough votes of walks."""
         if not self.longest:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         base = -(-self.longest // (BAND * BANDS)) * BAND * BANDS
@@ -308,6 +366,7 @@ def leaks(texts: list[bytes], items: Items, similar: float = SIMILAR) -> list[li
     if not items.rows:
         return out
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    allowed = ((1 - similar) * items.length).astype(np.int64)
     held: list[tuple[np.ndarray, ...]] = []  # characters and windows of parts, so that many windows are verified at once
     size = 0
 
@@ -336,8 +395,8 @@ def leaks(texts: list[bytes], items: Items, similar: float = SIMILAR) -> list[li
             if place + len(items.texts[item]) < edges[d + 1]:
                 w = int(np.searchsorted(first, place, side="right")) - 1 - int(cut[d])
                 best.setdefault((at + d, item), (0, w, w + items.rows[item][1]))
-        item, a = items.windows(chars)
-        most = ((1 - similar) * items.length[item]).astype(np.int64)
+        item, a = items.windows(chars, allowed)
+        most = allowed[item]
         a, b = a - most, a + (BANDS + 1) * BAND + items.length[item] + most
         a, b = np.clip(a, 0, len(chars)), np.clip(b, 0, len(chars))
         # a window over a border is one for each document

@@ -407,6 +407,54 @@ def test_leaks_recall_under_character_edits(rate, kinds):
     assert len(truth) > 40 and found >= (1 if rate == 0 else 0.95) * len(truth)
 
 
+def exactly(t, n, kinds, r):
+    """``t`` with just ``n`` edits at different places."""
+    out = list(t)
+    for k in r.sample(range(len(t)), n):
+        out[k] = {"r": r.choice("abcdefghij"), "d": "", "i": t[k] + r.choice("abcdefghij")}[r.choice(kinds)]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("kinds", ["rdi", "r", "d", "i"])
+@pytest.mark.parametrize("words,longest,least", [((30, 59), 9, 0.9), ((16, 20), 9, 0.9), ((10, 10), 9, 1), ((12, 14), 3, 1), ((7, 7), 9, 1), ((5, 5), 9, 1)])
+def test_leaks_recall_at_the_limit(words, longest, least, kinds):
+    """A quarter of the characters edited, by the length of items; items under LONG characters are all found."""
+    r = random.Random(21)
+    items = []
+    while len(items) < 80:
+        t = " ".join("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, longest))) for _ in range(r.randint(*words)))
+        if (len(t) >= decontaminate.LONG) == (least < 1) and len(t) >= decontaminate.MIN_CHARS:
+            items.append((len(items), t))
+    held = decontaminate.Items(items)
+    texts, truth = [], []
+    for i, t in items:
+        e = exactly(t, len(t) // 4, kinds, r)
+        if decontaminate.infix_distance(t, " ".join(e.split()))[0] <= len(t) // 4:
+            texts.append(f"{invented(40, r)} {e} {invented(40, r)}".encode())
+            truth.append(i)
+    got = decontaminate.leaks(texts, held)
+    assert len(truth) > 40 and sum(any(x["item_id"] == i for x in g) for i, g in zip(truth, got, strict=True)) >= least * len(truth)
+    assert not any(x["item_id"] != i for i, g in zip(truth, got, strict=True) for x in g)
+
+
+def test_leaks_of_short_items_are_all_pairs_within_the_limit():
+    """Against the exact distance of every item and text, wherever the edits are."""
+    r = random.Random(22)
+    items = [(i, "".join(r.choice("abcd ") for _ in range(r.randint(20, 79))).strip().strip("abcd") + invented(3, r)) for i in range(60)]
+    held = decontaminate.Items(items)
+    texts = [invented(5, r) + " " + exactly(t, r.randint(0, len(t) // 3), "rdi", r) + " " + invented(r.randint(0, 5), r) for t in (r.choice(items)[1] for _ in range(150))]
+    want = []
+    for t in texts:
+        s, e, _, low = decontaminate.words_of([t.encode()])
+        whole = decontaminate.plain(low, s, e)
+        near = [(held.rows[n][0], decontaminate.infix_distance(p, whole)[0], len(p)) for n, p in enumerate(held.texts)]
+        want.append([(i, d) for i, d, m in near if d <= m // 4 and decontaminate.MIN_CHARS <= m < decontaminate.LONG])
+    got = decontaminate.leaks([t.encode() for t in texts], held)
+    short = {held.rows[n][0] for n, _ in held.exact}
+    assert [[(x["item_id"], x["distance"]) for x in g if x["item_id"] in short] for g in got] == want
+    assert sum(map(len, want)) > 50
+
+
 def test_leaks_one_typo_in_each_word():
     r = random.Random(12)
     items = [(i, " ".join(invented(1, r) + "xyz" for _ in range(r.randint(15, 59)))) for i in range(60)]
