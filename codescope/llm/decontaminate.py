@@ -204,12 +204,11 @@ class Items:
         self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.longest = int(self.length[self.need < 1 << 30].max(initial=0))
 
-    def windows(self, chars: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal) of all windows to be compared, ``most[item]`` edits allowed; a window has BANDS * BAND + BAND diagonals."""
-        voted, even = self._voted(chars), self._even(chars, most)
-        return np.concatenate([voted[0], even[0]]), np.concatenate([voted[1], even[1]])
+    def windows(self, chars: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, first and last diagonal) of all windows to be compared, ``most[item]`` edits allowed."""
+        return tuple(map(np.concatenate, zip(self._voted(chars), self._even(chars, most), strict=True)))
 
-    def _even(self, chars: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _even(self, chars: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows of the items under LONG characters: all that hold enough of the item's pairs and triples.
 
         An item of m characters has m - q + 1 grams of q characters, and an edit destroys
@@ -233,12 +232,13 @@ class Items:
                 enough = enough & (total[reach:-1] - total[: -reach - 1] >= m - q + 1 - q * k)
             first = np.unique(np.flatnonzero(enough) // 3 * 3)
             found.append((np.full(len(first), n), first * PLACES + k))
-        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        item, a = (np.concatenate(x) for x in zip(*found, strict=True))
+        return item, a, a + (BANDS + 1) * BAND
 
-    def _voted(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows with enough votes of walks."""
+    def _voted(self, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows with enough votes of walks: up to BANDS bands that have them, and the band next to the last."""
         if not self.longest:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
         base = -(-self.longest // (BAND * BANDS)) * BAND * BANDS
         bands = (len(chars) + base) // BAND + 2
         found = []
@@ -254,8 +254,10 @@ class Items:
         many = many + np.where(touch, np.append(many[1:], 0), 0)
         band = band[many >= self.need[band // bands]]
         item, band = band // bands, band % bands
-        key = np.unique(item * (bands // BANDS + 1) + band // BANDS)
-        return key // (bands // BANDS + 1), key % (bands // BANDS + 1) * (BANDS * BAND) - base
+        # bands are in order: the first and last of each window
+        first = np.flatnonzero(np.diff(item * (bands // BANDS + 1) + band // BANDS, prepend=-1))
+        last = np.append(first[1:], len(band)) - 1 if len(first) else first
+        return item[first], band[first] * BAND - base, (band[last] + 2) * BAND - base
 
     def near(self, chars: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Whether the item lies in ``chars[a:b]`` with at most ``most`` edits, characters folded (bit-parallel over windows)."""
@@ -395,9 +397,10 @@ def leaks(texts: list[bytes], items: Items, similar: float = SIMILAR) -> list[li
             if place + len(items.texts[item]) < edges[d + 1]:
                 w = int(np.searchsorted(first, place, side="right")) - 1 - int(cut[d])
                 best.setdefault((at + d, item), (0, w, w + items.rows[item][1]))
-        item, a = items.windows(chars, allowed)
+        item, a, b = items.windows(chars, allowed)
         most = allowed[item]
-        a, b = a - most, a + (BANDS + 1) * BAND + items.length[item] + most
+        # an edit moves a likeness by one diagonal at most, so these hold all of one that meets the diagonals
+        a, b = a - most, b + items.length[item] + most
         a, b = np.clip(a, 0, len(chars)), np.clip(b, 0, len(chars))
         # a window over a border is one for each document
         d = np.searchsorted(edges, a, side="right") - 1
