@@ -1,15 +1,19 @@
 """URL filter by a path-template tree, with DataFrame functions only.
 
 Paths are reduced to skeletons first (digits and long hex strings masked), and
-all further work is on distinct skeletons, not pages. Level by level, a segment
+all further work is on distinct skeletons, not pages. Prefix by prefix, a segment
 that takes more than ``BRANCHES`` values under its host and prefix becomes a
-wildcard. Branches of one parent whose labelled rates don't differ significantly
+wildcard. Under a prefix with no more skeletons than that nothing can, so its rows
+are settled, and a crowded prefix goes on where its skeletons part: rounds follow
+the crowded forks on a path, not its length. Branches of one parent whose labelled rates don't differ significantly
 are merged. A template is rejected when its labelled purity, smoothed towards
 its parents' and the corpus' rate, is over ``REJECT``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +21,6 @@ from pyspark.sql.window import Window
 from . import common
 
 BRANCHES = 16
-#: Levels between two checkpoints.
-LEVELS = 4
 REJECT = 0.5
 SMOOTH = 4.0
 Z = 1.96
@@ -50,24 +52,38 @@ def skeleton(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
 
 
+def _first(n: str) -> Column:
+    """The first ``n`` segments of the template as text."""
+    return F.concat_ws("/", F.slice("tpl", F.lit(1), F.col(n)))
+
+
 def templates(rows: DataFrame) -> DataFrame:
     """``host``, ``sk`` (skeleton as text), ``template`` and smoothed ``purity``, from ``rows(host, segs, bad)``; bad: 1, 0 or null."""
     base = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     base = common.materialize(base.select("*", F.concat_ws("/", "segs").alias("sk"), F.col("segs").alias("tpl")))
-    work = base
-    # as many levels as the deepest skeleton has segments
-    for d in range(1, (base.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0) + 1):
-        deep = F.size("tpl") >= d
-        prefix = F.when(deep, F.concat_ws("/", F.slice("tpl", 1, d - 1)))
-        keyed = work.withColumn("pre", prefix).withColumn("seg", F.when(deep, F.col("tpl")[d - 1]))
-        values = keyed.filter(deep).select("host", "pre", "seg").distinct().groupBy("host", "pre").agg(F.count("*").alias("values"))
-        wide = values.filter(F.col("values") > BRANCHES).select("host", "pre", F.lit(True).alias("wide"))
-        # rows without a segment here have no prefix to join on: their own skeleton spreads them
-        keyed = keyed.withColumn("pre", F.coalesce("pre", F.concat(F.lit("//"), "sk")))
-        work = keyed.join(wide, ["host", "pre"], "left").withColumn("tpl", F.when(F.col("wide"), F.concat(F.slice("tpl", 1, d - 1), F.array(F.lit("*")), F.slice("tpl", F.lit(d + 1), F.size("tpl")))).otherwise(F.col("tpl"))).drop("pre", "seg", "wide")
-        if d % LEVELS == 0:
-            work = common.materialize(work)
-    work = common.materialize(work.withColumn("template", F.concat_ws("/", "tpl")))
+    work, settled = base.withColumn("at", F.lit(0)), []
+    # as many rounds as crowded prefixes lie on one path
+    while True:
+        group = ["host", "at", "pre"]
+        keyed = work.withColumn("pre", _first("at"))
+        crowded = keyed.groupBy(group).agg(F.count("*").alias("rows"), F.min("tpl").alias("lo"), F.max("tpl").alias("hi")).filter(F.col("rows") > BRANCHES)
+        # the group's first and last template agree as far as all of them do
+        differ = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        crowded = crowded.select(*group, F.when(differ > 0, differ - 1).otherwise(F.size("lo")).alias("same"))
+        live = F.coalesce(F.size("tpl") > F.col("same"), F.lit(False))
+        keyed = keyed.join(crowded, group, "left").withColumn("live", live).withColumn("at", F.when(F.col("live"), F.col("same")).otherwise(F.col("at")))
+        # settled rows have no prefix to join on: their own skeleton spreads them
+        keyed = keyed.withColumn("pre", F.when(F.col("live"), _first("at")).otherwise(F.concat(F.lit("//"), "sk"))).drop("same")
+        values = keyed.filter("live").select(*group, F.element_at("tpl", F.col("at") + 1).alias("seg")).distinct().groupBy(group).agg(F.count("*").alias("values"))
+        wide = values.filter(F.col("values") > BRANCHES).select(*group, F.lit(True).alias("wide"))
+        starred = F.concat(F.slice("tpl", F.lit(1), F.col("at")), F.array(F.lit("*")), F.slice("tpl", F.col("at") + 2, F.size("tpl")))
+        keyed = keyed.join(wide, group, "left").withColumn("tpl", F.when(F.col("wide"), starred).otherwise(F.col("tpl"))).drop("pre", "wide")
+        keyed = common.materialize(keyed.withColumn("at", F.col("at") + 1))
+        settled.append(keyed.filter("not live"))
+        work = keyed.filter("live").drop("live")
+        if work.isEmpty():
+            break
+    work = reduce(DataFrame.unionAll, settled).drop("at", "live").withColumn("template", F.concat_ws("/", "tpl"))
     leaves = work.groupBy("host", "template", "tpl").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     steps = leaves.select("*", F.explode(F.sequence(F.lit(0), F.size("tpl"))).alias("d")).withColumn("node", F.concat_ws("/", F.slice("tpl", 1, F.col("d"))))
     nodes = steps.groupBy("host", "node", "d").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.first(F.concat_ws("/", F.expr("slice(tpl, 1, greatest(d - 1, 0))"))).alias("parent"))

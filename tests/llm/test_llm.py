@@ -628,6 +628,20 @@ def test_urls_against_plain_walk(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_urls_rounds_follow_crowded_forks(spark, monkeypatch):
+    """Long paths, alone or shared by many, take no round for each segment."""
+    shared = "/".join("abcdefgh"[i % 8] for i in range(400))
+    names = [a + b for a in "abcdef" for b in "uvwxyz"]
+    rows = [("h.net", f"/{shared}/{n}/{'yn'[i % 2]}") for i, n in enumerate(names)] + [("h.net", f"/{n}") for n in names] + [("h.net", "/" + "/".join("xyz"[i % 3] for i in range(1500)))]
+    rules = (("block", "h.net", f"/{shared}/a"), ("allow", "h.net", "/b"))
+    made = []
+    monkeypatch.setattr(url_filter.common, "materialize", lambda df, once=common.materialize: made.append(1) or once(df))
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["template"], round(r["purity"], 9)) for r in url_filter.judge(pages, rules).collect()}
+    assert [got[i] for i in range(len(rows))] == judged(rows, rules)
+    assert len(made) <= 8
+
+
 # -- html
 
 def test_html_without_article_keeps_short_sections():
