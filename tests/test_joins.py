@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codescope.operators import search, tables
 from codescope.plans import catalogue
@@ -42,3 +44,18 @@ def test_words_and_odd_stems(spark):
     got = search.word_references(stems, held, "o", "s", "f", "t")
     assert sorted(tuple(r) for r in got.collect()) == [("a", "one", 1, 1), ("b", "two", 2, 1), ("c", "x-y", 3, 3), ("d", "x-y", 4, 2), ("z", "none", 5, 0), ("z", "x-y", 6, 3), ("z", "x-y", 6, 3)]
     assert sorted(r["refs"] for r in search.word_references(stems.filter("s <> 'x-y'"), held, "o", "s", "f", "t").collect()) == [0, 1, 1]
+
+
+def test_words_are_summed_where_the_lines_are(spark):
+    held = spark.createDataFrame([("a", "one two one"), ("b", "one")], "f string, t string")
+    stems = spark.createDataFrame([("a", "one")], "o string, s string")
+    assert "explode" not in plan_of(search.word_references(stems, held, "o", "s", "f", "t"))
+    batch = pa.RecordBatch.from_pylist([{"_f": "a", "_t": "one ünï_1 one", "_own": ["one", "two"]}, {"_f": "b", "_t": "two,one", "_own": None}, {"_f": "a", "_t": None, "_own": ["one"]}])
+    (got,) = search._words(iter([batch]))
+    assert sorted((tuple(x.values()) for x in got.to_pylist()), key=str) == sorted([("one", None, 2, 0), ("ünï_1", None, 1, 0), ("two", None, 1, 0), ("one", "a", 0, 1)], key=str)
+
+
+def test_odd_stems_without_a_word(spark):
+    held = spark.createDataFrame([("a", "x -- y"), ("b", "--"), ("b", "c--"), ("c", "---")], "f string, t string")
+    stems = spark.createDataFrame([("b", "--"), ("b", "x-"), (None, None), ("b", "")], "o string, s string")
+    assert [r["refs"] for r in search.word_references(stems, held, "o", "s", "f", "t").orderBy(F.desc("s")).collect()] == [0, 2, 0, 0]
