@@ -150,8 +150,9 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     the component of their ends, if that is one.
 
     Every round is written to the shared checkpoint folder, so lost executors
-    cost no more than the round. Rounds go on until no edge is left; more than
-    ``most`` rounds of colours, if given, are an error.
+    cost no more than the round. No join is a broadcast, for each would take a
+    part of the graph through the driver. Rounds go on until no edge is left;
+    more than ``most`` rounds of colours, if given, are an error.
     """
     live = shared.written(edges.select("src", "dst").filter("src <> dst").distinct())
     levels: list[DataFrame] = []
@@ -159,8 +160,8 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     found = edges.sparkSession.createDataFrame([], StructType().add("n", kind).add("c", kind))
     size, coloured = live.count(), 0
     while size:
-        both = live.select(F.col("src").alias("n")).distinct().join(live.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
-        live = shared.written(live.join(both.withColumnRenamed("n", "src"), "src", "left_semi").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
+        both = live.select(F.col("src").alias("n")).distinct().hint("merge").join(live.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
+        live = shared.written(live.hint("merge").join(both.withColumnRenamed("n", "src"), "src", "left_semi").hint("merge").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
         before, size = size, live.count()
         if not size:
             break
@@ -170,7 +171,7 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
             found = found.union(rings)
             levels.append(inside)
             gone = chains.select("u")
-            rest = live.join(gone.withColumnRenamed("u", "src"), "src", "left_anti").join(gone.withColumnRenamed("u", "dst"), "dst", "left_anti").select("src", "dst")
+            rest = live.hint("merge").join(gone.withColumnRenamed("u", "src"), "src", "left_anti").hint("merge").join(gone.withColumnRenamed("u", "dst"), "dst", "left_anti").select("src", "dst")
             live = shared.written(rest.union(inside.filter("w <> v").select("w", "v")).distinct())
             size = live.count()
         elif size == before:
@@ -180,33 +181,33 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
             nodes = shared.written(live.select(F.col("src").alias("n")).union(live.select("dst")).distinct().select("n", F.struct(F.xxhash64("n").alias("h"), F.col("n").alias("n")).alias("l")))
             colour = _spread(live, nodes)
             of = lambda side: colour.select(F.col("n").alias(side), F.col("l").alias(f"l_{side}"))  # noqa: B023, E731
-            inner = shared.written(live.join(of("src"), "src").join(of("dst"), "dst").filter("l_src = l_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            inner = shared.written(live.hint("merge").join(of("src"), "src").hint("merge").join(of("dst"), "dst").filter("l_src = l_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
             back = _spread(inner, nodes).withColumnRenamed("l", "back")
-            settled = shared.written(colour.join(back, "n").filter("l = back").select("n", F.col("l.n").alias("c")))
+            settled = shared.written(colour.hint("merge").join(back, "n").filter("l = back").select("n", F.col("l.n").alias("c")))
             found = found.union(settled)
             gone = settled.select("n")
-            live = shared.written(live.join(gone.withColumnRenamed("n", "src"), "src", "left_anti").join(gone.withColumnRenamed("n", "dst"), "dst", "left_anti").select("src", "dst"))
+            live = shared.written(live.hint("merge").join(gone.withColumnRenamed("n", "src"), "src", "left_anti").hint("merge").join(gone.withColumnRenamed("n", "dst"), "dst", "left_anti").select("src", "dst"))
             size = live.count()
     for inside in reversed(levels):
-        ends = inside.join(found.select(F.col("n").alias("w"), F.col("c").alias("cw")), "w", "left").join(found.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v", "left")
+        ends = inside.hint("merge").join(found.select(F.col("n").alias("w"), F.col("c").alias("cw")), "w", "left").hint("merge").join(found.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v", "left")
         held = shared.written(ends.select("u", "w", "cw", F.when(F.col("w") == F.col("v"), F.coalesce("cw", "w")).when(F.col("cw") == F.col("cv"), F.col("cw")).alias("c")).filter("c is not null"))
         # a chain that comes back to where it began makes a component of its end, too
         ring = held.filter("cw is null").select(F.col("w").alias("n"), "c").distinct()
         found = shared.written(found.union(held.select("u", "c")).union(ring))
     names = found.groupBy("c").agg(F.min("n").alias("component"), F.count("*").alias("size")).filter("size > 1")
-    return found.join(names, "c").select(F.col("n").alias("node"), "component")
+    return found.hint("merge").join(names, "c").select(F.col("n").alias("node"), "component")
 
 
 def _chains(live: DataFrame) -> DataFrame | None:
     """``u, w, v, m, open`` for nodes with one edge in and one out: the ends of the chain before and after; ``open`` on rings without ends, whose smallest node is m."""
     out = live.groupBy(F.col("src").alias("u")).agg(F.count("*").alias("o"), F.min("dst").alias("v")).filter("o = 1")
     into = live.groupBy(F.col("dst").alias("u")).agg(F.count("*").alias("i"), F.min("src").alias("w")).filter("i = 1")
-    mids = shared.written(out.join(into, "u").select("u", "w", "v"))
+    mids = shared.written(out.hint("merge").join(into, "u").select("u", "w", "v"))
     count = mids.count()
     if not count:
         return None
     own = mids.select("u")
-    walk = mids.join(own.select(F.col("u").alias("v"), F.lit(True).alias("go_v")), "v", "left").join(own.select(F.col("u").alias("w"), F.lit(True).alias("go_w")), "w", "left")
+    walk = mids.hint("merge").join(own.select(F.col("u").alias("v"), F.lit(True).alias("go_v")), "v", "left").hint("merge").join(own.select(F.col("u").alias("w"), F.lit(True).alias("go_w")), "w", "left")
     walk = shared.written(walk.select("u", "w", "v", F.col("u").alias("m"), F.coalesce("go_v", F.lit(False)).alias("go_v"), F.coalesce("go_w", F.lit(False)).alias("go_w")))
     for _ in range(count.bit_length() + 1):
         if walk.filter("go_v or go_w").isEmpty():
@@ -215,7 +216,7 @@ def _chains(live: DataFrame) -> DataFrame | None:
         rows = walk.withColumns({"kv": F.when(F.col("go_v"), F.col("v")).otherwise(F.col("u")), "kw": F.when(F.col("go_w"), F.col("w")).otherwise(F.col("u"))})
         ahead = walk.select(F.col("u").alias("kv"), F.lit(True).alias("go_v"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("go_v").alias("gv2"))
         behind = walk.select(F.col("u").alias("kw"), F.lit(True).alias("go_w"), F.col("w").alias("w2"), F.col("go_w").alias("gw2"))
-        walk = shared.written(rows.join(ahead, ["kv", "go_v"], "left").join(behind, ["kw", "go_w"], "left").select("u", F.coalesce("w2", "w").alias("w"), F.coalesce("v2", "v").alias("v"), F.least("m", "m2").alias("m"), F.coalesce("gv2", F.lit(False)).alias("go_v"), F.coalesce("gw2", F.lit(False)).alias("go_w")))
+        walk = shared.written(rows.hint("merge").join(ahead, ["kv", "go_v"], "left").hint("merge").join(behind, ["kw", "go_w"], "left").select("u", F.coalesce("w2", "w").alias("w"), F.coalesce("v2", "v").alias("v"), F.least("m", "m2").alias("m"), F.coalesce("gv2", F.lit(False)).alias("go_v"), F.coalesce("gw2", F.lit(False)).alias("go_w")))
     return walk.select("u", "w", "v", "m", F.col("go_v").alias("open"))
 
 
@@ -227,9 +228,9 @@ def _spread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     state, many = nodes.select("n", "l"), None
     for done in itertools.count():
-        near = edges.join(state, edges["src"] == state["n"]).groupBy(F.col("dst").alias("n")).agg(F.min(F.struct("l", "src")).alias("m"))
+        near = edges.hint("merge").join(state, edges["src"] == state["n"]).groupBy(F.col("dst").alias("n")).agg(F.min(F.struct("l", "src")).alias("m"))
         less = F.coalesce(F.col("m.l") < F.col("l"), F.lit(False))
-        step = shared.written(state.join(near, "n", "left").select("n", F.when(less, F.col("m.l")).otherwise(F.col("l")).alias("l"), F.when(less, F.col("m.src")).otherwise(F.col("n")).alias("p"), less.alias("moved")))
+        step = shared.written(state.hint("merge").join(near, "n", "left").select("n", F.when(less, F.col("m.l")).otherwise(F.col("l")).alias("l"), F.when(less, F.col("m.src")).otherwise(F.col("n")).alias("p"), less.alias("moved")))
         state = step.select("n", "l")
         if step.filter("moved").isEmpty():
             return state
@@ -237,7 +238,7 @@ def _spread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             many = many or nodes.count().bit_length()
             for _ in range(many):
                 up = step.select(F.col("n").alias("p"), F.col("l").alias("l2"), F.col("p").alias("p2"))
-                step = shared.written(step.join(up, "p").select("n", F.least("l", "l2").alias("l"), F.col("p2").alias("p"), (F.col("p2") != F.col("p")).alias("moved")))
+                step = shared.written(step.hint("merge").join(up, "p").select("n", F.least("l", "l2").alias("l"), F.col("p2").alias("p"), (F.col("p2") != F.col("p")).alias("moved")))
                 if step.filter("moved").isEmpty():
                     break
             state = step.select("n", "l")

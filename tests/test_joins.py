@@ -59,3 +59,19 @@ def test_odd_stems_without_a_word(spark):
     held = spark.createDataFrame([("a", "x -- y"), ("b", "--"), ("b", "c--"), ("c", "---")], "f string, t string")
     stems = spark.createDataFrame([("b", "--"), ("b", "x-"), (None, None), ("b", "")], "o string, s string")
     assert [r["refs"] for r in search.word_references(stems, held, "o", "s", "f", "t").orderBy(F.desc("s")).collect()] == [0, 2, 0, 0]
+
+
+def test_cycles_take_no_part_of_the_graph_through_the_driver(spark, monkeypatch):
+    plans, write = [], tables.shared.written
+
+    def written(df):
+        df.collect()  # the final plan of adaptive execution
+        plans.append(plan_of(df))
+        return write(df)
+
+    monkeypatch.setattr(tables.shared, "written", written)
+    # a ring, a chain into two linked rings that need colours
+    edges = [(i, (i + 1) % 6) for i in range(6)] + [(10, 11), (11, 12), (12, 10), (12, 11), (11, 10), (10, 12), (20, 10), (12, 30)]
+    got = tables.cycles(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 0) for i in range(6)] + [(i, 10) for i in (10, 11, 12)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in [*plans, plan_of(got)])
