@@ -695,3 +695,23 @@ def test_html(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
     assert got[2] == got[3] == ("", 0) and got[5][0] == "x" and got[1][1] == len(html_text.main_text(page))
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_words_with_blanks_are_cut_without_a_loop_over_words():
+    """Texts are cut with string methods, and the same texts as before go to the library whole."""
+    import itertools
+    import re
+
+    tok = tokens.WordTokenizer(BYTE, "byte")
+    assert not hasattr(tokens, "_EDGE")
+    edge = re.compile(r"\A\s|\s\Z|\s | \s")
+    for text in map("".join, itertools.product("a \t\n\v\f\r\u3000\u2003\0", repeat=4)):
+        if tokens._ODD.search(text) or edge.search(text):
+            assert tok._words(text) is None
+        else:
+            first, *more = text.split(" ")
+            assert tok._words(text) == [first, *[" " + w for w in more]]
+    assert all(tokens._ODD.search(chr(c)) for c in range(0x80, 0x110000) if chr(c).isspace() and not 0xD800 <= c < 0xE000)
+    texts = ["one, two. don't", "x,y\nz!", "Zwölf \U0001f600? ok...", "a"]
+    ids, counts = tok.ids(texts)
+    assert ids.tolist() == [i for r in tok.whole(texts) for i in r] and counts.sum() == len(ids)
