@@ -17,7 +17,8 @@ LONG characters are too short for enough walks: for them every place of a docume
 is a window unless too few of the item's pairs and triples of characters lie there for any
 likeness, which rules out none that is one. Windows go through a bit-parallel edit distance over
 many windows at once, with characters folded to ``FOLD`` classes, so that it is
-never above the true one; what passes is verified by exact edit distance over
+never above the true one, first for the item's pieces of 64 characters, whose sum is
+not above it either; what passes is verified by exact edit distance over
 characters.
 
 Recall: an equal copy meets in all its walks on one diagonal and is always found.
@@ -50,6 +51,8 @@ BAND = 16
 #: So many bands share one window.
 BANDS = 4
 FOLD = 64
+#: Under so many windows left, each goes to the exact edit distance at once.
+FEW = 16
 #: Items under MIN_CHARS characters are found by equal words only: so short a likeness says nothing.
 MIN_CHARS = 20
 #: Votes that make a window: a share of the item's characters, within limits.
@@ -102,18 +105,22 @@ def characters(low: np.ndarray) -> np.ndarray:
 def walks(chars: np.ndarray, repeat: int, begin: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Key of the walk from each of ``chars[begin::every]`` on, and where it ends."""
     n = len(chars)
-    coins = np.zeros(n + STEPS, dtype=np.uint32)
-    coins[:n] = _COINS[repeat][chars & 4095]
-    stop = np.arange(begin, n, every)
+    coins = np.zeros(n + STEPS, dtype=np.uint64)
+    coins[:n] = _COINS[repeat].take(chars & 4095)
+    stop = np.arange(begin, n, every, dtype=np.int64)
     key = np.zeros(len(stop), dtype=np.uint64)
-    for c in range(0, len(stop), 1 << 14):  # parts that stay in the processor's cache
-        h, i = key[c : c + (1 << 14)], stop[c : c + (1 << 14)]
+    room = np.empty(1 << 14, dtype=np.uint64)
+    for c in range(0, len(stop), len(room)):  # parts that stay in the processor's cache
+        h, i = key[c : c + len(room)], stop[c : c + len(room)]
+        x, moved = room[: len(h)], i.view(np.uint64)  # one type throughout: nothing is converted
         for j in range(STEPS):
-            x = coins.take(i)
+            coins.take(i, out=x, mode="clip")
             if j in _SAMPLES[repeat]:
                 h *= _ODD
                 h += x
-            i += x >> np.uint32(j + 3) & np.uint32(1)
+            x >>= np.uint64(j + 3)
+            x &= np.uint64(1)
+            moved += x
     return key * np.uint64(0xD6E8FEB86659FD93), stop
 
 
@@ -147,15 +154,21 @@ class Table:
         bucket = (key >> self.shift).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.owner, self.offset, bucket = owner[order], offset[order], bucket[order]
-        self.bucket, self.first, self.many = np.unique(bucket, return_index=True, return_counts=True)
+        bucket, self.first, self.many = np.unique(bucket, return_index=True, return_counts=True)
         self.used = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.used[bucket] = True
+        # used buckets as bits, 64 a word, and how many come before each word: a bucket's number without a search
+        self.bits = np.zeros(len(self.used) >> 6, dtype=np.uint64)
+        np.bitwise_or.at(self.bits, bucket >> 6, np.uint64(1) << (bucket & 63).astype(np.uint64))
+        self.before = np.cumsum(np.append(0, np.bitwise_count(self.bits[:-1])), dtype=np.int64)
 
     def meet(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in ``key``, item and place in the item of all walks that meet."""
-        bucket = (key >> self.shift).astype(np.int64)
-        at = np.flatnonzero(self.used[bucket])
-        known = np.searchsorted(self.bucket, bucket[at])
+        bucket = (key >> self.shift).view(np.int64)
+        at = np.flatnonzero(self.used.take(bucket))
+        bucket = bucket[at]
+        lower = (np.uint64(1) << (bucket & 63).astype(np.uint64)) - np.uint64(1)
+        known = self.before[bucket >> 6] + np.bitwise_count(self.bits[bucket >> 6] & lower)
         low, many = self.first[known], self.many[known]
         which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         return np.repeat(at, many), self.owner[which], self.offset[which]
@@ -260,18 +273,78 @@ class Items:
         return item[first], band[first] * BAND - base, (band[last] + 2) * BAND - base
 
     def near(self, chars: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Whether the item lies in ``chars[a:b]`` with at most ``most`` edits, characters folded (bit-parallel over windows)."""
+        """False where the item doesn't lie in ``chars[a:b]`` with at most ``most`` edits, characters folded (bit-parallel over windows)."""
         good = np.zeros(len(item), dtype=bool)
-        fold = np.append(chars % FOLD, 0).astype(np.int64)
+        fold = np.append((chars % FOLD).astype(np.int64), np.zeros(int((b - a).max(initial=0)) + 1, dtype=np.int64))
         words = -(-self.length[item] // 64)
         order = np.lexsort((b - a, words))
+        order = order[self._possible(fold, item, a, b, most)[order]]
         ends = np.flatnonzero(np.diff(words[order])) + 1
         for group in np.split(order, ends):
             for k in range(0, len(group), 8192):
                 part = group[k : k + 8192]
-                good[part] = self._distances(fold, item[part], a[part], b[part]) <= most[part]
+                # few windows cost less one by one
+                good[part] = len(part) < FEW or self._distances(fold, item[part], a[part], b[part]) <= most[part]
         return good
 
+    def _possible(self, fold: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """False where the item's pieces of 64 characters alone take more than ``most`` edits.
+
+        Pieces share no edits, so what their best places in the window take adds up to no
+        more than the item's distance. What lies before a piece takes as many characters
+        as in the item but for the edits, and likewise behind it.
+        """
+        left, length = most.copy(), self.length[item]
+        for p in range(int(length.max(initial=0)) // 64):
+            at = np.flatnonzero((left >= 0) & (length >= 64 * (p + 1)))
+            if len(at) < FEW:
+                break
+            begin = np.maximum(a[at], a[at] + 64 * p - most[at])
+            end = np.minimum(b[at], b[at] - (length[at] - 64 * (p + 1)) + most[at])
+            order = np.argsort(end - begin, kind="stable")
+            for k in range(0, len(at), 4096):
+                part = order[k : k + 4096]
+                left[at[part]] -= self._piece(fold, p, item[at[part]], begin[part], end[part])
+        return left >= 0
+
+    def _piece(self, fold: np.ndarray, p: int, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of the items' characters ``64 * p`` to ``64 * p + 63`` in ``fold[a:b]``, as :meth:`_distances` finds them."""
+        own, place = np.unique(item, return_inverse=True)
+        table = np.concatenate([self.bits[i][p] for i in own.tolist()])
+        base, at, size = place * FOLD, a.copy(), b - a
+        pv, mv = np.full(len(item), ~np.uint64(0)), np.zeros(len(item), dtype=np.uint64)
+        eq, xh, ph = (np.empty_like(pv) for _ in range(3))
+        sign = np.empty(len(item), dtype=np.int64)
+        score, best = np.full(len(item), 64), np.full(len(item), 64)
+        one, top, least = np.uint64(1), np.uint64(63), int(size.min())
+        for j in range(int(size.max())):
+            fold.take(at, out=sign, mode="clip")
+            sign += base
+            table.take(sign, out=eq, mode="clip")
+            at += 1
+            np.bitwise_and(eq, pv, out=xh)
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            eq |= mv  # the vertical one from here on
+            np.bitwise_or(xh, pv, out=ph)
+            np.invert(ph, out=ph)
+            ph |= mv
+            pv &= xh  # the horizontal decreases
+            score += np.right_shift(ph, top, out=xh).view(np.int64)
+            score -= np.right_shift(pv, top, out=xh).view(np.int64)
+            ph <<= one
+            pv <<= one
+            np.bitwise_and(ph, eq, out=mv)
+            eq |= ph
+            np.invert(eq, out=eq)
+            pv |= eq
+            if j < least:
+                np.minimum(best, score, out=best)
+            else:
+                np.minimum(best, score, out=best, where=size > j)
+        return best
+
     def _distances(self, fold: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         one, n = np.uint64(1), len(item)
         if not n:

@@ -455,6 +455,36 @@ def test_leaks_of_short_items_are_all_pairs_within_the_limit():
     assert sum(map(len, want)) > 50
 
 
+def test_pieces_rule_out_most_windows_and_no_likeness(monkeypatch):
+    """Every item against every text: what is near is what it was without pieces, and few windows get as far as their distance."""
+    r = random.Random(23)
+    items = [(i, invented(n, r)) for i, n in enumerate([*range(4, 60, 2), 200])]
+    held = decontaminate.Items(items)
+    texts = []
+    for _, t in items:
+        k = len(t) // 4
+        some = "".join(r.choice("abcdefghij") for _ in range(k))
+        texts += [t, t[k:], t[: len(t) - k], some + t, t[:9] + some + t[9:], t[:9] + t[9 + k :], t[:-9] + some + t[-9:], t[: -9 - k] + t[-9:], *(exactly(t, k, kinds, r) for kinds in ("rdi", "r", "d", "i"))]
+    texts = [x for t in texts for x in (t, f"{invented(3, r)} {t} {invented(30, r)}")]
+    parts = [decontaminate.characters(decontaminate.words_of([t.encode()])[3]) for t in texts]
+    chars, end = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+    item, text = (x.ravel() for x in np.meshgrid(np.arange(len(items)), np.arange(len(parts))))
+    a, b, most = (end - [len(x) for x in parts])[text], end[text], held.length[item] // 4
+    fits = b - a >= held.length[item] - most
+    item, a, b, most = (x[fits] for x in (item, a, b, most))
+    plain = decontaminate.Items._distances
+    want = np.zeros(len(item), dtype=bool)
+    words = -(-held.length[item] // 64)
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        want[at] = plain(held, np.append(chars % decontaminate.FOLD, 0).astype(np.int64), item[at], a[at], b[at]) <= most[at]
+    seen = []
+    monkeypatch.setattr(decontaminate, "FEW", 1, raising=False)
+    monkeypatch.setattr(decontaminate.Items, "_distances", lambda self, fold, item, a, b: seen.extend(item) or plain(self, fold, item, a, b))
+    assert (held.near(chars, item, a, b, most) == want).all()
+    assert want.sum() > 15 * len(items) and len([i for i in seen if held.length[i] >= 64]) < 1.5 * want.sum()
+
+
 def test_leaks_one_typo_in_each_word():
     r = random.Random(12)
     items = [(i, " ".join(invented(1, r) + "xyz" for _ in range(r.randint(15, 59)))) for i in range(60)]
