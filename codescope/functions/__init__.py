@@ -58,6 +58,15 @@ def is_trivial_number(literal: Column) -> Column:
     # trailing letters go first, so 0x1F reads as 0x1
     hexed = F.conv(F.regexp_extract(bare, "^0[xX]([0-9a-fA-F]+)$", 1), 16, 10).try_cast("bigint")
     whole = F.when(bare.rlike("^0[xX][0-9a-fA-F]+$"), hexed).otherwise(F.when(~bare.rlike("^0+[1-9]"), bare.try_cast("bigint")))
+    return _trivial(bare, whole)
+
+
+def is_trivial_written(number: Column) -> Column:
+    """The same values for digits in a text, where leading zeros make no decimal of a whole number: 0100 is 100."""
+    return _trivial(number, number.try_cast("bigint"))
+
+
+def _trivial(bare: Column, whole: Column) -> Column:
     return F.when(whole.isNotNull() & ~bare.contains("."), whole.isin(0, 1, -1, 2)).otherwise(F.coalesce(bare.try_cast("double").isin(0.0, 1.0, -1.0, 0.5, 2.0, 100.0), F.lit(False)))
 
 

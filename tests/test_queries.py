@@ -136,3 +136,21 @@ def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch, shape):
     got = sorted(tuple(x) for x in tables.cycles(spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect())
     assert len(rounds) < 30
     assert got == ([] if shape == "chain" else [(i, 0) for i in range(n + 1)] + ([(n + 5, 0), (n + 6, 0)] if shape == "both" else []))
+
+
+def test_magic_literals_of_zero_led_numbers_and_repeated_keys(spark, tmp_path):
+    rows = [
+        (1, "0100 11 22 33"),  # 0100 is a whole number: only 100.0 is trivial
+        (2, "00100 0100 100 100.0 11 12"),
+        (3, "100 100.0 00 01 002 0.50 11 22 33"),
+        (4, f"{'0' * 60}100 {'9' * 40} {'1' * 19}.5 7 1.{'0' * 30}1"),
+        (5, "11 22"), (5, "22 33"), (5, None), (5, "44.0"),  # one key in many rows
+        (None, "5 6"), (None, "7 8"), (6, None), (7, ""), (8, "11 22 33 33"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["distinct_count"], r["literals"]) for r in catalogue.queries()["magic_literals"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {k: (n, found) for k, n, found in c.sql(f"SELECT doc_id, distinct_count, literals FROM ({catalogue.oracle_sql()['magic_literals']})").fetchall()}
+    assert got[1] == (4, "0100|11|22|33") and got[5] == (4, "11|22|33|44.0") and got[None] == (4, "5|6|7|8")
+    assert got[2] == (5, "00100|0100|100|11|12") and got[3] == (4, "100|11|22|33") and set(got) == {1, 2, 3, 4, 5, None}
